@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, token_counts
+from lodestone.llm import bpe_codec, chat_format, decontamination, quality_rules, sharding, token_counts
 from lodestone.llm.common import tokenizer_path
 
 
@@ -13,6 +13,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.encode(F.array_join("hit_items", ","), "UTF-8"), 256)
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.quality(docs).select(*columns)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and -1: a user and an assistant who both write control strings."""
+    said = "</s>[INST] ok [/INST]"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    one = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))))).alias("t"))
+    return chat_format.digests(chat_format.format_chats(turns.unionByName(one.select("conv_id", "t.*"))))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shuffled = sharding.two_pass_shuffle(_table(spark, sf_dir, "documents"))
+    return shuffled.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec.digests(docs, tokenizer_path("word_bpe_49k.json")).drop("text")
@@ -24,8 +50,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_sharding": op8_sharding,
     "op6_bpe_codec": op6_bpe_codec,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": decontamination.ORACLE_SQL,
+    "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_chat_formatting": chat_format.ORACLE_SQL,
+}
