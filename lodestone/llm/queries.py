@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, chat_format, decontamination, quality_rules, sharding, token_counts
-from lodestone.llm.common import tokenizer_path
+from lodestone.llm import bpe_codec, chat_format, decontamination, language_id, quality_rules, sharding, token_counts, toxicity
+from lodestone.llm.common import crc_mod, tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = language_id.train(docs.filter(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), model, with_spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -44,12 +52,26 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(docs, tokenizer_path("word_bpe_49k.json")).drop("text")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """The model of the labelled rows that aren't held out."""
+    labels = _table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
+    return toxicity.train(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).drop("text")
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op9_toxicity": op9_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
