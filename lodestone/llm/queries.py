@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, chat_format, decontamination, language_id, quality_rules, sharding, token_counts, toxicity
+from lodestone.llm import bpe_codec, chat_format, decontamination, language_id, ngram_join, quality_rules, sharding, token_counts, toxicity
 from lodestone.llm.common import crc_mod, tokenizer_path
 
 
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -72,6 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op9_toxicity": op9_toxicity,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
@@ -81,6 +86,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op7_chat_formatting": chat_format.ORACLE_SQL,
