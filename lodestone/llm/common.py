@@ -33,13 +33,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a session without one
-    (tests on one machine) gets a folder of its own.
+    Only a session without one (tests on one machine) gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir", None)
         if not configured:
@@ -47,6 +46,12 @@ def durable(df: DataFrame) -> DataFrame:
 
             configured = tempfile.mkdtemp(prefix="lodestone-checkpoints-")
         sc.setCheckpointDir(configured)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -85,3 +90,9 @@ def bounded_sample(df: DataFrame, key: str, strata: list[str], most: int, salts:
         .filter(F.col("_rank") <= math.ceil(most / salts))
         .select(key, *strata)
     )
+
+
+def within(df: DataFrame, row_bytes, most: int = 32_000_000) -> DataFrame:
+    """``df`` marked for broadcast if its rows' bytes, summed up first, are within ``most``."""
+    total = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if total <= most else df

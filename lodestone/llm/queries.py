@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, chat_format, decontamination, language_id, ngram_join, quality_rules, sharding, token_counts, toxicity
+from lodestone.llm import bpe_codec, chat_format, decontamination, html_extract, language_id, ngram_join, quality_rules, sharding, token_counts, toxicity
 from lodestone.llm.common import crc_mod, tokenizer_path
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_pages(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_mod("doc_id", 4) == 2
@@ -74,6 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
     "op9_toxicity": op9_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
