@@ -172,7 +172,8 @@ def exact_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, t
         has = np.zeros((n, width), np.float32)
         has[owner[of], column[of] - low] = 1
         common += has @ has.T
-    linked = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+    # whole numbers up to here; in single precision the threshold itself would be blurred
+    linked = common.astype(np.float64) * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
     np.fill_diagonal(linked, False)
     linked &= (side[:, None] == 2) | (side[:, None] != side[None, :])
     label = np.arange(n)
