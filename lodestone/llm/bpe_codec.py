@@ -55,7 +55,11 @@ class MergeAutomaton:
         self.table: dict[tuple[int, int], bool] = {}
         # the labels that some arc has: base symbols and what gadgets added; others are never written
         base = {t for t, s in self.label.items() if len(s) == 1 or (end and s.endswith(end) and len(s) == 1 + len(end))}
-        self.labelled = {s: t for s, t in vocab.items() if t in base or t in self.made}
+        usable = set(base)
+        for t, gadget in self.made.items():  # in order; a gadget whose two arcs never meet adds none
+            if self.first[t] in usable and self.last[t] in usable and self._resolve(self.first[t], self.last[t], gadget):
+                usable.add(t)
+        self.labelled = {s: t for s, t in vocab.items() if t in usable}
         #: by the first three characters of what is still to be spelled, the sizes to try, longest first
         sizes: dict[str, set[int]] = {}
         for s in self.labelled:
@@ -77,8 +81,8 @@ class MergeAutomaton:
             known = self.table[key] = self._resolve(p, t)
         return known
 
-    def _resolve(self, p: int, t: int) -> bool:
-        before = _LATEST  # gadgets from this one on don't count: p or t is a copy made by then
+    def _resolve(self, p: int, t: int, before: int = _LATEST) -> bool:
+        """``before``: gadgets from this one on don't count, as p or t is a copy made by then."""
         while True:
             if self.cut.get((p, t), _LATEST) < before:
                 return False
