@@ -182,3 +182,9 @@ def test_label_model_finds_good_and_tied_voters():
     assert abs(rho[1, 2]) > 0.9
     assert abs(rho[0, 3]) < 0.3
     assert chance[1, 2, 0] > 0.9 > chance[1, 2, 1]
+
+
+def test_deep_and_long_pages_are_extracted_without_a_wrapper():
+    deep = "<article>" + "<div>" * 3000 + "<p>x</p>" + "</div>" * 3000 + "</article>"
+    assert html_extract.infer([deep]) == []
+    assert html_extract.extract(deep, html_extract.judge([], 1)) == "x"
