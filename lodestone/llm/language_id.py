@@ -6,7 +6,9 @@ is its mean log-probability of n-grams under that language, times its length. Th
 from character ranges, narrows the candidates to the languages that use it. Viterbi then labels the words
 of a text with one language each, paying a penalty for each switch; runs of equal labels are the spans.
 
-Viterbi runs over all texts of a slice at once: step i advances every text that has a word i.
+Viterbi runs over all texts of a slice at once: step i advances every text that has a word i. Texts whose
+best path is one language throughout are recognised beforehand: no run of words gains more by any other
+languages than one switch costs.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from lodestone.llm.common import bounded_sample, ship, slices
 #: Labelled documents that train a language, at most (about), and n-grams that it keeps.
 SAMPLE = 640
 GRAMS = 20_000
-ORDERS = (1, 2, 3, 4)
+ORDERS = (1, 3)
 PENALTY = 12.0
 #: Share of a language's letters above which it is taken to use a script.
 SCRIPT_SHARE = 0.01
@@ -77,8 +79,8 @@ class Model:
     """Log-probabilities of n-grams by language, and the languages that use each script."""
 
     langs: list[str]
-    rows: dict[str, np.ndarray]  # by n-gram
-    unseen: np.ndarray
+    rows: dict[str, int]  # by n-gram: its row of the table
+    table: np.ndarray  # log-probabilities; the last row is that of n-grams not known
     scripts: dict[str, np.ndarray]  # by script: which languages
     known: dict[str, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
@@ -86,16 +88,20 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "scores": None}
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Score of a word for each language; -50 below the best for those whose scripts it isn't in."""
-        total = np.zeros(len(self.langs))
-        n = 0
-        for gram in grams(word):
-            total += self.rows.get(gram, self.unseen)
-            n += 1
-        out = total / n * min(len(word), 8)
-        users = self.scripts.get(script_of(word[0]))
-        return out if users is None or users.all() else np.where(users, out, out.max() - 50)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words for each language; 50 below the best for those whose scripts a word isn't in."""
+        found = [list(grams(w)) for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        get, unseen = self.rows.get, len(self.table) - 1
+        rows = np.fromiter((get(g, unseen) for each in found for g in each), np.int64, int(counts.sum()))
+        total = np.add.reduceat(self.table[rows], np.r_[0, np.cumsum(counts)[:-1]], axis=0)
+        out = total / counts[:, None] * np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 8)[:, None]
+        for script in {script_of(w[0]) for w in words}:
+            users = self.scripts.get(script)
+            if users is not None and not users.all():
+                of = np.fromiter((script_of(w[0]) == script for w in words), bool, len(words))
+                out[of] = np.where(users, out[of], out[of].max(1, keepdims=True) - 50)
+        return out
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """Row of ``scores`` for each word."""
@@ -105,7 +111,7 @@ class Model:
         if new:
             base = len(self.known)
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, np.array([self.word_scores(w) for w in new])])
+            self.scores = np.concatenate([self.scores, self.word_scores(new)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str], penalty: float) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
@@ -114,15 +120,40 @@ class Model:
         flat = [w for words in split for w in words]
         if not flat:
             return [([], np.zeros(0, np.int64), np.zeros((0, len(self.langs)))) for _ in texts]
-        rows = self.lookup(flat)
-        scores = self.scores[rows]
-        lengths = np.array([len(w) for w in split])
+        scores = self.scores_of(flat)
+        out = []
+        mixed = []
+        start = 0
+        for i, words in enumerate(split):
+            here = scores[start : start + len(words)]
+            start += len(words)
+            top = int(here.sum(0).argmax()) if words else 0
+            if len(self.langs) > 1 and words:
+                gain = np.delete(here, top, 1).max(1) - here[:, top]
+                reached = np.cumsum(gain)
+                if (reached - np.minimum(0, np.minimum.accumulate(np.r_[0.0, reached[:-1]]))).max() > penalty:
+                    mixed.append(i)
+            out.append((words, np.full(len(words), top), here))
+        if mixed:
+            found = self._viterbi([out[i][2] for i in mixed], penalty)
+            for i, labels in zip(mixed, found, strict=True):
+                out[i] = (out[i][0], labels, out[i][2])
+        return out
+
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        rows = self.lookup(words)
+        return self.scores[rows]
+
+    def _viterbi(self, texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+        """Labels on the best path of each text, given as its words' scores."""
+        scores = np.concatenate(texts)
+        lengths = np.array([len(x) for x in texts])
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         order = np.argsort(-lengths, kind="stable")
         active = np.searchsorted(-lengths[order], -np.arange(lengths.max()), "left")  # texts with a word i
         first = starts[order]
         best = np.zeros((len(texts), len(self.langs)))
-        came = np.zeros((len(flat), len(self.langs)), np.int16)
+        came = np.zeros((len(scores), len(self.langs)), np.int16)
         stay = np.arange(len(self.langs), dtype=np.int16)
         for i, n in enumerate(active):
             here = best[:n]
@@ -133,14 +164,14 @@ class Model:
                 came[first[:n] + i] = np.where(moved, top[:, None], stay)
                 here = np.where(moved, switched[:, None], here)
             best[:n] = here + scores[first[:n] + i]
-        labels = np.zeros(len(flat), np.int64)
+        labels = np.zeros(len(scores), np.int64)
         at = best.argmax(1)
         for i in range(len(active) - 1, -1, -1):
             n = active[i]
             places = first[:n] + i
             labels[places] = at[:n]
             at[:n] = came[places, at[:n]]
-        return [(w, labels[s : s + n], scores[s : s + n]) for w, s, n in zip(split, starts, lengths, strict=True)]
+        return [labels[s : s + n] for s, n in zip(starts, lengths, strict=True)]
 
 
 def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
@@ -196,7 +227,10 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         into.setdefault(r.what, np.zeros(len(langs)))[place[r.lang]] = r.n
     totals = sum(table.values(), np.zeros(len(langs))) + 0.5 * (len(table) + 1)
     letters = sum(script.values(), np.zeros(len(langs)))
-    return Model(langs, {g: np.log((n + 0.5) / totals) for g, n in table.items()}, np.log(0.5 / totals), {s: n >= SCRIPT_SHARE * np.maximum(letters, 1) for s, n in script.items() if (n >= SCRIPT_SHARE * np.maximum(letters, 1)).any()})
+    known = sorted(table)
+    logs = np.log((np.array([table[g] for g in known]).reshape(len(known), len(langs)) + 0.5) / totals)
+    used = {s: n >= SCRIPT_SHARE * np.maximum(letters, 1) for s, n in script.items()}
+    return Model(langs, {g: i for i, g in enumerate(known)}, np.vstack([logs, np.log(0.5 / totals).reshape(1, -1)]), {s: u for s, u in used.items() if u.any()})
 
 
 def predict(text: Column, model: Model, spark, penalty: float = PENALTY, with_spans: bool = True) -> Column:
