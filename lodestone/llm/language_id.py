@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_sample, ship, slices
+from lodestone.llm.common import bounded_sample, durable, ship, slices, within
 
 #: Labelled documents that train a language, at most (about), and n-grams that it keeps.
 SAMPLE = 640
@@ -192,7 +192,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     spark = labelled.sparkSession
     ship(spark)
     usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    chosen = bounded_sample(usable, key, [lang], sample).select(key).distinct()
+    chosen = within(durable(bounded_sample(usable, key, [lang], sample).select(key).distinct()), F.lit(16))
     texts = usable.join(chosen, key, "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
