@@ -34,7 +34,7 @@ from lodestone.llm.common import SLICE_CHARS, ship
 from lodestone.llm.token_counts import byte_symbols
 
 #: Words and transitions that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _LATEST = 1 << 60
 
 SCHEMA = "ids array<int>, n_tokens long, decoded string"
@@ -46,13 +46,14 @@ class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
         self.vocab, self.end = vocab, end
         self.label = {i: s for s, i in vocab.items()}
-        self.cut: dict[tuple[int, int], int] = {}
+        self.size = max(vocab.values()) + 1
+        self.cut: dict[int, int] = {}  # by label * size + next label, as the table is
         self.made: dict[int, int] = {}
         self.first: dict[int, int] = {}
         self.last: dict[int, int] = {}
         for gadget, (a, b) in enumerate(merges):
             self._add(gadget, vocab[a], vocab[b], vocab[a + b])
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         # the labels that some arc has: base symbols and what gadgets added; others are never written
         base = {t for t, s in self.label.items() if len(s) == 1 or (end and s.endswith(end) and len(s) == 1 + len(end))}
         usable = set(base)
@@ -69,13 +70,13 @@ class MergeAutomaton:
         self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
 
     def _add(self, gadget: int, u: int, v: int, uv: int) -> None:
-        self.cut.setdefault((u, v), gadget)
+        self.cut.setdefault(u * self.size + v, gadget)
         if uv not in self.made:
             self.made[uv], self.first[uv], self.last[uv] = gadget, u, v
 
     def arc(self, p: int, t: int) -> bool:
         """Whether the state that ``p`` enters has a ``t`` arc."""
-        key = (p, t)
+        key = p * self.size + t
         known = self.table.get(key)
         if known is None:
             known = self.table[key] = self._resolve(p, t)
@@ -84,7 +85,7 @@ class MergeAutomaton:
     def _resolve(self, p: int, t: int, before: int = _LATEST) -> bool:
         """``before``: gadgets from this one on don't count, as p or t is a copy made by then."""
         while True:
-            if self.cut.get((p, t), _LATEST) < before:
+            if self.cut.get(p * self.size + t, _LATEST) < before:
                 return False
             of_p, of_t = self.made.get(p, -1), self.made.get(t, -1)
             if of_p < 0 and of_t < 0:
@@ -97,6 +98,7 @@ class MergeAutomaton:
     def encode(self, word: str) -> list[int] | None:
         """Ids of the accepted path of a word; None if the vocabulary can't spell it."""
         labelled, end, sizes, table, n = self.labelled, self.end, self.sizes, self.table, len(word)
+        width = self.size
         whole = labelled.get(word + end)
         if whole is not None:
             return [whole]
@@ -114,7 +116,7 @@ class MergeAutomaton:
                 if token is None:
                     continue
                 if here is not None:
-                    allowed = table.get((here, token))
+                    allowed = table.get(here * width + token)
                     if not (self.arc(here, token) if allowed is None else allowed):
                         continue
                 if dead and (token, stop) in dead:

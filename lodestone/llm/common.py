@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 
 #: Characters of text that Python code holds in work arrays at a time.
 SLICE_CHARS = 2_000_000
+#: Rows that a Python worker receives at a time, if the session has not chosen otherwise. Whole texts of
+#: Spark's default of 10,000 rows would take a worker hundreds of MB.
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it.
+    """Lets Python workers import this package from where the driver has it, and bounds their batches.
 
-    On a cluster the package is installed on every node and this changes nothing that matters.
+    On a cluster the package is installed on every node and the path changes nothing that matters.
     """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)

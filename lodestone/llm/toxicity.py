@@ -36,7 +36,7 @@ LEAST_DOCS = 3
 SURPRISE = 8.0
 HEADS = (4, 5, 6)
 #: Words whose terms a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 LEXICONS = 8
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
