@@ -32,7 +32,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: In UTF-8 every byte of a character beyond ASCII belongs to a word, so words can be cut from bytes.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-_FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
+_FOUND = "n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -135,31 +135,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
         rows = bench.filter(F.pmod(F.xxhash64(F.col("item").cast("string"), "text"), F.lit(blocks)) == b)
         block = Block([(r.item, r.text) for r in rows.collect()], window)  # about block_bytes
         shared = spark.sparkContext.broadcast(block.prefixes(_frequencies(docs, text, block)))
-        found = found.withColumn("_here", _searcher(shared)(F.col(text)))
-        if b:
-            both = {c: F.concat(f"_found.{c}", f"_here.{c}") for c in ("starts", "ends", "items")}
-            found = found.withColumn("_here", F.struct(F.col("_here.n_words"), *(v.alias(c) for c, v in both.items())))
-        found = found.withColumn("_found", F.col("_here")).drop("_here")
+        before = [F.col(f"_found.{c}") if b else F.array().cast(f"array<{kind}>") for c, kind in (("starts", "int"), ("ends", "int"), ("items", "string"))]
+        found = found.withColumn("_found", _searcher(shared)(F.col(text), *before))
         if blocks > 1:
             found = durable(found)
 
-    @F.pandas_udf("long")
-    def union(starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([covered(s, e) for s, e in zip(starts, ends, strict=True)], dtype="int64")
-
-    out = found.withColumns({"n_words": F.col("_found.n_words"), "n_hit": union("_found.starts", "_found.ends"), "hit_starts": F.col("_found.starts"), "hit_ends": F.col("_found.ends"), "hit_items": F.array_sort(F.array_distinct("_found.items"))})
+    out = found.withColumns({"n_words": F.col("_found.n_words"), "n_hit": F.col("_found.n_hit"), "hit_starts": F.col("_found.starts"), "hit_ends": F.col("_found.ends"), "hit_items": F.array_sort(F.array_distinct("_found.items"))})
     return out.withColumns({"n_items": F.size("hit_items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))}).drop("_found")
 
 
 def _searcher(shared):
+    """Adds what a block finds to what earlier ones found. One function does it all, as a task has a Python
+    worker for each one it calls."""
+
     @F.pandas_udf(_FOUND)
-    def search(texts: pd.Series) -> pd.DataFrame:
+    def search(texts: pd.Series, starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
         prefixes = shared.value
         out = []
-        for value in texts:
+        for value, *before in zip(texts, starts, ends, items, strict=True):
             words = words_of(value)
-            out.append((len(words), *_search(words, prefixes)))
-        return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
+            begun, ended, of = ([*old, *new] for old, new in zip(before, _search(words, prefixes), strict=True))
+            out.append((len(words), covered(begun, ended), begun, ended, of))
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "starts", "ends", "items"])
 
     return search
 
