@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that Python code holds in work arrays at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 #: Rows that a Python worker receives at a time, if the session has not chosen otherwise. Whole texts of
 #: Spark's default of 10,000 rows would take a worker hundreds of MB.
 BATCH_ROWS = 1_000
