@@ -28,12 +28,14 @@ from lodestone.llm.common import bounded_sample, durable, ship, slices, within
 #: Labelled documents that train a language, at most (about), and n-grams that it keeps.
 SAMPLE = 640
 GRAMS = 20_000
-ORDERS = (1, 3)
+ORDERS = (1, 2, 3, 4)
 PENALTY = 12.0
 #: Share of a language's letters above which it is taken to use a script.
 SCRIPT_SHARE = 0.01
 #: Words whose scores a worker remembers; beyond that it starts anew.
 REMEMBERED = 200_000
+#: New words scored together.
+TOGETHER = 10_000
 
 #: Ranges of code points, and the script of each.
 RANGES = [
@@ -84,25 +86,74 @@ class Model:
     scripts: dict[str, np.ndarray]  # by script: which languages
     known: dict[str, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
+    trie: tuple[np.ndarray, ...] | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "scores": None}
+        return self.__dict__ | {"known": {}, "scores": None, "trie": None}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Scores of words for each language; 50 below the best for those whose scripts a word isn't in."""
-        found = [list(grams(w)) for w in words]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        get, unseen = self.rows.get, len(self.table) - 1
-        rows = np.fromiter((get(g, unseen) for each in found for g in each), np.int64, int(counts.sum()))
+        rows, counts = self.gram_rows(words)
         total = np.add.reduceat(self.table[rows], np.r_[0, np.cumsum(counts)[:-1]], axis=0)
         out = total / counts[:, None] * np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 8)[:, None]
-        for script in {script_of(w[0]) for w in words}:
+        first = [w[0] for w in words]
+        named = {c: script_of(c) for c in set(first)}
+        scripts = np.array([named[c] for c in first])
+        for script in set(named.values()):
             users = self.scripts.get(script)
             if users is not None and not users.all():
-                of = np.fromiter((script_of(w[0]) == script for w in words), bool, len(words))
+                of = scripts == script
                 out[of] = np.where(users, out[of], out[of].max(1, keepdims=True) - 50)
         return out
 
+    def _trie(self) -> tuple[np.ndarray, ...]:
+        """Known characters, steps between prefixes of n-grams (prefix and character as one key), where each leads, and rows."""
+        if self.trie is None:
+            chars = {c: i for i, c in enumerate(sorted({c for g in self.rows for c in g}))}
+            nodes = {"": 0}
+            for gram in self.rows:
+                for n in range(1, len(gram) + 1):
+                    nodes.setdefault(gram[:n], len(nodes))
+            of = np.fromiter((self.rows.get(g, len(self.table) - 1) for g in nodes), np.int64, len(nodes))
+            del nodes[""]
+            keys = np.array([(nodes[g[:-1]] if g[1:] else 0) * len(chars) + chars[g[-1]] for g in nodes], np.int64)
+            order = np.argsort(keys)
+            codes = np.array([*map(ord, chars), 0x110000], np.int64)
+            keys, to = np.r_[keys[order], np.iinfo(np.int64).max], np.r_[order + 1, 0]
+            self.trie = codes, keys, to, of
+        return self.trie
+
+    def gram_rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the table for the n-grams of words, in the order of ``grams``, and how many each word has.
+
+        All words are walked at once: step n goes from the first n - 1 characters of every place to n.
+        """
+        codes, keys, to, of = self._trie()
+        code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        word = np.repeat(np.arange(len(words)), sizes)
+        within = np.arange(len(code)) - (np.cumsum(sizes) - sizes)[word]
+        left = sizes[word] - within
+        char = np.searchsorted(codes, code)
+        char[codes[char] != code] = -1
+        counts = sum(np.maximum(0, sizes - n + 1) for n in ORDERS)
+        rows = np.full(int(counts.sum()), len(self.table) - 1)
+        base = np.cumsum(counts) - counts
+        at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
+        for n in range(1, max(ORDERS) + 1):
+            on = left[at] >= n
+            at, node = at[on], node[on]
+            step = char[at + n - 1]
+            on = step >= 0
+            at, key = at[on], node[on] * (len(codes) - 1) + step[on]
+            found = np.searchsorted(keys, key)
+            on = keys[found] == key
+            at, node = at[on], to[found[on]]
+            if n in ORDERS:
+                rows[base[word[at]] + within[at]] = of[node]
+                base = base + np.maximum(0, sizes - n + 1)
+        return rows, counts
+
     def lookup(self, words: list[str]) -> np.ndarray:
         """Row of ``scores`` for each word."""
         if self.scores is None or len(self.known) > REMEMBERED:
@@ -111,7 +162,8 @@ class Model:
         if new:
             base = len(self.known)
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, self.word_scores(new)])
+            parts = [self.word_scores(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+            self.scores = np.concatenate([self.scores, *parts])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str], penalty: float) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
