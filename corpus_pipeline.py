@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_codec, decontamination, ngram_join, quality_rules, queries, toxicity
-from lodestone.llm.common import shared_folder, tokenizer_path
+from lodestone.llm.common import durable, shared_folder, tokenizer_path, within
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates; rows without an id stay."""
-    classes = ngram_join.similar(docs.select("doc_id", "text"))
-    gone = classes.filter(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least id of each group of near-duplicates, rows without an id last.
+
+    Rows are told apart by id and text, so rows of one id are judged each for itself. Of equal ones, which
+    only partial aggregates bring together, one stays; rows without words are no near-duplicates.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    keyed = docs.withColumn("_key", key)
+    classes = durable(ngram_join.similar(keyed.select("_key", "text"), "_key"))
+    gone = classes.filter(F.col("class_id") != F.col("_key")).select("_key").distinct()
+    stays = classes.filter((F.col("class_id") == F.col("_key")) & (F.col("n_links") > 0))
+    repeated = within(durable(stays.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")), F.lit(48))
+    once = keyed.join(gone.unionByName(repeated), "_key", "left_anti").select(*docs.columns)
+    one = keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(one.select("row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import corpus_pipeline
 import numpy as np
 from lodestone.llm import language_id
 
@@ -15,3 +16,12 @@ def test_words_are_scored_by_all_orders():
     want[-1, 1] = want[-1].max() - 50
     assert np.allclose(model.word_scores(words), want, rtol=1e-12)
     assert [list(language_id.grams(w)) for w in words] == list(all_grams.values())
+
+
+def test_join_stage_judges_rows_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a + " end"), (5, b), (7, c), (7, c), (None, c), (None, "lone words of a row without an id"), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.join_stage(spark, docs, "").collect()]
+    want = [(3, a), (5, b), (7, c), (None, "lone words of a row without an id"), (8, None), (8, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
