@@ -402,13 +402,14 @@ def extract(source: str | None, verdict: dict | None) -> str:
     for piece in pieces:
         for key in set(piece.inside):
             weights[key] += len(piece.text)
-    named = [k for k in weights if k[1:].split(" ")[0] in ("article", "main") or CONTENT.search(k.partition(" ")[2] or " ")]
+    # the host's wrapper decides; names do where it has no content element, as on hosts of one page
+    if verdict and verdict.get("content") in weights:
+        chosen = verdict["content"]
+    named = [] if chosen else [k for k in weights if k[1:].split(" ")[0] in ("article", "main") or CONTENT.search(k.partition(" ")[2] or " ")]
     if named:
         chosen = max(named, key=lambda k: (k[1:].split(" ")[0] == "article", weights[k]))
         if weights[chosen] < 0.2 * whole:
             chosen = None
-    if chosen is None and verdict and verdict.get("content") in weights:
-        chosen = verdict["content"]
     inside = [p for p in pieces if chosen in p.inside] if chosen else [p for p in pieces if p.linked < 0.5 * len(p.text)]
     # texts that never change are no article where nothing but their place tells what is one
     fixed = set(verdict["fixed"]) if verdict and chosen is None else set()

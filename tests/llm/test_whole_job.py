@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
-from lodestone.llm import language_id
+from lodestone.llm import html_extract, language_id
 
 
 def test_words_are_scored_by_all_orders():
@@ -25,3 +25,13 @@ def test_join_stage_judges_rows_of_repeated_and_null_ids(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.join_stage(spark, docs, "").collect()]
     want = [(3, a), (5, b), (7, c), (None, "lone words of a row without an id"), (8, None), (8, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_wrapper_decides_before_names():
+    def page(i):
+        said = "".join(f"<p>{w} of page {i} in words of its own</p>" for w in ("start", "middle", "end"))
+        return f'<body><article><p>{"The same notice on every page. " * 9}</p></article><div class="x7">{said}</div></body>'
+
+    verdict = html_extract.judge(html_extract.infer([page(i) for i in range(4)]), 4)
+    assert verdict["content"] == "<div x7"
+    assert html_extract.extract(page(1), verdict) == "\n".join(f"{w} of page 1 in words of its own" for w in ("start", "middle", "end"))
