@@ -247,11 +247,23 @@ def _resume(a: list[tuple], i: int, b: list[tuple], j: int, reach: int = 200) ->
 
 def infer(pages: list[str]) -> list[tuple]:
     """The wrapper of some pages."""
+    return _wrapper(_streams(pages))
+
+
+def verdict_of(pages: list[str]) -> dict:
+    """The judgement on some pages; those too long or too deep to align say nothing on what stays."""
+    streams = _streams(pages)
+    return judge(_wrapper(streams), len(streams))
+
+
+def _streams(pages: list[str]) -> list[list[tuple]]:
+    return [stream for page in pages if (stream := _stream(page)) is not None]
+
+
+def _wrapper(streams: list[list[tuple]]) -> list[tuple]:
     wrapper: list[tuple] | None = None
-    for page in pages:
-        stream = _stream(page)
-        if stream is not None:
-            wrapper = _fold(stream) if wrapper is None else align(wrapper, _fold(stream))
+    for stream in streams:
+        wrapper = _fold(stream) if wrapper is None else align(wrapper, _fold(stream))
     return wrapper or []
 
 
@@ -437,7 +449,7 @@ def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", source: s
 
     def inferred(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["key", "url", "html"]).drop_duplicates("html").head(sample)
-        verdict = judge(infer(frame["html"].tolist()), len(frame))
+        verdict = verdict_of(frame["html"].tolist())
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "verdict": [json.dumps(verdict)], "n_sampled": [len(frame)]})
 
     return sampled.groupBy("host").applyInPandas(inferred, "host string, verdict string, n_sampled long")

@@ -35,3 +35,12 @@ def test_wrapper_decides_before_names():
     verdict = html_extract.judge(html_extract.infer([page(i) for i in range(4)]), 4)
     assert verdict["content"] == "<div x7"
     assert html_extract.extract(page(1), verdict) == "\n".join(f"{w} of page 1 in words of its own" for w in ("start", "middle", "end"))
+
+
+def test_pages_too_deep_to_align_make_no_text_fixed(spark):
+    short = "<body><h1>T</h1><div>a long text that only this page has</div></body>"
+    deep = ["<body>" + "<div>" * 130 + f"text {i}" + "</div>" * 130 + "</body>" for i in range(3)]
+    pages = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate([short, *deep])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert got[0] == "T\na long text that only this page has"
+    assert got[2] == "text 1"
