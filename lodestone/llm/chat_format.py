@@ -8,10 +8,11 @@ A rendered conversation is a row of turns of this grammar:
     any other   "<|" role "|>" text "<|end|>"
 
 A parser reads it deterministically from left to right: the opening decides the kind, the first closing
-string ends the turn, and references written by ``escape`` are undone. Each conversation is first rendered
-as it is, parsed, and compared with its source. Where they differ, the turns that hold control strings or
-references are escaped; where that does not suffice, all turns are. An escaped text has no "[", "<" or
-bare "&", so no control string and no ambiguity is left, and the last attempt always succeeds.
+string ends the turn, and references written by ``escape`` are undone. Texts that hold a control string of
+the template, whatever their role, or a reference are conflicting content: they are escaped from the start,
+so that no text carries a control string into the output. The rendered conversation is parsed and compared
+with its source; should they still differ, all texts are escaped. An escaped text has no "[", "<" or bare
+"&", so no ambiguity is left and the second attempt always succeeds.
 """
 
 from __future__ import annotations
@@ -81,8 +82,9 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     ``turns_read`` are role and unescaped text as the parser reads them back; ``loss_mask`` are start (from
     0) and end of every assistant text in ``formatted``, in code points. Null texts and roles count as
     empty, and a null turn number comes first; equal turn numbers are ordered by role and text, repeated
-    rows are separate turns, and a null conversation id is a conversation. Other columns are left out. A
-    conversation is one value of the result, so its turns meet in one task; no other rows do.
+    rows are separate turns, and a null conversation id is a conversation. An empty table gives no rows, and
+    texts of any length are rendered whole. Other columns are left out. A conversation is one value of the
+    result, so its turns meet in one task; no other rows do.
     """
     value = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     convs = turns.select(F.col(conv).alias("conv_id"), value.alias("_t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("_t")).alias("_t"))
@@ -97,7 +99,6 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         convs = convs.withColumn("formatted", F.when(done, F.col("formatted")).when(_read(F.col("_read")) == F.col("_source"), F.col(name))).drop(name, "_read")
 
     convs = convs.withColumn("formatted", F.lit(None).cast("string"))
-    attempt("_plain", lambda t: t)
     attempt("_conflicting", lambda t: F.when(t.rlike(CONTROL), escape(t)).otherwise(t))
     attempt("_all", escape)
     convs = convs.withColumn("_raw", F.regexp_extract_all("formatted", F.lit(TURN), F.lit(0))).drop("_source")

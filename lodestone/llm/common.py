@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -42,12 +41,15 @@ def tokenizer_path(name: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only a session without one (tests on one machine) gets a folder of its own.
+    Only a session without one that runs on one machine (tests) gets a folder of its own; on a cluster a
+    folder of one machine would lose what other machines need, so that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir", None)
         if not configured:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             import tempfile
 
             configured = tempfile.mkdtemp(prefix="lodestone-checkpoints-")
@@ -78,24 +80,18 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
-def bounded_sample(df: DataFrame, key: str, strata: list[str], most: int, salts: int = 16) -> DataFrame:
-    """At most about ``most`` rows of each stratum, the same ones in every run.
+def bounded_sample(df: DataFrame, key: str, strata: list[str], most: int) -> DataFrame:
+    """About ``most`` keys of each stratum (all, if it has fewer rows), the same ones in every run.
 
-    Rows are ordered by a hash of ``key`` inside ``salts`` parts of a stratum, so that a hot stratum
-    is spread over tasks; each part keeps its first ``most / salts`` rows and Spark limits the groups
-    before it shuffles them.
+    Rows are counted by stratum, from partial counts, and a row is taken if the hash of its key falls into
+    the first ``most / count`` of all hashes. So rows are judged where they are read, however hot a stratum
+    is; a key that many rows share is returned once.
     """
-    from pyspark.sql import Window
-
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(salts)).alias("_part")
-    order = F.xxhash64(F.col(key), F.lit(7)).alias("_order")
-    window = Window.partitionBy(*strata, "_part").orderBy("_order", key)
-    return (
-        df.select(key, *strata, part, order)
-        .withColumn("_rank", F.row_number().over(window))
-        .filter(F.col("_rank") <= math.ceil(most / salts))
-        .select(key, *strata)
-    )
+    counts = df.groupBy(*strata).agg(F.count("*").alias("_count"))
+    counts = within(durable(counts), sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in strata), F.lit(24)))
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
+    taken = df.select(key, *strata, place.alias("_place")).join(counts, strata).filter(F.col("_place") * F.col("_count") < most)
+    return taken.select(key, *strata).distinct()
 
 
 def within(df: DataFrame, row_bytes, most: int = 32_000_000) -> DataFrame:
