@@ -2,8 +2,9 @@
 
 Training counts character n-grams of words (with marks at both ends) for each language over a bounded
 sample of labelled documents, and in which scripts each language is written. A word's score for a language
-is its mean log-probability of n-grams under that language, times its length. The script of a word, found
-from character ranges, narrows the candidates to the languages that use it. Viterbi then labels the words
+is its mean log-probability of n-grams under that language, times its length. The scripts of a word's
+letters, found from character ranges, narrow the candidates to the languages that use all of them (to none
+if no language does). Viterbi then labels the words
 of a text with one language each, paying a penalty for each switch; runs of equal labels are the spans.
 
 Viterbi runs over all texts of a slice at once: step i advances every text that has a word i. Texts whose
@@ -14,6 +15,7 @@ languages than one switch costs.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -58,7 +60,14 @@ RANGES = [
     (0xAC00, 0xD7AF, "hangul"),
 ]
 _STARTS = np.array([a for a, _, _ in RANGES])
-_WORD = re.compile(r"[^\W\d_]+")
+#: What counts as part of a word for ``re`` but is neither letter nor decimal digit: fractions, superscripts, numerals.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text: runs of letters, each lower-cased by itself."""
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def script_of(char: str) -> str:
@@ -95,16 +104,18 @@ class Model:
         """Scores of words for each language; 50 below the best for those whose scripts a word isn't in."""
         rows, counts = self.gram_rows(words)
         total = np.add.reduceat(self.table[rows], np.r_[0, np.cumsum(counts)[:-1]], axis=0)
-        out = total / counts[:, None] * np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 8)[:, None]
-        first = [w[0] for w in words]
-        named = {c: script_of(c) for c in set(first)}
-        scripts = np.array([named[c] for c in first])
-        for script in set(named.values()):
-            users = self.scripts.get(script)
-            if users is not None and not users.all():
-                of = scripts == script
-                out[of] = np.where(users, out[of], out[of].max(1, keepdims=True) - 50)
-        return out
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = total / counts[:, None] * sizes[:, None]
+        if all(users.all() for users in self.scripts.values()):
+            return out
+        # a row for each script, and one for the scripts that training hasn't met
+        place = {script: i for i, script in enumerate(self.scripts)}
+        users = np.array([*self.scripts.values(), np.ones(len(self.langs), bool)])
+        letters, of = np.unique(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+        script = np.array([place.get(script_of(chr(c)), len(place)) for c in letters])
+        allowed = np.logical_and.reduceat(users[script[of]], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        allowed |= ~allowed.any(1, keepdims=True)
+        return np.where(allowed, out, out.max(1, keepdims=True) - 50)
 
     def _trie(self) -> tuple[np.ndarray, ...]:
         """Known characters, steps between prefixes of n-grams (prefix and character as one key), where each leads, and rows."""
@@ -168,7 +179,7 @@ class Model:
 
     def label(self, texts: list[str], penalty: float) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
         """Words of each text, the index of each word's language, and each word's scores."""
-        split = [_WORD.findall(t.lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         flat = [w for words in split for w in words]
         if not flat:
             return [([], np.zeros(0, np.int64), np.zeros((0, len(self.langs)))) for _ in texts]
@@ -237,15 +248,16 @@ def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from at most about ``sample`` documents of each non-null language, chosen by a hash of ``key``.
+    """A model from about ``sample`` documents of each non-null language at most, chosen by a hash of ``key``.
 
-    At most GRAMS n-grams of a language and one count of each script come to the driver.
+    Without labelled rows the model has no languages and ``identify`` says "und" throughout. At most GRAMS n-grams of a language and one count of each script come to the driver.
     """
     spark = labelled.sparkSession
     ship(spark)
     usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     chosen = within(durable(bounded_sample(usable, key, [lang], sample).select(key).distinct()), F.lit(16))
-    texts = usable.join(chosen, key, "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # one text for each chosen id and language, however many rows share them
+    texts = usable.join(chosen, key, "left_semi").groupBy(key, F.col(lang).alias("lang")).agg(F.min(text).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
@@ -262,7 +274,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
         for batch in batches:
             for of, value in zip(batch["lang"], batch["text"], strict=True):
-                words.update((of, w) for w in _WORD.findall(value.lower()))
+                words.update((of, w) for w in words_of(value))
                 if len(words) > 100_000:
                     yield flush()
         yield flush()
