@@ -1,14 +1,16 @@
 """Toxicity by weak supervision.
 
-Voters. Labelled rows of a bounded sample suggest terms: whole words and beginnings of words that mark
-toxic documents. Lexicon voters each hold the terms of one kind and strength and vote toxic if a text has
-one of them; pattern voters look at how a text is written, and clean voters speak for texts without any
-term. A voter that has nothing to say abstains.
-
-Label model. The votes of the sample are explained by one hidden label. Expectation maximisation finds
-for each voter how often it votes toxic, clean or not at all under either label; voters whose votes stay
-correlated given the label share one say, by the size of their group. Its posterior is the label that the
-classifier is trained on; the given labels enter as one more voter, whose accuracy is estimated likewise.
+Voters. Given lexicons hold ordinary insults, contempt and threats of four languages and come from no label.
+Learned lexicons hold terms (whole words, and beginnings of words) that labelled documents suggest; a labelled
+document is voted on with the terms that the other folds of documents suggest, so no voter has seen the label
+of what it votes on. Counting voters look at how many words have terms, pattern voters at how a text is
+written. The given label is one more voter. A voter that has nothing to say abstains.
+
+Label model. The votes of the sample are explained by one hidden label. Expectation maximisation, started
+from the majority of the votes, finds for each voter how often it votes toxic, clean or not at all under
+either label; nothing is fixed beforehand, the given label's accuracy included. Voters whose votes stay
+correlated given the label share one say, by the size of their group. The posterior is the label that the
+classifier is trained on.
 
 Classifier. A logistic regression over the terms and voters of a text, fitted to the posteriors.
 """
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_sample, ship
+from lodestone.llm.common import bounded_sample, durable, ship, within
 
 #: Labelled documents of either label that the models are fitted on, at most (about).
 SAMPLE = 4_000
@@ -37,7 +39,17 @@ SURPRISE = 8.0
 HEADS = (4, 5, 6)
 #: Words whose terms a worker remembers; beyond that it starts anew.
 REMEMBERED = 120_000
-LEXICONS = 8
+#: Parts of the labelled documents; each is voted on with terms of the others.
+FOLDS = 4
+
+#: Words of the given lexicons, by kind.
+GIVEN = {
+    "insult": """idiot idiots moron morons imbecile cretin dimwit halfwit fool fools dunce loser losers clown scum jerk creep bastard
+        dummkopf trottel depp vollidiot versager abschaum connard crétin débile abruti imbécile tonto estúpido imbécil cretino payaso""",
+    "contempt": """stupid dumb pathetic worthless useless disgusting vile filthy garbage trash ridiculous
+        dumm erbärmlich wertlos widerlich nutzlos stupide pathétique minable dégoûtant inútil patético asqueroso basura""",
+    "threat": """kill die destroy hate shut hang töten hasse verrecke tuer crève déteste matar odio muere""",
+}
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _PATTERNS = [
@@ -71,60 +83,78 @@ def choose_terms(with_term: dict[str, tuple[int, int]], toxic: int, clean: int)
     return [(term, odds) for _, _, term, odds in found[:TERMS]]
 
 
+def _given() -> list[frozenset[str]]:
+    return [frozenset(words.split()) for words in GIVEN.values()]
+
+
 @dataclass
 class Model:
     terms: dict[str, int]  # place of each
-    lexicon: np.ndarray  # of each term: its voter
+    whole: np.ndarray  # of each term: whether it is a whole word
+    folds: np.ndarray  # by term and fold: whether the documents outside the fold suggest it
     exempt: frozenset[str]  # words that a beginning would take for toxic though clean texts have them
     weights: np.ndarray  # terms, then votes, then counts, then bias
     accuracies: dict[str, tuple[float, float]]
     correlated: list[tuple[str, str]]
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    known: dict[str, tuple[tuple[int, ...], int]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def present(self, text: str) -> tuple[list[int], int, int]:
-        """Places of the terms that a text has, how many of its words have one, and how many words it has."""
+    def present(self, text: str) -> tuple[dict[tuple[int, ...], int], int, int]:
+        """The terms of words that have any, with how often, the given lexicons met as bits, and how many words there are."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        out: set[int] = set()
         words = _WORD.findall(text.lower())
-        hits = 0
+        found: dict[tuple[int, ...], int] = {}
+        given = 0
         for word in words:
             got = known.get(word)
             if got is None:
                 places = () if word in self.exempt else tuple(self.terms[c] for c in candidates(word) if c in self.terms)
-                got = known[word] = places
-            if got:
-                hits += 1
-                out.update(got)
-        return sorted(out), hits, len(words)
+                got = known[word] = places, sum(1 << i for i, lexicon in enumerate(_GIVEN) if word in lexicon)
+            if got[0]:
+                found[got[0]] = found.get(got[0], 0) + 1
+            given |= got[1]
+        return found, given, len(words)
+
+    def features(self, text: str, fold: int | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Places of a text's terms, votes and counts; with ``fold`` only terms that other folds suggest."""
+        found, given, words = self.present(text)
+        if fold is not None:
+            found = {kept: n for places, n in found.items() if (kept := tuple(p for p in places if self.folds[p, fold]))}
+        terms = sorted({p for places in found for p in places})
+        hits = sum(found.values())
+        return terms, votes(text, terms, hits, self.whole, given), counts_of(hits, words)
 
     def score(self, text: str) -> float:
-        terms, hits, words = self.present(text)
-        x = np.r_[votes(text, terms, hits, self.lexicon), counts_of(hits, words)]
-        z = self.weights[terms].sum() + self.weights[len(self.terms) : -1] @ x + self.weights[-1]
+        terms, voted, counts = self.features(text)
+        n, m = len(self.terms), len(voted)
+        z = self.weights[terms].sum() + self.weights[n : n + m] @ voted + self.weights[n + m : -1] @ counts + self.weights[-1]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-#: Voters beside the lexicons: none or one word with a term, two or more, three or more, no word at all.
-_COUNTED = 4
-_VOTERS = LEXICONS + _COUNTED + len(_PATTERNS)
+_GIVEN = _given()
+VOTERS = ["learned words", "learned beginnings", *(f"given {k}" for k in GIVEN), "under 2 words", "2 words", "3 words", "no word", *(f"pattern {i}" for i in range(len(_PATTERNS)))]
 
 
-def votes(text: str, terms: list[int], hits: int, lexicon: np.ndarray) -> np.ndarray:
-    """1 toxic, -1 clean, 0 no vote: the lexicon voters, those that count words with terms, the patterns."""
-    out = np.zeros(_VOTERS, np.int8)
-    out[lexicon[terms]] = 1
-    out[LEXICONS] = -1 if hits < 2 else 0
-    out[LEXICONS + 1] = 1 if hits > 1 else 0
-    out[LEXICONS + 2] = 1 if hits > 2 else 0
-    out[LEXICONS + 3] = -1 if not hits else 0
-    for i, pattern in enumerate(_PATTERNS):
-        out[LEXICONS + _COUNTED + i] = 1 if pattern.search(text) else 0
-    return out
+def votes(text: str, terms: list[int], hits: int, whole: np.ndarray, given: int) -> np.ndarray:
+    """1 toxic, -1 clean, 0 no vote, in the order of VOTERS."""
+    kinds = whole[terms]
+    return np.array(
+        [
+            int(kinds.any()),
+            int((~kinds).any()),
+            *(given >> i & 1 for i in range(len(_GIVEN))),
+            -1 if hits < 2 else 0,
+            int(hits > 1),
+            int(hits > 2),
+            0 if hits else -1,
+            *(int(bool(pattern.search(text))) for pattern in _PATTERNS),
+        ],
+        np.int8,
+    )
 
 
 def counts_of(hits: int, words: int) -> np.ndarray:
@@ -134,12 +164,12 @@ def counts_of(hits: int, words: int) -> np.ndarray:
 def label_model(voted: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors, the probability of each vote under either label, and correlations given the label.
 
-    ``voted`` has a row for each text and a column for each voter, the given label in the last one. It
-    starts from the majority of the votes. Columns whose votes go together beyond the label are correlated.
+    ``voted`` has a row for each text and a column for each voter. It starts from the majority of the votes
+    and takes toxic ones to be ``prior`` of all at first; columns whose votes go together beyond the label
+    are correlated.
     """
     n, m = voted.shape
-    start = np.where(voted[:, -1] != 0, voted[:, -1], np.sign(voted.sum(1)))
-    post = np.where(start > 0, 0.95, 0.05)
+    post = np.where(voted.sum(1) > 0, 0.95, 0.05)
     kinds = [(voted == v).astype(float) for v in (-1, 0, 1)]
     say = np.ones(m)
     rho = np.zeros((m, m))
@@ -148,9 +178,6 @@ def label_model(voted: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
         for label, weight in ((0, 1 - post), (1, post)):
             for k, has in enumerate(kinds):
                 chance[label, k] = (weight @ has + 1) / (weight.sum() + 3)
-        # what is taken to be known of the given label beforehand, so that it names the hidden one
-        chance[1, :, -1] = 0.1 * chance[1, :, -1] + 0.9 * np.array([0.02, 0, 0.98])
-        chance[0, :, -1] = 0.1 * chance[0, :, -1] + 0.9 * np.array([0.995, 0, 0.005])
         chance = np.maximum(chance, 1e-6)
         if i == 5:  # the hidden label has settled enough to tell what it leaves unexplained
             expected = np.outer(post, chance[1, 2] - chance[1, 0]) + np.outer(1 - post, chance[0, 2] - chance[0, 0])
@@ -158,7 +185,6 @@ def label_model(voted: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
             spread = rest.std(0) + 1e-9
             rho = (rest.T @ rest) / n / np.outer(spread, spread)
             tied = np.abs(rho) > 0.5
-            tied[-1, :] = tied[:, -1] = False
             np.fill_diagonal(tied, True)
             say = 1 / tied.sum(1)
         z = np.full(n, np.log(prior / (1 - prior)))
@@ -183,75 +209,85 @@ def fit_linear(x: np.ndarray, target: np.ndarray, steps: int = 1500, rate: float
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most about ``sample`` labelled documents of each label, chosen by a hash of ``key``.
+    """A model from about ``sample`` labelled documents of each label at most, chosen by a hash of ``key``.
 
     Their term counts are made on the workers; terms, and then the sample's votes and terms, come to the
-    driver: at most ``2 * sample`` short rows, whatever the size of the input.
+    driver: about ``2 * sample`` short rows at most, whatever the size of the input. Without labelled
+    documents of both labels the given lexicons and patterns decide alone, with equal say.
     """
     spark = docs.sparkSession
     ship(spark)
     marked = labels.filter(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(toxic).cast("int").alias("_toxic"))
-    chosen = bounded_sample(marked, key, ["_toxic"], sample)
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "_toxic")
+    chosen = within(durable(bounded_sample(marked, key, ["_toxic"], sample)), F.lit(24))
+    picked = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")).join(chosen.withColumnRenamed(key, "_key"), "_key")
+    # one text of each id, kept: it is read four times
+    fold = F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(FOLDS)).cast("int")
+    rows = durable(picked.groupBy("_key", "_toxic").agg(F.min("text").alias("text")).select("text", "_toxic", fold.alias("_fold")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        counts: dict[tuple[int, int], Counter] = {}
         for batch in batches:
-            for value, label in zip(batch["text"], batch["_toxic"], strict=True):
-                found: set[str] = set()
+            for value, label, part in zip(batch["text"], batch["_toxic"], batch["_fold"], strict=True):
+                found: set[str] = {""}
                 for word in set(_WORD.findall((value or "").lower())):
                     found.update(candidates(word))
-                counts[label].update(found)
-                counts[label][""] += 1
-        yield pd.DataFrame([(k, counts[1][k], counts[0][k]) for k in counts[0].keys() | counts[1].keys()], columns=["term", "toxic", "clean"])
-
-    tallies = rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    worth = (F.col("term") == "") | ((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") > F.col("clean")))
-    top = tallies.filter(worth).orderBy(F.col("term") != "", F.desc(F.col("toxic") - F.col("clean")), "term").limit(20 * TERMS).collect()
-    with_term = {r.term: (r.toxic, r.clean) for r in top}
-    n_toxic, n_clean = with_term.pop("", (0, 0))
-    terms = choose_terms(with_term, n_toxic, n_clean)
+                counts.setdefault((part, label), Counter()).update(found)
+        for (part, label), of in counts.items():
+            yield pd.DataFrame({"term": list(of), "fold": part, "label": label, "n": list(of.values())}).astype({"fold": "int32", "label": "int32"})
+
+    each = [F.sum(F.when((F.col("fold") == f) & (F.col("label") == y), F.col("n")).otherwise(0)).alias(f"n{f}_{y}") for f in range(FOLDS) for y in (0, 1)]
+    tallies = rows.mapInPandas(count, "term string, fold int, label int, n long").groupBy("term").agg(*each)
+    toxic_n, clean_n = (sum(F.col(f"n{f}_{y}") for f in range(FOLDS)) for y in (1, 0))
+    tallies = durable(tallies.withColumns({"toxic": toxic_n, "clean": clean_n}).filter((F.col("term") == "") | (F.col("toxic") >= LEAST_DOCS) | (F.col("clean") >= 2)))
+    whole = tallies.filter("term = ''").collect()
+    n_toxic, n_clean = (whole[0].toxic, whole[0].clean) if whole else (0, 0)
+    worth = (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * max(n_clean, 1) > F.col("clean") * max(n_toxic, 1)) & (F.col("term") != "")
+    top = tallies.filter(worth & (F.col("toxic") > F.col("clean"))).orderBy(F.desc(F.col("toxic") - F.col("clean")), "term").limit(20 * TERMS).collect() if n_toxic and n_clean else []
+    terms = choose_terms({r.term: (r.toxic, r.clean) for r in top}, n_toxic, n_clean)
     place = {t: i for i, (t, _) in enumerate(terms)}
+    folds = np.zeros((len(terms), FOLDS), bool)
+    by_term = {r.term: r for r in top}
+    for f in range(FOLDS):
+        rest = {t: (r.toxic - r[f"n{f}_1"], r.clean - r[f"n{f}_0"]) for t in place for r in (by_term[t],)}
+        for t, _ in choose_terms(rest, n_toxic - whole[0][f"n{f}_1"], n_clean - whole[0][f"n{f}_0"]) if terms else ():
+            folds[place[t], f] = True
     # clean texts' own words under a chosen beginning: at most TERMS of each beginning's size
     exempt: set[str] = set()
     for n in HEADS:
-        heads = [t for t in place if len(t) == n + 1]
+        heads = [t for t in place if len(t) == n + 1 and not t.endswith("$")]
         if heads:
             natural = F.col("term").endswith("$") & (F.col("clean") >= 2) & (F.col("clean") * n_toxic > F.col("toxic") * n_clean)
             rows_of = tallies.filter(natural & F.substring("term", 1, n + 1).isin(heads)).orderBy(F.desc("clean"), "term").limit(TERMS).collect()
             exempt |= {r.term[1:-1] for r in rows_of}
-    # whole words and beginnings, each dealt to voters by strength, so that voters differ in accuracy
-    whole = np.array([t.endswith("$") for t, _ in terms], bool)
-    lexicon = np.zeros(len(terms), int)
-    for base, of in ((0, np.flatnonzero(whole)), (LEXICONS // 2, np.flatnonzero(~whole))):
-        lexicon[of] = base + np.arange(len(of)) % (LEXICONS // 2)
-    draft = Model(place, lexicon, frozenset(exempt), np.zeros(1), {}, [])
+    whole_word = np.array([t.endswith("$") for t, _ in terms], bool)
+    draft = Model(place, whole_word, folds, frozenset(exempt), np.zeros(1), {}, [])
+    m = len(VOTERS)
+    if not n_toxic or not n_clean:
+        given = np.array([2.0 if v.startswith("given") else 0.0 for v in VOTERS])
+        return Model(place, whole_word, folds, frozenset(exempt), np.r_[np.zeros(len(terms)), given, 0, 0, -3.0], {}, [])
     shared = spark.sparkContext.broadcast(draft)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        model = shared.value
         for batch in batches:
             out = []
-            for value, label in zip(batch["text"], batch["_toxic"], strict=True):
-                found, hits, words = m.present(value or "")
-                out.append((found, votes(value or "", found, hits, m.lexicon).tolist(), counts_of(hits, words).tolist(), label))
+            for value, label, part in zip(batch["text"], batch["_toxic"], batch["_fold"], strict=True):
+                found, voted, counts = model.features(value or "", part)
+                out.append((found, voted.tolist(), counts.tolist(), label))
             yield pd.DataFrame(out, columns=["terms", "votes", "counts", "label"])
 
     got = rows.mapInPandas(vote, "terms array<int>, votes array<int>, counts array<double>, label int").collect()
     got.sort(key=lambda r: (r.label, r.terms, r.votes, r.counts))
-    names = [f"lexicon {i}" for i in range(LEXICONS)] + ["under 2 words", "2 words", "3 words", "no word", *(f"pattern {i}" for i in range(len(_PATTERNS))), "label"]
-    if not got or not n_toxic:
-        return Model(place, lexicon, frozenset(exempt), np.r_[np.zeros(len(terms) + _VOTERS + 2), -3.0], {}, [])
     voted = np.array([[*r.votes, 1 if r.label else -1] for r in got], np.int8)
     post, chance, rho = label_model(voted, n_toxic / (n_toxic + n_clean))
     x = np.zeros((len(got), len(terms)))
     for i, r in enumerate(got):
         x[i, list(r.terms)] = 1
-    x = np.hstack([x, voted[:, :-1], np.array([r.counts for r in got])])
-    weights = fit_linear(x, post)
+    weights = fit_linear(np.hstack([x, voted[:, :m], np.array([r.counts for r in got])]), post)
+    names = [*VOTERS, "label"]
     accuracy = {n: (round(float(chance[1, 2, i]), 4), round(float(chance[0, 2, i]), 4)) for i, n in enumerate(names)}
     tied = [(names[i], names[j]) for i in range(len(names)) for j in range(i) if abs(rho[i, j]) > 0.5]
-    return Model(place, lexicon, frozenset(exempt), weights, accuracy, tied)
+    return Model(place, whole_word, folds, frozenset(exempt), weights, accuracy, tied)
 
 
 def toxicity(text: Column, model: Model, spark) -> Column:
