@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_codec, chat_format, decontamination, html_extract, language_id, ngram_join, quality_rules, sharding, token_counts, toxicity
-from lodestone.llm.common import crc_mod, tokenizer_path
+from lodestone.llm.common import crc_mod, shared_folder, tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,9 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shuffled = sharding.two_pass_shuffle(_table(spark, sf_dir, "documents"))
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(sharding.two_pass_shuffle(_table(spark, sf_dir, "documents")), path)
+    shuffled = sharding.read_shards(spark, path)
     return shuffled.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
