@@ -16,14 +16,24 @@ from lodestone.llm.common import durable, shared_folder, tokenizer_path, within
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labelled rows that aren't held out, doesn't call toxic."""
+    """Documents that the classifier, learnt from the labelled rows that aren't held out, doesn't call toxic.
+
+    Null and empty texts are scored as texts without terms; repeated rows and null ids like any others.
+    """
     scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir))
     return scored.filter(F.col("predicted") == 0).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted by frequent lines; their texts stay whole."""
-    return quality_rules.quality(docs).filter("kept").select(*docs.columns)
+    """Documents that pass the base rules and aren't depleted, without the lines that are frequent in their source.
+
+    Null and empty texts fail the base rules; rows with equal texts of a source fare alike.
+    """
+    judged = quality_rules.quality(docs).filter("kept").withColumn("text", F.col("cleaned"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        judged = judged.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return judged.select(*docs.columns)
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +54,13 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule leaves; few hits in a long text don't matter."""
+    """Documents that the contamination rule leaves; few hits in a long text don't matter, null texts stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.decontaminate(docs, benchmark).filter(~F.col("contaminated")).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left; null and empty texts have no tokens, repeated rows stay."""
     coded = bpe_codec.digests(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -68,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents; results are kept in the shared folder."""
+    """The stages one after the other over documents; results are kept in the shared folder.
+
+    Texts of any length are taken whole; an empty table passes all stages and stays empty.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
