@@ -6,106 +6,170 @@ first a pass counts in how many documents each shingle of the benchmark occurs,
 the documents' shingles with those prefixes alone. A matching shingle fixes where its window would have to
 lie (positional bound) and that it fits into the document (length bound); its words are then compared.
 
-The benchmark is the stated, small side. It is taken in blocks of at most about BLOCK_BYTES of text, each
-of which is sent to the workers; documents are never shuffled and no text is gathered anywhere.
+Words are 64-bit hashes of their bytes throughout, so a window is compared as 13 such numbers in order. The
+benchmark is the stated, small side. It is taken in blocks of at most about BLOCK_BYTES of text; the arrays
+of a block take about six times its text and are sent to the workers; documents are never shuffled and no
+text of theirs is gathered anywhere.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, ship
+from lodestone.llm.common import durable, ship, slices
+from lodestone.llm.shingles import mix, word_hashes
 
 WINDOW = 13
 SHINGLE = 3
 #: Text of the benchmark that is sent to the workers at a time.
 BLOCK_BYTES = 8_000_000
+#: Pairs of a document's shingle and a window that are compared at a time.
+PAIRS = 200_000
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: In UTF-8 every byte of a character beyond ASCII belongs to a word, so words can be cut from bytes.
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-
+_U = np.uint64
 _FOUND = "n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text: A-Z lower-cased, cut at ASCII characters that are no letter or digit."""
-    return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else []
-
-
-def windows_of(words: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
-    """The windows of an item; one shorter than ``size`` words is a window itself, if it has any."""
-    size = min(size, len(words))
-    if size:
-        yield from (tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of ``size`` words from each place on; the last ``size - 1`` places have none."""
+    n = max(0, len(words) - size + 1)
+    total = np.full(n, size, _U)
+    for j in range(size):
+        total = mix(total + words[j : j + n])
+    return total
 
 
-def shingles_of(words, size: int):
-    return zip(*(words[i:] for i in range(size)), strict=False)
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+@dataclass
 class Block:
-    """Windows of some items, with the items of each, and the shingles they consist of."""
-
-    def __init__(self, rows: list[tuple[object, str | None]], size: int):
-        self.items: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in rows:
-            for window in windows_of(words_of(text), size):
-                self.items[window].add("" if item is None else str(item))
-        self.sizes = sorted({min(SHINGLE, len(w)) for w in self.items})
-        self.shingles = sorted({s for w in self.items for s in shingles_of(w, min(SHINGLE, len(w)))})
-
-    def prefixes(self, frequency: dict[tuple[bytes, ...], int]) -> dict:
-        """By shingle size and rarest shingle: the windows it stands for and its offset in them."""
-        out: dict[int, dict] = {n: defaultdict(list) for n in self.sizes}
-        for window, items in self.items.items():
-            n = min(SHINGLE, len(window))
-            _, offset, rarest = min((frequency.get(s, 0), i, s) for i, s in enumerate(shingles_of(window, n)))
-            out[n][rarest].append((offset, window, sorted(items)))
-        return {n: dict(found) for n, found in out.items()}
-
-
-def _frequencies(docs: DataFrame, text: str, block: Block) -> dict[tuple[bytes, ...], int]:
+    """Windows of some items: words end to end, and the place, size and item of each window."""
+
+    items: list[str]
+    words: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    item: np.ndarray
+    shingles: dict[int, np.ndarray]  # by shingle size, sorted and distinct
+
+    @classmethod
+    def of(cls, rows: list[tuple[object, str | None]], window: int) -> Block:
+        texts = [text or "" for _, text in rows]
+        words, counts = word_hashes(texts)
+        first = np.cumsum(counts) - counts
+        sizes = np.minimum(counts, window)  # an item shorter than a window, but not empty, is one itself
+        n = np.where(counts > 0, counts - sizes + 1, 0)
+        start, item = _ranges(first, n), np.repeat(np.arange(len(texts)), n)
+        block = cls(["" if i is None else str(i) for i, _ in rows], words, start, sizes[item], item, {})
+        for k in np.unique(np.minimum(block.size, SHINGLE)):
+            of = np.minimum(block.size, SHINGLE) == k
+            places = np.unique(_ranges(block.start[of], block.size[of] - k + 1))
+            block.shingles[int(k)] = np.unique(shingle_hashes(words, int(k))[places])
+        return block
+
+    def prefixes(self, frequency: dict[int, np.ndarray]) -> Prefixes:
+        """The rarest shingle of each window, the first of equally rare ones; windows are sorted by it."""
+        out = {}
+        for k, known in self.shingles.items():
+            of = np.flatnonzero(np.minimum(self.size, SHINGLE) == k)
+            hashes = shingle_hashes(self.words, k)
+            # documents of the shingle at each place; places that begin none are never looked at
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            count = frequency[k][at]
+            span = self.size[of] - k + 1
+            offset = np.zeros(len(of), np.int64)
+            for width in np.unique(span):
+                same = np.flatnonzero(span == width)
+                least = count[self.start[of[same]]]
+                for j in range(1, int(width)):
+                    here = count[self.start[of[same]] + j]
+                    offset[same] = np.where(here < least, j, offset[same])
+                    least = np.minimum(least, here)
+            rarest = hashes[self.start[of] + offset]
+            order = np.argsort(rarest, kind="stable")
+            keys, first, n = np.unique(rarest[order], return_index=True, return_counts=True)
+            out[k] = keys, first, n, of[order], offset[order]
+        return Prefixes(self, out)
+
+
+@dataclass
+class Prefixes:
+    """Prefix shingles with the windows that each stands for."""
+
+    block: Block
+    by_size: dict[int, tuple[np.ndarray, ...]]
+
+    def search(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, sizes and items of occurring windows, in the words of some documents end to end."""
+        block = self.block
+        stop = np.cumsum(counts)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        begin, end = (stop - counts)[owner], stop[owner]
+        for k, (keys, first, n, window, offset) in self.by_size.items():
+            hashes = shingle_hashes(words, k)
+            if not len(hashes):
+                continue
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            places = np.flatnonzero(keys[at] == hashes)
+            reach = np.cumsum(n[at[places]])
+            done = 0
+            while done < len(places):
+                until = max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + PAIRS, "right")))
+                here = places[done:until]
+                times = n[at[here]]
+                which = _ranges(first[at[here]], times)
+                w = window[which]
+                start = np.repeat(here, times) - offset[which]
+                size = block.size[w]
+                fits = start >= np.repeat(begin[here], times)
+                fits &= start + size <= np.repeat(end[here], times)
+                w, start, size = w[fits], start[fits], size[fits]
+                for j in range(int(size.max()) if len(size) else 0):
+                    on = size > j
+                    equal = ~on
+                    equal[on] = words[start[on] + j] == block.words[block.start[w[on]] + j]
+                    w, start, size = w[equal], start[equal], size[equal]
+                yield start, size, block.item[w]
+                done = until
+
+
+def _frequencies(docs: DataFrame, text: str, block: Block) -> dict[int, np.ndarray]:
     """In how many documents each shingle of the block occurs. At most one row a shingle comes back."""
-    number = {s: i for i, s in enumerate(block.shingles)}
-    shared = docs.sparkSession.sparkContext.broadcast((number, block.sizes))
+    shared = docs.sparkSession.sparkContext.broadcast(block.shingles)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, sizes = shared.value
-        wanted = frozenset(known)
-        counts: Counter = Counter()
+        counts = {k: np.zeros(len(known), np.int64) for k, known in shared.value.items()}
         for batch in batches:
-            for value in batch["text"]:
-                words = words_of(value)
-                for n in sizes:
-                    counts.update(wanted.intersection(shingles_of(words, n)))
-        yield pd.DataFrame({"shingle": [known[s] for s in counts], "n": list(counts.values())}, columns=["shingle", "n"]).astype("int64")
-
-    parts = docs.select(F.col(text).alias("text")).mapInPandas(count, "shingle long, n long")
-    return {block.shingles[r.shingle]: r.n for r in parts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
-
-
-def _search(words: list[bytes], prefixes: dict) -> tuple[list[int], list[int], list[str]]:
-    """Starts and ends of occurring windows, and their items."""
-    starts, ends, items = [], [], set()
-    for n, known in prefixes.items():
-        if len(words) < n or known.keys().isdisjoint(shingles_of(words, n)):
-            continue
-        for at, shingle in enumerate(shingles_of(words, n)):
-            for offset, window, of in known.get(shingle, ()):
-                start, stop = at - offset, at - offset + len(window)
-                if start >= 0 and stop <= len(words) and tuple(words[start:stop]) == window:
-                    starts.append(start)
-                    ends.append(stop)
-                    items.update(of)
-    return starts, ends, sorted(items)
+            texts = [t or "" for t in batch["text"]]
+            for low, high in slices([len(t) for t in texts]):
+                words, sizes = word_hashes(texts[low:high])
+                owner = np.repeat(np.arange(high - low), sizes)
+                for k, known in shared.value.items():
+                    hashes = shingle_hashes(words, k)
+                    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+                    inside = (owner[: len(hashes)] == owner[k - 1 :]) & (known[at] == hashes)
+                    both = np.unique(owner[: len(hashes)][inside] * len(known) + at[inside])
+                    np.add.at(counts[k], both % len(known), 1)
+        for k, n in counts.items():
+            some = np.flatnonzero(n)
+            yield pd.DataFrame({"k": k, "shingle": some, "n": n[some]}).astype("int64")
+
+    parts = docs.select(F.col(text).alias("text")).mapInPandas(count, "k long, shingle long, n long")
+    out = {k: np.zeros(len(known), np.int64) for k, known in block.shingles.items()}
+    for r in parts.groupBy("k", "shingle").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.k][r.shingle] = r.n
+    return out
 
 
 def covered(starts, ends) -> int:
@@ -122,26 +186,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
     A document is contaminated if any of its words is hit and ``share * n_hit >= n_words``. Null and empty
     texts have no words and are clean; a null item id counts as the empty string; items without words have
-    no window; equal item ids count once. Repeated documents and null ids are judged like any others; an
-    empty benchmark hits nothing. Existing columns of these names are replaced.
+    no window; equal item ids count once. Very long documents and items are taken whole. Repeated documents
+    and null ids are judged like any others; an empty benchmark hits nothing and an empty table stays empty.
+    Existing columns of these names are replaced, no others.
     """
     spark = docs.sparkSession
     ship(spark)
     bench = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
     volume = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first().n
     blocks = max(1, math.ceil(volume / block_bytes))
+    kept = next(f"_found{'_' * i}" for i in range(len(docs.columns) + 1) if f"_found{'_' * i}" not in docs.columns)
     found = docs
     for b in range(blocks):
         rows = bench.filter(F.pmod(F.xxhash64(F.col("item").cast("string"), "text"), F.lit(blocks)) == b)
-        block = Block([(r.item, r.text) for r in rows.collect()], window)  # about block_bytes
+        block = Block.of([(r.item, r.text) for r in rows.collect()], window)  # about block_bytes
         shared = spark.sparkContext.broadcast(block.prefixes(_frequencies(docs, text, block)))
-        before = [F.col(f"_found.{c}") if b else F.array().cast(f"array<{kind}>") for c, kind in (("starts", "int"), ("ends", "int"), ("items", "string"))]
-        found = found.withColumn("_found", _searcher(shared)(F.col(text), *before))
+        before = [F.col(f"{kept}.{c}") if b else F.array().cast(f"array<{kind}>") for c, kind in (("starts", "int"), ("ends", "int"), ("items", "string"))]
+        found = found.withColumn(kept, _searcher(shared)(F.col(text), *before))
         if blocks > 1:
             found = durable(found)
 
-    out = found.withColumns({"n_words": F.col("_found.n_words"), "n_hit": F.col("_found.n_hit"), "hit_starts": F.col("_found.starts"), "hit_ends": F.col("_found.ends"), "hit_items": F.array_sort(F.array_distinct("_found.items"))})
-    return out.withColumns({"n_items": F.size("hit_items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))}).drop("_found")
+    out = found.withColumns({"n_words": F.col(f"{kept}.n_words"), "n_hit": F.col(f"{kept}.n_hit"), "hit_starts": F.col(f"{kept}.starts"), "hit_ends": F.col(f"{kept}.ends"), "hit_items": F.array_sort(F.array_distinct(F.col(f"{kept}.items")))})
+    return out.withColumns({"n_items": F.size("hit_items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))}).drop(kept)
 
 
 def _searcher(shared):
@@ -151,11 +217,24 @@ def _searcher(shared):
     @F.pandas_udf(_FOUND)
     def search(texts: pd.Series, starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
         prefixes = shared.value
+        values = [t or "" for t in texts]
         out = []
-        for value, *before in zip(texts, starts, ends, items, strict=True):
-            words = words_of(value)
-            begun, ended, of = ([*old, *new] for old, new in zip(before, _search(words, prefixes), strict=True))
-            out.append((len(words), covered(begun, ended), begun, ended, of))
+        for low, high in slices([len(v) for v in values]):
+            words, counts = word_hashes(values[low:high])
+            stop = np.cumsum(counts)
+            first = stop - counts
+            spans: dict[int, tuple[set, set]] = {}
+            for begun, sizes, of in prefixes.search(words, counts):
+                docs = np.searchsorted(stop, begun, "right")
+                for d, s, n, i in zip(docs.tolist(), (begun - first[docs]).tolist(), sizes.tolist(), of.tolist(), strict=True):
+                    known = spans.setdefault(d, (set(), set()))
+                    known[0].add((s, s + n))
+                    known[1].add(prefixes.block.items[i])
+            for d, (old, ended, was) in enumerate(zip(starts[low:high], ends[low:high], items[low:high], strict=True)):
+                new, of = spans.get(d, ((), ()))
+                both = sorted({*zip(old, ended, strict=True), *new})
+                begun, stops = [s for s, _ in both], [e for _, e in both]
+                out.append((int(counts[d]), covered(begun, stops), begun, stops, sorted({*was, *of})))
         return pd.DataFrame(out, columns=["n_words", "n_hit", "starts", "ends", "items"])
 
     return search
