@@ -225,9 +225,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
     ``class_id`` is the least key of the documents that a document is joined with over any number of
     links, itself included; ``n_links`` is how many documents it is linked to directly, copies included.
-    Texts of fewer than ``size`` words are one shingle. Texts that are null or have no words, and rows
-    without a key, are linked to nothing and are their own class (null without a key). Repeated rows are
-    documents of their own. An empty table stays empty; other columns don't matter.
+    A pair exactly at ``threshold`` is linked. Texts of fewer than ``size`` words are one shingle, very long
+    ones are compared whole. Texts that are null or have no words, and rows without a key, are linked to
+    nothing and are their own class (null without a key). Repeated rows are documents of their own. An empty
+    table stays empty; other columns don't matter.
     """
     spark = docs.sparkSession
     ship(spark)
