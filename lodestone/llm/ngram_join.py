@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, ship, slices
+from lodestone.llm.common import durable, ship, slices, within
 from lodestone.llm.components import components
 from lodestone.llm.shingles import mix, shingle_sets
 
@@ -238,15 +238,16 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     def signed(texts: pd.Series) -> pd.DataFrame:
         return signatures(texts.tolist(), size)
 
-    signs = durable(rows.withColumn("_s", signed("text")).select("key", "_s.*"))
+    signs = durable(rows.withColumn("_s", signed("text")).select("key", F.xxhash64("text").alias("t"), "_s.*"))
     able = signs.filter(F.col("key").isNotNull() & F.col("node").isNotNull())
-    nodes = able.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("w"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = durable(nodes)
+    nodes = able.groupBy("node").agg(F.min(F.struct("key", "t")).alias("of"), F.count("*").alias("w"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = durable(nodes.select("node", F.col("of.key").alias("rep"), F.col("of.t").alias("t"), "w", "n_shingles", "bands", "sketch"))
 
     # numbers of the bands with their keys, read from the packed form
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.substring(F.col("bands"), b * 4 + 1, F.lit(4)).alias("k")))
     banded = nodes.select("node", F.explode(keys).alias("b")).select("node", F.col("b.band").alias("band"), F.hex("b.k").alias("k"))
-    groups = banded.groupBy("band", "k").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    # kept apart from the join that follows, so that a hot band key's nodes need not meet in one task
+    groups = within(durable(banded.groupBy("band", "k").agg(F.count("*").alias("size")).filter(F.col("size") > 1)), F.lit(32))
     candidates = banded.join(groups, ["band", "k"]).withColumn("blocks", F.ceil(F.col("size") / GROUP_BLOCK))
     dealt = _blocked(candidates, "node", "blocks", ["band", "k"]).select("g", "node", "band", "side")
     dealt = dealt.join(nodes.select("node", "bands", "sketch"), "node")
@@ -255,10 +256,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     edges = dealt.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(lambda it: prune(it, fewest), "u long, v long")
     clusters = components(edges)
 
-    sized = clusters.join(nodes.select("node", "rep", "w", "n_shingles"), "node")
+    sized = durable(clusters.join(nodes.select("node", "rep", "t", "w", "n_shingles"), "node"))
     totals = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / SHINGLE_BLOCK)).alias("blocks"))
-    members = _blocked(sized.join(totals, "root"), "node", "blocks", ["root"]).select("g", "node", "w", "side", "rep")
-    texts = members.join(rows.filter(F.col("key").isNotNull()), F.col("rep") == F.col("key")).select("g", "node", "w", "side", "text")
+    totals = within(durable(totals), F.lit(32))
+    members = _blocked(sized.join(totals, "root"), "node", "blocks", ["root"]).select("g", "node", "w", "side", "rep", "t")
+    # the texts of representatives only, one for each, however often its row is repeated
+    chosen = within(sized.select(F.col("rep").alias("key"), "t").distinct(), F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + 32)
+    of_rep = rows.withColumn("t", F.xxhash64("text")).join(chosen, ["key", "t"], "left_semi").groupBy(F.col("key").alias("rep"), "t").agg(F.first("text").alias("text"))
+    texts = members.join(of_rep, ["rep", "t"]).select("g", "node", "w", "side", "text")
     found = durable(texts.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(lambda it: verify(it, size, threshold), "node long, n long, root long"))
 
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
