@@ -1,72 +1,106 @@
-"""Main text of web pages by wrappers inferred from pages of one host.
+"""Main text of web pages by wrappers inferred from the pages of one host.
 
-A page is a stream of tokens: opening tags with their class and id, closing tags, and texts. A wrapper is
-a union-free regular expression over such tokens: tokens, text slots, optional groups (...)? and repeated
-groups (...)+. Inference starts from one page's stream and aligns it with the next page's, again and again:
+A page is a stream of tokens: opening tags with their class and id, closing tags, and texts; tags that only
+mark up words belong to the text around them, and elements that never hold article text (scripts, menus,
+forms, hidden ones) are left out. A wrapper is a union-free regular expression over such tokens: tokens, text
+slots, optional groups (...)? and repeated groups (...)+. Inference takes a host's pages one after the other
+and aligns the wrapper so far with the next page:
 
 * equal tokens match; a text against another text becomes a slot,
-* a mismatch next to a closing tag that just ended an element like the one that starts here is resolved
-  into a repeated group: the element before the mismatch becomes the group's pattern, and all its
-  neighbours in a row are folded into it,
-* any other mismatch is resolved into an optional group: the shorter stretch of tokens that one side has
-  before both sides go on alike.
-
-The wrapper of a host says which of its elements change from page to page and which stay: texts that stay
-(menus, notices) are no slots. Slots are judged by where they stand: an element is left out with all it
-holds if its tag, class or id names boilerplate; otherwise slots, and texts of the part that holds most of
-them, are the article. What remains is the path of the content element; it is applied to every page of the
-host. A host with one page has a wrapper without slots, and its content element is found from the same
-names and from how much text outside links each element holds.
+* at a mismatch, elements on either side that follow an equal row of elements are resolved into a repeated
+  group: that row becomes the group's pattern, and what follows is folded into it,
+* any other mismatch is resolved into optional groups: the fewest tokens that one or both sides have before
+  they go on with an equal tag.
+
+Two wrappers align like a wrapper and a page, so every task folds the pages that it reads, and the wrappers
+of a host are then aligned with each other; all pages take part and no page is shuffled.
+
+The wrapper decides what the article is. Its texts that don't vary are template. Its content is the smallest
+element that holds most of what varies. Names come second: tags that mark an article narrow a content that is
+wider, class names that speak of boilerplate drop lesser parts of it, but no part that holds most of the text
+or a heading of the article. A host that has no content element (its pages vary all over, or it is one page)
+is judged by names alone.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import html
 import json
 import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+import zlib
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, ship, within
 
-#: Pages of a host that its wrapper is inferred from, at most (about). Pages of more tokens or deeper nesting
-#: than these are extracted like all others but are no part of the sample.
-SAMPLE = 8
-SAMPLE_SALTS = 4
-MOST_TOKENS = 20_000
-MOST_DEPTH = 120
+#: Pages that must agree on a text for it to be template, and share of the varying text that the content holds.
+AGREE = 3
+CONTENT_SHARE = 0.8
+#: Elements in a row that are tried as the pattern of a repeated group.
+ROW = 3
+#: Items side by side in a wrapper beyond which equal ones are taken together, wherever they stand.
+WIDE = 1_000
+#: Items that a task holds before it passes its wrappers on, and wrappers that are aligned in one task.
+HELD = 200_000
+MEET = 64
 
 #: Elements without content, elements whose content is no markup, elements that hold no
-#: article text, elements that end a block, and words in class or id that name boilerplate.
+#: article text, roles that say so, and elements that end no block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-BOILERPLATE = frozenset("head title nav header footer aside form script style noscript template textarea select button iframe svg canvas object menu dialog".split())
+BOILERPLATE = frozenset("head title nav footer aside script style noscript template textarea select button iframe svg canvas object menu dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-CUES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"sidebar|side|footer|header|masthead|cookie|cookies|consent|notice|popup|modal|comment|comments|respond|reply|replies|discussion|disqus|"
-    r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+#: Elements that a content element is not looked for inside of.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre figure details summary address".split())
+#: Words in class or id that name boilerplate, words before them that make them speak of
+#: something else than the element, and words that name content.
+CUES = frozenset(
+    """ad ads advert advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs
+    sidebar side footer header masthead cookie cookies consent notice popup modal comment comments respond reply replies
+    discussion disqus share sharing social related recommended teaser newsletter subscribe signup login search widget
+    pagination pager toolbar skip""".split()
 )
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
+MODIFIERS = frozenset("with without has have no not is show hide enable js type format status category tag template".split())
+CONTENT = frozenset("article content main post entry story body text".split())
 #: Elements that close an open element of the key's kind when they begin.
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAME = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+#: Numbers of posts and the like, which would tell equal elements apart; those of a grid are shorter.
+_DIGITS = re.compile(r"\d{3,}")
 
 
 @dataclass(slots=True)
 class Token:
     kind: str  # "open", "close" or "text"
     name: str  # tag, or the text itself
-    mark: str = ""  # class, id and role of an opening tag
+    mark: str = ""  # class and id of an opening tag
+    role: str = ""  # its role; "hidden" if it isn't shown
+
+
+def _marks(attributes: str) -> tuple[str, str]:
+    marks, role = [], ""
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), html.unescape(value.strip("\"'"))
+        if key in ("class", "id"):
+            marks.append(value)
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _UNSEEN.search(value)):
+            role = "hidden"
+        elif key == "role" and role != "hidden":
+            role = value.strip().lower()
+    return " ".join(marks), role
 
 
 def tokens(source: str) -> Iterator[Token]:
@@ -85,14 +119,7 @@ def tokens(source: str) -> Iterator[Token]:
         if found[1]:
             yield Token("close", tag)
             continue
-        marks = []
-        for key, value in _NAME.findall(found[3]) if found[3] else ():
-            key, value = key.lower(), value.strip("\"'")
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                marks.append("hidden-notice popup")
-            elif key in ("class", "id", "role"):
-                marks.append(value)
-        yield Token("open", tag, " ".join(marks))
+        yield Token("open", tag, *(_marks(found[3]) if "=" in found[3] or "hidden" in found[3].lower() else ()))
         if tag in RAW and not found[3].rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             stop = end.start() if end else len(source)
@@ -107,244 +134,47 @@ def tokens(source: str) -> Iterator[Token]:
         yield Token("text", rest if cut < 0 or not re.match(r"<[/a-zA-Z!]", rest[cut:]) else rest[:cut])
 
 
-# --- wrappers -----------------------------------------------------------------------------------------
-
-#: A wrapper is a list of items: ("t", token), ("s",) for a slot, ("o", items) optional, ("r", items) repeated.
-
-
-def _stream(source: str) -> list[tuple] | None:
-    """Items of a page; None if it is too long or too deep to align."""
-    out = []
-    depth = 0
-    for t in tokens(source):
-        if t.kind == "text":
-            text = _SPACE.sub(" ", t.name).strip()
-            if text:
-                out.append(("t", "#" + text))
-        else:
-            depth = depth + 1 if t.kind == "open" else max(0, depth - 1)
-            out.append(("t", ("<" if t.kind == "open" else "</") + t.name + (f" {t.mark}" if t.mark else "")))
-        if len(out) > MOST_TOKENS or depth > MOST_DEPTH:
-            return None
-    return out
-
-
-def _is_text(item: tuple) -> bool:
-    return item[0] == "s" or (item[0] == "t" and item[1][0] == "#")
-
-
-def _same(a: tuple, b: tuple) -> bool:
-    """Whether two items stand for the same token, apart from what their texts say."""
-    if _is_text(a) and _is_text(b):
-        return True
-    if a[0] == "t":
-        return a == b
-    return a[0] == b[0] and a[0] in "or" and bool(a[1]) and bool(b[1]) and _same(a[1][0], b[1][0])
-
-
-def _element(items: list[tuple], start: int) -> int:
-    """End of the element that begins at ``start``; ``start`` itself if it isn't closed."""
-    if start >= len(items) or items[start][0] != "t" or not items[start][1].startswith("<") or items[start][1].startswith("</"):
-        return start
-    tag = items[start][1][1:].split(" ")[0]
-    depth = 0
-    for i in range(start, len(items)):
-        item = items[i]
-        if item[0] != "t" or item[1][0] != "<":
-            continue
-        if item[1] == "</" + tag:
-            depth -= 1
-            if not depth:
-                return i + 1
-        elif item[1][1:].split(" ")[0] == tag:
-            depth += 1
-    return start
-
-
-def _fold(items: list[tuple]) -> list[tuple]:
-    """Elements that stand in a row under one opening tag, folded into a repeated group of one pattern."""
-    out: list[tuple] = []
-    i = 0
-    while i < len(items):
-        stop = _element(items, i)
-        if stop == i:
-            out.append(items[i])
-            i += 1
-            continue
-        inner = [items[i], *_fold(items[i + 1 : stop - 1]), items[stop - 1]]
-        if out and out[-1][0] == "r" and out[-1][1][0] == items[i]:
-            out[-1] = ("r", align(out[-1][1], inner))
-        elif len(out) >= 1 and out[-1][0] == "e" and out[-1][1][0] == items[i]:
-            out[-1] = ("r", align(out[-1][1], inner))
-        else:
-            out.append(("e", inner))
-        i = stop
-    flat: list[tuple] = []
-    for item in out:  # elements that don't repeat are spelled out again
-        flat.extend(item[1] if item[0] == "e" else [item])
-    return flat
-
-
-def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    """The wrapper that covers both: equal texts stay, others become slots, mismatches become groups."""
-    out: list[tuple] = []
-    i = j = 0
-    while i < len(a) and j < len(b):
-        x, y = a[i], b[j]
-        if _same(x, y):
-            if x == y:
-                out.append(x)
-            elif _is_text(x):
-                out.append(("s",))
-            else:
-                out.append((x[0], align(x[1], y[1])))
-            i, j = i + 1, j + 1
-        elif x[0] == "r" and (n := _element(b, j)) > j and _same(x[1][0], y):
-            out.append(("r", align(x[1], _fold(b[j:n]))))
-            i, j = i + 1, n
-        elif y[0] == "r" and (n := _element(a, i)) > i and _same(y[1][0], x):
-            out.append(("r", align(y[1], _fold(a[i:n]))))
-            i, j = n, j + 1
-        elif x[0] == "o" and x[1] and _same(x[1][0], y):
-            n = min(len(b), j + len(x[1]))
-            if all(_same(p, q) for p, q in zip(x[1], b[j:n], strict=False)) and n - j == len(x[1]):
-                out.append(("o", align(x[1], b[j:n])))
-                j = n
-            else:
-                out.append(x)
-            i += 1
-        elif y[0] == "o":
-            out.append(y)
-            j += 1
-        elif x[0] == "o":
-            out.append(x)
-            i += 1
-        else:
-            skip = _resume(a, i, b, j)
-            if skip is None:
-                break
-            di, dj = skip
-            if di:
-                out.append(("o", a[i : i + di]))
-            if dj:
-                out.append(("o", b[j : j + dj]))
-            i, j = i + di, j + dj
-    for rest in (a[i:], b[j:]):
-        if rest:
-            out.append(("o", rest))
-    return out
-
-
-def _resume(a: list[tuple], i: int, b: list[tuple], j: int, reach: int = 200) -> tuple[int, int] | None:
-    """The fewest tokens to leave out on either side so that both go on alike with a tag."""
-    for total in range(1, reach):
-        for di in range(total + 1):
-            dj = total - di
-            if i + di < len(a) and j + dj < len(b) and not _is_text(a[i + di]) and _same(a[i + di], b[j + dj]):
-                return di, dj
-    return None
-
-
-def infer(pages: list[str]) -> list[tuple]:
-    """The wrapper of some pages."""
-    return _wrapper(_streams(pages))
-
-
-def verdict_of(pages: list[str]) -> dict:
-    """The judgement on some pages; those too long or too deep to align say nothing on what stays."""
-    streams = _streams(pages)
-    return judge(_wrapper(streams), len(streams))
-
-
-def _streams(pages: list[str]) -> list[list[tuple]]:
-    return [stream for page in pages if (stream := _stream(page)) is not None]
-
-
-def _wrapper(streams: list[list[tuple]]) -> list[tuple]:
-    wrapper: list[tuple] | None = None
-    for stream in streams:
-        wrapper = _fold(stream) if wrapper is None else align(wrapper, _fold(stream))
-    return wrapper or []
-
+# --- pages --------------------------------------------------------------------------------------------
 
-def judge(wrapper: list[tuple], n_pages: int) -> dict:
-    """What a host's wrapper says: texts that stay, and opening tags of the element that holds most slots.
-
-    ``fixed`` are texts that all pages have in the same place; ``content`` is the opening tag, with its
-    marks, of the smallest element that holds at least nine tenths of the slots outside boilerplate.
-    """
-    fixed: set[str] = set()
-    held: Counter = Counter()
-    order: dict[str, int] = {}
-
-    def visit(items: list[tuple], path: list[str], barred: int, optional: bool) -> None:
-        depth = list(path)
-        bar = barred
-        for item in items:
-            if item[0] in "or":
-                visit(item[1], depth, bar, True)
-            elif item[0] == "s":
-                if not bar:
-                    held.update(set(depth))
-                    held[""] += 1
-            elif item[1][0] == "#":
-                if not optional and n_pages > 2:
-                    fixed.add(item[1][1:])
-            elif item[1].startswith("</"):
-                tag = item[1][2:]
-                for k in range(len(depth) - 1, -1, -1):
-                    if depth[k][1:].split(" ")[0] == tag:
-                        bar = sum(map(_barred_key, depth[:k]))
-                        del depth[k:]
-                        break
-            else:
-                depth.append(item[1])
-                order.setdefault(item[1], len(order))
-                bar += _barred_key(item[1])
-
-    visit(wrapper, [], 0, False)
-    total = held.pop("", 0)
-    inside = [k for k, n in held.items() if n >= 0.9 * total and k[1:].split(" ")[0] not in {"html", "body", "p", *INLINE}]
-    return {"fixed": sorted(fixed), "content": max(inside, key=order.__getitem__) if inside else None}
-
-
-def _barred_key(opening: str) -> bool:
-    tag, _, mark = opening[1:].partition(" ")
-    return _barred(tag, mark)
-
-
-def _barred(tag: str, mark: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
-    return tag not in ("html", "body", "article", "main", "p", "h1") and bool(mark) and bool(CUES.search(mark))
 
+@dataclass(slots=True)
+class Element:
+    """An element that may hold article text: where it stands, by a number for its place and for its parent."""
 
-# --- extraction ---------------------------------------------------------------------------------------
+    tag: str
+    mark: str
+    parent: int
+    path: int  # number of the way from the root to it, by tags and marks
+    role: str = ""
 
 
 @dataclass(slots=True)
 class Piece:
-    """A block of text with the openings it stands under."""
+    """A block of text, the element it stands in, and how many of its characters are linked."""
 
     text: str
-    inside: tuple[str, ...]
+    inside: int
     linked: int
 
 
-def blocks(source: str) -> list[Piece]:
-    """Blocks outside boilerplate, in page order, with character references decoded and white space as one space."""
-    stack: list[tuple[str, str, bool]] = []
-    out: list[Piece] = []
+def path_of(parent: int, tag: str, mark: str) -> int:
+    return zlib.crc32(f"<{tag} {_DIGITS.sub('0', mark)}".encode("utf-8", "surrogatepass"), parent)
+
+
+def read(source: str) -> tuple[list[Element], list[Piece]]:
+    """Elements, and blocks of text in page order with character references decoded and white space as one space."""
+    elements = [Element("", "", -1, 0)]
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element (that of the block around an inline one), whether it is left out
+    pieces: list[Piece] = []
     text: list[str] = []
-    linked = 0
-    barred = 0
+    linked = barred = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if whole:
-                out.append(Piece(whole, tuple(key for _, key, _ in stack if key), linked))
+                pieces.append(Piece(whole, stack[-1][1], min(linked, len(whole))))
             text.clear()
         linked = 0
 
@@ -373,24 +203,28 @@ def blocks(source: str) -> list[Piece]:
             flush()
         if token.kind == "open":
             if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in CLOSES[tag]:
                         leave(k)
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                         break
             elif tag not in INLINE:  # a block ends an open paragraph and what is inside it
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         leave(k)
                         break
                     if stack[k][0] not in INLINE:
                         break
-            bar = _barred(tag, token.mark)
+            bar = tag in BOILERPLATE or token.role == "hidden" or token.role in ROLES
+            at = stack[-1][1]
+            if tag not in INLINE and not bar and not barred:
+                elements.append(Element(tag, token.mark, at, path_of(elements[at].path, tag, token.mark), token.role))
+                at = len(elements) - 1
             barred += bar
-            stack.append((tag, "" if tag in INLINE else f"<{tag}{' ' + token.mark if token.mark else ''}", bar))
+            stack.append((tag, at, bar))
         else:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     leave(k)
                     break
@@ -398,34 +232,376 @@ def blocks(source: str) -> list[Piece]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
     flush()
+    return elements, pieces
+
+
+# --- wrappers -----------------------------------------------------------------------------------------
+
+
+@dataclass(slots=True, repr=False)
+class Item:
+    """A part of a wrapper: an element "e", a text "#" or a repeated group "r", with what it was aligned with."""
+
+    kind: str
+    key: str  # opening token of an element
+    kids: list[Item] = field(default_factory=list)
+    pages: int = 1  # pages that have it
+    optional: bool = False
+    text: str | None = None  # digest of a text that all these pages share; None for a slot
+    size: int = 0  # characters of its texts
+
+    def sign(self) -> str:
+        """What must be equal for two items to match; a group of one element matches that element."""
+        if self.kind == "e":
+            return self.key
+        return "#" if self.kind == "#" else (self.kids[0].sign() if len(self.kids) == 1 else "(" + " ".join(k.sign() for k in self.kids) + ")")
+
+
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def page_item(source: str) -> Item:
+    """A page as a wrapper: its own tokens."""
+    elements, pieces = read(source)
+    items = [Item("e", f"<{e.tag} {_DIGITS.sub('0', e.mark)}") for e in elements]
+    open_, live = [0], {0}
+
+    def close(until: int) -> None:
+        while open_[-1] != until:
+            done = open_.pop()
+            live.discard(done)
+            items[open_[-1]].kids.append(items[done])
+
+    for piece in pieces:
+        new, at = [], piece.inside
+        while at not in live:
+            new.append(at)
+            at = elements[at].parent
+        close(at)
+        open_.extend(reversed(new))
+        live.update(new)
+        items[open_[-1]].kids.append(Item("#", "#", text=digest(piece.text), size=len(piece.text)))
+    close(0)
+    return items[0]
+
+
+def merge(a: Item, b: Item) -> Item:
+    """``a`` aligned with ``b``, which has an equal sign. Nested elements wait their turn, however deep they are."""
+    waiting = deque([(a, b)])
+    while waiting:
+        x, y = waiting.popleft()
+        x.optional |= y.optional
+        if x.kind == "#":
+            x.pages, x.size = x.pages + y.pages, x.size + y.size
+            x.text = x.text if x.text == y.text else None
+            continue
+        if x.kind == "e" and y.kind == "r":
+            x.kids = [Item("e", x.key, x.kids, x.pages)]
+            x.kind, x.key = "r", ""
+        x.pages += y.pages
+        if x.kind == "r":
+            waiting.extend(zip(x.kids, y.kids if y.kind == "r" else [y], strict=True))
+        else:
+            x.kids = align(x.kids, y.kids, lambda p, q: waiting.append((p, q)))
+    return a
+
+
+def _signs(items: list[Item]) -> list[str]:
+    return [x.sign() for x in items]
+
+
+def _repeat(out: list[Item], items: list[Item], at: int, match: Callable[[Item, Item], None]) -> int:
+    """Folds items into a repeated group at the end of ``out`` if they repeat what is there; how many it takes."""
+    if not out or items[at].kind == "#":
+        return 0
+    last = out[-1]
+    if last.kind == "r":
+        n = len(last.kids)
+        if _signs(last.kids) == _signs(items[at : at + n]):
+            for x, y in zip(last.kids, items[at : at + n], strict=True):
+                match(x, y)
+            return n
+        tail = last.kids[-1]
+        if n > 1 and tail.sign() == items[at].sign():  # the row's last element goes on
+            if tail.kind != "r":
+                tail = last.kids[-1] = Item("r", "", [tail], tail.pages)
+            match(tail.kids[0], items[at]) if items[at].kind == "e" else match(tail, items[at])
+            return 1
+    for n in range(1, min(ROW, len(out)) + 1):
+        signs = _signs(items[at : at + n])
+        if _signs(out[-n:]) != signs:
+            continue
+        row = out[-n:]
+        del out[-n:]
+        while len(out) >= n and _signs(out[-n:]) == signs:  # equal rows before it are the same group
+            before = out[-n:]
+            del out[-n:]
+            for x, y in zip(before, row, strict=True):
+                match(x, y)
+            row = before
+        group = row[0] if n == 1 and row[0].kind == "r" else Item("r", "", row, row[0].pages)
+        for x, y in zip(group.kids, items[at : at + n], strict=True):
+            match(x, y)
+        out.append(group)
+        return n
+    return 0
+
+
+def align(a: list[Item], b: list[Item], match: Callable[[Item, Item], None]) -> list[Item]:
+    """Items that cover both rows: pairs with equal signs are matched, other ones become repeated or optional."""
+    signs_a, signs_b = _signs(a), _signs(b)
+    places: dict[str, list[int]] = {}
+    for at, sign in enumerate(signs_b):
+        if sign != "#":
+            places.setdefault(sign, []).append(at)
+    out: list[Item] = []
+    i = j = 0
+    while i < len(a) and j < len(b):
+        x, y = a[i], b[j]
+        if signs_a[i] == signs_b[j]:
+            match(x, y)
+            out.append(x)
+            i, j = i + 1, j + 1
+            continue
+        n = len(x.kids) if x.kind == "r" else 0
+        if n > 1 and _signs(x.kids) == signs_b[j : j + n]:
+            for p, q in zip(x.kids, b[j : j + n], strict=True):
+                match(p, q)
+            out.append(x)
+            i, j = i + 1, j + n
+            continue
+        n = len(y.kids) if y.kind == "r" else 0
+        if n > 1 and _signs(y.kids) == signs_a[i : i + n]:
+            group = Item("r", "", a[i : i + n], x.pages)
+            for p, q in zip(group.kids, y.kids, strict=True):
+                match(p, q)
+            out.append(group)
+            i, j = i + n, j + 1
+            continue
+        if taken := _repeat(out, a, i, match):
+            i += taken
+            continue
+        if taken := _repeat(out, b, j, match):
+            j += taken
+            continue
+        best = None
+        di = 0
+        while i + di < len(a) and (best is None or di < best[0] + best[1]):
+            at = places.get(signs_a[i + di], ())
+            k = bisect.bisect_left(at, j)
+            if k < len(at) and (best is None or di + at[k] - j < best[0] + best[1]):
+                best = di, at[k] - j
+            di += 1
+        if best is None:
+            break
+        for item in (*a[i : i + best[0]], *b[j : j + best[1]]):
+            item.optional = True
+            out.append(item)
+        i, j = i + best[0], j + best[1]
+    for rest, at in ((a, i), (b, j)):
+        while at < len(rest):
+            if taken := _repeat(out, rest, at, match):
+                at += taken
+                continue
+            rest[at].optional = True
+            out.append(rest[at])
+            at += 1
+    if len(out) > WIDE:
+        first: dict[str, Item] = {}
+        for item in out:
+            sign = item.sign()
+            known = first.setdefault(sign, item)
+            if known is item:
+                continue
+            if known.kind == "e":
+                known = first[sign] = Item("r", "", [known], known.pages)
+            known.optional = True
+            if known.kind == "#":
+                known.text = None
+            match(known, item)
+        out = list(first.values())
     return out
 
 
+def infer(pages: list[str]) -> Item | None:
+    """The wrapper of some pages, aligned in order."""
+    wrapper = None
+    for page in pages:
+        item = page_item(page)
+        wrapper = item if wrapper is None else merge(wrapper, item)
+    return wrapper
+
+
+def dump(wrapper: Item) -> str:
+    """A wrapper as flat JSON, parents before their parts."""
+    out, waiting = [], [wrapper]
+    while waiting:
+        x = waiting.pop()
+        out.append([x.kind, x.key, x.pages, int(x.optional), x.text, x.size, len(x.kids)])
+        waiting.extend(reversed(x.kids))
+    return json.dumps(out, separators=(",", ":"))
+
+
+def load(dumped: str) -> Item:
+    root = Item("e", "")
+    open_ = [(root, 1)]
+    for kind, key, pages, optional, text, size, n in json.loads(dumped):
+        while not open_[-1][1]:
+            open_.pop()
+        parent, left = open_.pop()
+        open_.append((parent, left - 1))
+        item = Item(kind, key, [], pages, bool(optional), text, size)
+        parent.kids.append(item)
+        open_.append((item, n))
+    return root.kids[0]
+
+
+def judge(wrapper: Item | None) -> dict:
+    """What a host's wrapper says: ``content``, the path of the element that holds most of what varies, or None,
+    and ``fixed``, the path and digest of texts that are template."""
+    if wrapper is None:
+        return {"content": None, "fixed": []}
+    flat: list[tuple[Item, int, int, bool]] = []  # item, number of its parent, path of the element, whether it repeats
+    waiting: list[tuple[Item, int, int, bool]] = [(wrapper, -1, 0, False)]
+    while waiting:
+        item, parent, path, repeats = waiting.pop()
+        if item.kind == "e" and parent >= 0:
+            path = zlib.crc32(item.key.encode("utf-8", "surrogatepass"), path)
+        repeats |= item.kind == "r"
+        flat.append((item, parent, path, repeats))
+        me = len(flat) - 1
+        waiting.extend((k, me, path, repeats) for k in reversed(item.kids))
+    pages = wrapper.pages
+    fixed = {(path, x.text) for x, _, path, repeats in flat if x.kind == "#" and x.text is not None and not repeats and x.pages >= AGREE and 2 * x.pages > pages}
+    varying = [x.size if x.kind == "#" and (path, x.text) not in fixed else 0 for x, _, path, _ in flat]
+    for me in range(len(flat) - 1, 0, -1):
+        varying[flat[me][1]] += varying[me]
+    titles = [int(x.kind == "e" and x.key.startswith("<h1 ") and varying[me] > 0) for me, (x, _, _, _) in enumerate(flat)]
+    for me in range(len(flat) - 1, 0, -1):
+        titles[flat[me][1]] += titles[me]
+    content = None
+    if pages > 1 and varying[0]:
+        at = 0
+        below: dict[int, list[int]] = {}
+        for me, (x, parent, _, _) in enumerate(flat):
+            if x.kind == "e":
+                below.setdefault(parent, []).append(me)
+        while (down := max(below.get(at, ()), key=varying.__getitem__, default=None)) is not None:
+            tag = flat[down][0].key[1:].split(" ")[0]
+            # a title that varies beside the element belongs to the article too
+            if varying[down] < CONTENT_SHARE * varying[0] or titles[down] < titles[at] or tag in TEXTUAL:
+                break
+            at = down
+            if tag not in ("html", "body"):
+                content = flat[at][2]
+    return {"content": content, "fixed": sorted(f"{path}:{text}" for path, text in fixed)}
+
+
+def verdict_of(pages: list[str]) -> dict:
+    """The judgement on some pages of a host."""
+    return judge(infer(pages))
+
+
+# --- extraction ---------------------------------------------------------------------------------------
+
+
+def names(mark: str, words: frozenset[str]) -> bool:
+    """Whether a class or id has one of the words, as a part of its own that no modifier precedes."""
+    for name in mark.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if parts and parts[0] not in MODIFIERS and not words.isdisjoint(parts):
+            return True
+    return False
+
+
 def extract(source: str | None, verdict: dict | None) -> str:
     """The main text of a page under the judgement on its host's wrapper."""
     if not source:
         return ""
-    pieces = blocks(source)
+    elements, pieces = read(source)
     if not pieces:
         return ""
-    whole = sum(len(p.text) for p in pieces)
-    chosen = None
-    weights: Counter = Counter()
-    for piece in pieces:
-        for key in set(piece.inside):
-            weights[key] += len(piece.text)
-    # the host's wrapper decides; names do where it has no content element, as on hosts of one page
-    if verdict and verdict.get("content") in weights:
-        chosen = verdict["content"]
-    named = [] if chosen else [k for k in weights if k[1:].split(" ")[0] in ("article", "main") or CONTENT.search(k.partition(" ")[2] or " ")]
-    if named:
-        chosen = max(named, key=lambda k: (k[1:].split(" ")[0] == "article", weights[k]))
-        if weights[chosen] < 0.2 * whole:
-            chosen = None
-    inside = [p for p in pieces if chosen in p.inside] if chosen else [p for p in pieces if p.linked < 0.5 * len(p.text)]
-    # texts that never change are no article where nothing but their place tells what is one
-    fixed = set(verdict["fixed"]) if verdict and chosen is None else set()
-    return "\n".join(p.text for p in inside if p.text not in fixed)
+    n = len(elements)
+    heads, marked = [False] * n, [False] * n  # elements that hold a first heading, and an element that marks an article
+    for e in range(n - 1, 0, -1):
+        x = elements[e]
+        heads[e] |= x.tag == "h1"
+        marked[e] |= x.tag in ("article", "main") or x.role in ("main", "article")
+        heads[x.parent] |= heads[e]
+        marked[x.parent] |= marked[e]
+    own = [elements[e].tag in ("article", "main") or elements[e].role in ("main", "article") for e in range(n)]
+    # page headers and forms, unless they are part of an article or hold it
+    within_article, out_ = [False] * n, [False] * n
+    for e in range(1, n):
+        x = elements[e]
+        within_article[e] = within_article[x.parent] or own[e]
+        apart = (x.tag == "header" and not (within_article[e] and heads[e])) or (x.tag == "form" and not (heads[e] or marked[e]))
+        out_[e] = out_[x.parent] or apart
+    held = [0] * n
+    for p in pieces:
+        if not out_[p.inside]:
+            held[p.inside] += len(p.text)
+    for e in range(n - 1, 0, -1):
+        held[elements[e].parent] += held[e]
+
+    def outermost(chosen: Callable[[int], bool], inside: list[bool] | None = None) -> list[bool]:
+        """Elements that are chosen, or in a chosen one, within ``inside``."""
+        got = [False] * n
+        for e in range(1, n):
+            got[e] = got[elements[e].parent] or (not out_[e] and (inside is None or inside[e]) and chosen(e))
+        return got
+
+    def text_in(region: list[bool]) -> int:
+        return sum(held[e] for e in range(1, n) if region[e] and not region[elements[e].parent])
+
+    def speaks_of_boilerplate(e: int) -> bool:
+        return bool(elements[e].mark) and elements[e].tag not in ("html", "body") and names(elements[e].mark, CUES) and not heads[e] and not (marked[e] and not own[e])
+
+    region = None
+    content = verdict.get("content") if verdict else None
+    if content is not None:
+        region = outermost(lambda e: elements[e].path == content)
+        if not text_in(region):
+            region = None
+    wide = [True] * n if region is None else region
+    article = outermost(lambda e: own[e] and not speaks_of_boilerplate(e), wide)
+    whole = held[0] if region is None else text_in(region)
+    enclosed = region is not None and any(region[e] and not region[elements[e].parent] and within_article[elements[e].parent] for e in range(1, n))
+    if text_in(article) >= 0.2 * max(1, whole) and not enclosed:
+        region = article
+    if region is None:
+        named = outermost(lambda e: bool(elements[e].mark) and names(elements[e].mark, CONTENT) and not names(elements[e].mark, CUES) and held[e] >= 0.2 * held[0])
+        region = named if text_in(named) else None
+    everything = region is None
+    if region is None:
+        region = [True] * n
+    most = held[0] if everything else text_in(region)
+    gone = [False] * n
+    links: dict[int, list[int]] = {}
+    if everything:  # lists of links are menus where nothing tells the article from them
+        for p in pieces:
+            e = p.inside
+            while e > 0:
+                known = links.setdefault(e, [0, 0])
+                known[0] += 2 * p.linked >= len(p.text)
+                known[1] += p.linked
+                e = elements[e].parent
+    for e in range(1, n):
+        above = elements[e].parent
+        inner = region[above] if not everything else True
+        menu = everything and links.get(e, (0, 0))[0] >= AGREE and links[e][1] >= 0.8 * max(1, held[e]) and elements[e].tag not in ("html", "body", "p")
+        gone[e] = gone[above] or out_[e] or (inner and 2 * held[e] <= most and (menu or speaks_of_boilerplate(e)))
+    left = [p for p in pieces if region[p.inside] and not gone[p.inside] and not out_[p.inside]]
+    fixed = set(verdict["fixed"]) if verdict and verdict.get("fixed") else None
+    if fixed and left:
+        varied = [p for p in left if f"{elements[p.inside].path}:{digest(p.text)}" not in fixed]
+        # a page that is all template is a copy of others, not boilerplate
+        if 2 * sum(len(p.text) for p in varied) >= sum(len(p.text) for p in left):
+            left = varied
+    if not left:
+        left = [p for p in pieces if not out_[p.inside]] or pieces
+    return "\n".join(p.text for p in left)
 
 
 # --- Spark --------------------------------------------------------------------------------------------
@@ -435,49 +611,83 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, verdict as JSON, n_sampled) from at most about ``sample`` pages of each host, chosen by a hash."""
+_WRAPPERS = "host string, wrapper string, n long"
+
+
+def _inferred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The wrappers of the hosts whose pages a task reads, passed on whenever HELD items are held."""
+    held: dict[str, Item] = {}
+    items = 0
+
+    def rows() -> pd.DataFrame:
+        out = pd.DataFrame([(h, dump(w), w.pages) for h, w in held.items()], columns=["host", "wrapper", "n"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for host, page in zip(batch["host"], batch["html"], strict=True):
+            item = page_item(page)
+            items += 1 + page.count("<")
+            held[host] = merge(held[host], item) if host in held else item
+            if items > HELD:
+                yield rows()
+                items = 0
+    yield rows()
+
+
+def _together(frame: pd.DataFrame) -> Item:
+    wrapper = None
+    for dumped in sorted(frame["wrapper"]):
+        wrapper = load(dumped) if wrapper is None else merge(wrapper, load(dumped))
+    return wrapper
+
+
+def wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+    """(host, verdict as JSON, n_pages) from all pages of each host.
+
+    A host has a wrapper for each task that reads pages of it; they are aligned MEET at a time until one is
+    left, so a hot host's pages or wrappers never meet in one task.
+    """
     ship(pages.sparkSession)
-    named = pages.filter(F.col(source).isNotNull()).select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), F.col(url).alias("url"), F.col(source).alias("html"))
-    order = F.xxhash64("key", "url")
-    salted = Window.partitionBy("host", "salt").orderBy("order", "key", "url")
-    ids = named.select("key", "url", "host", order.alias("order"), F.pmod(order, F.lit(SAMPLE_SALTS)).alias("salt"))
-    chosen = ids.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= max(1, sample // SAMPLE_SALTS)).select("key", "url").distinct()
-    chosen = within(durable(chosen), F.octet_length("url") + 32)
-    # at most ``sample`` pages of a host come together, whatever its size
-    sampled = named.join(chosen, ["key", "url"], "left_semi")
+    read_ = pages.filter(F.col(source).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(source).alias("html"))
+    parts = durable(read_.mapInPandas(_inferred, _WRAPPERS))
+
+    def aligned(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [dump(_together(frame))], "n": [int(frame["n"].sum())]})
 
-    def inferred(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "url", "html"]).drop_duplicates("html").head(sample)
-        verdict = verdict_of(frame["html"].tolist())
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "verdict": [json.dumps(verdict)], "n_sampled": [len(frame)]})
+    def judged(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "verdict": [json.dumps(judge(_together(frame)))], "n_pages": [int(frame["n"].sum())]})
 
-    return sampled.groupBy("host").applyInPandas(inferred, "host string, verdict string, n_sampled long")
+    while (most := parts.groupBy("host").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n) > MEET:
+        dealt = F.pmod(F.xxhash64("wrapper", F.lit(most)), F.lit(-(-most // (MEET // 2)))).alias("part")
+        parts = durable(parts.withColumn("part", dealt).groupBy("host", "part").applyInPandas(aligned, _WRAPPERS))
+    return parts.groupBy("host").applyInPandas(judged, "host string, verdict string, n_pages long")
 
 
-def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """``pages`` with text and n_chars.
 
     Null and empty html gives an empty text; a null or odd url belongs to the host "" and pages of equal
-    url or id are each extracted. Very long pages are read whole; only what is aligned to infer a wrapper
-    is bounded. An empty table stays empty; existing columns of these names are replaced.
+    url or id are each extracted. Pages of any length and depth take part in their host's wrapper and are
+    read whole. An empty table stays empty; existing columns of these two names are replaced, and no other.
     """
     ship(pages.sparkSession)
-    of_host = durable(wrappers(pages, key, url, source).select(F.col("host").alias("_host"), F.col("verdict").alias("_verdict")))
-    of_host = within(of_host, F.octet_length("_host") + F.octet_length("_verdict") + 32)
-    joined = pages.withColumn("_host", host_of(F.col(url))).join(of_host, "_host", "left")
+    host, verdict = (next(n for n in (f"_{name}{'_' * i}" for i in range(len(pages.columns) + 1)) if n not in pages.columns) for name in ("host", "verdict"))
+    of_host = durable(wrappers(pages, url, source).select(F.col("host").alias(host), F.col("verdict").alias(verdict)))
+    of_host = within(of_host, F.octet_length(host) + F.octet_length(verdict) + 32)
+    joined = pages.withColumn(host, host_of(F.col(url))).join(of_host, host, "left")
 
     @F.pandas_udf("string")
     def main_text(sources: pd.Series, verdicts: pd.Series) -> pd.Series:
         parsed: dict[str, dict] = {}
         out = []
-        for page, verdict in zip(sources, verdicts, strict=True):
-            if verdict is not None and verdict not in parsed:
+        for page, dumped in zip(sources, verdicts, strict=True):
+            if dumped is not None and dumped not in parsed:
                 if len(parsed) > 1_000:
                     parsed.clear()
-                parsed[verdict] = json.loads(verdict)
-            out.append(extract(page, parsed.get(verdict)))
+                parsed[dumped] = json.loads(dumped)
+            out.append(extract(page, parsed.get(dumped)))
         return pd.Series(out, dtype="object")
 
-    out = joined.withColumn("text", main_text(F.col(source), F.col("_verdict"))).drop("_host", "_verdict")
+    out = joined.withColumn("text", main_text(F.col(source), F.col(verdict))).drop(host, verdict)
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from lodestone.llm import bpe_codec, decontamination, html_extract, language_id, ngram_join, shingles, token_counts, toxicity
 from lodestone.llm.common import tokenizer_path
+from tests.llm.plain import windows_of, words_of
 
 ODD = st.text(alphabet="aabBé漢 \n\t'sß1½🙂Σ<|>.", max_size=80)
 SPECIAL = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "the ", "'ll", " ", "é", "x" * 300]), max_size=6).map("".join)
@@ -63,7 +64,7 @@ def test_small_automaton_against_plain_merging():
 
 
 def _set(text, size=5):
-    words = decontamination.words_of(text)
+    words = words_of(text)
     if not words:
         return set()
     n = min(size, len(words))
@@ -107,23 +108,53 @@ def test_bayesian_bounds_keep_what_reaches_the_threshold():
     assert 55 <= fewest[-1] < 0.8 * ngram_join.HASHES
 
 
-def test_decontamination_search():
+@pytest.mark.parametrize("pairs", [1, 200_000])
+def test_decontamination_search(monkeypatch, pairs):
+    monkeypatch.setattr(decontamination, "PAIRS", pairs)
     rng = random.Random(5)
-    words = [f"w{i}".encode() for i in range(12)]
+    words = [f"w{i}" for i in range(12)]
     for _ in range(300):
-        items = [(i, " ".join(w.decode() for w in rng.choices(words, k=rng.randint(0, 6)))) for i in range(3)]
-        block = decontamination.Block(items, 4)
-        doc = rng.choices(words, k=rng.randint(0, 40))
-        starts, ends, found = decontamination._search(doc, block.prefixes({}))
-        hit, ids = set(), set()
-        for i, text in items:
-            for w in decontamination.windows_of(decontamination.words_of(text), 4):
-                for s in range(len(doc) - len(w) + 1):
-                    if tuple(doc[s : s + len(w)]) == w:
-                        hit.update(range(s, s + len(w)))
-                        ids.add(str(i))
-        assert decontamination.covered(starts, ends) == len(hit)
-        assert found == sorted(ids)
+        items = [(i, " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(3)]
+        block = decontamination.Block.of(items, 4)
+        prefixes = block.prefixes({k: np.array([rng.randint(0, 3) for _ in known]) for k, known in block.shingles.items()})
+        docs = [rng.choices(words, k=rng.randint(0, 40)) for _ in range(3)]
+        hashes, counts = shingles.word_hashes([" ".join(d) for d in docs])
+        got = {(s, n, block.items[i]) for begun, sizes, of in prefixes.search(hashes, counts) for s, n, i in zip(begun.tolist(), sizes.tolist(), of.tolist())}
+        want = set()
+        base = 0
+        for doc in docs:
+            for i, text in items:
+                for w in windows_of(words_of(text), 4):
+                    want.update((base + s, len(w), str(i)) for s in range(len(doc) - len(w) + 1) if tuple(doc[s : s + len(w)]) == w)
+            base += len(doc)
+        assert got == want
+
+
+def test_covered_words():
+    assert decontamination.covered([0, 2, 9, 9], [4, 6, 10, 12]) == 9
+
+
+def test_letters_are_words_and_numerals_are_not():
+    assert language_id.words_of("½ ² Ⅷ 7 a1b x_y Ünï ﬁ 漢字") == ["a", "b", "x", "y", "ünï", "ﬁ", "漢字"]
+
+
+def test_spans_stay_in_place_when_lower_case_is_longer():
+    text = "xx İİ yy"
+    model = language_id.Model(["l1", "l2"], {"x": 0, "y": 1}, np.array([[5.0, -5], [-5, 5], [0, 0]]), {})
+    (words, labels, _), = model.label([text], 2.0)
+    assert len(words) == 3
+    spans = language_id._spans(text, labels, model.langs)
+    assert (spans[0]["start"], spans[-1]["stop"], spans[-1]["lang"]) == (0, len(text), "l2")
+
+
+def test_all_letters_scripts_count():
+    scripts = {"latin": np.array([True, True, False]), "han": np.array([False, True, False])}
+    model = language_id.Model(["a", "b", "c"], {}, np.zeros((1, 3)), scripts)
+    scores = model.word_scores(["abc", "ab漢", "漢", "жж"])
+    assert (scores[0] > -1).tolist() == [True, True, False]
+    assert (scores[1] > -1).tolist() == [False, True, False]
+    assert (scores[2] > -1).tolist() == [False, True, False]
+    assert (scores[3] > -1).all()
 
 
 def test_viterbi_against_all_paths():
@@ -147,17 +178,28 @@ def test_mixed_text_gets_spans(monkeypatch):
 
 
 def test_wrapper_inference():
-    page = "<html><body><ul class=m><li>Home<li>News</ul><div id=c><h1>{}</h1>{}</div></body></html>"
+    page = "<html><body><div class=m><p>Home</p></div><div id=c><h1>{}</h1>{}</div></body></html>"
     pages = [page.format(f"T{i}", "".join(f"<p>text {i} {j}</p>" for j in range(i + 1))) for i in range(3)]
     wrapper = html_extract.infer(pages)
+    found, waiting = [], [wrapper]
+    while waiting:
+        found.append(waiting.pop())
+        waiting.extend(found[-1].kids)
+    assert {i.kind for i in found} == {"e", "#", "r"}
+    verdict = html_extract.judge(wrapper)
+    assert [f.split(":")[1] for f in verdict["fixed"]] == [html_extract.digest("Home")]
+    assert [html_extract.extract(p, verdict) for p in pages][1] == "T1\ntext 1 0\ntext 1 1"
+    assert html_extract.dump(html_extract.load(html_extract.dump(wrapper))) == html_extract.dump(wrapper)
 
-    def kinds(items):
-        return {i[0] for i in items} | {k for i in items if i[0] in "or" for k in kinds(i[1])}
 
-    assert {"r", "s"} <= kinds(wrapper)
-    verdict = html_extract.judge(wrapper, 3)
-    assert "Home" in verdict["fixed"]
-    assert [html_extract.extract(p, verdict) for p in pages][1] == "T1\ntext 1 0\ntext 1 1"
+def test_groups_and_options():
+    def page(*tags):
+        return "<body>" + "".join(f"<{t}>{t} text</{t}>" for t in tags) + "</body>"
+
+    wrapper = html_extract.infer([page("h2", "p", "h2", "p", "p", "h2", "p"), page("h2", "p", "table"), page("h2", "p")])
+    body = wrapper.kids[0]
+    assert [(k.kind, k.optional) for k in body.kids] == [("r", False), ("e", True)]
+    assert [k.sign() for k in body.kids[0].kids] == ["<h2 ", "<p "]
 
 
 @pytest.mark.parametrize("source", ["", None, "<", "plain", "<p>a<p>b", "<script>x", "<div class='comments'><p>no</p></div>", "<article><p>&lt;b&gt; &nbsp; c</p>" + "<p>x</p>" * 3000])
@@ -184,7 +226,10 @@ def test_label_model_finds_good_and_tied_voters():
     assert chance[1, 2, 0] > 0.9 > chance[1, 2, 1]
 
 
-def test_deep_and_long_pages_are_extracted_without_a_wrapper():
-    deep = "<article>" + "<div>" * 3000 + "<p>x</p>" + "</div>" * 3000 + "</article>"
-    assert html_extract.infer([deep]) == []
-    assert html_extract.extract(deep, html_extract.judge([], 1)) == "x"
+def test_deep_and_long_pages_take_part():
+    deep = [f"<article>{'<div>' * 3000}<p>x{i}</p>{'</div>' * 3000}</article>" for i in range(3)]
+    long = "<article>" + "".join(f"<p>{i}</p><hr><div class='c{i % 7}'>y</div>" for i in range(20_000)) + "</article>"
+    wrapper = html_extract.infer([*deep, long])
+    assert wrapper.pages == 4
+    assert html_extract.extract(deep[1], html_extract.judge(wrapper)) == "x1"
+    assert html_extract.extract(long, html_extract.judge(wrapper)).count("\n") == 39_999

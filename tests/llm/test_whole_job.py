@@ -12,7 +12,7 @@ def test_words_are_scored_by_all_orders():
     table = np.random.default_rng(5).normal(-6, 2, (len(known) + 1, 3))
     rows = {g: i for i, g in enumerate(known)}
     model = language_id.Model(["a", "b", "c"], rows, table, {"han": np.array([True, False, True])})
-    want = np.array([sum(table[rows.get(g, -1)] for g in all_grams[w]) / len(all_grams[w]) * min(len(w), 8) for w in words])
+    want = np.array([sum(table[rows.get(g, -1)] for g in all_grams[w]) / len(all_grams[w]) * len(w) for w in words])
     want[-1, 1] = want[-1].max() - 50
     assert np.allclose(model.word_scores(words), want, rtol=1e-12)
     assert [list(language_id.grams(w)) for w in words] == list(all_grams.values())
@@ -32,8 +32,9 @@ def test_wrapper_decides_before_names():
         said = "".join(f"<p>{w} of page {i} in words of its own</p>" for w in ("start", "middle", "end"))
         return f'<body><article><p>{"The same notice on every page. " * 9}</p></article><div class="x7">{said}</div></body>'
 
-    verdict = html_extract.judge(html_extract.infer([page(i) for i in range(4)]), 4)
-    assert verdict["content"] == "<div x7"
+    verdict = html_extract.judge(html_extract.infer([page(i) for i in range(4)]))
+    body = html_extract.path_of(0, "body", "")
+    assert verdict["content"] == html_extract.path_of(body, "div", "x7")
     assert html_extract.extract(page(1), verdict) == "\n".join(f"{w} of page 1 in words of its own" for w in ("start", "middle", "end"))
 
 
