@@ -15,6 +15,8 @@ STOP_WORDS = tuple(
 #: Tokens, identifiers, and the end of a sentence.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]+|\d+(?:\.\d+)?"
 IDENTIFIER = r"[A-Z][A-Z0-9]{2,}(?:_[A-Z0-9]+)+|[A-Z]{2,}-\d+"
+#: Letters with marks and the letters they are searched as.
+ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 _MARK = "\x01"
 
 
@@ -55,3 +57,18 @@ def containment(query: Column, text: Column) -> Column:
     """Share of the distinct query tokens that the text has; 0 without any."""
     distinct = F.size(F.array_distinct(query))
     return F.when(distinct > 0, F.size(F.array_intersect(query, text)) / distinct).otherwise(0.0)
+
+
+def analyzed(text: Column) -> Column:
+    """Terms for fielded search: lower case without accents, hyphens and underscores kept, of two characters or more."""
+    plain = F.translate(F.lower(text), *ACCENTS)
+    return F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0)), lambda t: F.length(t) > 1)
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID of version 5 of a text."""
+    import uuid
+
+    digest = F.substring(F.sha1(F.concat(F.lit(uuid.UUID(namespace).bytes), F.encode(name, "UTF-8"))), 1, 32)
+    variant = F.lower(F.conv(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8)).cast("string"), 10, 16))
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import tokens
 from lodestone.operators.retrieve import top
 
+_WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
+
 
 def hashed(texts: DataFrame, dim: int = 192, key: str = "chunk_id") -> DataFrame:
     """(key, bucket, value): the non-zero parts of unit vectors of hashed character trigrams of ``text``."""
@@ -23,6 +29,37 @@ def hashed(texts: DataFrame, dim: int = 192, key: str = "chunk_id") -> DataFrame
     return summed.join(norms, key).select(key, "bucket", F.round(F.col("n") / F.col("norm"), 6).alias("value"))
 
 
+@functools.lru_cache(maxsize=300_000)
+def _cell(trigram: str) -> int:
+    return int(hashlib.md5(trigram.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:8], 16)
+
+
+def hashed_vectors(texts: DataFrame, key: str = "chunk_id", text: str = "text", dim: int = 192) -> DataFrame:
+    """(key, vector): the unit vectors of ``hashed`` as arrays, made in batches; a null text's is all 0."""
+
+    @F.pandas_udf("array<double>")
+    def encoded(values: pd.Series) -> pd.Series:
+        out = []
+        for value in values:
+            total = np.zeros(dim)
+            if value is not None:
+                padded = " " + _WHITE.sub(" ", value.lower()) + " "
+                code = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+                grams, at, n = np.unique((code[:-2] << 42) | (code[1:-1] << 21) | code[2:], return_index=True, return_counts=True)
+                h = np.array([_cell(padded[i : i + 3]) for i in at], np.int64)
+                np.add.at(total, h % dim, np.where(h >> 8 & 1, n, -n))
+            norm = np.sqrt((total * total).sum())
+            out.append(np.round(total / (norm if norm else 1), 6))
+        return pd.Series(out)
+
+    return texts.select(key, encoded(F.col(text)).alias("vector"))
+
+
+def tag(name: str, version: str, dim: int) -> Column:
+    """What a vector's encoder is called wherever it is stored."""
+    return F.concat_ws(":", F.concat_ws("@", F.lit(name), F.lit(version)), F.concat(F.lit("d"), F.lit(dim).cast("string")))
+
+
 def lsa_fit(texts: DataFrame, dim: int = 96, min_df: int = 2, terms: int = 4_000) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Vocabulary, idf and term space of a truncated SVD of tf-idf rows of (chunk_id, text).
 

@@ -2,37 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def anchors_found(questions: DataFrame, gold: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-    """(qid, anchor, first_rank): rank of the first hit within ``k`` that holds the anchor, or null."""
+    """(qid, anchor_idx, first_rank): rank of the first hit within ``k`` that holds the anchor, or null."""
     near = hits.filter(F.col("rank") <= k).select("qid", "chunk_id", "rank")
-    return gold.join(questions.select("qid"), "qid").join(near, ["qid", "chunk_id"], "left").groupBy("qid", "anchor").agg(F.min("rank").alias("first_rank"))
+    return gold.join(questions.select("qid"), "qid").join(near, ["qid", "chunk_id"], "left").groupBy("qid", "anchor_idx").agg(F.min("rank").alias("first_rank"))
 
 
 def retrieval_metrics(questions: DataFrame, gold: DataFrame, hits: DataFrame, k: int = 8) -> DataFrame:
-    """evidence_recall, full_chain, mrr and ndcg of each question; null, not 0, without gold."""
-    per = anchors_found(questions, gold, hits, k)
-    gain = F.coalesce(F.sum(1 / F.log2(F.col("first_rank") + 1)), F.lit(0.0))
-    agg = per.groupBy("qid").agg(
+    """evidence_recall, full_chain, mrr and greedy ndcg of each question; null, not 0, without gold (qid, anchor_idx, chunk_id)."""
+    per = anchors_found(questions, gold, hits, k).groupBy("qid").agg(
         F.round(F.avg(F.col("first_rank").isNotNull().cast("int")), 6).alias("evidence_recall"),
         F.min(F.col("first_rank").isNotNull().cast("double")).alias("full_chain"),
         F.round(F.coalesce(1 / F.min("first_rank"), F.lit(0.0)), 6).alias("mrr"),
-        gain.alias("gain"),
-        F.count("*").alias("n_anchors"),
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_anchors"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
-    return questions.select("qid").join(agg, "qid", "left").select("qid", "evidence_recall", "full_chain", "mrr", F.round(F.col("gain") / ideal, 6).alias("ndcg"))
+    return questions.select("qid").join(per, "qid", "left").join(greedy_ndcg(gold, hits, k), "qid", "left").select("qid", "evidence_recall", "full_chain", "mrr", "ndcg")
 
 
 def greedy_ndcg(gold: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
     """nDCG when a chunk may hold several anchors: each hit credits the first anchor not credited yet."""
-    holds = gold.groupBy("qid", "chunk_id").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
+    holds = gold.groupBy("qid", "chunk_id").agg(F.sort_array(F.collect_set("anchor_idx")).alias("anchors"))
     ranked = hits.filter(F.col("rank") <= k).join(holds, ["qid", "chunk_id"]).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "anchors"))).alias("h"))
-    n_anchors = gold.groupBy("qid").agg(F.countDistinct("anchor").alias("n"))
-    kind = gold.schema["anchor"].dataType.simpleString()
+    n_anchors = gold.groupBy("qid").agg(F.countDistinct("anchor_idx").alias("n"))
+    kind = gold.schema["anchor_idx"].dataType.simpleString()
     fold = F.expr(
         f"aggregate(h, named_struct('seen', cast(array() AS array<{kind}>), 'gain', 0.0D), "
         "(s, x) -> named_struct('seen', if(size(array_except(x.anchors, s.seen)) > 0, concat(s.seen, slice(filter(x.anchors, a -> NOT array_contains(s.seen, a)), 1, 1)), s.seen), "
@@ -59,10 +54,15 @@ def abstention(rows: DataFrame, is_null: Column, abstained: Column) -> DataFrame
     return counts.select(F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"), "false_answers", "over_refusals")
 
 
-def low_p95(values: Column) -> Column:
-    """The value at int(0.95 n), counted from 1, of the sorted values; the first one at least."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.greatest(F.lit(1), F.floor(F.size(ordered) * 0.95)).cast("int"))
+def ranked_value(rows: DataFrame, column: str, share: float, from_zero: bool = False) -> DataFrame:
+    """One row (value): the value at int(share n) of the sorted non-null values, counted from 1, or from 0.
+
+    Values are counted first, so what is sorted in one place is one row a distinct value.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    before = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
+    at = counts.agg(F.sum("n").alias("total")).select((F.floor(F.col("total") * share) + 1 if from_zero else F.greatest(F.lit(1), F.floor(F.col("total") * share))).alias("at"))
+    return before.crossJoin(F.broadcast(at)).filter(F.col("upto") >= F.col("at")).agg(F.min("value").alias("value"))
 
 
 def slice_report(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
@@ -99,8 +99,6 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def paired_bootstrap(pairs: DataFrame, n_boot: int = 200, seed: int = 11) -> DataFrame:
     """Confidence interval of mean(b - a) over (qid, a, b) by resampling; md5 draws, so any engine agrees."""
     kept = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    from pyspark.sql import Window
-
     numbered = kept.select((F.row_number().over(Window.orderBy("qid")) - 1).cast("long").alias("i"), (F.col("b") - F.col("a")).alias("d"))
     n = kept.agg(F.count("*").alias("n"))
     spark = pairs.sparkSession

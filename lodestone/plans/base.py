@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import STOP_WORDS, tokens
+from lodestone.operators import embed, retrieve
 from lodestone.sources import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, and its SQL if SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            # DuckDB reads 0.5 as a decimal and 0.5e0 as the double that Spark has
+            ORACLE_SQL[f.__name__] = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
+        return f
+
+    return add
+
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as chunks: readable by their source's group, owned by their language's tenant."""
@@ -17,9 +38,39 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as questions: their first twelve tokens ask for the whole text."""
-    query = F.array_join(F.slice(tokens(F.col("text")), 1, 12), " ")
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("anchor"), query.alias("query"))
+    """Benchmark items as questions, in tokens of theirs. Two of three ask for the next item's text as well."""
+    b = table(spark, sf, "benchmark")
+    following = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("also"))
+    words = F.concat(F.slice(tokens(F.col("text")), 1, 12), F.coalesce(F.slice(tokens(F.col("also")), 1, 6), F.array().cast("array<string>")))
+    both = b.join(following, "item_id", "left").withColumn("also", F.when(F.col("item_id") % 3 > 0, F.col("also")))
+    return both.select(F.col("item_id").alias("qid"), F.col("text").alias("anchor"), F.array_join(words, " ").alias("query"), "also")
+
+
+def anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, anchor_idx, anchor): the texts that a question's evidence must hold, one or two."""
+    texts = F.filter(F.array(F.struct(F.lit(0).alias("i"), F.col("anchor").alias("a")), F.struct(F.lit(1).alias("i"), F.col("also").alias("a"))), lambda x: x["a"].isNotNull())
+    return questions(spark, sf).select("qid", F.explode(texts).alias("x")).select("qid", F.col("x.i").alias("anchor_idx"), F.col("x.a").alias("anchor"))
+
+
+def gold_of(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, anchor_idx, chunk_id) of the chunks that hold an anchor."""
+    return retrieve.resolve_gold(anchors(spark, sf), chunks(spark, sf))
+
+
+def any_gold(gold: DataFrame) -> DataFrame:
+    """(qid, chunk_id) of the chunks that hold any anchor of a question."""
+    return gold.select("qid", "chunk_id").distinct()
+
+
+def dense(q: DataFrame, c: DataFrame, n: int) -> DataFrame:
+    """The dense leg: hashed trigram vectors of questions against those of whole chunks."""
+    return retrieve.knn(embed.hashed_vectors(q, "qid", "query"), embed.hashed_vectors(c, "chunk_id", "text"), n)
+
+
+def legs(spark: SparkSession, sf: str, n: int = 50):
+    """Chunks, questions, and the lexical and the dense leg over them."""
+    c, q = chunks(spark, sf), questions(spark, sf)
+    return c, q, retrieve.bm25(q, c, n), dense(q, c, n)
 
 
 def tok(x: str) -> str:
@@ -37,7 +88,7 @@ def sents(x: str) -> str:
 
 
 C = "c AS (SELECT doc_id AS chunk_id, doc_id, text, source, lang AS tenant, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') AS published, substr(string_split(text, chr(10))[1], 1, 60) AS title FROM documents)"
-Q = f"q AS (SELECT item_id AS qid, text AS anchor, array_to_string(list_slice({tok('text')}, 1, 12), ' ') AS query FROM benchmark)"
+Q = f"q AS (SELECT b.item_id AS qid, b.text AS anchor, n.text AS also, array_to_string(list_concat(list_slice({tok('b.text')}, 1, 12), coalesce(list_slice({tok('n.text')}, 1, 6), [])), ' ') AS query FROM benchmark b LEFT JOIN benchmark n ON n.item_id = b.item_id + 1 AND b.item_id % 3 > 0)"
 TERMS = f"""ct AS (SELECT chunk_id, {tok('text')} AS t FROM c), dl AS (SELECT chunk_id, len(t) AS dl FROM ct),
 st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
 p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM ct) GROUP BY ALL),
@@ -51,7 +102,32 @@ def bm(name: str, n: int, k1: float = 1.5, b: float = 0.75) -> str:
     return f"{name} AS MATERIALIZED (SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, {score} AS score FROM p JOIN df USING (term) JOIN qt USING (term) JOIN dl USING (chunk_id), st GROUP BY qid, chunk_id)) WHERE rank <= {n})"
 
 
-GOLD = f"g AS MATERIALIZED (SELECT qid, chunk_id FROM q JOIN c ON contains({norm('c.text')}, {norm('q.anchor')}))"
+def vec(name: str, source: str, key: str, text: str) -> str:
+    """SQL of hashed trigram vectors (key, v) of a relation's texts."""
+    return f"""{name} AS MATERIALIZED (WITH p AS (SELECT {key}, ' ' || regexp_replace(lower({text}), '\\s+', ' ', 'g') || ' ' AS s FROM {source}), t AS (SELECT {key}, substr(s, i, 3) AS t, count(*) AS n FROM (SELECT {key}, s, unnest(range(1, length(s) - 1)) AS i FROM p) GROUP BY ALL), h AS (SELECT {key}, n, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM t), b AS (SELECT {key}, h % 192 AS b, CAST(sum(CASE WHEN (h >> 8) & 1 = 1 THEN n ELSE -n END) AS BIGINT) AS n FROM h GROUP BY ALL), m AS (SELECT {key}, sqrt(sum(n * n)) AS m FROM b GROUP BY {key}), grid AS (SELECT {key}, unnest(range(192)) AS b FROM {source})
+SELECT {key}, list(CASE WHEN coalesce(m, 0) > 0 THEN round(coalesce(n, 0) / m, 6) ELSE 0.0 END ORDER BY b) AS v FROM grid LEFT JOIN b USING ({key}, b) LEFT JOIN m USING ({key}) GROUP BY {key})"""
+
+
+def near(name: str, n: int) -> str:
+    """SQL of the dense leg over the vectors hq and hc."""
+    return f"{name} AS MATERIALIZED (SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(list_dot_product(hq.v, hc.v), 6) AS score FROM hq, hc)) WHERE rank <= {n})"
+
+
+GOLD = f"ga AS MATERIALIZED (SELECT DISTINCT qid, anchor_idx, chunk_id FROM (SELECT qid, 0 AS anchor_idx, anchor AS a FROM q UNION ALL SELECT qid, 1, also FROM q WHERE also IS NOT NULL) JOIN c ON contains({norm('c.text')}, {norm('a')})), g AS MATERIALIZED (SELECT DISTINCT qid, chunk_id FROM ga)"
 BASE = f"WITH {C}, {Q}"
-LEGS = f"{BASE}, {TERMS}, {bm('la', 50)}, {bm('lb', 50, 0.9, 0.4)}, {GOLD}"
+VECS = f"{vec('hq', 'q', 'qid', 'query')}, {vec('hc', 'c', 'chunk_id', 'text')}"
+LEGS = f"{BASE}, {TERMS}, {bm('la', 50)}, {VECS}, {near('lb', 50)}, {GOLD}"
 RRF = "fused AS (SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT * FROM la UNION ALL SELECT * FROM lb) GROUP BY qid, chunk_id)) WHERE rank <= 20)"
+
+
+def greedy(hits: str, k: int) -> str:
+    """SQL of greedy nDCG: gd (qid, ndcg)."""
+    return f"""hold AS (SELECT qid, chunk_id, list_sort(list(DISTINCT anchor_idx)) AS an FROM ga GROUP BY ALL), gz AS (WITH RECURSIVE z AS (SELECT qid, 0 AS pos, CAST([] AS INTEGER[]) AS seen, CAST(0.0 AS DOUBLE) AS gain FROM (SELECT DISTINCT qid FROM ga)
+UNION ALL SELECT qid, pos + 1, CASE WHEN new IS NULL THEN seen ELSE list_append(seen, new) END, gain + CASE WHEN new IS NULL THEN 0.0 ELSE 1.0 / log2(pos + 2) END FROM (SELECT z.*, list_filter(coalesce(an, CAST([] AS INTEGER[])), lambda x: NOT list_contains(seen, x))[1] AS new FROM z LEFT JOIN {hits} h ON h.qid = z.qid AND h.rank = z.pos + 1 LEFT JOIN hold ON hold.qid = z.qid AND hold.chunk_id = h.chunk_id WHERE pos < {k})) SELECT qid, gain FROM z WHERE pos = {k}),
+gd AS (SELECT qid, round(gain / list_sum(list_transform(range(1, least(n, {k}) + 1), lambda i: 1.0 / log2(i + 1))), 6) AS ndcg FROM gz JOIN (SELECT qid, count(DISTINCT anchor_idx) AS n FROM ga GROUP BY qid) USING (qid))"""
+
+
+def per_question(hits: str, k: int) -> str:
+    """SQL of the metrics of each question: pm (qid, evidence_recall, full_chain, mrr, ndcg)."""
+    return f"""{greedy(hits, k)}, fr AS (SELECT ga.qid, anchor_idx, min(h.rank) AS r FROM ga LEFT JOIN {hits} h ON h.qid = ga.qid AND h.chunk_id = ga.chunk_id AND h.rank <= {k} GROUP BY ALL),
+pm AS (SELECT q.qid, round(avg(CASE WHEN fr.qid IS NOT NULL THEN CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END END), 6) AS evidence_recall, min(CASE WHEN fr.qid IS NOT NULL THEN CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END END) AS full_chain, CASE WHEN count(fr.qid) > 0 THEN round(coalesce(1.0 / min(r), 0.0), 6) END AS mrr, any_value(gd.ndcg) AS ndcg FROM q LEFT JOIN fr USING (qid) LEFT JOIN gd USING (qid) GROUP BY q.qid)"""

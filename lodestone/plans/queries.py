@@ -3,46 +3,21 @@
 from __future__ import annotations
 
 import datetime
-import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import agent, chunk, economy, embed, events, index, judge, metrics, pack, rerank, retrieve
-from lodestone.plans.base import BASE, C, GOLD, LEGS, Q, RRF, TERMS, bm, chunks, norm, questions, sents, tok
+from lodestone.operators._state import kept
+from lodestone.plans.base import BASE, GOLD, LEGS, RRF, TERMS, C, any_gold, bm, chunks, gold_of, legs, norm, per_question, query, questions, sents, tok
 from lodestone.sources import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+_legs = legs
 
 
-def query(sql: str | None = None):
-    """Registers a query under its name, and its SQL if SQL can express it."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            # DuckDB reads 0.5 as a decimal and 0.5e0 as the double that Spark has
-            ORACLE_SQL[f.__name__] = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql)
-        return f
-
-    return add
-
-
-def _legs(spark, sf):
-    c, q = chunks(spark, sf), questions(spark, sf)
-    return c, q, retrieve.bm25(q, c, 50), retrieve.bm25(q, c, 50, 0.9, 0.4)
-
-
-def _gold(q, c):
-    return retrieve.resolve_gold(q.select("qid", "anchor"), c)
-
-
-def _gold_rows(q, c):
-    return _gold(q, c).withColumn("anchor", F.lit(0))
+def _gold(spark, sf):
+    return any_gold(gold_of(spark, sf))
 
 
 def _fused(spark, sf):
@@ -53,19 +28,11 @@ def _fused(spark, sf):
 # --- retrieval ----------------------------------------------------------------------------------------
 
 
-METRICS_SQL = """, per AS (SELECT g.qid, min(h.rank) AS r FROM g LEFT JOIN {h} h ON h.qid = g.qid AND h.chunk_id = g.chunk_id AND h.rank <= {k} GROUP BY g.qid)
-SELECT q.qid, CASE WHEN per.qid IS NULL THEN NULL WHEN r IS NULL THEN 0.0 ELSE 1.0 END AS evidence_recall,
-CASE WHEN per.qid IS NULL THEN NULL WHEN r IS NULL THEN 0.0 ELSE 1.0 END AS full_chain,
-CASE WHEN per.qid IS NULL THEN NULL ELSE round(coalesce(1.0 / r, 0.0), 6) END AS mrr,
-CASE WHEN per.qid IS NULL THEN NULL ELSE round(coalesce(1.0 / log2(r + 1), 0.0), 6) END AS ndcg
-FROM q LEFT JOIN per USING (qid)"""
-
-
-@query(f"{BASE}, {TERMS}, {bm('la', 8)}, {GOLD}" + METRICS_SQL.format(h="la", k=8))
+@query(f"{BASE}, {TERMS}, {bm('la', 8)}, {GOLD}, {per_question('la', 8)} SELECT * FROM pm")
 def bm25_evaluation(spark, sf):
     """The flagship: BM25 for all questions, gold by containment, metrics of each question."""
     c, q = chunks(spark, sf), questions(spark, sf)
-    return metrics.retrieval_metrics(q, _gold_rows(q, c), retrieve.bm25(q, c, 8), 8)
+    return metrics.retrieval_metrics(q, gold_of(spark, sf), retrieve.bm25(q, c, 8), 8)
 
 
 @query(f"{BASE}, {TERMS}, {bm('la', 10)} SELECT * FROM la")
@@ -75,8 +42,8 @@ def bm25_topk(spark, sf):
 
 @query(f"{BASE}, {TERMS}, {bm('x1', 3, 0.9, 0.4)}, {bm('x2', 3, 1.2, 0.75)}, {bm('x3', 3, 2.0, 0.9)} SELECT 0.9 AS k1, 0.4 AS b, * FROM x1 UNION ALL SELECT 1.2, 0.75, * FROM x2 UNION ALL SELECT 2.0, 0.9, * FROM x3")
 def bm25_grid(spark, sf):
-    c, q = chunks(spark, sf), questions(spark, sf)
-    parts = [retrieve.bm25(q, c, 3, k1, b).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "*") for k1, b in ((0.9, 0.4), (1.2, 0.75), (2.0, 0.9))]
+    found = retrieve.postings(questions(spark, sf), chunks(spark, sf))
+    parts = [retrieve.score(found, 3, k1, b).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "*") for k1, b in ((0.9, 0.4), (1.2, 0.75), (2.0, 0.9))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -155,13 +122,13 @@ def leg_overlap(spark, sf):
 
 @query(f"{BASE}, {GOLD} SELECT * FROM g")
 def gold_resolution(spark, sf):
-    return _gold(questions(spark, sf), chunks(spark, sf))
+    return _gold(spark, sf)
 
 
 @query(f"{BASE}, {GOLD} SELECT qid FROM q WHERE qid NOT IN (SELECT qid FROM g)")
 def unresolved_gold(spark, sf):
     q, c = questions(spark, sf), chunks(spark, sf)
-    return retrieve.unresolved(q, _gold(q, c))
+    return retrieve.unresolved(q, _gold(spark, sf))
 
 
 # --- text, filters ------------------------------------------------------------------------------------
@@ -192,9 +159,7 @@ def _personas(spark):
 
 @query(f"WITH {C}, {PERSONAS} SELECT persona, count(*) AS n FROM c JOIN personas ON list_contains(groups, source) GROUP BY persona")
 def acl_prefilter(spark, sf):
-    groups = _personas(spark).select("persona", F.explode("groups").alias("g"))
-    may = chunks(spark, sf).select("chunk_id", F.explode("acl").alias("g")).join(groups, "g").select("persona", "chunk_id").distinct()
-    return may.groupBy("persona").agg(F.count("*").alias("n"))
+    return retrieve.visible_to(chunks(spark, sf), _personas(spark)).groupBy("persona").agg(F.count("*").alias("n"))
 
 
 @query(f"{BASE}, {TERMS}, {bm('la', 8)} SELECT qid, count(*) AS before, count(*) FILTER (source IN ('src0', 'src1', 'src2', 'src3', 'src4')) AS after, count(*) - count(*) FILTER (source IN ('src0', 'src1', 'src2', 'src3', 'src4')) AS k_collapse FROM la JOIN c USING (chunk_id) GROUP BY qid")
@@ -207,16 +172,16 @@ def acl_postfilter_kcollapse(spark, sf):
 # --- metrics ------------------------------------------------------------------------------------------
 
 
-@query(f"{LEGS}, {RRF}" + METRICS_SQL.format(h="fused", k=8))
+@query(f"{LEGS}, {RRF}, {per_question('fused', 8)} SELECT * FROM pm")
 def rrf_evaluation(spark, sf):
     c, q, hits = _fused(spark, sf)
-    return metrics.retrieval_metrics(q, _gold_rows(q, c), hits, 8)
+    return metrics.retrieval_metrics(q, gold_of(spark, sf), hits, 8)
 
 
 @query(f"{LEGS}, ks(k) AS (VALUES (1), (3), (8), (20)) SELECT k, round(avg(f), 6) AS recall FROM (SELECT k, g.qid, max(CASE WHEN la.rank <= k THEN 1.0 ELSE 0.0 END) AS f FROM g CROSS JOIN ks LEFT JOIN la ON la.qid = g.qid AND la.chunk_id = g.chunk_id GROUP BY ALL) GROUP BY k")
 def k_sweep(spark, sf):
     c, q, a, _ = _legs(spark, sf)
-    found = _gold(q, c).join(a.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.min("rank").alias("r"))
+    found = _gold(spark, sf).join(a.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.min("rank").alias("r"))
     ks = spark.range(1).select(F.explode(F.array(*map(F.lit, (1, 3, 8, 20)))).alias("k"))
     return found.crossJoin(F.broadcast(ks)).groupBy("k").agg(F.round(F.avg(F.coalesce((F.col("r") <= F.col("k")).cast("double"), F.lit(0.0))), 6).alias("recall"))
 
@@ -224,13 +189,13 @@ def k_sweep(spark, sf):
 @query(f"{LEGS} SELECT q.qid, round(coalesce(p, 0.0), 6) AS context_precision FROM q LEFT JOIN (SELECT la.qid, avg(CASE WHEN g.chunk_id IS NULL THEN 0.0 ELSE 1.0 END) AS p FROM la LEFT JOIN g USING (qid, chunk_id) WHERE rank <= 8 GROUP BY la.qid) USING (qid)")
 def context_precision(spark, sf):
     c, q, a, _ = _legs(spark, sf)
-    return metrics.context_precision(a, _gold(q, c), q, 8)
+    return metrics.context_precision(a, _gold(spark, sf), q, 8)
 
 
 @query(f"{LEGS} SELECT q.qid, round(coalesce(x, 1.0), 6) AS ceiling FROM q LEFT JOIN (SELECT g.qid, avg(CASE WHEN la.chunk_id IS NULL THEN 0.0 ELSE 1.0 END) AS x FROM g LEFT JOIN la ON la.qid = g.qid AND la.chunk_id = g.chunk_id AND la.rank <= 20 GROUP BY g.qid) USING (qid)")
 def reranker_ceiling(spark, sf):
     c, q, a, _ = _legs(spark, sf)
-    return rerank.ceiling(q, _gold(q, c), a, 20)
+    return rerank.ceiling(q, _gold(spark, sf), a, 20)
 
 
 ABST = "x AS (SELECT qid, qid NOT IN (SELECT qid FROM g) AS is_null, coalesce((SELECT max(score) FROM la WHERE la.qid = q.qid), 0) AS s FROM q)"
@@ -241,7 +206,7 @@ PRF = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, rou
 def _abstaining(spark, sf):
     c, q, a, _ = _legs(spark, sf)
     best = a.groupBy("qid").agg(F.max("score").alias("s"))
-    gold = _gold(q, c).select("qid").distinct().withColumn("g", F.lit(True))
+    gold = _gold(spark, sf).select("qid").distinct().withColumn("g", F.lit(True))
     return q.select("qid").join(best, "qid", "left").join(gold, "qid", "left").select("qid", F.col("g").isNull().alias("is_null"), F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
@@ -260,7 +225,8 @@ def threshold_sweep(spark, sf):
 @query(f"{LEGS} SELECT count(*) AS n, round(avg(score), 6) AS mean, list_sort(list(score))[greatest(1, CAST(floor(count(*) * 0.95) AS INTEGER))] AS p95 FROM la WHERE rank = 1")
 def summary_p95(spark, sf):
     _, _, a, _ = _legs(spark, sf)
-    return a.filter("rank = 1").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), metrics.low_p95(F.col("score")).alias("p95"))
+    best = kept(a.filter("rank = 1"))
+    return best.agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean")).crossJoin(metrics.ranked_value(best, "score", 0.95).select(F.col("value").alias("p95")))
 
 
 @query("SELECT coalesce(l.quality::VARCHAR, '?') AS quality, count(*) AS n, round(avg(n_chars), 3) AS n_chars, round(avg(l.toxic), 3) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -281,7 +247,7 @@ MISS = "ml AS (SELECT qid FROM g GROUP BY qid HAVING qid NOT IN (SELECT g.qid FR
 @query(f"{LEGS}, {MISS}, x AS (SELECT (SELECT count(*) FROM md) AS n_dense, (SELECT count(*) FROM ml) AS n_lexical, (SELECT count(*) FROM ml JOIN md USING (qid)) AS n_both, (SELECT count(*) FROM (SELECT qid FROM ml UNION SELECT qid FROM md)) AS n_either) SELECT *, round(CASE WHEN n_dense > 0 THEN n_both / n_dense ELSE 0.0 END, 6) AS conditional, round(CASE WHEN n_either > 0 THEN n_both / n_either ELSE 0.0 END, 6) AS jaccard FROM x")
 def failure_overlap(spark, sf):
     c, q, a, b = _legs(spark, sf)
-    gold = _gold(q, c)
+    gold = _gold(spark, sf)
     missed = [gold.select("qid").distinct().join(leg.filter("rank <= 1").join(gold, ["qid", "chunk_id"]).select("qid"), "qid", "left_anti") for leg in (a, b)]
     return metrics.failure_overlap(missed[0], missed[1])
 
@@ -538,7 +504,7 @@ def prefix_cache_lcp(spark, sf):
 @query(f"{LEGS}, x AS (SELECT g.qid, min(rank) AS r FROM g LEFT JOIN la USING (qid, chunk_id) GROUP BY g.qid) SELECT owner, count(*) AS n FROM (SELECT CASE WHEN r IS NULL THEN 'First-stage retrieval' WHEN r > 3 THEN 'Ranking / packing' ELSE 'none' END AS owner FROM x) GROUP BY owner")
 def fault_isolation(spark, sf):
     c, q, a, _ = _legs(spark, sf)
-    r = _gold(q, c).join(a, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.min("rank").alias("r"))
+    r = _gold(spark, sf).join(a, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.min("rank").alias("r"))
     nodes = [(F.col("r").isNull() | (F.col("r") > 3), "Retrieval", False), (F.col("r").isNull(), "First-stage retrieval", True), (F.col("r") > 3, "Ranking / packing", True)]
     return economy.decide(r, nodes, "none").groupBy("owner").agg(F.count("*").alias("n"))
 

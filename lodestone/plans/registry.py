@@ -1,5 +1,6 @@
 """All queries of the library proper and the SQL they are held against."""
 
-from lodestone.plans.queries import ORACLE_SQL, QUERIES
+from lodestone.plans import queries  # noqa: F401  (registers its queries)
+from lodestone.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
