@@ -40,20 +40,40 @@ def edges_order(packed: DataFrame) -> DataFrame:
     return packed.select("qid", "chunk_id", place.cast("int").alias("place"))
 
 
-def quota(hits: DataFrame, entities: DataFrame, k: int = 8) -> DataFrame:
-    """First a share of slots for each entity of a question, by rank, then the best of the rest.
+def quota(hits: DataFrame, entities: DataFrame, k: int = 8, cap: int = 6000) -> DataFrame:
+    """First a share of slots for each entity of a question in order, then the best of the rest, all under the cap.
 
-    ``hits`` is (qid, rank, chunk_id, text), ``entities`` (qid, entity).
+    ``hits`` is (qid, rank, chunk_id, text, n_tokens), ``entities`` (qid, entity). A hit that an entity has
+    taken is no other one's; one that doesn't fit is skipped.
     """
-    from pyspark.sql import Window
-
-    counts = entities.groupBy("qid").agg(F.count("*").alias("n_entities"))
-    about = hits.join(entities, "qid").filter(F.contains(F.lower("text"), F.lower("entity")))
-    own = about.withColumn("r", F.row_number().over(Window.partitionBy("qid", "entity").orderBy("rank"))).join(counts, "qid").filter(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(k) / F.col("n_entities"))))
-    first = own.select("qid", "chunk_id").distinct().withColumn("reserved", F.lit(0))
-    order = hits.select("qid", "chunk_id", "rank").join(first, ["qid", "chunk_id"], "left").withColumn("reserved", F.coalesce("reserved", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("reserved", "rank"))
-    return order.withColumn("place", place).filter(F.col("place") <= k).select("qid", "chunk_id", "place", (F.col("reserved") == 0).alias("reserved"))
+    names = entities.groupBy("qid").agg(F.array_sort(F.collect_set("entity")).alias("names"))
+    about = F.filter(F.transform("names", lambda e: F.when(F.contains(F.lower("text"), F.lower(e)), e)), lambda e: e.isNotNull())
+    marked = hits.join(names, "qid", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>"))).withColumn("about", about)
+    rows = marked.withColumns({"rank": F.col("rank").cast("int"), "n_tokens": F.col("n_tokens").cast("long")}).groupBy("qid").agg(F.first("names").alias("names"), F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "n_tokens", "about"))).alias("h"))
+    kind = hits.schema["chunk_id"].dataType.simpleString()
+    fits = f"NOT array_contains(z.ids, x.chunk_id) AND z.used + x.n_tokens <= {cap}"
+
+    def take(when: str) -> str:
+        return f"(z, x) -> if({when} AND {fits}, named_struct('used', z.used + x.n_tokens, 'ids', concat(z.ids, array(x.chunk_id)), 'n', z.n + 1), z)"
+
+    share = f"greatest(1, {k} div greatest(1, size(names)))"
+    start = f"named_struct('used', 0L, 'ids', cast(array() AS array<{kind}>), 'n', 0)"
+    reserved = f"aggregate(names, {start}, (s, e) -> aggregate(h, named_struct('used', s.used, 'ids', s.ids, 'n', 0), {take(f'z.n < {share} AND array_contains(x.about, e)')}))"
+    filled = rows.withColumn("r", F.expr(reserved)).withColumn("f", F.expr(f"aggregate(h, r, {take(f'size(z.ids) < {k}')})"))
+    out = filled.select("qid", F.size("r.ids").alias("n_reserved"), F.posexplode("f.ids").alias("at", "chunk_id"))
+    return out.select("qid", "chunk_id", (F.col("at") + 1).alias("place"), (F.col("at") < F.col("n_reserved")).alias("reserved"))
+
+
+def entity_shares(packed: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, weakest, prevalence): the least share of packed chunks that any entity of a question has among those
+    that any has, and how many times more chunks of the corpus hold its most common entity than its rarest."""
+    has = F.contains(F.lower("text"), F.lower("entity"))
+    named = F.broadcast(entities.select("entity").distinct())
+    overall = chunks.join(named, has).groupBy("entity").agg(F.count("*").alias("in_corpus"))
+    mine = packed.select("qid", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(entities, "qid").filter(has).groupBy("qid", "entity").agg(F.count("*").alias("n"))
+    per = entities.join(mine, ["qid", "entity"], "left").join(overall, "entity", "left").na.fill(0, ["n", "in_corpus"])
+    out = per.groupBy("qid").agg(F.min("n").alias("low"), F.sum("n").alias("all"), F.max("in_corpus").alias("most"), F.min("in_corpus").alias("least"))
+    return out.select("qid", F.round(F.when(F.col("all") > 0, F.col("low") / F.col("all")), 6).alias("weakest"), F.round(F.col("most") / F.greatest(F.lit(1), "least"), 6).alias("prevalence"))
 
 
 def k_collapse(hits: DataFrame, acl: DataFrame, groups: DataFrame, k: int = 8) -> DataFrame:

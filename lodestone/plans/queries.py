@@ -434,21 +434,6 @@ def dedup_greedy(spark, sf):
     return pack.dedup(hits.withColumn("tokens", F.array_distinct("tokens")), 0.82)
 
 
-@query()
-def quota_pack(spark, sf):
-    c, q = chunks(spark, sf), questions(spark, sf)
-    hits = retrieve.bm25(q, c, 20).join(c.select("chunk_id", "text"), "chunk_id")
-    entities = q.select("qid", F.explode(F.slice(F.split("query", " "), 1, 2)).alias("entity"))
-    return pack.quota(hits, entities.distinct(), 8)
-
-
-@query()
-def extractive_answer(spark, sf):
-    c, q = chunks(spark, sf), questions(spark, sf)
-    blocks = retrieve.bm25(q, c, 4).join(c.select("chunk_id", "text"), "chunk_id")
-    return judge.extractive(q, blocks)
-
-
 JB = f"{BASE}, {TERMS}, {bm('la', 4)}, bl AS (SELECT qid, {tok('text')} AS bt FROM la JOIN c USING (chunk_id)), cl AS (SELECT qid, generate_subscripts(s, 1) AS i, unnest(s) AS claim FROM (SELECT qid, list_filter({sents('anchor')}, lambda s: length(s) > 12) AS s FROM q)), sup AS (SELECT cl.qid, i, max(CASE WHEN len(list_distinct({tok('claim')})) = 0 THEN 1.0 ELSE coalesce(len(list_intersect(list_distinct({tok('claim')}), bt)) / len(list_distinct({tok('claim')})), 0.0) END) AS best FROM cl LEFT JOIN bl USING (qid) GROUP BY ALL), pr AS (SELECT qid, count(*) AS n_claims, count(*) FILTER (best < 0.5) AS n_bad FROM sup GROUP BY qid)"
 
 
