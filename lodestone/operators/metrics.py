@@ -96,19 +96,194 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select(F.round(value, 6).alias("kappa"), F.round("po", 6).alias("agreement"), F.col("t").alias("n"))
 
 
+#: Chances of at most so many draws of a row (Poisson with mean 1).
+DRAWS = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759)
+
+
+def resampled_means(rows: DataFrame, n_boot: int, seed: int = 11) -> DataFrame:
+    """(rep, m): means of (qid, d) over resamples. How often a row is drawn comes from an md5 of replicate and
+    id, so any engine draws alike, one scan suffices, and sums are made from partial ones."""
+    rep = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
+    drawn = rows.select("qid", "d", rep.alias("rep"))
+    digest = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("qid").cast("string")), "UTF-8"))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / 4294967296.0
+    times = F.lit(len(DRAWS))
+    for n, chance in reversed(list(enumerate(DRAWS))):
+        times = F.when(F.col("u") < chance, n).otherwise(times)
+    weighted = drawn.withColumn("u", u).withColumn("w", times)
+    return weighted.groupBy("rep").agg(F.sum(F.col("w") * F.col("d")).alias("s"), F.sum("w").alias("n")).filter("n > 0").select("rep", F.round(F.col("s") / F.col("n"), 9).alias("m"))
+
+
 def paired_bootstrap(pairs: DataFrame, n_boot: int = 200, seed: int = 11) -> DataFrame:
-    """Confidence interval of mean(b - a) over (qid, a, b) by resampling; md5 draws, so any engine agrees."""
-    kept = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    numbered = kept.select((F.row_number().over(Window.orderBy("qid")) - 1).cast("long").alias("i"), (F.col("b") - F.col("a")).alias("d"))
-    n = kept.agg(F.count("*").alias("n"))
-    spark = pairs.sparkSession
-    drawn = spark.range(n_boot).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n)).withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("j").cast("string")))
-    drawn = drawn.select("rep", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).alias("i"))
-    means = drawn.join(numbered, "i").groupBy("rep").agg(F.round(F.avg("d"), 9).alias("m"))
-    ordered = means.agg(F.sort_array(F.collect_list("m")).alias("ms"), F.round(F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)), 6).alias("p_better"))
+    """Confidence interval of mean(b - a) over (qid, a, b), both known, by resampling."""
+    rows = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select("qid", (F.col("b") - F.col("a")).alias("d"))
+    ordered = resampled_means(rows, n_boot, seed).agg(F.sort_array(F.collect_list("m")).alias("ms"), F.round(F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)), 6).alias("p_better"))
     low = F.element_at("ms", F.lit(int(0.025 * n_boot) + 1))
     high = F.element_at("ms", F.lit(int(0.975 * n_boot)))
-    delta = kept.agg(F.round(F.avg(F.col("b") - F.col("a")), 6).alias("delta"))
+    delta = rows.agg(F.round(F.avg("d"), 6).alias("delta"))
     out = delta.crossJoin(ordered).select("delta", F.round(low, 6).alias("lo"), F.round(high, 6).alias("hi"), "p_better")
     return out.withColumn("verdict", F.when((F.col("lo") > 0) | (F.col("hi") < 0), "real").otherwise("inside the noise band"))
+
+
+def noise_band(rows: DataFrame, n_boot: int = 400, seed: int = 3) -> DataFrame:
+    """One row (lo, hi, band) of a single run's (qid, d): the tenth resampled mean from either end, and half the way between."""
+    ms = resampled_means(rows.filter(F.col("d").isNotNull()), n_boot, seed).agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    return ms.select(F.element_at("ms", 11).alias("lo"), F.element_at("ms", -10).alias("hi")).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round((F.col("hi") - F.col("lo")) / 2, 4).alias("band"))
+
+
+def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Kappa of two labels with its strength and whether a judge of such agreement is of use."""
+    k = F.col("kappa")
+    band = F.when(k < 0.2, "poor").when(k < 0.4, "fair").when(k < 0.6, "moderate").when(k < 0.8, "substantial").otherwise("almost perfect")
+    return kappa(pairs, a, b).select("kappa", "agreement", band.alias("strength"), (k >= 0.6).alias("usable"), "n")
+
+
+def recall_of(gold: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+    """(qid, <name>, <name>_chain): share of a question's anchors that a hit of any rank holds, and whether all are."""
+    per = gold.join(hits.select("qid", "chunk_id").distinct().withColumn("in", F.lit(1)), ["qid", "chunk_id"], "left").groupBy("qid", "anchor_idx").agg(F.max(F.coalesce("in", F.lit(0))).alias("f"))
+    return per.groupBy("qid").agg(F.round(F.avg("f"), 6).alias(name), F.min("f").cast("double").alias(f"{name}_chain"))
+
+
+def citation_accuracy(answers: DataFrame, packed: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, resolvable, on_gold) of (qid, citations): shares of cited places that are packed (qid, rank, chunk_id),
+    and that hold gold; null without citations."""
+    cited = answers.select("qid", F.explode(F.array_distinct("citations")).alias("sid")).withColumn("rank", F.expr("try_cast(substring(sid, 2) AS INT)"))
+    at = cited.join(packed.select("qid", "rank", "chunk_id"), ["qid", "rank"], "left")
+    known = gold.select("qid", "chunk_id").distinct().withColumn("g", F.lit(1))
+    per = at.join(known, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.round(F.avg(F.col("chunk_id").isNotNull().cast("int")), 6).alias("resolvable"), F.round(F.avg(F.coalesce("g", F.lit(0))), 6).alias("on_gold"))
+    return answers.select("qid").join(per, "qid", "left")
+
+
+def evaluate(questions: DataFrame, anchors: DataFrame, gold: DataFrame, candidates: DataFrame, packed: DataFrame, answers: DataFrame, k: int = 8, stable_tokens: int = 0, rates=None) -> DataFrame:
+    """One row a question with all that reports are made of: what its evidence was, where it got lost, what was said.
+
+    ``questions`` is (qid, query, answer), ``anchors`` (qid, anchor_idx), ``packed`` (qid, chunk_id, rank,
+    n_tokens), ``answers`` (qid, answer, citations). A question whose anchors no chunk holds is a null one.
+    """
+    from lodestone.functions.text import approx_tokens
+    from lodestone.operators import judge, rerank
+    from lodestone.operators.economy import Rates
+
+    rates = rates or Rates()
+    asked = anchors.groupBy("qid").agg(F.countDistinct("anchor_idx").alias("hops"))
+    resolved = gold.groupBy("qid").agg(F.countDistinct("anchor_idx").alias("gold_items"))
+    mine = packed.groupBy("qid").agg(F.sum("n_tokens").alias("evidence_tokens"))
+    correct = judge.answer_correct(questions.select("qid", F.col("answer").alias("gold")).join(answers.select("qid", "answer"), "qid"))
+    rows = questions.select("qid", "query").join(asked, "qid", "left").join(resolved, "qid", "left").join(mine, "qid", "left")
+    rows = rows.join(recall_of(gold, packed, "evidence_recall"), "qid", "left").join(recall_of(gold, candidates, "recall_at_n"), "qid", "left")
+    near = retrieval_metrics(questions, gold, candidates, k).select("qid", "ndcg")
+    first = anchors_found(questions, gold, candidates, 1 << 30).groupBy("qid").agg(F.round(F.coalesce(1 / F.min("first_rank"), F.lit(0.0)), 6).alias("mrr"))
+    rows = rows.join(near, "qid", "left").join(first, "qid", "left").join(context_precision(packed, gold, questions, 1 << 30), "qid", "left")
+    rows = rows.join(rerank.ceiling(questions, gold, candidates, 1 << 30), "qid", "left").join(answers.select("qid", "answer"), "qid", "left").join(correct, "qid", "left")
+    rows = rows.join(citation_accuracy(answers, packed, gold), "qid", "left")
+    rows = rows.withColumns({"gold_items": F.coalesce("gold_items", F.lit(0)), "is_null": F.col("gold_items").isNull(), "abstained": judge.abstained(F.col("answer"))})
+    tokens_in = F.lit(stable_tokens) + F.coalesce("evidence_tokens", F.lit(0)) + approx_tokens(F.col("query"))
+    tokens_out = F.when(F.col("abstained"), 6).otherwise(F.greatest(F.lit(8), F.floor(F.length("answer") / 4).cast("int")))
+    rows = rows.withColumns({"answer_correct": F.when(F.col("is_null"), F.col("abstained").cast("double")).otherwise(F.col("correct")), "unresolved_gold": F.col("hops") - F.col("gold_items"), "tokens_in": tokens_in.cast("long"), "tokens_out": tokens_out.cast("long")})
+    rows = rows.withColumn("cost_usd", F.round(rates.cost(F.col("tokens_in"), F.col("tokens_out")), 8))
+    names = ["hops", "is_null", "gold_items", "unresolved_gold", "evidence_recall", "recall_at_n", "ndcg", "mrr", "context_precision", "ceiling", "answer", "abstained", "answer_correct"]
+    return rows.select("qid", *names, F.col("evidence_recall_chain").alias("full_chain"), F.col("recall_at_n_chain").alias("full_chain_at_n"), F.col("resolvable").alias("citation_resolvable"), F.col("on_gold").alias("citation_on_gold"), "tokens_in", "tokens_out", "cost_usd")
+
+
+QUALITY = ["evidence_recall", "full_chain", "ndcg", "mrr", "context_precision", "answer_correct"]
+
+
+def summarize(rows: DataFrame, counters: tuple[str, ...] = ("tokens_in", "tokens_out", "cost_usd")) -> DataFrame:
+    """A run in one row: means of what is known, scores of abstaining, means and p95 of the counters."""
+    from lodestone.operators._state import kept
+
+    rows = kept(rows)
+    means = rows.agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in (*QUALITY, *counters)))
+    out = means.crossJoin(abstention(rows, F.col("is_null"), F.col("abstained")).withColumnsRenamed({"precision": "abstention_precision", "recall": "abstention_recall", "f1": "abstention_f1"}))
+    for c in counters:
+        out = out.crossJoin(ranked_value(rows, c, 0.95).select(F.col("value").alias(f"{c}_p95")))
+    return out
+
+
+def compare_runs(runs: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(run, n, ...): means of each named run's rows."""
+    parts = [rows.agg(F.count("*").alias("n"), *(F.round(F.avg(k), 4).alias(k) for k in keys)).select(F.lit(name).alias("run"), "*") for name, rows in runs.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def slice_deltas(base: DataFrame, run: DataFrame, by: str, metric: str, tolerance: float = 0.02) -> DataFrame:
+    """(slice, base, run, delta, regressed): a run's means against a baseline's in each slice; an average can
+    improve while a slice gets worse."""
+    def means(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.col(by).alias("slice")).agg(F.avg(metric).alias(name))
+
+    both = means(base, "base").join(means(run, "run"), "slice").withColumn("delta", F.col("run") - F.col("base"))
+    return both.select("slice", F.round("base", 6).alias("base"), F.round("run", 6).alias("run"), F.round("delta", 6).alias("delta"), (F.col("delta") < -tolerance).alias("regressed"))
+
+
+def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(metric, baseline, current, delta, gate) of (metric, current) and (metric, baseline, tolerance)."""
+    delta = F.round(F.col("current") - F.col("baseline"), 6)
+    return baseline.join(current, "metric").select("metric", "baseline", "current", delta.alias("delta"), F.when(delta < -F.col("tolerance"), "BLOCK").otherwise("ok").alias("gate"))
+
+
+def within_ceilings(ledger: DataFrame, ceilings: dict[str, float]) -> DataFrame:
+    """A ledger of runs with a flag for each ceiling that a run keeps to."""
+    return ledger.withColumns({f"{name}_ok": F.col(name) <= most for name, most in ceilings.items()})
+
+
+def diagnosis(rows: DataFrame) -> DataFrame:
+    """(case, n, share): answerable questions answered rightly without evidence, wrongly with all of it, or with
+    some of several anchors missing; null questions that were answered."""
+    answerable = ~F.col("is_null")
+    cases = {
+        "lucky": answerable & (F.col("answer_correct") >= 1) & (F.col("evidence_recall") == 0),
+        "blind": answerable & (F.col("answer_correct") == 0) & (F.col("full_chain") >= 1),
+        "half chain": answerable & (F.col("gold_items") >= 2) & (F.col("evidence_recall") > 0) & (F.col("evidence_recall") < 1),
+        "false answer": F.col("is_null") & ~F.col("abstained"),
+    }
+    counts = rows.agg(*(F.count_if(c).alias(name) for name, c in cases.items()), F.count_if(answerable).alias("of"), F.count_if(F.col("is_null")).alias("null_of"))
+    of = F.when(F.col("case") == "false answer", F.col("null_of")).otherwise(F.col("of"))
+    return counts.unpivot(["of", "null_of"], list(cases), "case", "n").select("case", "n", F.round(F.when(of > 0, F.col("n") / of), 6).alias("share"))
+
+
+def threshold_sweep(rows: DataFrame, thetas: list[float]) -> DataFrame:
+    """(theta, precision, recall, f1, best): abstaining below each theta on (is_null, top), the best F1 flagged."""
+    grid = rows.sparkSession.createDataFrame([(float(t),) for t in thetas], "theta double")
+    low = F.col("top") < F.col("theta")
+    counts = rows.join(F.broadcast(grid)).groupBy("theta").agg(F.count_if(low & F.col("is_null")).alias("tp"), F.count_if(low & ~F.col("is_null")).alias("fp"), F.count_if(~low & F.col("is_null")).alias("fn"))
+    p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
+    r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
+    scored = counts.select("theta", p.alias("p"), r.alias("r")).withColumn("f1", F.round(F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0), 6))
+    best = scored.agg(F.min_by("theta", F.struct(-F.col("f1"), F.col("theta"))).alias("at"))
+    return scored.crossJoin(F.broadcast(best)).select("theta", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), "f1", (F.col("theta") == F.col("at")).alias("best"))
+
+
+def quartiles(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, p25, p50, p75) of a value."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *(F.round(F.percentile(value, p), 6).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)))
+
+
+def document_metrics(results: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """One row (recall, full_chain, mrr, n) over the questions of gold (qid, doc_id); a question without results counts as 0."""
+    near = results.filter(F.col("rank") <= k).groupBy("qid", "doc_id").agg(F.min("rank").alias("rank"))
+    per = gold.select("qid", "doc_id").distinct().join(near, ["qid", "doc_id"], "left").groupBy("qid").agg(F.avg(F.col("rank").isNotNull().cast("int")).alias("r"), F.min(F.col("rank").isNotNull().cast("int")).alias("c"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("m"))
+    return per.agg(F.round(F.coalesce(F.avg("r"), F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(F.avg("c"), F.lit(0.0)), 6).alias("full_chain"), F.round(F.coalesce(F.avg("m"), F.lit(0.0)), 6).alias("mrr"), F.count("*").alias("n"))
+
+
+def independence_report(gold: DataFrame, hits: DataFrame) -> DataFrame:
+    """Full-chain recall as measured, and as independent evidence would give it from the mean recall of questions
+    (macro) and of anchors (micro)."""
+    from lodestone.operators._state import kept
+
+    per = kept(recall_of(gold, hits, "r").join(gold.groupBy("qid").agg(F.countDistinct("anchor_idx").alias("k")), "qid"))
+    means = per.agg(F.avg("r").alias("macro"), (F.sum(F.round(F.col("r") * F.col("k"))) / F.sum("k")).alias("micro"), F.avg("r_chain").alias("full"))
+    guess = per.crossJoin(F.broadcast(means)).agg(F.avg(F.pow("macro", "k")).alias("pa"), F.avg(F.pow("micro", "k")).alias("pi"))
+    names = {"macro": "macro", "micro": "micro", "full": "full_chain", "pa": "predicted_macro", "pi": "predicted_micro"}
+    out = means.crossJoin(guess)
+    return out.select(*(F.round(c, 4).alias(n) for c, n in names.items()), F.round(F.col("full") - F.col("pa"), 4).alias("delta_macro"), F.round(F.col("full") - F.col("pi"), 4).alias("delta_micro"))
+
+
+def diff_runs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(qid, chunk_id, old_rank, new_rank, change) of two runs' hits."""
+    both = old.select("qid", "chunk_id", F.col("rank").alias("old_rank")).join(new.select("qid", "chunk_id", F.col("rank").alias("new_rank")), ["qid", "chunk_id"], "full")
+    change = F.when(F.col("old_rank").isNull(), "added").when(F.col("new_rank").isNull(), "dropped").when(F.col("old_rank") == F.col("new_rank"), "same").otherwise("moved")
+    return both.select("chunk_id", "qid", "old_rank", "new_rank", change.alias("change"))

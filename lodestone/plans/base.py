@@ -120,14 +120,36 @@ LEGS = f"{BASE}, {TERMS}, {bm('la', 50)}, {VECS}, {near('lb', 50)}, {GOLD}"
 RRF = "fused AS (SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT * FROM la UNION ALL SELECT * FROM lb) GROUP BY qid, chunk_id)) WHERE rank <= 20)"
 
 
-def greedy(hits: str, k: int) -> str:
-    """SQL of greedy nDCG: gd (qid, ndcg)."""
-    return f"""hold AS (SELECT qid, chunk_id, list_sort(list(DISTINCT anchor_idx)) AS an FROM ga GROUP BY ALL), gz AS (WITH RECURSIVE z AS (SELECT qid, 0 AS pos, CAST([] AS INTEGER[]) AS seen, CAST(0.0 AS DOUBLE) AS gain FROM (SELECT DISTINCT qid FROM ga)
-UNION ALL SELECT qid, pos + 1, CASE WHEN new IS NULL THEN seen ELSE list_append(seen, new) END, gain + CASE WHEN new IS NULL THEN 0.0 ELSE 1.0 / log2(pos + 2) END FROM (SELECT z.*, list_filter(coalesce(an, CAST([] AS INTEGER[])), lambda x: NOT list_contains(seen, x))[1] AS new FROM z LEFT JOIN {hits} h ON h.qid = z.qid AND h.rank = z.pos + 1 LEFT JOIN hold ON hold.qid = z.qid AND hold.chunk_id = h.chunk_id WHERE pos < {k})) SELECT qid, gain FROM z WHERE pos = {k}),
-gd AS (SELECT qid, round(gain / list_sum(list_transform(range(1, least(n, {k}) + 1), lambda i: 1.0 / log2(i + 1))), 6) AS ndcg FROM gz JOIN (SELECT qid, count(DISTINCT anchor_idx) AS n FROM ga GROUP BY qid) USING (qid))"""
+def greedy(hits: str, k: int, x: str = "") -> str:
+    """SQL of greedy nDCG: gd (qid, ndcg); ``x`` ends the names of what it defines."""
+    return f"""hold{x} AS (SELECT qid, chunk_id, list_sort(list(DISTINCT anchor_idx)) AS an FROM ga GROUP BY ALL), gz{x} AS (WITH RECURSIVE z AS (SELECT qid, 0 AS pos, CAST([] AS INTEGER[]) AS seen, CAST(0.0 AS DOUBLE) AS gain FROM (SELECT DISTINCT qid FROM ga)
+UNION ALL SELECT qid, pos + 1, CASE WHEN new IS NULL THEN seen ELSE list_append(seen, new) END, gain + CASE WHEN new IS NULL THEN 0.0 ELSE 1.0 / log2(pos + 2) END FROM (SELECT z.*, list_filter(coalesce(an, CAST([] AS INTEGER[])), lambda x: NOT list_contains(seen, x))[1] AS new FROM z LEFT JOIN {hits} h ON h.qid = z.qid AND h.rank = z.pos + 1 LEFT JOIN hold{x} w ON w.qid = z.qid AND w.chunk_id = h.chunk_id WHERE pos < {k})) SELECT qid, gain FROM z WHERE pos = {k}),
+gd{x} AS (SELECT qid, round(gain / list_sum(list_transform(range(1, least(n, {k}) + 1), lambda i: 1.0 / log2(i + 1))), 6) AS ndcg FROM gz{x} JOIN (SELECT qid, count(DISTINCT anchor_idx) AS n FROM ga GROUP BY qid) USING (qid))"""
 
 
-def per_question(hits: str, k: int) -> str:
+def per_question(hits: str, k: int, x: str = "") -> str:
     """SQL of the metrics of each question: pm (qid, evidence_recall, full_chain, mrr, ndcg)."""
-    return f"""{greedy(hits, k)}, fr AS (SELECT ga.qid, anchor_idx, min(h.rank) AS r FROM ga LEFT JOIN {hits} h ON h.qid = ga.qid AND h.chunk_id = ga.chunk_id AND h.rank <= {k} GROUP BY ALL),
-pm AS (SELECT q.qid, round(avg(CASE WHEN fr.qid IS NOT NULL THEN CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END END), 6) AS evidence_recall, min(CASE WHEN fr.qid IS NOT NULL THEN CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END END) AS full_chain, CASE WHEN count(fr.qid) > 0 THEN round(coalesce(1.0 / min(r), 0.0), 6) END AS mrr, any_value(gd.ndcg) AS ndcg FROM q LEFT JOIN fr USING (qid) LEFT JOIN gd USING (qid) GROUP BY q.qid)"""
+    return f"""{greedy(hits, k, x)}, fr{x} AS (SELECT ga.qid, anchor_idx, min(h.rank) AS r FROM ga LEFT JOIN {hits} h ON h.qid = ga.qid AND h.chunk_id = ga.chunk_id AND h.rank <= {k} GROUP BY ALL),
+pm{x} AS (SELECT q.qid, round(avg(CASE WHEN f.qid IS NOT NULL THEN CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END END), 6) AS evidence_recall, min(CASE WHEN f.qid IS NOT NULL THEN CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END END) AS full_chain, CASE WHEN count(f.qid) > 0 THEN round(coalesce(1.0 / min(r), 0.0), 6) END AS mrr, any_value(d.ndcg) AS ndcg FROM q LEFT JOIN fr{x} f USING (qid) LEFT JOIN gd{x} d USING (qid) GROUP BY q.qid)"""
+
+
+def weighted_sql(alpha: float, n: int = 10) -> str:
+    """SQL of the weighted fusion of la and lb; ``alpha`` is lb's share."""
+
+    def scaled(leg: str, share: float) -> str:
+        return f"SELECT qid, chunk_id, {share} * (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE max(score) OVER w - min(score) OVER w END AS s FROM {leg} WINDOW w AS (PARTITION BY qid)"
+
+    return f"SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(sum(s), 6) AS score FROM ({scaled('la', 1 - alpha)} UNION ALL {scaled('lb', alpha)}) GROUP BY qid, chunk_id)) WHERE rank <= {n}"
+
+
+POISSON = "CASE WHEN u < 0.367879441 THEN 0 WHEN u < 0.735758882 THEN 1 WHEN u < 0.919698603 THEN 2 WHEN u < 0.981011843 THEN 3 WHEN u < 0.996340153 THEN 4 WHEN u < 0.999405815 THEN 5 WHEN u < 0.999916759 THEN 6 ELSE 7 END"
+
+
+def resampled(rows: str, name: str, reps: int, seed: int = 11) -> str:
+    """SQL of the means (rep, m) of (qid, d) under weights drawn for each replicate and question."""
+    return f"{name} AS (SELECT rep, round(sum(w * d) / sum(w), 9) AS m FROM (SELECT rep, d, {POISSON} AS w FROM (SELECT rep, d, ('0x' || substr(md5('{seed}:' || rep || ':' || qid), 1, 8))::BIGINT / 4294967296.0 AS u FROM {rows}, (SELECT unnest(range({reps})) AS rep))) GROUP BY rep HAVING sum(w) > 0)"
+
+
+def interval(means: str, reps: int) -> str:
+    """SQL expressions of the bounds of resampled means."""
+    return f"(SELECT round(list_sort(list(m))[{int(0.025 * reps) + 1}], 6) FROM {means}) AS lo, (SELECT round(list_sort(list(m))[{int(0.975 * reps)}], 6) FROM {means}) AS hi"

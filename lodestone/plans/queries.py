@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import agent, chunk, economy, embed, events, index, judge, metrics, pack, rerank, retrieve
+from lodestone.operators import agent, chunk, economy, embed, evalset, events, index, judge, metrics, pack, rerank, retrieve
 from lodestone.operators._state import kept
-from lodestone.plans.base import BASE, GOLD, LEGS, RRF, TERMS, C, any_gold, bm, chunks, gold_of, legs, norm, per_question, query, questions, sents, tok
+from lodestone.plans.base import BASE, GOLD, LEGS, RRF, TERMS, C, any_gold, bm, chunks, gold_of, interval, legs, norm, per_question, query, questions, resampled, sents, tok, weighted_sql
 from lodestone.sources import table
 
 _legs = legs
@@ -94,24 +95,18 @@ def rrf_fusion(spark, sf):
     return _fused(spark, sf)[2]
 
 
-def _weighted_sql(alpha: float, n: int = 10) -> str:
-    def scaled(leg: str, share: float) -> str:
-        return f"SELECT qid, chunk_id, {share} * (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE max(score) OVER w - min(score) OVER w END AS s FROM {leg} WINDOW w AS (PARTITION BY qid)"
-
-    return f"SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(sum(s), 6) AS score FROM ({scaled('la', 1 - alpha)} UNION ALL {scaled('lb', alpha)}) GROUP BY qid, chunk_id)) WHERE rank <= {n}"
-
-
-@query(f"{LEGS} {_weighted_sql(0.2)}")
+@query(f"{LEGS} {weighted_sql(0.2)}")
 def weighted_fusion(spark, sf):
     _, _, a, b = _legs(spark, sf)
     return retrieve.weighted(a, b, 0.2, 10)
 
 
-@query(LEGS + " " + " UNION ALL ".join(f"SELECT {a} AS alpha, * FROM ({_weighted_sql(a, 5)})" for a in (0.25, 0.5, 0.75)))
+@query(LEGS + " " + " UNION ALL ".join(f"SELECT {a} AS alpha, * FROM ({weighted_sql(a, 5)})" for a in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7)))
 def alpha_sweep(spark, sf):
     _, _, a, b = _legs(spark, sf)
-    parts = [retrieve.weighted(a, b, x, 5).select(F.lit(x).alias("alpha"), "*") for x in (0.25, 0.5, 0.75)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    a, b = kept(a), kept(b)
+    parts = [retrieve.weighted(a, b, x, 5).select(F.lit(x).alias("alpha"), "*") for x in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(f"{LEGS} SELECT qid, CAST(sum(a * b) AS BIGINT) AS n_both, count(*) AS n_either FROM (SELECT qid, chunk_id, max(a) AS a, max(b) AS b FROM (SELECT qid, chunk_id, 1 AS a, 0 AS b FROM la UNION ALL SELECT qid, chunk_id, 0, 1 FROM lb) GROUP BY ALL) GROUP BY qid")
@@ -252,10 +247,10 @@ def failure_overlap(spark, sf):
     return metrics.failure_overlap(missed[0], missed[1])
 
 
-@query("SELECT round(sum(n * pow(0.7645, k)) / sum(n), 4) AS predicted FROM (VALUES (1, 21), (2, 59), (3, 21), (4, 100), (6, 6)) AS t(k, n)")
+@query(f"{LEGS}, f AS (SELECT ga.qid, anchor_idx, max(CASE WHEN la.qid IS NULL THEN 0.0 ELSE 1.0 END) AS f FROM ga LEFT JOIN (SELECT * FROM la WHERE rank <= 3) la ON la.qid = ga.qid AND la.chunk_id = ga.chunk_id GROUP BY ALL), pq AS (SELECT qid, round(avg(f), 6) AS r, min(f) AS c, count(*) AS k FROM f GROUP BY qid), m AS (SELECT avg(r) AS a, sum(round(r * k)) / sum(k) AS i, avg(c) AS full FROM pq), g2 AS (SELECT avg(pow(a, k)) AS pa, avg(pow(i, k)) AS pi FROM pq, m) SELECT round(a, 4) AS macro, round(i, 4) AS micro, round(full, 4) AS full_chain, round(pa, 4) AS predicted_macro, round(pi, 4) AS predicted_micro, round(full - pa, 4) AS delta_macro, round(full - pi, 4) AS delta_micro FROM m, g2".replace(" full FROM", ' "full" FROM').replace("round(full", 'round("full"'))
 def independence_prediction(spark, sf):
-    counts = spark.sql("SELECT * FROM VALUES (1, 21), (2, 59), (3, 21), (4, 100), (6, 6) AS t(n_anchors, n)")
-    return metrics.independence(counts, 0.7645)
+    _, _, a, _ = _legs(spark, sf)
+    return metrics.independence_report(gold_of(spark, sf), a.filter("rank <= 3"))
 
 
 @query("WITH p AS (SELECT quality AS a, toxic AS b FROM labels), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT sum(n) AS t, coalesce(sum(n) FILTER (a = b), 0) AS agree FROM c), e AS (SELECT sum(x.n * y.n) AS c FROM (SELECT a, sum(n) AS n FROM c GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM c GROUP BY b) y ON a = b) SELECT round(CASE WHEN c / (t * t) = 1 THEN 1.0 ELSE (agree / t - c / (t * t)) / (1 - c / (t * t)) END, 6) AS kappa, round(agree / t, 6) AS agreement, CAST(t AS BIGINT) AS n FROM t, e")
@@ -263,13 +258,10 @@ def cohens_kappa(spark, sf):
     return metrics.kappa(table(spark, sf, "labels"), "quality", "toxic")
 
 
-BOOT = """pairs AS (SELECT doc_id, quality AS a, toxic AS b FROM labels), i AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, b - a AS d FROM pairs), n AS (SELECT count(*) AS n FROM pairs),
-m AS (SELECT rep, round(avg(d), 9) AS m FROM (SELECT rep, ('0x' || substr(md5('11:' || rep || ':' || j), 1, 8))::BIGINT % n AS i FROM (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(n)) AS j, n FROM n)) JOIN i USING (i) GROUP BY rep),
-o AS (SELECT list_sort(list(m)) AS ms, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_better FROM m)
-SELECT (SELECT round(avg(d), 6) FROM i) AS delta, round(ms[6], 6) AS lo, round(ms[195], 6) AS hi, p_better, CASE WHEN round(ms[6], 6) > 0 OR round(ms[195], 6) < 0 THEN 'real' ELSE 'inside the noise band' END AS verdict FROM o"""
+BOOT = f"pairs AS (SELECT doc_id AS qid, toxic - quality AS d FROM labels), {resampled('pairs', 'ms', 200)}, x AS (SELECT (SELECT round(avg(d), 6) FROM pairs) AS delta, {interval('ms', 200)}, (SELECT round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) FROM ms) AS p_better)"
 
 
-@query(f"WITH {BOOT}")
+@query(f"WITH {BOOT} SELECT *, CASE WHEN lo > 0 OR hi < 0 THEN 'real' ELSE 'inside the noise band' END AS verdict FROM x")
 def bootstrap_ci(spark, sf):
     return metrics.paired_bootstrap(table(spark, sf, "labels").select(F.col("doc_id").alias("qid"), F.col("quality").alias("a"), F.col("toxic").alias("b")), 200)
 
@@ -277,9 +269,8 @@ def bootstrap_ci(spark, sf):
 @query("SELECT metric, baseline, current, round(current - baseline, 6) AS delta, CASE WHEN round(current - baseline, 6) < -tolerance THEN 'BLOCK' ELSE 'ok' END AS gate FROM (SELECT 'quality' AS metric, 0.9 AS baseline, round(avg(quality), 6) AS current, 0.02 AS tolerance FROM labels UNION ALL SELECT 'clean', 0.8, round(1 - avg(toxic), 6), 0.03 FROM labels)")
 def release_gate(spark, sf):
     now = table(spark, sf, "labels").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(1 - F.avg("toxic"), 6).alias("clean"))
-    rows = now.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(b).alias("baseline"), F.col(m).alias("current"), F.lit(t).alias("tolerance")) for m, b, t in (("quality", 0.9, 0.02), ("clean", 0.8, 0.03))))).alias("r")).select("r.*")
-    delta = F.round(F.col("current") - F.col("baseline"), 6)
-    return rows.select("metric", "baseline", "current", delta.alias("delta"), F.when(delta < -F.col("tolerance"), "BLOCK").otherwise("ok").alias("gate"))
+    baseline = spark.sql("SELECT * FROM VALUES ('quality', 0.9D, 0.02D), ('clean', 0.8D, 0.03D) AS t(metric, baseline, tolerance)")
+    return metrics.gate(now.unpivot([], ["quality", "clean"], "metric", "current"), baseline)
 
 
 # --- chunking -----------------------------------------------------------------------------------------
@@ -582,18 +573,13 @@ def lsa_dense(spark, sf):
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE r <= greatest(3, CAST(floor(n * 0.1) AS BIGINT))")
 def stratified_sample(spark, sf):
-    w = Window.partitionBy("lang")
-    d = table(spark, sf, "documents").select("doc_id", "lang")
-    r = F.row_number().over(w.orderBy(F.md5(F.encode(F.concat(F.lit("7:"), F.col("doc_id").cast("string")), "UTF-8")), "doc_id"))
-    return d.withColumns({"r": r, "n": F.count("*").over(w)}).filter(F.col("r") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.1))).select("doc_id", "lang")
+    return evalset.stratified(table(spark, sf, "documents"), "lang")
 
 
 @query(f"{LEGS} SELECT chunk_id, qid, a.rank AS old_rank, b.rank AS new_rank, CASE WHEN a.rank IS NULL THEN 'added' WHEN b.rank IS NULL THEN 'dropped' WHEN a.rank = b.rank THEN 'same' ELSE 'moved' END AS change FROM (SELECT * FROM la WHERE rank <= 8) a FULL JOIN (SELECT * FROM lb WHERE rank <= 8) b USING (qid, chunk_id)")
 def trace_diff(spark, sf):
     _, _, a, b = _legs(spark, sf)
-    old, new = (x.filter("rank <= 8").select("qid", "chunk_id", F.col("rank").alias(n)) for x, n in ((a, "old_rank"), (b, "new_rank")))
-    change = F.when(F.col("old_rank").isNull(), "added").when(F.col("new_rank").isNull(), "dropped").when(F.col("old_rank") == F.col("new_rank"), "same").otherwise("moved")
-    return old.join(new, ["qid", "chunk_id"], "full").select("chunk_id", "qid", "old_rank", "new_rank", change.alias("change"))
+    return metrics.diff_runs(a.filter("rank <= 8"), b.filter("rank <= 8"))
 
 
 @query("SELECT user_id, event_type, value, event_id FROM events ORDER BY value DESC, event_id LIMIT 20")
