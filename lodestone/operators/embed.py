@@ -55,6 +55,48 @@ def hashed_vectors(texts: DataFrame, key: str = "chunk_id", text: str = "text",
     return texts.select(key, encoded(F.col(text)).alias("vector"))
 
 
+@functools.lru_cache(maxsize=200_000)
+def _token_vector(token: str, dim: int = 192) -> np.ndarray:
+    total = np.zeros(dim)
+    padded = f" {token} "
+    for i in range(len(padded) - 2):
+        h = _cell(padded[i : i + 3])
+        total[h % dim] += 1 if h >> 8 & 1 else -1
+    norm = np.sqrt((total * total).sum())
+    return np.round(total / (norm if norm else 1), 6)
+
+
+def token_vectors(texts: DataFrame, key: str = "chunk_id", text: str = "text", most: int = 48) -> DataFrame:
+    """(key, at, token, vector): hashed unit vectors of a text's first ``most`` tokens, at from 0.
+
+    The bound is what late interaction stores of a text.
+    """
+
+    @F.pandas_udf("array<double>")
+    def encoded(found: pd.Series) -> pd.Series:
+        return pd.Series([_token_vector(t) for t in found])
+
+    found = texts.select(key, F.posexplode(F.slice(tokens(F.col(text)), 1, most)).alias("at", "token"))
+    return found.withColumn("vector", encoded("token"))
+
+
+def maxsim(query: Column, passage: Column) -> Column:
+    """Mean over the tokens of a query of the best cosine with any token of a passage; 0 if either has none."""
+
+    @F.pandas_udf("double")
+    def best(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for q, d in zip(left, right, strict=True):
+            if not len(q) or not len(d):
+                out.append(0.0)
+                continue
+            a, b = (np.array([_token_vector(t) for t in x]) for x in (q, d))
+            out.append(float((a @ b.T).max(1).mean()))
+        return pd.Series(out, dtype="float64")
+
+    return best(query, passage)
+
+
 def tag(name: str, version: str, dim: int) -> Column:
     """What a vector's encoder is called wherever it is stored."""
     return F.concat_ws(":", F.concat_ws("@", F.lit(name), F.lit(version)), F.concat(F.lit("d"), F.lit(dim).cast("string")))

@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import IDENTIFIER, tokens
+from lodestone.operators.embed import dot, hashed_vectors, maxsim
 
 #: Weights of the default model.
 WEIGHTS = {"coverage": 1.1148, "proximity": 0.1382, "phrase": -0.5067, "title": 0.5836, "maxsim": -0.0590, "doc_cosine": 1.2589, "exact_id": 0.6051, "length": -0.7266, "bias": -0.7722}
 
 
+#: Tokens of a text that late interaction looks at, as a feature and as a reranker of its own.
+FEATURE_TOKENS, LATE_TOKENS = 64, 48
+
+
 def pair_features(hits: DataFrame, queries: DataFrame, chunks: DataFrame, length_b: float = 0.55) -> DataFrame:
-    """Lexical features of each (qid, chunk_id, rank): coverage, proximity, phrase, title, exact_id, length."""
+    """Features of each (qid, chunk_id, rank): coverage, proximity, phrase, title, maxsim, doc_cosine, exact_id, length.
+
+    Vectors are made for the texts of the hits only, by hashing.
+    """
     q = queries.select("qid", "query", tokens(F.col("query")).alias("qt")).withColumn("qs", F.array_distinct("qt"))
     d = chunks.select("chunk_id", "text", "title", tokens(F.col("text")).alias("dt"))
     rows = hits.select("qid", "chunk_id", "rank").join(q, "qid").join(d, "chunk_id")
@@ -34,16 +42,23 @@ def pair_features(hits: DataFrame, queries: DataFrame, chunks: DataFrame, length
     titled = F.when(F.size("qs") > 0, F.size(F.array_intersect("qs", head)) / F.size("qs")).otherwise(0.0)
     ids = F.regexp_extract_all("query", F.lit(IDENTIFIER), F.lit(0))
     exact = F.exists(ids, lambda i: F.contains(F.col("text"), i)).cast("double")
-    named = {"coverage": share, "proximity": near, "phrase": best / F.greatest(F.lit(2), F.size("qt")), "title": titled, "exact_id": exact, "length": F.log1p("dl") / 8}
+    close = maxsim(F.slice("qt", 1, FEATURE_TOKENS), F.slice("dt", 1, FEATURE_TOKENS))
+    rows = rows.join(hashed_vectors(q, "qid", "query").withColumnRenamed("vector", "qv"), "qid")
+    texts = rows.select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    rows = rows.join(hashed_vectors(texts).withColumnRenamed("vector", "dv"), "chunk_id").withColumn("close", close)
+    named = {"coverage": share, "proximity": near, "phrase": best / F.greatest(F.lit(2), F.size("qt")), "title": titled, "maxsim": F.col("close"), "doc_cosine": dot(F.col("qv"), F.col("dv")), "exact_id": exact, "length": F.log1p("dl") / 8}
     return rows.select("qid", "chunk_id", "rank", *(F.round(v, 6).alias(k) for k, v in named.items()))
 
 
 def logistic(features: DataFrame, weights: dict[str, float] | None = None, depth: int = 50) -> DataFrame:
     """(qid, chunk_id, score, rank) by the logistic score of the first ``depth``; the tail keeps its order."""
     weights = weights or WEIGHTS
+    missing = weights.keys() - {"bias"} - set(features.columns)
+    if missing:
+        raise KeyError(f"no feature for the weights of {sorted(missing)}")
     z = F.lit(weights["bias"])
     for name, w in weights.items():
-        if name in features.columns:
+        if name != "bias":
             z = z + w * F.col(name)
     pool = F.col("rank") <= depth
     scored = features.withColumns({"in_pool": pool, "score": F.round(1 / (1 + F.exp(-z)), 6)})
@@ -70,12 +85,43 @@ def ceiling(questions: DataFrame, gold: DataFrame, hits: DataFrame, depth: int =
     return questions.select("qid").join(found, "qid", "left").select("qid", F.round(F.coalesce("c", F.lit(1.0)), 6).alias("ceiling"))
 
 
-def late_interaction(query_tokens: DataFrame, chunk_tokens: DataFrame, hits: DataFrame) -> DataFrame:
-    """Mean over the query's token vectors of the best dot product with a hit's token vectors."""
-    from lodestone.operators.embed import dot
+def late_interaction(hits: DataFrame, queries: DataFrame, chunks: DataFrame, depth: int = 50) -> DataFrame:
+    """(qid, chunk_id, score, rank) by the mean over the query's tokens of the best cosine with a hit's tokens;
+    beyond ``depth`` hits keep their scores and places."""
+    pool = F.col("rank") <= depth
+    q = queries.select("qid", F.slice(tokens(F.col("query")), 1, LATE_TOKENS).alias("qt"))
+    d = chunks.select("chunk_id", F.slice(tokens(F.col("text")), 1, LATE_TOKENS).alias("dt"))
+    near = hits.filter(pool).select("qid", "chunk_id").join(q, "qid").join(d, "chunk_id").select("qid", "chunk_id", F.round(maxsim(F.col("qt"), F.col("dt")), 6).alias("late"))
+    scored = hits.select("qid", "chunk_id", "score", "rank").join(near, ["qid", "chunk_id"], "left")
+    order = Window.partitionBy("qid").orderBy(F.desc(pool), F.when(pool, -F.col("late")), F.col("rank"))
+    return scored.withColumn("new", F.row_number().over(order)).select("qid", "chunk_id", F.coalesce("late", "score").alias("score"), F.col("new").alias("rank"))
+
+
+def reranker(name: str):
+    """What reorders hits, by name: a function of hits, queries and chunks."""
+    ways = {
+        "none": lambda hits, queries, chunks: hits,
+        "cross": lambda hits, queries, chunks: logistic(pair_features(hits, queries, chunks)),
+        "late": late_interaction,
+    }
+    if name not in ways:
+        raise KeyError(f"no reranker {name!r}; there are {sorted(ways)}")
+    return ways[name]
 
-    pairs = hits.select("qid", "chunk_id").join(query_tokens.select("qid", F.col("at").alias("q_at"), F.col("vector").alias("qv")), "qid").join(chunk_tokens.select("chunk_id", F.col("vector").alias("dv")), "chunk_id")
-    best = pairs.groupBy("qid", "chunk_id", "q_at").agg(F.max(dot(F.col("qv"), F.col("dv"))).alias("m"))
-    scored = best.groupBy("qid", "chunk_id").agg(F.round(F.avg("m"), 6).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order))
+
+def external(hits: DataFrame, queries: DataFrame, chunks: DataFrame, judge, depth: int = 50) -> DataFrame:
+    """Reorders the first ``depth`` hits by ``judge(queries, texts)``, a function of two lists that returns scores.
+
+    It is called with batches, on the workers; a model of one's own goes in here.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def scored(q: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series(list(judge(q.tolist(), t.tolist())), dtype="float64")
+
+    pool = F.col("rank") <= depth
+    near = hits.filter(pool).join(queries.select("qid", "query"), "qid").join(chunks.select("chunk_id", "text"), "chunk_id").select("qid", "chunk_id", F.round(scored("query", "text"), 6).alias("given"))
+    order = Window.partitionBy("qid").orderBy(F.desc(pool), F.when(pool, -F.col("given")), F.col("rank"))
+    out = hits.select("qid", "chunk_id", "score", "rank").join(near, ["qid", "chunk_id"], "left")
+    return out.withColumn("new", F.row_number().over(order)).select("qid", "chunk_id", F.coalesce("given", "score").alias("score"), F.col("new").alias("rank"))

@@ -12,6 +12,7 @@ from lodestone.functions import text as T
 from lodestone.operators import agent, chunk, economy, embed, evalset, events, index, judge, metrics, pack, rerank, retrieve
 from lodestone.operators._state import kept
 from lodestone.plans.base import BASE, GOLD, LEGS, RRF, TERMS, C, any_gold, bm, chunks, gold_of, interval, legs, norm, per_question, query, questions, resampled, sents, tok, weighted_sql
+from lodestone.plans.retrieval import late_sql
 from lodestone.sources import table
 
 _legs = legs
@@ -379,11 +380,11 @@ def case_groups(spark, sf):
 
 # --- reranking, packing, answers ----------------------------------------------------------------------
 
-FEAT = f"""qd AS (SELECT qid, {tok('query')} AS qt, list_distinct({tok('query')}) AS qs FROM q), f0 AS (SELECT la.qid, la.chunk_id, la.rank, qt, qs, ct.t AS dt, len(ct.t) AS dl, avg(len(ct.t)) OVER (PARTITION BY la.qid) AS avgdl, lower(c.text) AS low, list_distinct({tok('c.title')}) AS head, list_filter(qs, lambda x: list_contains(ct.t, x)) AS present FROM la JOIN qd USING (qid) JOIN ct USING (chunk_id) JOIN c USING (chunk_id) WHERE la.rank <= 20),
+FEAT = f"""tp AS (SELECT * FROM la WHERE rank <= 20), {late_sql('ms', 64, 'tp')}, qd AS (SELECT qid, {tok('query')} AS qt, list_distinct({tok('query')}) AS qs FROM q), f0 AS (SELECT la.qid, la.chunk_id, la.rank, qt, qs, ct.t AS dt, len(ct.t) AS dl, avg(len(ct.t)) OVER (PARTITION BY la.qid) AS avgdl, lower(c.text) AS low, list_distinct({tok('c.title')}) AS head, list_filter(qs, lambda x: list_contains(ct.t, x)) AS present FROM la JOIN qd USING (qid) JOIN ct USING (chunk_id) JOIN c USING (chunk_id) WHERE la.rank <= 20),
 feat AS (SELECT qid, chunk_id, rank, round(CASE WHEN len(qs) > 0 AND dl > 0 THEN len(present) / len(qs) / (0.45 + 0.55 * dl / greatest(1.0, avgdl)) ELSE 0.0 END, 6) AS coverage,
 round(CASE WHEN len(present) >= 2 THEN len(present) / greatest(len(present), list_max(list_transform(present, lambda x: dl + 1 - list_position(list_reverse(dt), x))) - list_min(list_transform(present, lambda x: list_position(dt, x))) + 1) WHEN len(present) = 1 THEN 0.3 ELSE 0.0 END, 6) AS proximity,
 round(CASE {' '.join(f"WHEN len(qt) >= {s} AND list_bool_or(list_transform(range(1, greatest(2, len(qt) - {s} + 2)), lambda i: contains(low, array_to_string(list_slice(qt, i, i + {s} - 1), ' ')))) THEN {s}" for s in range(6, 1, -1))} ELSE 0 END / greatest(2, len(qt)), 6) AS phrase,
-round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, head)) / len(qs) ELSE 0.0 END, 6) AS title, 0.0 AS exact_id, round(ln(1 + dl) / 8, 6) AS length FROM f0)"""
+round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, head)) / len(qs) ELSE 0.0 END, 6) AS title, round(coalesce(ms.m, 0.0), 6) AS maxsim, round(list_dot_product(hq.v, hc.v), 6) AS doc_cosine, 0.0 AS exact_id, round(ln(1 + dl) / 8, 6) AS length FROM f0 JOIN hq USING (qid) JOIN hc USING (chunk_id) LEFT JOIN ms USING (qid, chunk_id))"""
 
 
 def _features(spark, sf):
@@ -396,7 +397,7 @@ def pair_features(spark, sf):
     return _features(spark, sf)
 
 
-@query(f"{LEGS}, {FEAT}, sc AS (SELECT qid, chunk_id, rank AS r0, round(1 / (1 + exp(-(1.1148 * coverage + 0.1382 * proximity - 0.5067 * phrase + 0.5836 * title + 0.6051 * exact_id - 0.7266 * length - 0.7722))), 6) AS score FROM feat) SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY r0 <= 10 DESC, CASE WHEN r0 <= 10 THEN -score END, r0) AS rank FROM sc")
+@query(f"{LEGS}, {FEAT}, sc AS (SELECT qid, chunk_id, rank AS r0, round(1 / (1 + exp(-(1.1148 * coverage + 0.1382 * proximity - 0.5067 * phrase + 0.5836 * title - 0.0590 * maxsim + 1.2589 * doc_cosine + 0.6051 * exact_id - 0.7266 * length - 0.7722))), 6) AS score FROM feat) SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY r0 <= 10 DESC, CASE WHEN r0 <= 10 THEN -score END, r0) AS rank FROM sc")
 def logistic_rerank(spark, sf):
     return rerank.logistic(_features(spark, sf), depth=10)
 
@@ -532,11 +533,6 @@ def choose_tool(spark, sf):
     return questions(spark, sf).select("qid", agent.choose_tool(F.col("anchor")).alias("tool"))
 
 
-@query()
-def decompose(spark, sf):
-    return questions(spark, sf).select("qid", F.posexplode(agent.decompose(F.col("anchor"))).alias("n", "sub"))
-
-
 @query(f"{BASE}, {TERMS}, {bm('la', 4)}, e AS (SELECT qid, {tok('text')} AS e FROM la JOIN c USING (chunk_id)), s AS (SELECT q.qid, CASE WHEN len(list_distinct({tok('anchor')})) = 0 THEN 1.0 ELSE coalesce(max(len(list_intersect(list_distinct({tok('anchor')}), e)) / len(list_distinct({tok('anchor')}))), 0.0) END AS b FROM q LEFT JOIN e USING (qid) GROUP BY q.qid, anchor) SELECT qid, b >= 0.34 AS sufficient, CASE WHEN b >= 0.34 THEN 1 ELSE 0 END AS covered, 1 AS total FROM s")
 def sufficiency_check(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
@@ -551,12 +547,6 @@ def first_sufficient_step(spark, sf):
     return agent.first_sufficient(s, needs)
 
 
-@query()
-def agent_loop(spark, sf):
-    c, q = chunks(spark, sf), questions(spark, sf)
-    return agent.search_loop(q.select("qid", "query"), lambda x: retrieve.bm25(x, c, 4).join(c.select("chunk_id", "text"), "chunk_id"), 3, 0.9)
-
-
 @query("""WITH p AS (SELECT item_id AS chunk_id, ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' AS s FROM benchmark), g AS (SELECT chunk_id, g, count(*) AS n FROM (SELECT chunk_id, substr(s, i, 3) AS g FROM (SELECT chunk_id, s, unnest(range(1, length(s) - 1)) AS i FROM p)) GROUP BY ALL), h AS (SELECT chunk_id, n, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM g), b AS (SELECT chunk_id, CAST(h % 192 AS INTEGER) AS bucket, sum(CASE WHEN (h >> 8) & 1 = 1 THEN n ELSE -n END) AS n FROM h GROUP BY ALL HAVING sum(CASE WHEN (h >> 8) & 1 = 1 THEN n ELSE -n END) <> 0) SELECT chunk_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)), 6) AS value FROM b""")
 def hashing_embedder(spark, sf):
     return embed.hashed(table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id"), "text"))
