@@ -39,7 +39,7 @@ def approx_tokens(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Parts that end with . ! or ? before white space, trimmed, empty ones left out."""
     marked = F.regexp_replace(text, r"([.!?])\s+", f"$1{_MARK}")
-    return F.filter(F.transform(F.split(marked, _MARK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, _MARK), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def identifiers(text: Column) -> Column:

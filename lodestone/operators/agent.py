@@ -16,7 +16,7 @@ def decompose(question: Column, most: int = 3) -> Column:
     outer, inner = F.trim(F.regexp_extract(q, r"(?is)^(.*?)\bthat\b(.*)$", 1)), F.trim(F.regexp_extract(q, r"(?is)^(.*?)\bthat\b(.*)$", 2))
     clause = q.rlike(r"(?i)\bthat\b") & (F.size(F.split(inner, r"\s+")) > 2)
     relative = F.when(clause, F.array(F.concat(F.lit("Which entity "), inner, F.lit("?")), F.concat(outer, F.lit(" (of that entity)?")))).otherwise(F.array().cast("array<string>"))
-    parts = F.transform(F.split(F.regexp_replace(q, r"\band\b|;", "\x01"), "\x01"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(q, r"\band\b|;", "\x01"), "\x01"), lambda x: F.trim(x))
     long = F.transform(F.filter(parts, lambda p: F.size(F.split(p, r"\s+")) >= 3), lambda p: F.concat(p, F.lit("?")))
     found = F.slice(F.array_distinct(F.concat(relative, long)), 1, most)
     return F.when(F.size(found) > 0, found).otherwise(F.array(question))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +58,12 @@ def structural(docs: DataFrame, size_tokens: int = 256) -> DataFrame:
     return finalized(flat.select("doc_id", ordinal, F.concat("title", F.lit("\n"), "t").alias("text")))
 
 
-def contextual(docs: DataFrame, size_tokens: int = 256) -> DataFrame:
-    """Structural chunks behind a sentence that says what they are from (first entities, else the title)."""
-    about = docs.select("doc_id", F.when(F.size("entities") > 0, F.array_join(F.slice("entities", 1, 3), ", ")).otherwise(F.col("title")).alias("about"))
+def contextual(docs: DataFrame, size_tokens: int = 256, describe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Structural chunks behind a sentence that says what they are from (first entities, else the title).
+
+    ``describe`` may say it otherwise: given the documents it returns (doc_id, about).
+    """
+    about = describe(docs).select("doc_id", "about") if describe else docs.select("doc_id", F.when(F.size("entities") > 0, F.array_join(F.slice("entities", 1, 3), ", ")).otherwise(F.col("title")).alias("about"))
     chunks = structural(docs, size_tokens).join(about, "doc_id")
     return finalized(chunks.select("doc_id", "ordinal", F.concat(F.lit("From a document about "), "about", F.lit(".\n"), "text").alias("text")))
 
@@ -118,7 +123,14 @@ def semantic(docs: DataFrame, size_tokens: int = 256, threshold: float = 0.22) -
     return finalized(parts.select("doc_id", F.posexplode(fold).alias("ordinal", "text")))
 
 
-STRATEGIES = {"fixed": fixed, "recursive": recursive, "structural": structural, "semantic": semantic, "contextual": contextual, "late": late}
+def parent_chunks(docs: DataFrame, size_tokens: int = 180, parent_tokens: int = 900) -> DataFrame:
+    """Child windows as chunks of their parent's text, under a heading that begins like the child."""
+    rows = parent(docs, size_tokens, parent_tokens)
+    ordinal = (F.row_number().over(Window.partitionBy("doc_id").orderBy("parent", "child")) - 1).alias("ordinal")
+    return finalized(rows.select("doc_id", ordinal, "text"))
+
+
+STRATEGIES = {"parent": parent_chunks, "fixed": fixed, "recursive": recursive, "structural": structural, "semantic": semantic, "contextual": contextual, "late": late}
 
 
 def chunk(docs: DataFrame, strategy: str, **parameters) -> DataFrame:
@@ -128,8 +140,25 @@ def chunk(docs: DataFrame, strategy: str, **parameters) -> DataFrame:
     return STRATEGIES[strategy](docs, **parameters)
 
 
-def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Number, median, 90th percentile, maximum and sum of the chunks' approximate tokens."""
-    sizes = chunks.select(approx_tokens(F.col("text")).alias("n"))
-    ordered = F.sort_array(F.collect_list("n"))
-    return sizes.agg(F.count("*").alias("chunks"), F.floor(F.median("n")).cast("long").alias("median"), F.element_at(ordered, F.floor(F.size(ordered) * 0.9).cast("int") + 1).alias("p90"), F.max("n").alias("largest"), F.sum("n").alias("total"))
+def chunk_stats(chunks: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """Number, median, 90th percentile, maximum and sum of the chunks' approximate tokens, and how many times those
+    of a baseline's chunks they take; sizes are counted before they are ranked."""
+    from lodestone.operators._state import kept
+    from lodestone.operators.metrics import ranked_value
+
+    sizes = kept(chunks.select(approx_tokens(F.col("text")).alias("n")))
+    base = (baseline if baseline is not None else chunks).agg(F.sum(approx_tokens(F.col("text"))).alias("base"))
+    out = sizes.agg(F.count("*").alias("chunks"), F.floor(F.median("n")).cast("long").alias("median"), F.max("n").alias("largest"), F.sum("n").alias("total"))
+    return out.crossJoin(ranked_value(sizes, "n", 0.9, from_zero=True).select(F.col("value").alias("p90"))).crossJoin(base).select("chunks", "median", "p90", "largest", "total", F.round(F.col("total") / F.col("base"), 6).alias("storage_x"))
+
+
+def boundary_damage(anchors: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row (in_documents, in_chunks, damage): anchors (anchor) that some document holds, those that some chunk still
+    holds, and the share that the boundaries of chunks cut."""
+    from lodestone.operators.retrieve import resolve_gold
+
+    ids = anchors.select("anchor").distinct().withColumn("qid", F.xxhash64("anchor"))
+    whole = resolve_gold(ids, docs.select(F.col("doc_id").alias("chunk_id"), "text")).select("qid").distinct()
+    kept_ = resolve_gold(ids, chunks.select("chunk_id", "text")).select("qid").distinct()
+    both = whole.join(kept_.withColumn("k", F.lit(1)), "qid", "left").agg(F.count("*").alias("in_documents"), F.count("k").alias("in_chunks"))
+    return both.withColumn("damage", F.round(F.when(F.col("in_documents") > 0, 1 - F.col("in_chunks") / F.col("in_documents")).otherwise(0.0), 6))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators._state import kept
+
 
 def progress(events: DataFrame) -> DataFrame:
-    """Per login, from (login, unit, thread, kind, ts, event_id): attempts, cleared, retries, hints, last_active.
+    """Per login, from (login, unit, thread, kind, ts, event_id): attempts, cleared, still_open, retries, hints, last_active.
 
-    A retry is a grade on a thread that already failed.
+    A retry is a grade on a thread that already failed; open are units that were tried and not cleared.
     """
     before = Window.partitionBy("login", "thread").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     failed = F.coalesce(F.max((F.col("kind") == "fail").cast("int")).over(before), F.lit(0)) == 1
@@ -18,6 +20,7 @@ def progress(events: DataFrame) -> DataFrame:
     return rows.groupBy("login").agg(
         F.count_if(graded).alias("attempts"),
         F.count_distinct(F.when(F.col("kind") == "pass", F.col("unit"))).alias("cleared"),
+        (F.count_distinct(F.when(graded, F.col("unit"))) - F.count_distinct(F.when(F.col("kind") == "pass", F.col("unit")))).alias("still_open"),
         F.count_if("retry").alias("retries"),
         F.count_if(F.col("kind") == "hint").alias("hints"),
         F.max("ts").alias("last_active"),
@@ -31,17 +34,56 @@ def digest(events: DataFrame, since, until) -> DataFrame:
     return inside.groupBy("unit").agg(graded.alias("graded"), cleared.alias("cleared"), F.count_if(F.col("kind") == "hint").alias("hints"), F.round(F.when(graded > 0, cleared / graded), 6).alias("share"))
 
 
+def stages(cleared: DataFrame, tracks: DataFrame, names: DataFrame) -> DataFrame:
+    """(login, stage): the furthest track that a login has cleared a unit of.
+
+    ``cleared`` is (login, unit) with a null unit for a login that has cleared none, ``tracks`` (unit, track),
+    ``names`` (track, nth, stage).
+    """
+    total = tracks.agg(F.countDistinct("unit").alias("all"))
+    placed = cleared.distinct().join(tracks, "unit", "left").join(names, "track", "left")
+    per = placed.groupBy("login").agg(F.countDistinct(F.when(F.col("track").isNotNull(), F.col("unit"))).alias("n"), F.count("unit").alias("some"), F.max(F.struct("nth", "stage")).alias("far"))
+    first = names.agg(F.min_by("stage", "nth").alias("first"))
+    stage = F.when(F.col("some") == 0, "Starting").when(F.col("n") >= F.col("all"), "Complete").otherwise(F.coalesce(F.col("far.stage"), F.col("first")))
+    return per.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(first)).select("login", stage.alias("stage"))
+
+
+def failing_checks(events: DataFrame, most: int = 10) -> DataFrame:
+    """(check_name, n, share): the checks (array checks) that failed most often, with their share of failed grades."""
+    failed = events.filter(F.col("kind") == "fail")
+    total = failed.agg(F.count("*").alias("t"))
+    counts = failed.select(F.explode("checks").alias("check_name")).groupBy("check_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "check_name").limit(most)
+    return counts.crossJoin(F.broadcast(total)).select("check_name", "n", F.round(F.col("n") / F.greatest(F.col("t"), F.lit(1)), 6).alias("share"))
+
+
+def graded(metrics: DataFrame, bars: DataFrame, checks: DataFrame) -> DataFrame:
+    """(unit, n_bars, n_passed, passed): whether a unit's metrics (unit, metric, value) reach its bars (unit, metric,
+    threshold, direction) and its checks (unit, ok) hold; a metric that isn't there fails."""
+    both = bars.join(metrics, ["unit", "metric"], "left")
+    good = F.when(F.col("direction") == "at_least", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
+    per = both.groupBy("unit").agg(F.count("*").alias("n_bars"), F.count_if(F.coalesce(good, F.lit(False))).alias("n_passed"))
+    ok = F.coalesce(F.col("ok"), F.lit(False)) & (F.coalesce("n_bars", F.lit(0)) == F.coalesce("n_passed", F.lit(0)))
+    return checks.join(per, "unit", "left").select("unit", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), F.coalesce("n_passed", F.lit(0)).alias("n_passed"), ok.alias("passed"))
+
+
 def heat(threads: DataFrame) -> DataFrame:
     """(thread, heat) of (thread, comments, humans, reactions)."""
     return threads.select("thread", (3 * F.col("comments") + 2 * F.col("humans") + F.col("reactions")).alias("heat"))
 
 
+def unlocked(units: DataFrame, requires: DataFrame, done: DataFrame) -> DataFrame:
+    """Units not done whose prerequisites (unit, needs) all are (unit)."""
+    waiting = requires.join(done.select(F.col("unit").alias("needs")), "needs", "left_anti").select("unit").distinct()
+    return units.select("unit").join(done.select("unit"), "unit", "left_anti").join(waiting, "unit", "left_anti")
+
+
 def waves(units: DataFrame, requires: DataFrame, most: int = 50) -> DataFrame:
     """(unit, wave): how many prerequisites (unit, needs) deep a unit is; 0 without any. A cycle is an error."""
-    level = units.select("unit", F.lit(0).alias("wave"))
+    requires = kept(requires)
+    level = kept(units.select("unit", F.lit(0).alias("wave")))
     for _ in range(most):
         deeper = requires.join(level.select(F.col("unit").alias("needs"), (F.col("wave") + 1).alias("w")), "needs").groupBy("unit").agg(F.max("w").alias("w"))
-        following = level.join(deeper, "unit", "left").select("unit", F.greatest("wave", F.coalesce("w", F.lit(0))).alias("wave"))
+        following = kept(level.join(deeper, "unit", "left").select("unit", F.greatest("wave", F.coalesce("w", F.lit(0))).alias("wave")))
         if following.exceptAll(level).isEmpty():
             return following
         level = following

@@ -297,9 +297,9 @@ def chunk_structural(spark, sf):
     return chunk.structural(_docs(spark, sf), 64)
 
 
-@query(f"WITH {C}, {LINES}, x AS (SELECT doc_id, ordinal, trim('From a document about ' || c.title || '.' || chr(10) || s.text) AS text FROM s JOIN c USING (doc_id)) SELECT doc_id, ordinal, count(*) OVER (PARTITION BY doc_id) AS n_chunks, text, concat_ws(':', doc_id, ordinal, substr(sha1(text), 1, 10)) AS chunk_id FROM x")
+@query(f"WITH {C}, {LINES}, x AS (SELECT doc_id, ordinal, trim('From a document about ' || CASE WHEN c.doc_id % 2 = 0 AND len({tok('c.title')}) > 0 THEN array_to_string(list_slice({tok('c.title')}, 1, 3), ', ') ELSE c.title END || '.' || chr(10) || s.text) AS text FROM s JOIN c USING (doc_id)) SELECT doc_id, ordinal, count(*) OVER (PARTITION BY doc_id) AS n_chunks, text, concat_ws(':', doc_id, ordinal, substr(sha1(text), 1, 10)) AS chunk_id FROM x")
 def chunk_contextual(spark, sf):
-    return chunk.contextual(_docs(spark, sf), 64)
+    return chunk.contextual(_docs(spark, sf).withColumn("entities", F.when(F.col("doc_id") % 2 == 0, F.slice(T.tokens(F.col("title")), 1, 4)).otherwise(F.col("entities"))), 64)
 
 
 FIRST90 = f"tk AS (SELECT doc_id, {tok('text')} AS t FROM c), ctx AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS ctx FROM (SELECT doc_id, x, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM (SELECT doc_id, x, min(p) AS p FROM (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS p FROM tk) GROUP BY ALL)) WHERE r <= 90 GROUP BY doc_id)"
@@ -325,20 +325,22 @@ def chunk_semantic(spark, sf):
     return chunk.semantic(_docs(spark, sf), 128, 0.22)
 
 
-@query(f"WITH {FIXED}, z AS (SELECT CAST(greatest(1, ceil(length(text) / 4.0)) AS INTEGER) AS n FROM f) SELECT count(*) AS chunks, CAST(floor(median(n)) AS BIGINT) AS median, list_sort(list(n))[CAST(floor(count(*) * 0.9) AS INTEGER) + 1] AS p90, max(n) AS largest, CAST(sum(n) AS BIGINT) AS total FROM z")
+@query(f"WITH {FIXED}, z AS (SELECT CAST(greatest(1, ceil(length(text) / 4.0)) AS INTEGER) AS n FROM f) SELECT count(*) AS chunks, CAST(floor(median(n)) AS BIGINT) AS median, list_sort(list(n))[CAST(floor(count(*) * 0.9) AS INTEGER) + 1] AS p90, max(n) AS largest, CAST(sum(n) AS BIGINT) AS total, 1.0 AS storage_x FROM z")
 def chunk_stats(spark, sf):
     return chunk.chunk_stats(chunk.fixed(_docs(spark, sf), 64, 0.15))
 
 
 # --- index life cycle ---------------------------------------------------------------------------------
 
-IDX = "idx AS (SELECT doc_id AS chunk_id, 'v1' AS index_version, doc_id, text, 'lsa@1:d96' AS embedder_tag, doc_id % 7 = 0 AS tombstoned FROM documents WHERE doc_id % 5 <> 0), new AS (SELECT doc_id AS chunk_id, 'v1' AS index_version, doc_id, text || ' (2)' AS text, CASE WHEN doc_id % 10 = 0 THEN 'lsa@1:d96' ELSE 'hash@1:d192' END AS embedder_tag FROM documents WHERE doc_id % 3 = 0), up AS (SELECT * FROM idx WHERE chunk_id NOT IN (SELECT chunk_id FROM new) UNION ALL SELECT *, false FROM new)"
+IDX = "idx AS (SELECT doc_id AS chunk_id, 'v1' AS index_version, doc_id, text, 'lsa@1:d96' AS embedder_tag, doc_id % 7 = 0 AS tombstoned FROM documents), new AS (SELECT CASE WHEN doc_id % 4 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS chunk_id, 'v1' AS index_version, doc_id, text || ' (2)' AS text, CASE WHEN doc_id % 10 = 0 THEN 'lsa@1:d96' ELSE 'hash@1:d192' END AS embedder_tag FROM documents), up AS (SELECT * FROM idx WHERE chunk_id NOT IN (SELECT chunk_id FROM new) UNION ALL SELECT *, false FROM new)"
 
 
 def _index(spark, sf):
+    """All documents in an older state and in a newer one, in which some have other ids."""
     d = table(spark, sf, "documents")
-    old = d.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("chunk_id"), F.lit("v1").alias("index_version"), "doc_id", "text", F.lit("lsa@1:d96").alias("embedder_tag"), (F.col("doc_id") % 7 == 0).alias("tombstoned"))
-    new = d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("chunk_id"), F.lit("v1").alias("index_version"), "doc_id", F.concat("text", F.lit(" (2)")).alias("text"), F.when(F.col("doc_id") % 10 == 0, "lsa@1:d96").otherwise("hash@1:d192").alias("embedder_tag"))
+    old = d.select(F.col("doc_id").alias("chunk_id"), F.lit("v1").alias("index_version"), "doc_id", "text", F.lit("lsa@1:d96").alias("embedder_tag"), (F.col("doc_id") % 7 == 0).alias("tombstoned"))
+    renamed = F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 1000000000).otherwise(F.col("doc_id"))
+    new = d.select(renamed.alias("chunk_id"), F.lit("v1").alias("index_version"), "doc_id", F.concat("text", F.lit(" (2)")).alias("text"), F.when(F.col("doc_id") % 10 == 0, "lsa@1:d96").otherwise("hash@1:d192").alias("embedder_tag"))
     return old, new
 
 
@@ -460,16 +462,16 @@ def token_cost(spark, sf):
     return rows.groupBy("role").agg(F.sum("n").alias("n_tokens"), F.round(F.sum(cost), 6).alias("cost"))
 
 
-SEQ = "r AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS seq, role || ':' || substr(text, 1, 3) AS prefix FROM conversations)"
+SEQ = "r AS (SELECT conv_id % 16 AS tenant, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn, role, text) AS seq, coalesce(role, '') || ':' || coalesce(text, '') AS prefix FROM conversations)"
 
 
-def _requests(spark, sf):
-    return table(spark, sf, "conversations").select(F.row_number().over(Window.orderBy("conv_id", "turn")).alias("seq"), F.concat("role", F.lit(":"), F.substring("text", 1, 3)).alias("prefix"))
-
-
-@query(f"WITH {SEQ} SELECT seq, coalesce(seq - lag(seq) OVER (PARTITION BY prefix ORDER BY seq) <= 40, false) AS hit FROM r")
+@query(f"WITH {SEQ} SELECT tenant, seq, coalesce(seq - lag(seq) OVER (PARTITION BY tenant, prefix ORDER BY seq) <= 40, false) AS hit FROM r")
 def prompt_cache_hits(spark, sf):
-    return economy.prompt_cache(_requests(spark, sf), 40)
+    """Whole messages as what is cached, in the order of each tenant's requests."""
+    order = Window.partitionBy(F.col("conv_id") % 16).orderBy("conv_id", "turn", "role", "text")
+    prefix = F.concat(F.coalesce("role", F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    requests = table(spark, sf, "conversations").select((F.col("conv_id") % 16).alias("tenant"), F.row_number().over(order).alias("seq"), prefix.alias("prefix"))
+    return economy.prompt_cache(requests, 40)
 
 
 @query("""WITH p AS (SELECT conv_id AS tenant, turn AS seq, text AS prompt FROM conversations WHERE turn IS NOT NULL), pairs AS (SELECT a.tenant, a.seq, (SELECT max(n) FROM (SELECT unnest(range(0, least(length(a.prompt), length(b.prompt)) + 1)) AS n) WHERE substr(a.prompt, 1, n) = substr(b.prompt, 1, n)) AS n FROM p a JOIN p b ON a.tenant = b.tenant AND b.seq < a.seq AND b.seq >= a.seq - 24)
@@ -503,7 +505,7 @@ def _events(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("login"), (k % 20).alias("unit"), (k % 50).alias("thread"), kind.alias("kind"))
 
 
-@query(f"WITH {EV}, r AS (SELECT *, kind IN ('fail', 'pass') AND coalesce(max(CASE WHEN kind = 'fail' THEN 1 ELSE 0 END) OVER (PARTITION BY login, thread ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS retry FROM ev) SELECT login, count(*) FILTER (kind IN ('fail', 'pass')) AS attempts, count(DISTINCT CASE WHEN kind = 'pass' THEN unit END) AS cleared, count(*) FILTER (retry) AS retries, count(*) FILTER (kind = 'hint') AS hints, max(ts) AS last_active FROM r GROUP BY login")
+@query(f"WITH {EV}, r AS (SELECT *, kind IN ('fail', 'pass') AND coalesce(max(CASE WHEN kind = 'fail' THEN 1 ELSE 0 END) OVER (PARTITION BY login, thread ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS retry FROM ev) SELECT login, count(*) FILTER (kind IN ('fail', 'pass')) AS attempts, count(DISTINCT CASE WHEN kind = 'pass' THEN unit END) AS cleared, count(DISTINCT CASE WHEN kind IN ('fail', 'pass') THEN unit END) - count(DISTINCT CASE WHEN kind = 'pass' THEN unit END) AS still_open, count(*) FILTER (retry) AS retries, count(*) FILTER (kind = 'hint') AS hints, max(ts) AS last_active FROM r GROUP BY login")
 def learner_progress(spark, sf):
     return events.progress(_events(spark, sf))
 

@@ -1,6 +1,6 @@
 """All queries of the library proper and the SQL they are held against."""
 
-from lodestone.plans import assembly, evaluation, queries, retrieval  # noqa: F401  (they register their queries)
+from lodestone.plans import assembly, evaluation, operations, queries, retrieval  # noqa: F401  (they register their queries)
 from lodestone.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

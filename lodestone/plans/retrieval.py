@@ -71,7 +71,7 @@ def decompose(spark, sf):
 PARTS = f"{BASE.replace(f', {Q}', '')}, {Q.replace('q AS', 'q0 AS', 1)}, {SUBS.format(source='(SELECT qid, anchor AS text FROM q0)')}, q AS (SELECT qid * 10 + i AS qid, query || ' ' || sub AS query FROM (SELECT qid, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS sub FROM sb) JOIN q0 USING (qid)), {TERMS}, {bm('la', 5)}"
 
 
-@query(f"{PARTS}, u AS (SELECT CAST(floor(qid / 10) AS BIGINT) AS qid, chunk_id, min((qid % 10) * 1000 + rank) AS at FROM la GROUP BY ALL) SELECT * FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY at, chunk_id) AS rank FROM u) WHERE rank <= 8")
+@query(f"{PARTS}, u AS (SELECT CAST(floor(qid / 10) AS BIGINT) AS qid, chunk_id, min((qid % 10) * 1000 + rank) AS pos FROM la GROUP BY ALL) SELECT * FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY pos, chunk_id) AS rank FROM u) WHERE rank <= 8")
 def decompose_union(spark, sf):
     """Each part of a question searched together with it, and the hits united in the order of the parts."""
     subs = questions(spark, sf).select("qid", "query", F.posexplode(agent.decompose(F.col("anchor"))).alias("part", "sub"))
