@@ -1,17 +1,19 @@
-"""Encoders: signed hashing of character trigrams, tf-idf with a truncated SVD, inverted lists for search."""
+"""Encoders: signed hashing of character trigrams, latent spaces of tf-idf; inverted lists and graphs for search."""
 
 from __future__ import annotations
 
 import functools
 import hashlib
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.operators._state import kept
 from lodestone.operators.retrieve import top
 
 _WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -102,66 +104,88 @@ def tag(name: str, version: str, dim: int) -> Column:
     return F.concat_ws(":", F.concat_ws("@", F.lit(name), F.lit(version)), F.concat(F.lit("d"), F.lit(dim).cast("string")))
 
 
-def lsa_fit(texts: DataFrame, dim: int = 96, min_df: int = 2, terms: int = 4_000) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Vocabulary, idf and term space of a truncated SVD of tf-idf rows of (chunk_id, text).
+#: Dimensions of the sketch that latent spaces are found in.
+SKETCH = 512
 
-    The Gram matrix of the ``terms`` most frequent terms is summed on the workers, so what comes to the
-    driver is bounded by the vocabulary, not by the corpus.
+
+@dataclass
+class Lsa:
+    """A latent space: the weight of each term of the corpus, and the directions of the sketch that are kept."""
+
+    terms: DataFrame  # t, idf
+    space: np.ndarray
+
+
+@functools.lru_cache(maxsize=200_000)
+def _signs(term: str) -> np.ndarray:
+    bits = np.frombuffer(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=SKETCH // 8).digest(), np.uint8)
+    return (np.unpackbits(bits).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(SKETCH))
+
+
+def _sketched(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, y): tf-idf rows, tf as 1 + ln n, projected by signs that a hash of each term gives."""
+
+    @F.pandas_udf("array<float>")
+    def projected(names: pd.Series, weights: pd.Series) -> pd.Series:
+        out = []
+        for found, x in zip(names, weights, strict=True):
+            y = np.zeros(SKETCH, np.float32)
+            for at in range(0, len(found), 2_000):
+                part = np.asarray(x[at : at + 2_000], np.float32)
+                y += part @ np.array([_signs(t) for t in found[at : at + 2_000]])
+            out.append(y)
+        return pd.Series(out)
+
+    counts = texts.select("chunk_id", F.explode(tokens(F.col("text"))).alias("t")).groupBy("chunk_id", "t").agg(F.count("*").alias("n"))
+    weighted = counts.join(terms, "t").select("chunk_id", "t", ((1 + F.log("n")) * F.col("idf")).alias("x"))
+    rows = weighted.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("r"))
+    return rows.select("chunk_id", projected(F.transform("r", lambda v: v["t"]), F.transform("r", lambda v: v["x"])).alias("y"))
+
+
+def lsa_fit(texts: DataFrame, dim: int = 96, min_df: int = 1) -> Lsa:
+    """A latent space of (chunk_id, text) over the whole vocabulary of at least ``min_df`` chunks.
+
+    tf-idf rows are projected to SKETCH dimensions by hashed signs, which keeps their dot products up to about
+    one part in the root of SKETCH, and the directions that hold most of them come from the sketch's Gram
+    matrix. That is summed on the workers, so what comes to the driver is SKETCH squared numbers, however many
+    terms or texts there are; no term is left out and none has a row in any table but its weight.
     """
     n_docs = texts.count()
-    df = texts.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
-    rows = df.orderBy(F.desc("df"), "t").limit(terms).collect()
-    vocab = {r.t: i for i, r in enumerate(sorted(rows, key=lambda r: r.t))}
-    idf = np.ones(len(vocab))
-    for r in rows:
-        idf[vocab[r.t]] = np.log((1 + n_docs) / (1 + r.df)) + 1
-    shared = texts.sparkSession.sparkContext.broadcast((vocab, idf))
+    df = texts.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    terms = kept(df.filter(F.col("df") >= min_df).select("t", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
 
     def gram(batches):
-        words, weight = shared.value
-        total = np.zeros((len(words), len(words)))
+        total = np.zeros((SKETCH, SKETCH))
         for batch in batches:
-            for row in tfidf_rows(batch["tokens"], words, weight):
-                at = np.flatnonzero(row)
-                total[np.ix_(at, at)] += np.outer(row[at], row[at])
-        yield pd.DataFrame({"i": np.arange(len(words)), "row": list(total)})
+            if len(batch):
+                y = np.stack(batch["y"]).astype(np.float64)
+                total += y.T @ y
+        yield pd.DataFrame({"i": np.arange(SKETCH), "row": list(total)})
 
-    parts = texts.select(tokens(F.col("text")).alias("tokens")).mapInPandas(gram, "i long, row array<double>").groupBy("i").applyInPandas(lambda p: pd.DataFrame({"i": [p["i"].iloc[0]], "row": [np.sum(np.stack(p["row"]), 0)]}), "i long, row array<double>")
-    matrix = np.zeros((len(vocab), len(vocab)))
+    parts = _sketched(texts, terms).mapInPandas(gram, "i long, row array<double>").groupBy("i").applyInPandas(lambda p: pd.DataFrame({"i": [p["i"].iloc[0]], "row": [np.sum(np.stack(p["row"]), 0)]}), "i long, row array<double>")
+    matrix = np.zeros((SKETCH, SKETCH))
     for r in parts.toLocalIterator():
         matrix[r.i] = r.row
     values, vectors = np.linalg.eigh(matrix)
-    keep = np.argsort(-values)[: max(0, min(dim, len(vocab) - 1))]
-    return vocab, idf, vectors[:, keep]
+    order = np.argsort(-values)[:dim]
+    return Lsa(terms, vectors[:, order[values[order] > 1e-9 * max(1e-30, values.max())]])
 
 
-def tfidf_rows(token_lists, vocab: dict[str, int], idf: np.ndarray):
-    """tf-idf rows of token lists, tf as 1 + ln n."""
-    for found in token_lists:
-        row = np.zeros(len(vocab))
-        for t in found:
-            if t in vocab:
-                row[vocab[t]] += 1
-        some = row > 0
-        row[some] = (1 + np.log(row[some])) * idf[some]
-        yield row
-
-
-def lsa_encode(texts: DataFrame, model: tuple) -> DataFrame:
-    """(chunk_id, vector): unit vectors of texts in the term space; a text without known terms is all 0."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def lsa_encode(texts: DataFrame, model: Lsa) -> DataFrame:
+    """(chunk_id, vector): unit vectors of texts in the latent space; a text without known terms is all 0."""
+    shared = texts.sparkSession.sparkContext.broadcast(model.space)
 
     @F.pandas_udf("array<double>")
-    def encoded(found: pd.Series) -> pd.Series:
-        vocab, idf, space = shared.value
+    def encoded(sketches: pd.Series) -> pd.Series:
         out = []
-        for row in tfidf_rows(found, vocab, idf):
-            v = row @ space
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).tolist())
+        for y in sketches:
+            v = np.zeros(shared.value.shape[1]) if y is None else np.asarray(y, np.float64) @ shared.value
+            norm = np.linalg.norm(v)
+            out.append(v / norm if norm else v)
         return pd.Series(out)
 
-    return texts.select("chunk_id", encoded(tokens(F.col("text"))).alias("vector"))
+    found = texts.select("chunk_id").join(_sketched(texts, model.terms), "chunk_id", "left")
+    return found.select("chunk_id", encoded("y").alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -183,15 +207,77 @@ def ivf_build(vectors: DataFrame, cells: int = 16, sample: int = 20_000, rounds:
     return centers
 
 
-def ivf_search(queries: DataFrame, vectors: DataFrame, centers: np.ndarray, probes: int = 4, n: int = 10) -> DataFrame:
-    """Approximate nearest neighbours: only the ``probes`` cells nearest to a query are joined."""
-    shared = queries.sparkSession.sparkContext.broadcast(centers)
+def _cells(centers: np.ndarray, spark, n: int):
+    shared = spark.sparkContext.broadcast(centers)
 
     @F.pandas_udf("array<int>")
     def nearest(found: pd.Series) -> pd.Series:
-        return pd.Series([np.argsort(-(np.array(v, np.float64) @ shared.value.T))[:probes].tolist() for v in found])
+        if not len(found):
+            return pd.Series([], dtype="object")
+        near = np.argsort(-(np.array(found.tolist(), np.float64) @ shared.value.T), axis=1, kind="stable")[:, :n]
+        return pd.Series([row.tolist() for row in near])
+
+    return nearest
+
+
+#: Cells that a vector is kept in, and cells that a query looks into.
+SPILL, PROBES = 2, 8
+
 
-    probed = queries.select("qid", F.col("vector").alias("qv"), F.explode(nearest("vector")).alias("cell"))
-    placed = vectors.select("chunk_id", "vector", nearest("vector")[0].alias("cell"))
-    scored = placed.join(probed, "cell").select("qid", "chunk_id", F.round(dot(F.col("qv"), F.col("vector")), 6).alias("score"))
+def ivf_search(queries: DataFrame, vectors: DataFrame, centers: np.ndarray, probes: int = PROBES, n: int = 10, spill: int = SPILL) -> DataFrame:
+    """Approximate nearest neighbours: every vector is in its ``spill`` nearest cells, and only the ``probes`` cells
+    nearest to a query are joined; with as many probes as cells the search is exact."""
+    spark = queries.sparkSession
+    probed = queries.select("qid", F.col("vector").alias("qv"), F.explode(_cells(centers, spark, probes)("vector")).alias("cell"))
+    placed = vectors.select("chunk_id", "vector", F.explode(_cells(centers, spark, spill)("vector")).alias("cell"))
+    pairs = placed.join(F.broadcast(probed), "cell") if spill == 1 else placed.join(F.broadcast(probed), "cell").dropDuplicates(["qid", "chunk_id"])
+    scored = pairs.select("qid", "chunk_id", F.round(dot(F.col("qv"), F.col("vector")), 6).alias("score"))
     return top(scored, n).select("qid", "chunk_id", "score", "rank")
+
+
+def knn_graph(vectors: DataFrame, centers: np.ndarray, m: int = 16, long_links: int = 4, probes: int = PROBES) -> DataFrame:
+    """(node, nb): for each vector its ``m`` nearest ones among those of the cells that inverted lists would look into,
+    and a few far ones drawn by hashes, by which a walk gets from one region to another."""
+    own = vectors.select(F.col("chunk_id").alias("qid"), "vector")
+    near = ivf_search(own, vectors, centers, probes, m + 1).filter(F.col("qid") != F.col("chunk_id")).select(F.col("qid").alias("node"), F.col("chunk_id").alias("nb"))
+    n = max(1, vectors.count() // 4)
+    stands = vectors.groupBy(F.pmod(F.xxhash64("chunk_id", F.lit(17)), F.lit(n)).alias("b")).agg(F.min("chunk_id").alias("nb"))
+    drawn = vectors.select(F.col("chunk_id").alias("node"), F.explode(F.sequence(F.lit(1), F.lit(long_links))).alias("i"))
+    far = drawn.withColumn("b", F.pmod(F.xxhash64("node", "i"), F.lit(n))).join(stands, "b").select("node", "nb")
+    return near.unionByName(far).filter(F.col("node") != F.col("nb")).distinct()
+
+
+def graph_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame | None, n: int = 10, ef: int = 128, beam: int = 4, entries: int = 4, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Best-first walks over a graph for all queries at once: (qid, chunk_id, score, rank) and (qid, visits).
+
+    Each round looks at the neighbours of every query's best ``beam`` nodes not looked at yet, until ``ef`` nodes
+    are visited or none is left. Only vectors of (chunk_id) in ``allowed`` are visited. Without a graph the
+    search is exact.
+    """
+    from lodestone.operators.retrieve import knn
+
+    nodes = vectors if allowed is None else vectors.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    nodes = nodes.select("chunk_id", "vector")
+    if edges is None or edges.isEmpty():
+        return knn(queries, nodes, n), queries.select("qid").crossJoin(nodes.agg(F.count("*").alias("visits")))
+    q = queries.select("qid", F.col("vector").alias("qv"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = nodes.join(F.broadcast(pairs), "chunk_id").join(F.broadcast(q), "qid")
+        return both.select("qid", "chunk_id", F.round(dot(F.col("qv"), F.col("vector")), 6).alias("score"))
+
+    first = nodes.select("chunk_id").orderBy(F.xxhash64("chunk_id", F.lit(7)), "chunk_id").limit(entries)
+    seen = kept(scored(q.select("qid").crossJoin(first)).withColumn("done", F.lit(False)))
+    for _ in range(ef):
+        counts = seen.groupBy("qid").agg(F.count("*").alias("visits"))
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
+        active = seen.filter(~F.col("done")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam).join(counts.filter(F.col("visits") < ef), "qid")
+        active = kept(active.select("qid", "chunk_id", "visits"))
+        if active.isEmpty():
+            break
+        reached = edges.join(F.broadcast(active.withColumnRenamed("chunk_id", "node")), "node").select("qid", F.col("nb").alias("chunk_id"), "visits").distinct()
+        new = scored(reached.join(seen.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")).join(active.select("qid", "visits").distinct(), "qid")
+        new = new.withColumn("r", F.row_number().over(order)).filter(F.col("visits") + F.col("r") <= ef).select("qid", "chunk_id", "score", F.lit(False).alias("done"))
+        marked = seen.join(active.select("qid", "chunk_id", F.lit(True).alias("now")), ["qid", "chunk_id"], "left").select("qid", "chunk_id", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        seen = kept(marked.unionByName(new))
+    return top(seen, n).select("qid", "chunk_id", "score", "rank"), seen.groupBy("qid").agg(F.count("*").alias("visits"))

@@ -144,6 +144,12 @@ def recall_of(gold: DataFrame, hits: DataFrame, name: str) -> DataFrame:
     return per.groupBy("qid").agg(F.round(F.avg("f"), 6).alias(name), F.min("f").cast("double").alias(f"{name}_chain"))
 
 
+def ann_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row (recall): the share of exact neighbours (qid, chunk_id) that an approximate search found."""
+    both = exact.select("qid", "chunk_id").join(found.select("qid", "chunk_id").distinct().withColumn("f", F.lit(1)), ["qid", "chunk_id"], "left")
+    return both.agg(F.round(F.avg(F.coalesce("f", F.lit(0))), 6).alias("recall"))
+
+
 def citation_accuracy(answers: DataFrame, packed: DataFrame, gold: DataFrame) -> DataFrame:
     """(qid, resolvable, on_gold) of (qid, citations): shares of cited places that are packed (qid, rank, chunk_id),
     and that hold gold; null without citations."""

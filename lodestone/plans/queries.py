@@ -73,16 +73,31 @@ def knn_label_precision(spark, sf):
 
 @query()
 def ann_ivf_recall(spark, sf):
-    """Recall of inverted lists against exact search, by the number of cells probed."""
+    """Recall of inverted lists against exact search, and the share of vectors scored, by the number of cells probed."""
     q, v = _vectors(spark, sf)
-    exact = retrieve.knn(q, v, 10).select("qid", "chunk_id")
+    exact = kept(retrieve.knn(q, v, 10).select("qid", "chunk_id"))
     centers = embed.ivf_build(v, 16)
-    parts = None
-    for probes in (4, 8, 12):
-        found = embed.ivf_search(q, v, centers, probes, 10).select("qid", "chunk_id").join(exact, ["qid", "chunk_id"], "left_semi")
-        part = exact.groupBy().agg(F.count("*").alias("n")).crossJoin(found.groupBy().agg(F.count("*").alias("f"))).select(F.lit(probes).alias("probes"), F.round(F.col("f") / F.col("n"), 6).alias("recall"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    parts = []
+    for probes in (embed.PROBES, 10, 12):
+        found = embed.ivf_search(q, v, centers, probes, 10).select("qid", "chunk_id")
+        parts.append(metrics.ann_recall(found, exact).select(F.lit(probes).alias("probes"), "recall"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def ann_graph_recall(spark, sf):
+    """Recall of a walk over a graph of neighbours, and the share of vectors it visits, over all vectors and over those
+    that a filter allows."""
+    q, v = _vectors(spark, sf)
+    edges = kept(embed.knn_graph(v, embed.ivf_build(v, 16)))
+    n = v.count()
+    parts = []
+    for name, allowed in (("all", None), ("allowed", v.filter("label % 3 = 0"))):
+        exact = retrieve.knn(q, v if allowed is None else allowed, 10).select("qid", "chunk_id")
+        found, visits = embed.graph_search(q, v, edges, 10, 192, 8, allowed=allowed)
+        share = visits.agg(F.round(F.avg("visits") / n, 6).alias("visited"))
+        parts.append(metrics.ann_recall(found, exact).crossJoin(share).select(F.lit(name).alias("nodes"), "recall", "visited"))
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"WITH {C}, pats(qid, pattern) AS (VALUES (0, 'licen[cs]e'), (1, '\\d{{3}}-\\d{{4}}'), (2, 'of the')), m AS (SELECT qid, chunk_id, CAST(len(regexp_extract_all(text, '(?i)' || pattern)) AS DOUBLE) AS score FROM pats, c) SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM m WHERE score > 0) WHERE rank <= 20")
@@ -556,9 +571,9 @@ def hashing_embedder(spark, sf):
 
 @query()
 def lsa_dense(spark, sf):
-    """Dense retrieval: questions against documents in the term space of an SVD fitted on the documents."""
+    """Dense retrieval: questions against documents in a latent space fitted on all terms of the documents."""
     c, q = chunks(spark, sf).select("chunk_id", "text"), questions(spark, sf)
-    model = embed.lsa_fit(c, 48, 2, 600)
+    model = embed.lsa_fit(c)
     qs = embed.lsa_encode(q.select(F.col("qid").alias("chunk_id"), F.col("anchor").alias("text")), model).select(F.col("chunk_id").alias("qid"), "vector")
     return retrieve.knn(qs, embed.lsa_encode(c, model), 10)
 
