@@ -14,14 +14,13 @@ languages than one switch costs.
 
 from __future__ import annotations
 
-import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +59,15 @@ RANGES = [
     (0xAC00, 0xD7AF, "hangul"),
 ]
 _STARTS = np.array([a for a, _, _ in RANGES])
-#: What counts as part of a word for ``re`` but is neither letter nor decimal digit: fractions, superscripts, numerals.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text: runs of letters, each lower-cased by itself."""
-    return [w.lower() for w in _WORD.findall(text)]
+    """The words of a text, runs of letters, in lower case: as many as there are in the text itself.
+
+    The one letter that becomes a letter and a mark of its own in lower case is taken without its dot.
+    """
+    return _WORD.findall(text.replace("İ", "i").lower())
 
 
 def script_of(char: str) -> str:
