@@ -18,3 +18,11 @@ def kept(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lodestone-state-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, row_bytes: int, most: int = 64_000_000) -> tuple[DataFrame, bool]:
+    """``df``, marked for broadcast if its rows at ``row_bytes`` each are within ``most``, and whether they are."""
+    from pyspark.sql import functions as F
+
+    small = df.count() * row_bytes <= most
+    return (F.broadcast(df) if small else df), small

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.operators._state import kept
+from lodestone.operators._state import kept, sized
 from lodestone.operators.retrieve import top
 
 _WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -104,88 +104,132 @@ def tag(name: str, version: str, dim: int) -> Column:
     return F.concat_ws(":", F.concat_ws("@", F.lit(name), F.lit(version)), F.concat(F.lit("d"), F.lit(dim).cast("string")))
 
 
-#: Dimensions of the sketch that latent spaces are found in.
-SKETCH = 512
+#: Dimensions that a latent space is searched in; those beyond the ones asked for make it exact enough.
+WIDTH = 128
 
 
 @dataclass
 class Lsa:
-    """A latent space: the weight of each term of the corpus, and the directions of the sketch that are kept."""
+    """A latent space: (t, idf, v), the weight and the direction of each term of the corpus."""
 
-    terms: DataFrame  # t, idf
-    space: np.ndarray
+    terms: DataFrame
 
 
-@functools.lru_cache(maxsize=200_000)
-def _signs(term: str) -> np.ndarray:
-    bits = np.frombuffer(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=SKETCH // 8).digest(), np.uint8)
-    return (np.unpackbits(bits).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(SKETCH))
+def _weights(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, t, x): tf-idf, tf as 1 + ln n."""
+    counts = texts.select("chunk_id", F.explode(tokens(F.col("text"))).alias("t")).groupBy("chunk_id", "t").agg(F.count("*").alias("n"))
+    return counts.join(terms.select("t", "idf"), "t").select("chunk_id", "t", ((1 + F.log("n")) * F.col("idf")).alias("x"))
+
+
+def _product(weights: DataFrame, by: str, over: str, vectors: DataFrame) -> DataFrame:
+    """(by, v): for each row of a sparse matrix the sum of its entries times the vectors (over, v) of their columns.
+
+    Few vectors are sent to where the rows are; many are joined, and the rows brought together behind that.
+    """
+    sent, small = sized(vectors.select(over, "v"), 4 * WIDTH + 64)
+    rows = weights.select(by, over, "x")
+    joined = (rows.repartition(by).join(sent, over) if small else rows.join(sent, over).repartition(by)).sortWithinPartitions(by)
+
+    def total(batches):
+        last = carried = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch[by].to_numpy()
+            v = np.stack(batch["v"].to_numpy()).astype(np.float32) * batch["x"].to_numpy(np.float32)[:, None]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sums, found = np.add.reduceat(v, starts, axis=0), keys[starts]
+            if carried is not None:
+                if found[0] == last:
+                    sums[0] += carried
+                else:
+                    yield pd.DataFrame({by: [last], "v": [carried]})
+            if len(found) > 1:
+                yield pd.DataFrame({by: found[:-1], "v": list(sums[:-1])})
+            last, carried = found[-1], sums[-1]
+        if carried is not None:
+            yield pd.DataFrame({by: [last], "v": [carried]})
+
+    kind = weights.schema[by].dataType.simpleString()
+    return kept(joined.select(by, "v", "x").mapInPandas(total, f"{by} {kind}, v array<float>"))
+
+
+def _directions(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Squared singular values of rows (v), greatest first, and the directions they belong to, from their Gram matrix;
+    WIDTH squared numbers of each task are summed up before they come to the driver."""
+
+    def gram(batches):
+        total = np.zeros((WIDTH, WIDTH))
+        for batch in batches:
+            if len(batch):
+                y = np.stack(batch["v"]).astype(np.float64)
+                total += y.T @ y
+        yield pd.DataFrame({"i": np.arange(WIDTH), "row": list(total)})
+
+    parts = vectors.select("v").mapInPandas(gram, "i long, row array<double>").groupBy("i").applyInPandas(lambda p: pd.DataFrame({"i": [p["i"].iloc[0]], "row": [np.sum(np.stack(p["row"]), 0)]}), "i long, row array<double>")
+    matrix = np.zeros((WIDTH, WIDTH))
+    for r in parts.toLocalIterator():
+        matrix[r.i] = r.row
+    values, directions = np.linalg.eigh(matrix)
+    order = np.argsort(-values)
+    order = order[values[order] > 1e-10 * max(1e-30, values.max())]
+    return values[order], directions[:, order]
 
 
-def _sketched(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, y): tf-idf rows, tf as 1 + ln n, projected by signs that a hash of each term gives."""
+def _turned(vectors: DataFrame, by: str, matrix: np.ndarray) -> DataFrame:
+    """(by, v): rows times a small matrix, padded to WIDTH."""
+    shared = vectors.sparkSession.sparkContext.broadcast(np.pad(matrix, ((0, 0), (0, WIDTH - matrix.shape[1]))).astype(np.float32))
 
     @F.pandas_udf("array<float>")
-    def projected(names: pd.Series, weights: pd.Series) -> pd.Series:
-        out = []
-        for found, x in zip(names, weights, strict=True):
-            y = np.zeros(SKETCH, np.float32)
-            for at in range(0, len(found), 2_000):
-                part = np.asarray(x[at : at + 2_000], np.float32)
-                y += part @ np.array([_signs(t) for t in found[at : at + 2_000]])
-            out.append(y)
-        return pd.Series(out)
+    def turned(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(v) @ shared.value)) if len(v) else pd.Series([], dtype="object")
 
-    counts = texts.select("chunk_id", F.explode(tokens(F.col("text"))).alias("t")).groupBy("chunk_id", "t").agg(F.count("*").alias("n"))
-    weighted = counts.join(terms, "t").select("chunk_id", "t", ((1 + F.log("n")) * F.col("idf")).alias("x"))
-    rows = weighted.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("r"))
-    return rows.select("chunk_id", projected(F.transform("r", lambda v: v["t"]), F.transform("r", lambda v: v["x"])).alias("y"))
+    return vectors.select(by, turned("v").alias("v"))
 
 
-def lsa_fit(texts: DataFrame, dim: int = 96, min_df: int = 1) -> Lsa:
-    """A latent space of (chunk_id, text) over the whole vocabulary of at least ``min_df`` chunks.
+def lsa_fit(texts: DataFrame, dim: int = 96, min_df: int = 1, rounds: int = 2) -> Lsa:
+    """A truncated SVD of tf-idf rows of (chunk_id, text) over the whole vocabulary of at least ``min_df`` chunks.
 
-    tf-idf rows are projected to SKETCH dimensions by hashed signs, which keeps their dot products up to about
-    one part in the root of SKETCH, and the directions that hold most of them come from the sketch's Gram
-    matrix. That is summed on the workers, so what comes to the driver is SKETCH squared numbers, however many
-    terms or texts there are; no term is left out and none has a row in any table but its weight.
+    Randomised subspace iteration: rows are projected by signs that a hash of each term gives, made orthonormal,
+    and sent through the matrix and back ``rounds`` times. Vectors of terms and texts stay tables; only WIDTH
+    squared numbers at a time come to the driver, however many terms or texts there are.
     """
+    if dim > WIDTH:
+        raise ValueError(f"at most {WIDTH} dimensions are searched in")
     n_docs = texts.count()
     df = texts.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     terms = kept(df.filter(F.col("df") >= min_df).select("t", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
+    weights = kept(_weights(texts, terms))
 
-    def gram(batches):
-        total = np.zeros((SKETCH, SKETCH))
-        for batch in batches:
-            if len(batch):
-                y = np.stack(batch["y"]).astype(np.float64)
-                total += y.T @ y
-        yield pd.DataFrame({"i": np.arange(SKETCH), "row": list(total)})
+    @F.pandas_udf("array<float>")
+    def signs(names: pd.Series) -> pd.Series:
+        out = [np.unpackbits(np.frombuffer(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=WIDTH // 8).digest(), np.uint8)).astype(np.float32) * 2 - 1 for t in names]
+        return pd.Series(out, dtype="object")
 
-    parts = _sketched(texts, terms).mapInPandas(gram, "i long, row array<double>").groupBy("i").applyInPandas(lambda p: pd.DataFrame({"i": [p["i"].iloc[0]], "row": [np.sum(np.stack(p["row"]), 0)]}), "i long, row array<double>")
-    matrix = np.zeros((SKETCH, SKETCH))
-    for r in parts.toLocalIterator():
-        matrix[r.i] = r.row
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(-values)[:dim]
-    return Lsa(terms, vectors[:, order[values[order] > 1e-9 * max(1e-30, values.max())]])
+    found = terms.select("t", signs("t").alias("v"))
+    for _ in range(rounds):
+        projected = _product(weights, "chunk_id", "t", found)
+        values, directions = _directions(projected)
+        found = _product(weights, "t", "chunk_id", _turned(projected, "chunk_id", directions / np.sqrt(values)))
+    values, directions = _directions(found)
+    vectors = _turned(found, "t", (directions / np.sqrt(values))[:, :dim])
+    return Lsa(kept(terms.join(vectors, "t")))
 
 
-def lsa_encode(texts: DataFrame, model: Lsa) -> DataFrame:
+def lsa_encode(texts: DataFrame, model: Lsa, dim: int = 96) -> DataFrame:
     """(chunk_id, vector): unit vectors of texts in the latent space; a text without known terms is all 0."""
-    shared = texts.sparkSession.sparkContext.broadcast(model.space)
 
     @F.pandas_udf("array<double>")
-    def encoded(sketches: pd.Series) -> pd.Series:
+    def unit(found: pd.Series) -> pd.Series:
         out = []
-        for y in sketches:
-            v = np.zeros(shared.value.shape[1]) if y is None else np.asarray(y, np.float64) @ shared.value
-            norm = np.linalg.norm(v)
-            out.append(v / norm if norm else v)
-        return pd.Series(out)
-
-    found = texts.select("chunk_id").join(_sketched(texts, model.terms), "chunk_id", "left")
-    return found.select("chunk_id", encoded("y").alias("vector"))
+        for v in found:
+            y = np.zeros(dim) if v is None else np.asarray(v, np.float64)[:dim]
+            norm = np.linalg.norm(y)
+            out.append(y / norm if norm else y)
+        return pd.Series(out, dtype="object")
+
+    summed = _product(_weights(texts, model.terms), "chunk_id", "t", model.terms)
+    return texts.select("chunk_id").join(summed, "chunk_id", "left").select("chunk_id", unit("v").alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:

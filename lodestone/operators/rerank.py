@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +115,6 @@ def external(hits: DataFrame, queries: DataFrame, chunks: DataFrame, judge, dept
 
     It is called with batches, on the workers; a model of one's own goes in here.
     """
-    import pandas as pd
 
     @F.pandas_udf("double")
     def scored(q: pd.Series, t: pd.Series) -> pd.Series:

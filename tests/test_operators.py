@@ -13,7 +13,7 @@ def rows(df):
 
 def test_recall_counts_items_not_chunks(spark):
     q = spark.createDataFrame([(1,)], "qid long")
-    gold = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "a", 3), (1, "b", 9)], "qid long, anchor string, chunk_id long")
+    gold = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 1, 9)], "qid long, anchor_idx int, chunk_id long")
     hits = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3)], "qid long, chunk_id long, rank int")
     got = metrics.retrieval_metrics(q, gold, hits, 8).first()
     assert (got.evidence_recall, got.full_chain, got.mrr) == (0.5, 0.0, 1.0)
@@ -21,7 +21,7 @@ def test_recall_counts_items_not_chunks(spark):
 
 def test_ndcg_values(spark):
     q = spark.createDataFrame([(1,)], "qid long")
-    gold = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "qid long, anchor string, chunk_id long")
+    gold = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3)], "qid long, anchor_idx int, chunk_id long")
     one = spark.createDataFrame([(1, 1, 1), (1, 8, 2), (1, 9, 3)], "qid long, chunk_id long, rank int")
     assert metrics.retrieval_metrics(q, gold, one, 8).first().ndcg == pytest.approx(0.4693, abs=1e-4)
     two = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "qid long, chunk_id long, rank int")
@@ -31,7 +31,7 @@ def test_ndcg_values(spark):
 
 def test_no_gold_is_null(spark):
     q = spark.createDataFrame([(1,)], "qid long")
-    none = spark.createDataFrame([], "qid long, anchor string, chunk_id long")
+    none = spark.createDataFrame([], "qid long, anchor_idx int, chunk_id long")
     hits = spark.createDataFrame([(1, 1, 1)], "qid long, chunk_id long, rank int")
     assert tuple(metrics.retrieval_metrics(q, none, hits, 8).first())[1:] == (None, None, None, None)
 
@@ -146,11 +146,12 @@ def test_cache_and_prefix(spark):
 
 
 def test_ann_recall(spark):
-    from lodestone.plans.queries import QUERIES
+    from lodestone.plans.registry import QUERIES
 
-    got = {r.probes: r.recall for r in QUERIES["ann_ivf_recall"](spark, "/root/testdata/sf0.001").collect()}
-    assert got[4] <= got[8] <= got[12]
-    assert got[12] >= 0.9
+    got = {r.probes: r.recall for r in QUERIES["ann_ivf_recall"](spark, "/root/testdata/sf0.1").collect()}
+    assert 0.9 <= got[embed.PROBES] <= got[10] <= got[12]
+    walks = {r.nodes: r.recall for r in QUERIES["ann_graph_recall"](spark, "/root/testdata/sf0.01").collect()}
+    assert walks["all"] >= 0.9 and walks["allowed"] >= 0.9
 
 
 def test_text(spark):
