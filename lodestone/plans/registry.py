@@ -3,4 +3,6 @@
 from lodestone.plans import assembly, evaluation, operations, queries, retrieval  # noqa: F401  (they register their queries)
 from lodestone.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+FLAGSHIP = "bm25_evaluation"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
