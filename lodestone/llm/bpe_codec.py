@@ -24,6 +24,7 @@ import hashlib
 import itertools
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -36,6 +37,7 @@ from lodestone.llm.token_counts import byte_symbols
 #: Words and transitions that a worker remembers; beyond that it starts anew.
 REMEMBERED = 150_000
 _LATEST = 1 << 60
+_SHORT = (3, 2, 1)
 
 SCHEMA = "ids array<int>, n_tokens long, decoded string"
 
@@ -61,12 +63,12 @@ class MergeAutomaton:
             if self.first[t] in usable and self.last[t] in usable and self._resolve(self.first[t], self.last[t], gadget):
                 usable.add(t)
         self.labelled = {s: t for s, t in vocab.items() if t in usable}
-        #: by the first three characters of what is still to be spelled, the sizes to try, longest first
+        #: by the first four characters of what is still to be spelled, the sizes to try, longest first
         sizes: dict[str, set[int]] = {}
         for s in self.labelled:
             plain = s.removesuffix(end) if end else s
-            if len(plain) > 2:
-                sizes.setdefault(plain[:3], {1, 2}).add(len(plain))
+            if len(plain) > 3:
+                sizes.setdefault(plain[:4], {1, 2, 3}).add(len(plain))
         self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
 
     def _add(self, gadget: int, u: int, v: int, uv: int) -> None:
@@ -106,7 +108,7 @@ class MergeAutomaton:
         ends: list[int] = []
         untried: list = []  # sizes left at each earlier place
         dead: set[tuple[int, int]] = set()  # labels and ends from which no path goes on
-        pos, here, left = 0, None, iter(sizes.get(word[:3], (2, 1)))
+        pos, here, left = 0, None, iter(sizes.get(word[:4], _SHORT))
         while True:
             for size in left:
                 stop = pos + size
@@ -126,7 +128,7 @@ class MergeAutomaton:
                     return path
                 ends.append(pos)
                 untried.append(left)
-                pos, here, left = stop, token, iter(sizes.get(word[stop : stop + 3], (2, 1)))
+                pos, here, left = stop, token, iter(sizes.get(word[stop : stop + 4], _SHORT))
                 break
             else:
                 if not path:
@@ -155,36 +157,61 @@ class Codec:
             raise ValueError(f"{path} has other steps than this codec")
         self.space = regex.compile(r"\s+")
         self.symbol = dict(enumerate(byte_symbols()))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple] = {}
 
     def normal(self, text: str) -> str:
         """NFC, runs of white space as one space, lower case letter by letter."""
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
         return text.replace("Σ", "σ").lower()  # no final sigma: letters are lowered one at a time
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > REMEMBERED or len(self.automaton.table) > 2 * REMEMBERED:
-                self.known.clear()
-                self.automaton.table.clear()
+    def _entries(self, words: list[str]) -> list[tuple]:
+        """Ids of each word, and both the ids and what they decode to as text; words not met before are encoded first."""
+        known = self.known
+        if len(known) > REMEMBERED or len(self.automaton.table) > 2 * REMEMBERED:
+            known.clear()
+            self.automaton.table.clear()
+        got = list(map(known.get, words))
+        if None not in got:
+            return got
+        for word in {w for w, entry in zip(words, got, strict=True) if entry is None}:
             symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbol)
-            got = self.known[word] = tuple(self.automaton.encode(symbols) or ())
-        return got
+            known[word] = self._entry(self.automaton.encode(symbols) or [])
+        return list(map(known.__getitem__, words))
+
+    def _entry(self, ids: list[int]) -> tuple:
+        return tuple(ids), len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def walk(self, text: str) -> Iterator[list[tuple]]:
+        """Entries of a text's words and of the special tokens written in it, some at a time."""
+        for i, part in enumerate(self.find_special.split(text) if self.find_special else [text]):
+            if i % 2:
+                yield [self._entry([self.special[part]])]
+                continue
+            normal = self.normal(part)
+            if len(normal) <= SLICE_CHARS:
+                yield self._entries(self.words.findall(normal))
+                continue
+            words = self.words.finditer(normal)
+            while some := [found.group() for found in itertools.islice(words, 20_000)]:
+                yield self._entries(some)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without begin or end tokens; special tokens written in the text are found."""
-        parts = self.find_special.split(text) if self.find_special else [text]
-        out: list[int] = []
-        for i, part in enumerate(parts):
-            if i % 2:
-                out.append(self.special[part])
-            elif len(part) <= SLICE_CHARS:
-                out.extend(itertools.chain.from_iterable(map(self._word, self.words.findall(self.normal(part)))))
-            else:
-                for found in self.words.finditer(self.normal(part)):
-                    out.extend(self._word(found.group()))
-        return out
+        return [i for entries in self.walk(text) for ids, *_ in entries for i in ids]
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """How many ids a text has, and digests of them as decimal numbers and of what they decode to.
+
+        Both are texts of words joined by a space, as ids and labels are, so words give them as well.
+        """
+        n, ids, labels = 0, [], []
+        for entries in self.walk(text):
+            for _, size, numbers, spelled in entries:
+                if size:
+                    n += size
+                    ids.append(numbers)
+                    labels.append(spelled)
+        return n, *(hashlib.sha256(" ".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x in (ids, labels))
 
     def decode(self, ids) -> str:
         """Labels of the arcs, special ones too, with a space between; the file names no other decoder."""
@@ -226,11 +253,7 @@ def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digested(texts: pd.Series) -> pd.DataFrame:
         c = codec(path)
-        rows = []
-        for t in texts:
-            ids = c.encode(t)
-            rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([c.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     coded = df.withColumn("_bpe", digested(F.coalesce(F.col(text), F.lit(""))))
     return coded.withColumns({c: F.col(f"_bpe.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_bpe")
