@@ -11,7 +11,7 @@ from lodestone.functions import text as T
 from lodestone.operators import agent, embed, pack, rerank, retrieve
 from lodestone.operators._state import kept
 from lodestone.plans.assembly import ENT, entities
-from lodestone.plans.base import BASE, LEGS, Q, RRF, TERMS, VECS, C, bm, chunks, dense, gold_of, legs, query, questions, tok, vec, weighted_sql
+from lodestone.plans.base import BASE, LEGS, Q, RRF, TERMS, C, bm, chunks, dense, gold_of, legs, query, questions, tok, vec, weighted_sql
 from lodestone.sources import table
 
 
