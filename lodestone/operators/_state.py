@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    On a cluster the package is installed on every node and the path changes nothing that matters.
+    """
+    spark = spark or SparkSession.active()
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
 def kept(df: DataFrame) -> DataFrame:

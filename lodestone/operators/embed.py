@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.operators._state import kept, sized
+from lodestone.operators._state import kept, ship, sized
 from lodestone.operators.retrieve import top
 
 _WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -38,6 +38,7 @@ def _cell(trigram: str) -> int:
 
 def hashed_vectors(texts: DataFrame, key: str = "chunk_id", text: str = "text", dim: int = 192) -> DataFrame:
     """(key, vector): the unit vectors of ``hashed`` as arrays, made in batches; a null text's is all 0."""
+    ship()
 
     @F.pandas_udf("array<double>")
     def encoded(values: pd.Series) -> pd.Series:
@@ -73,6 +74,7 @@ def token_vectors(texts: DataFrame, key: str = "chunk_id", text: str = "text", m
 
     The bound is what late interaction stores of a text.
     """
+    ship()
 
     @F.pandas_udf("array<double>")
     def encoded(found: pd.Series) -> pd.Series:
@@ -84,6 +86,7 @@ def token_vectors(texts: DataFrame, key: str = "chunk_id", text: str = "text", m
 
 def maxsim(query: Column, passage: Column) -> Column:
     """Mean over the tokens of a query of the best cosine with any token of a passage; 0 if either has none."""
+    ship()
 
     @F.pandas_udf("double")
     def best(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -126,6 +129,7 @@ def _product(weights: DataFrame, by: str, over: str, vectors: DataFrame) -> Data
 
     Few vectors are sent to where the rows are; many are joined, and the rows brought together behind that.
     """
+    ship()
     sent, small = sized(vectors.select(over, "v"), 4 * WIDTH + 64)
     rows = weights.select(by, over, "x")
     joined = (rows.repartition(by).join(sent, over) if small else rows.join(sent, over).repartition(by)).sortWithinPartitions(by)
@@ -157,6 +161,7 @@ def _product(weights: DataFrame, by: str, over: str, vectors: DataFrame) -> Data
 def _directions(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Squared singular values of rows (v), greatest first, and the directions they belong to, from their Gram matrix;
     WIDTH squared numbers of each task are summed up before they come to the driver."""
+    ship()
 
     def gram(batches):
         total = np.zeros((WIDTH, WIDTH))
@@ -178,6 +183,7 @@ def _directions(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _turned(vectors: DataFrame, by: str, matrix: np.ndarray) -> DataFrame:
     """(by, v): rows times a small matrix, padded to WIDTH."""
+    ship()
     shared = vectors.sparkSession.sparkContext.broadcast(np.pad(matrix, ((0, 0), (0, WIDTH - matrix.shape[1]))).astype(np.float32))
 
     @F.pandas_udf("array<float>")
@@ -194,6 +200,7 @@ def lsa_fit(texts: DataFrame, dim: int = 96, min_df: int = 1, rounds: int = 2) -
     and sent through the matrix and back ``rounds`` times. Vectors of terms and texts stay tables; only WIDTH
     squared numbers at a time come to the driver, however many terms or texts there are.
     """
+    ship()
     if dim > WIDTH:
         raise ValueError(f"at most {WIDTH} dimensions are searched in")
     n_docs = texts.count()
@@ -218,6 +225,7 @@ def lsa_fit(texts: DataFrame, dim: int = 96, min_df: int = 1, rounds: int = 2) -
 
 def lsa_encode(texts: DataFrame, model: Lsa, dim: int = 96) -> DataFrame:
     """(chunk_id, vector): unit vectors of texts in the latent space; a text without known terms is all 0."""
+    ship()
 
     @F.pandas_udf("array<double>")
     def unit(found: pd.Series) -> pd.Series:
@@ -252,6 +260,7 @@ def ivf_build(vectors: DataFrame, cells: int = 16, sample: int = 20_000, rounds:
 
 
 def _cells(centers: np.ndarray, spark, n: int):
+    ship(spark)
     shared = spark.sparkContext.broadcast(centers)
 
     @F.pandas_udf("array<int>")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import IDENTIFIER, tokens
+from lodestone.operators._state import ship
 from lodestone.operators.embed import dot, hashed_vectors, maxsim
 
 #: Weights of the default model.
@@ -116,6 +117,8 @@ def external(hits: DataFrame, queries: DataFrame, chunks: DataFrame, judge, dept
     It is called with batches, on the workers; a model of one's own goes in here.
     """
 
+    ship()
+
     @F.pandas_udf("double")
     def scored(q: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(list(judge(q.tolist(), t.tolist())), dtype="float64")
