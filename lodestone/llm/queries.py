@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, chat_format, collocations, decontamination, html_extract, language_id, merkle_manifest, ngram_join, quality_rules, sharding, token_counts, toxicity
+from lodestone.llm import bpe_codec, chat_format, collocations, decontamination, html_extract, language_id, merkle_manifest, near_dedup, ngram_join, quality_rules, sharding, token_counts, toxicity
 from lodestone.llm.common import crc_mod, shared_folder, tokenizer_path
 
 
@@ -82,6 +82,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).drop("text")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op6_bpe_codec": op6_bpe_codec,
     "op10_token_counts": op10_token_counts,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -110,6 +116,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontamination.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op7_chat_formatting": chat_format.ORACLE_SQL,
+    "op11_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op12_collocations": collocations.ORACLE_SQL,
     "op13_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }
