@@ -12,14 +12,18 @@ and aligns the wrapper so far with the next page:
 * any other mismatch is resolved into optional groups: the fewest tokens that one or both sides have before
   they go on with an equal tag.
 
-Two wrappers align like a wrapper and a page, so every task folds the pages that it reads, and the wrappers
-of a host are then aligned with each other; all pages take part and no page is shuffled.
-
-The wrapper decides what the article is. Its texts that don't vary are template. Its content is the smallest
-element that holds most of what varies. Names come second: tags that mark an article narrow a content that is
-wider, class names that speak of boilerplate drop lesser parts of it, but no part that holds most of the text
-or a heading of the article. A host that has no content element (its pages vary all over, or it is one page)
-is judged by names alone.
+* optional items in a row of which one recurs become a repeated group of optional items, as wide as it has
+  different ones.
+
+Two wrappers align like a wrapper and a page. Pages of one shape (equal but for their texts) align item by item in
+whatever order, so tasks fold those that they read; the shapes of a host are then aligned in groups and an order
+that their hashes fix, so that a wrapper depends on the host's pages alone. All pages take part; none is shuffled.
+
+The wrapper decides what the article is. Its content is the smallest element that holds most of what varies;
+of the texts that don't vary, those before and behind all that do are template, but no heading is and nothing
+in between. Names come second: tags that mark an article narrow a content to what holds most of it, class names
+that speak of boilerplate drop lesser parts of it, but no part that holds most of the text or a heading of the
+article. A host that has no content element (its pages vary all over, or it is one page) is judged by names alone.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import html
+import itertools
 import json
 import re
 import zlib
@@ -45,9 +50,7 @@ AGREE = 3
 CONTENT_SHARE = 0.8
 #: Elements in a row that are tried as the pattern of a repeated group.
 ROW = 3
-#: Items side by side in a wrapper beyond which equal ones are taken together, wherever they stand.
-WIDE = 1_000
-#: Items that a task holds before it passes its wrappers on, and wrappers that are aligned in one task.
+#: Items that a task holds before it passes on what it has, and wrappers that are aligned in one task.
 HELD = 200_000
 MEET = 64
 
@@ -60,6 +63,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements that a content element is not looked for inside of.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre figure details summary address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class or id that name boilerplate, words before them that make them speak of
 #: something else than the element, and words that name content.
 CUES = frozenset(
@@ -311,43 +315,81 @@ def _signs(items: list[Item]) -> list[str]:
     return [x.sign() for x in items]
 
 
+def _occurrence(kids: list[Item], items: list[Item], at: int) -> tuple[list[Item], int]:
+    """What makes one more occurrence of a group's row at ``at``, a group of that row or the row itself, and how many items that is."""
+    signs = _signs(kids)
+    if at < len(items) and items[at].kind == "r" and _signs(items[at].kids) == signs:
+        return items[at].kids, 1
+    row = items[at : at + len(kids)]
+    return (row, len(row)) if _signs(row) == signs else ([], 0)
+
+
 def _repeat(out: list[Item], items: list[Item], at: int, match: Callable[[Item, Item], None]) -> int:
     """Folds items into a repeated group at the end of ``out`` if they repeat what is there; how many it takes."""
     if not out or items[at].kind == "#":
         return 0
     last = out[-1]
     if last.kind == "r":
-        n = len(last.kids)
-        if _signs(last.kids) == _signs(items[at : at + n]):
-            for x, y in zip(last.kids, items[at : at + n], strict=True):
+        row, taken = _occurrence(last.kids, items, at)
+        if taken:
+            for x, y in zip(last.kids, row, strict=True):
                 match(x, y)
-            return n
+            return taken
         tail = last.kids[-1]
-        if n > 1 and tail.sign() == items[at].sign():  # the row's last element goes on
+        if len(last.kids) > 1 and tail.sign() == items[at].sign():  # the row's last element goes on
             if tail.kind != "r":
                 tail = last.kids[-1] = Item("r", "", [tail], tail.pages)
-            match(tail.kids[0], items[at]) if items[at].kind == "e" else match(tail, items[at])
+            match(tail, items[at])
             return 1
     for n in range(1, min(ROW, len(out)) + 1):
-        signs = _signs(items[at : at + n])
-        if _signs(out[-n:]) != signs:
-            continue
         row = out[-n:]
+        if n == 1 and row[0].kind == "r":
+            continue
+        found, taken = _occurrence(row, items, at)
+        if not taken:
+            continue
         del out[-n:]
-        while len(out) >= n and _signs(out[-n:]) == signs:  # equal rows before it are the same group
+        while len(out) >= n and _signs(out[-n:]) == _signs(row):  # equal rows before it are the same group
             before = out[-n:]
             del out[-n:]
             for x, y in zip(before, row, strict=True):
                 match(x, y)
             row = before
-        group = row[0] if n == 1 and row[0].kind == "r" else Item("r", "", row, row[0].pages)
-        for x, y in zip(group.kids, items[at : at + n], strict=True):
+        for x, y in zip(row, found, strict=True):
             match(x, y)
-        out.append(group)
-        return n
+        out.append(row[0] if n == 1 and row[0].kind == "r" else Item("r", "", row, row[0].pages))
+        return taken
     return 0
 
 
+def _loosened(out: list[Item], match: Callable[[Item, Item], None]) -> list[Item]:
+    """``out`` with each run of optional items in which some sign recurs as one repeated group of optional items.
+
+    Such a run says no more than that these items come in any order, and would grow with every page; as a
+    group (a? b? c?)+ it is as wide as it has different signs.
+    """
+    done: list[Item] = []
+    for optional, run_ in itertools.groupby(out, key=lambda x: x.optional):
+        run = list(run_)
+        parts, waiting = [], run[::-1]
+        while waiting:
+            item = waiting.pop()
+            if item.kind == "r":
+                waiting.extend(item.kids[::-1])
+            else:
+                parts.append(item)
+        if not optional or len(run) == 1 or len({x.sign() for x in parts}) == len(parts):
+            done += run
+            continue
+        first: dict[str, Item] = {}
+        for item in parts:
+            item.optional = True
+            if first.setdefault(item.sign(), item) is not item:
+                match(first[item.sign()], item)
+        done.append(Item("r", "", list(first.values()), max(x.pages for x in run), True))
+    return done
+
+
 def align(a: list[Item], b: list[Item], match: Callable[[Item, Item], None]) -> list[Item]:
     """Items that cover both rows: pairs with equal signs are matched, other ones become repeated or optional."""
     signs_a, signs_b = _signs(a), _signs(b)
@@ -364,20 +406,18 @@ def align(a: list[Item], b: list[Item], match: Callable[[Item, Item], None]) ->
             out.append(x)
             i, j = i + 1, j + 1
             continue
-        n = len(x.kids) if x.kind == "r" else 0
-        if n > 1 and _signs(x.kids) == signs_b[j : j + n]:
-            for p, q in zip(x.kids, b[j : j + n], strict=True):
-                match(p, q)
-            out.append(x)
-            i, j = i + 1, j + n
-            continue
-        n = len(y.kids) if y.kind == "r" else 0
-        if n > 1 and _signs(y.kids) == signs_a[i : i + n]:
-            group = Item("r", "", a[i : i + n], x.pages)
-            for p, q in zip(group.kids, y.kids, strict=True):
-                match(p, q)
-            out.append(group)
-            i, j = i + n, j + 1
+        for group, row, mine in ((x, b, True), (y, a, False)):
+            found, taken = _occurrence(group.kids, row, j if mine else i) if group.kind == "r" and len(group.kids) > 1 else ([], 0)
+            if taken:
+                whole = group if mine else Item("r", "", found, x.pages)
+                for p, q in zip(whole.kids, found if mine else group.kids, strict=True):
+                    match(p, q)
+                out.append(whole)
+                i, j = (i + 1, j + taken) if mine else (i + taken, j + 1)
+                break
+        else:
+            taken = 0
+        if taken:
             continue
         if taken := _repeat(out, a, i, match):
             i += taken
@@ -407,21 +447,7 @@ def align(a: list[Item], b: list[Item], match: Callable[[Item, Item], None]) ->
             rest[at].optional = True
             out.append(rest[at])
             at += 1
-    if len(out) > WIDE:
-        first: dict[str, Item] = {}
-        for item in out:
-            sign = item.sign()
-            known = first.setdefault(sign, item)
-            if known is item:
-                continue
-            if known.kind == "e":
-                known = first[sign] = Item("r", "", [known], known.pages)
-            known.optional = True
-            if known.kind == "#":
-                known.text = None
-            match(known, item)
-        out = list(first.values())
-    return out
+    return _loosened(out, match)
 
 
 def infer(pages: list[str]) -> Item | None:
@@ -538,6 +564,9 @@ def extract(source: str | None, verdict: dict | None) -> str:
         within_article[e] = within_article[x.parent] or own[e]
         apart = (x.tag == "header" and not (within_article[e] and heads[e])) or (x.tag == "form" and not (heads[e] or marked[e]))
         out_[e] = out_[x.parent] or apart
+    headed = [False] * n  # headings and what is in them
+    for e in range(1, n):
+        headed[e] = headed[elements[e].parent] or elements[e].tag in HEADINGS
     held = [0] * n
     for p in pieces:
         if not out_[p.inside]:
@@ -558,17 +587,22 @@ def extract(source: str | None, verdict: dict | None) -> str:
     def speaks_of_boilerplate(e: int) -> bool:
         return bool(elements[e].mark) and elements[e].tag not in ("html", "body") and names(elements[e].mark, CUES) and not heads[e] and not (marked[e] and not own[e])
 
+    def plain_in(region: list[bool] | None) -> int:
+        """Characters in a region, or all, without those of parts that are named boilerplate."""
+        spoken = outermost(speaks_of_boilerplate, region)
+        return (held[0] if region is None else text_in(region)) - text_in(spoken)
+
     region = None
     content = verdict.get("content") if verdict else None
     if content is not None:
         region = outermost(lambda e: elements[e].path == content)
         if not text_in(region):
             region = None
-    wide = [True] * n if region is None else region
-    article = outermost(lambda e: own[e] and not speaks_of_boilerplate(e), wide)
-    whole = held[0] if region is None else text_in(region)
+    # a name narrows what the wrapper says to what holds most of it; where that says nothing, to what holds half
+    article = outermost(lambda e: own[e] and not speaks_of_boilerplate(e), region)
+    share = 0.5 if region is None else CONTENT_SHARE
     enclosed = region is not None and any(region[e] and not region[elements[e].parent] and within_article[elements[e].parent] for e in range(1, n))
-    if text_in(article) >= 0.2 * max(1, whole) and not enclosed:
+    if text_in(article) and text_in(article) >= share * plain_in(region) and not enclosed:
         region = article
     if region is None:
         named = outermost(lambda e: bool(elements[e].mark) and names(elements[e].mark, CONTENT) and not names(elements[e].mark, CUES) and held[e] >= 0.2 * held[0])
@@ -595,10 +629,11 @@ def extract(source: str | None, verdict: dict | None) -> str:
     left = [p for p in pieces if region[p.inside] and not gone[p.inside] and not out_[p.inside]]
     fixed = set(verdict["fixed"]) if verdict and verdict.get("fixed") else None
     if fixed and left:
-        varied = [p for p in left if f"{elements[p.inside].path}:{digest(p.text)}" not in fixed]
+        varied = [f"{elements[p.inside].path}:{digest(p.text)}" not in fixed for p in left]
         # a page that is all template is a copy of others, not boilerplate
-        if 2 * sum(len(p.text) for p in varied) >= sum(len(p.text) for p in left):
-            left = varied
+        if 2 * sum(len(p.text) for p, own_ in zip(left, varied, strict=True) if own_) >= sum(len(p.text) for p in left):
+            first, last = varied.index(True), len(left) - varied[::-1].index(True)
+            left = [p for i, p in enumerate(left) if first <= i < last or headed[p.inside]]
     if not left:
         left = [p for p in pieces if not out_[p.inside]] or pieces
     return "\n".join(p.text for p in left)
@@ -611,57 +646,92 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-_WRAPPERS = "host string, wrapper string, n long"
+_WRAPPERS = "host string, shape string, wrapper string, n long"
+
+
+def shape(item: Item) -> str:
+    """A digest of a page's elements and the places of its texts."""
+    said, waiting = hashlib.blake2b(digest_size=16), [item]
+    while waiting:
+        x = waiting.pop()
+        said.update(f"{x.key} {len(x.kids)}\n".encode("utf-8", "surrogatepass"))
+        waiting.extend(reversed(x.kids))
+    return said.hexdigest()
 
 
 def _inferred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The wrappers of the hosts whose pages a task reads, passed on whenever HELD items are held."""
-    held: dict[str, Item] = {}
+    """The wrappers of the hosts' shapes that a task reads, passed on whenever HELD items are held."""
+    held: dict[tuple[str, str], Item] = {}
     items = 0
 
     def rows() -> pd.DataFrame:
-        out = pd.DataFrame([(h, dump(w), w.pages) for h, w in held.items()], columns=["host", "wrapper", "n"])
+        out = pd.DataFrame([(*key, dump(w), w.pages) for key, w in held.items()], columns=["host", "shape", "wrapper", "n"])
         held.clear()
         return out
 
     for batch in batches:
         for host, page in zip(batch["host"], batch["html"], strict=True):
             item = page_item(page)
-            items += 1 + page.count("<")
-            held[host] = merge(held[host], item) if host in held else item
+            key = (host, shape(item))
+            if key in held:
+                _same_shape(held[key], item)
+            else:
+                held[key] = item
+                items += 1 + page.count("<")
             if items > HELD:
                 yield rows()
                 items = 0
     yield rows()
 
 
-def _together(frame: pd.DataFrame) -> Item:
-    wrapper = None
-    for dumped in sorted(frame["wrapper"]):
-        wrapper = load(dumped) if wrapper is None else merge(wrapper, load(dumped))
-    return wrapper
+def _same_shape(a: Item, b: Item) -> Item:
+    """``a`` aligned with ``b`` of the same shape; neither order nor grouping of many of them matters."""
+    waiting = [(a, b)]
+    while waiting:
+        x, y = waiting.pop()
+        x.pages, x.size = x.pages + y.pages, x.size + y.size
+        x.text = x.text if x.text == y.text else None
+        waiting.extend(zip(x.kids, y.kids, strict=True))
+    return a
+
+
+def _together(frame: pd.DataFrame) -> pd.DataFrame:
+    """One wrapper of a host's: those of equal shapes first, then the shapes in order."""
+    whole, said = None, hashlib.blake2b(digest_size=16)
+    for shape_, group in frame.sort_values("shape").groupby("shape", sort=False):
+        of_shape = None
+        for dumped in group["wrapper"]:
+            of_shape = load(dumped) if of_shape is None else _same_shape(of_shape, load(dumped))
+        whole = of_shape if whole is None else merge(whole, of_shape)
+        said.update(shape_.encode())
+    one = frame["shape"].iloc[0]
+    return pd.DataFrame({"host": [frame["host"].iloc[0]], "shape": [one if frame["shape"].nunique() == 1 else said.hexdigest()], "wrapper": [dump(whole)], "n": [int(frame["n"].sum())]})
+
+
+def _met(parts: DataFrame, keys: list[str], place) -> DataFrame:
+    """``parts`` aligned in groups of about half of MEET by ``place`` until each of ``keys`` has one row."""
+    while True:
+        counts = durable(parts.groupBy(*keys).agg(F.count("*").alias("of_key")))
+        if (counts.agg(F.max("of_key").alias("n")).first().n or 0) <= 1:
+            return parts
+        groups = F.when(F.col("of_key") > MEET, F.ceil(F.col("of_key") / (MEET // 2))).otherwise(1)
+        counts = within(counts, sum((F.octet_length(k) for k in keys), F.lit(32)))
+        dealt = parts.join(counts, keys).withColumn("part", F.pmod(F.xxhash64(place, F.col("of_key")), groups))
+        parts = durable(dealt.groupBy(*keys, "part").applyInPandas(lambda frame: _together(frame.drop(columns=["part", "of_key"])), _WRAPPERS))
 
 
 def wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """(host, verdict as JSON, n_pages) from all pages of each host.
 
-    A host has a wrapper for each task that reads pages of it; they are aligned MEET at a time until one is
-    left, so a hot host's pages or wrappers never meet in one task.
+    Wrappers are aligned at most about MEET at a time, so a hot host's pages or wrappers never meet in one task.
+    Which ones meet and in which order is fixed by the hashes of their shapes, not by how pages are dealt to tasks.
     """
     ship(pages.sparkSession)
     read_ = pages.filter(F.col(source).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(source).alias("html"))
     parts = durable(read_.mapInPandas(_inferred, _WRAPPERS))
-
-    def aligned(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [dump(_together(frame))], "n": [int(frame["n"].sum())]})
-
-    def judged(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "verdict": [json.dumps(judge(_together(frame)))], "n_pages": [int(frame["n"].sum())]})
-
-    while (most := parts.groupBy("host").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n) > MEET:
-        dealt = F.pmod(F.xxhash64("wrapper", F.lit(most)), F.lit(-(-most // (MEET // 2)))).alias("part")
-        parts = durable(parts.withColumn("part", dealt).groupBy("host", "part").applyInPandas(aligned, _WRAPPERS))
-    return parts.groupBy("host").applyInPandas(judged, "host string, verdict string, n_pages long")
+    parts = _met(_met(parts, ["host", "shape"], F.monotonically_increasing_id()), ["host"], F.col("shape"))
+    judged = F.pandas_udf(lambda dumped: dumped.map(lambda w: json.dumps(judge(load(w)))), "string")
+    return parts.select("host", judged("wrapper").alias("verdict"), F.col("n").alias("n_pages"))
 
 
 def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
