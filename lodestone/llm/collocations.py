@@ -6,9 +6,10 @@
    the LONGEST - 1 words that follow it, and counts what starts within it.
 2. Frequent words are those whose lists hold ``least`` positions in all blocks together; no part of a frequent
    phrase is rarer than the phrase. Each gets a number, which is sent to the blocks that have it.
-3. A level's phrases are extended by merge-joining the ends of their occurrences with the lists of the words
-   that stand next to them, if the occurrence one word on is one of a frequent phrase too. The lengths of the
-   lists found, summed over blocks, are the exact frequencies of the next level.
+3. A level's phrases are extended by merge-joining their lists with those of the words that stand next to their
+   ends, if the occurrence one word on is one of a frequent phrase too. The lengths of the lists found, summed
+   over blocks, are the exact frequencies of the next level. A block keeps the words' lists, compressed; those
+   of frequent phrases are joined again from them, level by level, when they are extended.
 
 A block and its lists are bounded, so that the memory of a task is too, and a hot word or language is a list
 in each block and never in one place. Lists stay with their block; only counts and numbers are joined by phrase.
@@ -16,7 +17,7 @@ in each block and never in one place. Lists stay with their block; only counts a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -39,12 +40,10 @@ END = 1 << 30
 #: Separators become line feeds, tabs spaces, and A-Z a-z; all are bytes of their own in UTF-8.
 _PLAIN = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: What a row tells a block: the list of a word, the list of a prefix, or that a phrase is frequent.
-WORD, PREFIX, MESSAGE = 0, 1, 2
-_WORDS = "block long, w int, lang string, word string, n long, at array<int>"
-_PHRASES = "block long, id long, a long, b long, n long, at array<int>"
-_WORDS_ARROW = pa.schema([("block", pa.int64()), ("w", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("at", pa.list_(pa.int32()))])
-_PHRASES_ARROW = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("at", pa.list_(pa.int32()))])
+_WORDS = "block long, w long, lang string, word string, n long, lists binary"
+_PHRASES = "block long, a long, b long, n long"
+_WORDS_ARROW = pa.schema([("block", pa.int64()), ("w", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("lists", pa.binary())])
+_PHRASES_ARROW = pa.schema([(c, pa.int64()) for c in ("block", "a", "b", "n")])
 
 
 class _Numbers(dict):
@@ -72,10 +71,6 @@ def cut(text: str) -> Iterator[list[bytes]]:
     yield (data[start:] + b"\n").replace(b"\n", b" \n ").split(b" ")
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, pa.int32()))
-
-
 def _by(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inverted: the distinct keys, how often each starts within the block, their lists end to end, and the lists' sizes."""
     order = np.argsort(keys, kind="stable")
@@ -85,6 +80,22 @@ def _by(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], n, positions, np.diff(np.r_[first, len(keys)])
 
 
+def packed(positions: np.ndarray, sizes: np.ndarray) -> bytes:
+    """A block's lists as one value: their sizes, and the steps from position to position, compressed."""
+    numbers = np.r_[len(sizes), sizes, np.diff(positions, prepend=0)].astype("<i4")
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and sizes of the lists in ``value``."""
+    n = int.from_bytes(value[:8], "little")
+    planes = np.frombuffer(pa.decompress(value[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    numbers = np.ascontiguousarray(planes.T).reshape(-1).view("<i4")
+    lists = 1 + int(numbers[0])
+    return np.cumsum(numbers[lists:], dtype=np.int64), numbers[1:lists].astype(np.int64)
+
+
 def blocks(texts: Iterator[tuple[str, str]], number: int, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The vertical lists of (lang, text) in blocks of at least ``most`` positions; ``number`` is the first block's."""
     words: list[tuple[str, bytes]] = []
@@ -98,8 +109,8 @@ def blocks(texts: Iterator[tuple[str, str]], number: int, most: int = BLOCK) ->
         at = np.arange(END - size, END + len(ahead), dtype=np.int64)
         keys, n, positions, sizes = _by(ids[ids > 1], at[ids > 1])
         said = [words[k - 2] for k in keys]
-        columns = [np.full(len(keys), number, np.int64), keys, [x for x, _ in said], [x.decode("utf-8", "replace") for _, x in said], n]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _WORDS_ARROW, strict=False)), _lists(positions, sizes)], schema=_WORDS_ARROW)
+        columns = [np.full(len(keys) + 1, number), np.r_[np.arange(len(keys)), -1], [*(x for x, _ in said), None], [*(x.decode("utf-8", "replace") for _, x in said), None], np.r_[n, 0], [*[None] * len(keys), packed(positions, sizes)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WORDS_ARROW, strict=True)], schema=_WORDS_ARROW)
 
     for lang, text in texts:
         for part, tokens in enumerate(cut(text)):
@@ -127,86 +138,66 @@ def blocks(texts: Iterator[tuple[str, str]], number: int, most: int = BLOCK) ->
 
 
 def adjacent(starts: np.ndarray, words: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge join of sorted positions: the places in both lists where ``starts`` + ``shift`` meets ``words``."""
-    _, left, right = np.intersect1d(starts + shift, words, assume_unique=True, return_indices=True)
-    return left, right
-
-
-def _flat(table: pa.Table, role: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the lists of one role, ascending, and the number of the word or phrase that each belongs to."""
-    rows = table.filter(pa.compute.equal(table["role"], role)).combine_chunks()
-    if not rows.num_rows:
+    """Merge join of ascending positions: the places in both lists where ``starts`` + ``shift`` meets ``words``."""
+    if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lists = rows["at"].chunk(0) if isinstance(rows["at"], pa.ChunkedArray) else rows["at"]
-    positions = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = np.repeat(rows["a"].to_numpy(), np.diff(lists.offsets.to_numpy()))
-    order = np.argsort(positions)
-    return positions[order], ids[order]
+    at = np.minimum(np.searchsorted(words, starts + shift), len(words) - 1)
+    left = np.flatnonzero(words[at] == starts + shift)
+    return left, at[left]
+
 
+class Sent:
+    """What a block is told: the numbers of the frequent ones among phrases (a, b) of a prefix and a word."""
 
-def _known(table: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of the frequent ones among pairs (a, b) by the block's messages; -1 for the others."""
-    sent = table.filter(pa.compute.equal(table["role"], MESSAGE))
-    if not sent.num_rows or not len(a):
-        return np.full(len(a), -1, np.int64)
-    firsts, seconds = np.unique(sent["a"].to_numpy()), np.unique(sent["b"].to_numpy())
+    def __init__(self, rows: pa.Table):
+        a, b, self.ids = (rows[c].to_numpy() for c in ("a", "b", "id"))
+        self.firsts, self.seconds = np.unique(a), np.unique(b)
+        keys = self._key(a, b)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], self.ids[order]
 
-    def key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        i, j = np.searchsorted(firsts, x), np.searchsorted(seconds, y)
-        there = (firsts[np.minimum(i, len(firsts) - 1)] == x) & (seconds[np.minimum(j, len(seconds) - 1)] == y)
-        return np.where(there, i * len(seconds) + j, -1)
+    def _key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        i, j = (np.minimum(np.searchsorted(of, x), len(of) - 1) for of, x in ((self.firsts, a), (self.seconds, b)))
+        return np.where((self.firsts[i] == a) & (self.seconds[j] == b), i * len(self.seconds) + j, -1)
 
-    keys = key(sent["a"].to_numpy(), sent["b"].to_numpy())
-    order = np.argsort(keys)
-    keys, ids, wanted = keys[order], sent["id"].to_numpy()[order], key(a, b)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, ids[at], -1)
+    def numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pairs' numbers; -1 for those that aren't frequent."""
+        if not len(self.keys):
+            return np.full(len(a), -1, np.int64)
+        wanted = self._key(a, b)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.ids[at], -1)
 
 
 def extend(table: pa.Table, size: int) -> pa.Table:
-    """A block's lists of frequent phrases of ``size`` words, and the frequencies there of their extensions.
+    """Frequencies in a block of what extends its frequent phrases of ``size`` words: rows (block, a phrase's number, a word's, n).
 
-    ``table`` has the lists of words and of prefixes (phrases of one word less), and messages that tell which
-    phrases (a, b), of a prefix and a word, are frequent and their numbers. Of single words, the lists have local
-    numbers and messages (a, 0) tell those that are frequent.
+    ``table`` has the block's lists, and by ``size`` k what it is told of phrases of k words; single words are
+    told as (local number, 0).
     """
     block = table["block"][0].as_py()
-    words, word_ids = _flat(table, WORD)
-    if size == 1:
-        starts, ids = words, _known(table, word_ids, np.zeros_like(word_ids))
-        starts, ids = starts[ids >= 0], ids[ids >= 0]
-        words, word_ids = starts, ids
-    else:
-        prefixes, prefix_ids = (words, word_ids) if size == 2 else _flat(table, PREFIX)
-        left, right = adjacent(prefixes, words, size - 1)
-        ids = _known(table, prefix_ids[left], word_ids[right])
-        starts, ids = prefixes[left][ids >= 0], ids[ids >= 0]
+    positions, sizes = unpacked(table.filter(pa.compute.equal(table["size"], 0))["lists"][0].as_py())
+    sent = [Sent(table.filter(pa.compute.equal(table["size"], k))) for k in range(1, size + 1)]
+    local = np.arange(len(sizes))
+    frequent = np.repeat(sent[0].numbers(local, np.zeros_like(local)), sizes)
+    order = np.argsort(np.where(frequent >= 0, positions, 2 * END))[: int((frequent >= 0).sum())]
+    words, word_ids = positions[order], frequent[order]
+    starts, ids = words, word_ids
+    for k in range(2, size + 1):
+        left, right = adjacent(starts, words, k - 1)
+        found = sent[k - 1].numbers(ids[left], word_ids[right])
+        starts, ids = starts[left][found >= 0], found[found >= 0]
     # the phrase one word on must be frequent as well, and its last word stands where the extension does
     on, _ = adjacent(starts, starts, 1)
     left, right = adjacent(starts[on], words, size)
-    a, b = ids[on][left], word_ids[right]
-    uses, number = np.unique(np.r_[a, b], return_inverse=True)
-    pairs, n, _, _ = _by(number[: len(a)] * len(uses) + number[len(a) :], starts[on][left])
+    uses, number = np.unique(np.r_[ids[on][left], word_ids[right]], return_inverse=True)
+    pairs, n, _, _ = _by(number[: len(left)] * len(uses) + number[len(left) :], starts[on][left])
     pairs, n = pairs[n > 0], n[n > 0]
-    grown = [np.full(len(pairs), block, np.int64), np.full(len(pairs), -1, np.int64), uses[pairs // max(len(uses), 1)], uses[pairs % max(len(uses), 1)], n]
-    out = [pa.table([*map(pa.array, grown), pa.nulls(len(pairs), pa.list_(pa.int32()))], schema=_PHRASES_ARROW)]
-    if size < LONGEST - 1:
-        keys, n, positions, sizes = _by(ids, starts)
-        none = np.full(len(keys), -1, np.int64)
-        out.append(pa.table([*map(pa.array, (np.full(len(keys), block, np.int64), keys, none, none, n)), _lists(positions, sizes)], schema=_PHRASES_ARROW))
-    return pa.concat_tables(out)
-
-
-def _passed(lists: list[DataFrame], messages: DataFrame, size: int) -> DataFrame:
-    """``extend`` for all blocks, written."""
-    sent = messages.select("block", F.lit(MESSAGE).alias("role"), "id", "a", "b", F.lit(None).cast("array<int>").alias("at"))
-    blocks_ = reduce(DataFrame.unionByName, lists, sent)
-    return written(blocks_.groupBy("block").applyInArrow(lambda table: extend(table, size), _PHRASES))
+    return pa.table([pa.array(c, pa.int64()) for c in (np.full(len(pairs), block), uses[pairs // max(len(uses), 1)], uses[pairs % max(len(uses), 1)], n)], schema=_PHRASES_ARROW)
 
 
-def _lists_of(passed: DataFrame, role: int, of: str = "id") -> DataFrame:
-    none = F.lit(-1).cast("long")
-    return passed.filter(F.col("at").isNotNull()).select("block", F.lit(role).alias("role"), none.alias("id"), F.col(of).cast("long").alias("a"), none.alias("b"), "at")
+def _extending(size: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: extend(table, size)
 
 
 def _frequent(counted: DataFrame, by: list[str], least: int) -> DataFrame:
@@ -231,24 +222,25 @@ def phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str =
         texts = ((x.as_py(), y.as_py()) for batch in batches for x, y in zip(batch["lang"], batch["text"], strict=True))
         yield from blocks(texts, TaskContext.get().partitionId() << 32, block)
 
-    postings = written(rows.mapInArrow(inverted, _WORDS))
-    totals = postings.groupBy("lang").agg(F.sum("n").alias("n"))
+    kept = written(rows.mapInArrow(inverted, _WORDS))
+    postings = kept.filter(F.col("w") >= 0)
     words = _frequent(postings, ["lang", "word"], least)
-    told = postings.select("block", F.col("w").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "lang", "word")
-    messages = told.join(within(words.select("lang", "word", "id"), _bytes("lang", "word")), ["lang", "word"])
-    passed = [_passed([_lists_of(postings.withColumn("id", F.col("w")), WORD)], messages, 1)]
+    told = postings.select("block", F.col("w").alias("a"), F.lit(0).cast("long").alias("b"), "lang", "word")
+    messages = [written(told.join(within(words.select("lang", "word", "id"), _bytes("lang", "word")), ["lang", "word"]).select("block", "a", "b", "id"))]
     levels = [words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f", "id")]
     of_word = within(words.select(F.col("id").alias("b"), F.col("word").alias("last")), _bytes("last"))
+    lists = kept.filter(F.col("w") < 0).select("block", F.lit(0).alias("size"), *(F.lit(0).cast("long").alias(c) for c in ("a", "b", "id")), "lists")
     for size in range(2, LONGEST + 1):
-        found = _frequent(passed[-1].filter(F.col("at").isNull()), ["a", "b"], least)
+        sent = [m.select("block", F.lit(k).alias("size"), "a", "b", "id", F.lit(None).cast("binary").alias("lists")) for k, m in enumerate(messages, 1)]
+        # blocks of which no word is frequent are told nothing and have nothing
+        grouped = reduce(DataFrame.unionByName, sent, lists).groupBy("block")
+        grown = written(grouped.applyInArrow(_extending(size - 1), _PHRASES))
+        found = _frequent(grown, ["a", "b"], least)
         of_prefix = within(levels[-1].select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head")), _bytes("lang", "head"))
         named = found.join(of_prefix, "a").join(of_word, "b")
         levels.append(written(named.select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), F.lit(size).alias("k"), "f", "id")))
-        if size < LONGEST:
-            messages = passed[-1].filter(F.col("at").isNull()).select("block", "a", "b").join(within(found.select("a", "b", "id"), F.lit(32)), ["a", "b"])
-            lists = [_lists_of(passed[0], WORD)] + ([_lists_of(passed[-1], PREFIX)] if size > 2 else [])
-            passed.append(_passed(lists, messages, size))
-    return reduce(DataFrame.unionByName, levels).drop("id"), totals
+        messages.append(grown.join(within(found.select("a", "b", "id"), F.lit(32)), ["a", "b"]).select("block", "a", "b", "id"))
+    return reduce(DataFrame.unionByName, levels).drop("id"), postings.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, lang: str = "lang", text: str = "text", block: int = BLOCK) -> DataFrame:

@@ -65,10 +65,18 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, made once and read from there."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder, made once and read from there.
+
+    Shuffle files that only its making needs go when it is made, not when the driver collects its garbage.
+    """
+    spark, unneeded = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(unneeded)
+    spark.conf.set(unneeded, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(unneeded, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 from lodestone.llm import collocations
 from pyspark.sql import functions as F
 from tests.llm.plain import LOWER
@@ -60,8 +61,12 @@ def test_a_text_goes_on_in_the_next_block(monkeypatch):
         text = "".join(rng.choice(["a", "bb", "ccc", "é"]) + rng.choice([" ", " ", " ", ".", "\t"]) for _ in range(300))
         found = collections.Counter()
         for batch in collocations.blocks(iter([("en", text), ("en", "a bb")]), 9, most=11):
-            at = {p: r["word"] for r in batch.to_pylist() for p in r["at"]}
-            assert all(sum(p < collocations.END for p in r["at"]) == r["n"] for r in batch.to_pylist())
+            *rows, whole = batch.to_pylist()
+            positions, sizes = collocations.unpacked(whole["lists"])
+            lists = dict(zip((r["word"] for r in rows), np.split(positions, np.cumsum(sizes)[:-1]), strict=True))
+            assert [r["w"] for r in rows] == list(range(len(rows)))
+            at = {int(p): word for word, of in lists.items() for p in of}
+            assert all(sum(p < collocations.END for p in lists[r["word"]]) == r["n"] for r in rows)
             for k in (1, 2, 3, 4):
                 found.update(tuple(at[p + i] for i in range(k)) for p in at if p < collocations.END and all(p + i in at for i in range(k)))
         want = collections.Counter(tuple(w[i : i + k]) for w in [*pieces(text), ["a", "bb"]] for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
