@@ -134,32 +134,72 @@ def cost_levers(spark, sf):
     return economy.levers(run(a, 8, 8.0), variants)
 
 
-FACTS = "gold_in_packed AS (doc_id % 2 = 0)"
-CTX = "x AS (SELECT d.doc_id, d.doc_id % 2 = 0 AS b0, d.doc_id % 3 = 0 AS b1, d.doc_id % 5 = 0 AS b2, l.quality = 1 AS b3, round(l.toxic * 0.03, 6) AS fd, l.quality AS nr FROM documents d LEFT JOIN labels l USING (doc_id))"
+#: Names of facts, limits, owners and order of the trees' questions.
+TREES = """
+fault_isolation | gold_in_packed | = | false | false | Retrieval | go on
+fault_isolation | gold_in_candidates | = | false | false | First-stage retrieval | end
+fault_isolation | gold_intact_in_context | = | false | false | Ranking / packing | end
+fault_isolation | answer_entailed | = | false | false | Generation | end
+chunking | has_structure | = | true | false | Index | end
+chunking | answers_span_paragraphs | = | true | false | Index | end
+chunking | factoid_queries | = | true | false | Index + retrieval | end
+chunking | affordable_index_pass | = | true | false | Index | end
+embedding_model | corpus_can_leave_network | = | false | true | Platform | end
+embedding_model | domain_vocabulary_far | = | true | false | Retrieval | end
+embedding_model | multilingual | = | true | false | Retrieval | end
+embedding_model | large_index | = | true | false | Platform | end
+release_gate | frozen_drop | > | tolerance else 0.01D | 0D | Release gate | end
+release_gate | regressed_slices | > | 0 | 0 | Product + release gate | end
+release_gate | delta | abs <= | noise_band else 0D | 0D | Measurement | end
+release_gate | cost_delta_pct | > | cost_envelope_pct else 15D | 0D | Budget owner | end
+release_gate | p95_ms | > | p95_envelope_ms else 1e9D | 0D | Budget owner | end
+"""
+DOC_FACTS = {
+    "gold_in_packed": "quality = 1",
+    "gold_in_candidates": "quality IS NOT NULL",
+    "gold_intact_in_context": "n_chars = length(text)",
+    "answer_entailed": "toxic = 0",
+    "has_structure": "position(chr(10) IN text) > 0",
+    "answers_span_paragraphs": "length(text) - length(replace(text, '. ', ' ')) >= 30",
+    "factoid_queries": "position('0' IN text) > 0",
+    "affordable_index_pass": "length(text) <= 400",
+    "corpus_can_leave_network": "position('@' IN text) = 0",
+    "domain_vocabulary_far": "position('é' IN text) > 0",
+    "multilingual": "lang <> 'en'",
+    "large_index": "length(text) > 2000",
+    "frozen_drop": "CAST(toxic AS DOUBLE) * 0.03",
+    "regressed_slices": "1 - quality",
+    "delta": "CAST(quality AS DOUBLE) - 1",
+    "p95_ms": "CAST(length(text) AS DOUBLE)",
+    "p95_envelope_ms": "1000.0",
+}
+
+
+def _tree_sql(tree: str, steps: list[str]) -> str:
+    owners = [line.split("|")[5].strip() for line in TREES.splitlines() if line.startswith(f"{tree} |")]
+    cases = [(at, test, owner) for at, (test, owner) in enumerate(zip(steps, owners, strict=True), 1) if test]
+    return f"CASE {' '.join(f'WHEN {t} THEN {at}' for at, t, _ in cases)} ELSE {len(owners) + 1} END AS {tree}_place, " + f"CASE {' '.join(f"WHEN {t} THEN '{o}'" for _, t, o in cases)} ELSE '' END AS {tree}_owner"
 
 
 @query(
-    f"""WITH {CTX} SELECT doc_id, CASE WHEN NOT b1 THEN 'first stage' WHEN NOT b2 THEN 'ranking or packing' WHEN NOT b3 THEN 'generation' ELSE 'label, question or rubric' END AS fault, CASE WHEN NOT b0 THEN 'retrieval' ELSE '' END AS fault_findings,
-CASE WHEN b0 THEN 'structural chunks' WHEN b1 THEN 'small chunks that return their parent' WHEN b2 THEN 'small chunks and a lexical index' WHEN b3 THEN 'contextual chunks' ELSE 'recursive chunks of about 512 tokens' END AS chunking,
-CASE WHEN NOT b0 THEN 'an encoder of one''s own' WHEN b1 THEN 'compare three encoders, lean on the lexical leg' WHEN b2 THEN 'a multilingual encoder and analyzers' WHEN b3 THEN 'an encoder whose vectors can be cut' ELSE 'a strong general encoder' END AS embedding,
-CASE WHEN coalesce(fd, 0) > 0.01 THEN 'block: the frozen slice fell' WHEN coalesce(nr, 0) > 0 THEN 'block: a slice fell' WHEN 0.0 <= 0.0 THEN 'no result: inside the noise' END AS release FROM x"""
+    f"""WITH x AS (SELECT doc_id, {', '.join(f'({test}) AS {fact}' for fact, test in DOC_FACTS.items())} FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, {_tree_sql('fault_isolation', ['', 'NOT coalesce(gold_in_candidates, false)', 'NOT coalesce(gold_intact_in_context, false)', 'NOT coalesce(answer_entailed, false)'])},
+CASE WHEN coalesce(gold_in_packed, false) THEN '' ELSE 'Retrieval' END AS fault_isolation_findings,
+{_tree_sql('chunking', ['has_structure', 'answers_span_paragraphs', 'factoid_queries', 'affordable_index_pass'])},
+{_tree_sql('embedding_model', ['NOT corpus_can_leave_network', 'domain_vocabulary_far', 'multilingual', 'large_index'])},
+{_tree_sql('release_gate', ['coalesce(frozen_drop, 0) > 0.01', 'coalesce(regressed_slices, 0) > 0', 'abs(coalesce(delta, 0)) <= 0', 'false', 'p95_ms > p95_envelope_ms'])} FROM x"""
 )
 def decision_trees(spark, sf):
-    """Four trees walked for every document, over facts that its number and labels make up."""
-    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    b0, b1, b2, b3 = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 == 0, F.col("quality") == 1
-    facts = {
-        "gold_in_packed": b0, "gold_in_candidates": b1, "gold_intact": b2, "answer_entailed": b3, "has_structure": b0, "spans_paragraphs": b1, "factoid": b2, "affordable_pass": b3,
-        "may_leave": b0, "far_vocabulary": b1, "multilingual": b2, "large_index": b3, "frozen_drop": F.round(F.col("toxic") * 0.03, 6), "n_regressed": F.col("quality"),
-    }
-    rows = rows.withColumns(facts | {c: F.lit(None).cast("double") for c in ("tolerance", "delta", "noise_band", "cost_delta_pct", "cost_envelope_pct", "p95_ms", "p95_envelope_ms")})
-    # a fact that isn't known counts as one that doesn't hold
-    rows = rows.withColumn("answer_entailed", F.col("answer_entailed"))
-    out = rows
-    for name, short in (("fault isolation", "fault"), ("chunking", "chunking"), ("embedding", "embedding"), ("release", "release")):
-        nodes, default = economy.trees()[name]
-        out = economy.decide(out, nodes, default).withColumnsRenamed({"owner": short, "findings": f"{short}_findings"})
-    return out.select("doc_id", "fault", "fault_findings", "chunking", "embedding", "release")
+    """Four trees walked for every document, over facts read from its text and labels."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    unknown = {c: F.lit(None).cast("double") for c in ("tolerance", "noise_band", "cost_delta_pct", "cost_envelope_pct")}
+    out = rows.select("doc_id", *(F.expr(test).alias(fact) for fact, test in DOC_FACTS.items())).withColumns(unknown)
+    kept_columns = []
+    for tree, nodes in economy.read_trees(TREES).items():
+        names = {"owner": f"{tree}_owner", "place": f"{tree}_place", "findings": f"{tree}_findings"}
+        out = economy.decide(out, nodes, "").withColumnsRenamed(names)
+        kept_columns += [names["place"], names["owner"]] + ([names["findings"]] if tree == "fault_isolation" else [])
+    return out.select("doc_id", *kept_columns)
 
 
 @query("SELECT * FROM (VALUES ('identifiers', 'exact', 'weak', 'exact'), ('paraphrase', 'weak', 'strong', 'strong'), ('cost of an index', 'low', 'high', 'both')) AS t(criterion, lexical, dense, hybrid)")
