@@ -12,7 +12,8 @@
    of frequent phrases are joined again from them, level by level, when they are extended.
 
 A block and its lists are bounded, so that the memory of a task is too, and a hot word or language is a list
-in each block and never in one place. Lists stay with their block; only counts and numbers are joined by phrase.
+in each block and never in one place. Lists stay with their block: blocks send the frequencies of their phrases,
+packed, to parts that sum those of some phrases each and tell the blocks in return which are frequent.
 """
 
 from __future__ import annotations
@@ -35,15 +36,18 @@ TOP = 2_000
 #: Words of a block, and bytes of text that are cut into words at a time.
 BLOCK = 1_000_000
 SLICE = 2_000_000
+#: Phrases of blocks whose frequencies are summed in one place, on average at most.
+TOGETHER = 2_000_000
 #: Positions of a block end here; what follows it stands at this position and beyond.
 END = 1 << 30
 #: Separators become line feeds, tabs spaces, and A-Z a-z; all are bytes of their own in UTF-8.
 _PLAIN = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _WORDS = "block long, w long, lang string, word string, n long, lists binary"
-_PHRASES = "block long, a long, b long, n long"
+#: What a block or a part says: whom it is for, and the frequencies or numbers of phrases, packed.
+_SAID = "block long, part long, a long, b long, f long, id long, data binary"
 _WORDS_ARROW = pa.schema([("block", pa.int64()), ("w", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("lists", pa.binary())])
-_PHRASES_ARROW = pa.schema([(c, pa.int64()) for c in ("block", "a", "b", "n")])
+_SAID_ARROW = pa.schema([*((c, pa.int64()) for c in ("block", "part", "a", "b", "f", "id")), ("data", pa.binary())])
 
 
 class _Numbers(dict):
@@ -80,20 +84,40 @@ def _by(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], n, positions, np.diff(np.r_[first, len(keys)])
 
 
-def packed(positions: np.ndarray, sizes: np.ndarray) -> bytes:
-    """A block's lists as one value: their sizes, and the steps from position to position, compressed."""
-    numbers = np.r_[len(sizes), sizes, np.diff(positions, prepend=0)].astype("<i4")
-    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T)
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T)
     return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
+def _numbers(value: bytes) -> np.ndarray:
+    n = int.from_bytes(value[:8], "little")
+    planes = np.frombuffer(pa.decompress(value[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8").astype(np.int64)
+
+
+def packed(positions: np.ndarray, sizes: np.ndarray) -> bytes:
+    """A block's lists as one value: their sizes, and the steps from position to position."""
+    return _squeezed(np.r_[len(sizes), sizes, np.diff(positions, prepend=0)])
+
+
 def unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Positions and sizes of the lists in ``value``."""
-    n = int.from_bytes(value[:8], "little")
-    planes = np.frombuffer(pa.decompress(value[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    numbers = np.ascontiguousarray(planes.T).reshape(-1).view("<i4")
+    numbers = _numbers(value)
     lists = 1 + int(numbers[0])
-    return np.cumsum(numbers[lists:], dtype=np.int64), numbers[1:lists].astype(np.int64)
+    return np.cumsum(numbers[lists:]), numbers[1:lists]
+
+
+def packed_rows(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as one value; the first had better ascend."""
+    return _squeezed(np.concatenate([np.diff(columns[0], prepend=0), *columns[1:]]))
+
+
+def unpacked_rows(values: list[bytes], columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of several values end to end, and how many rows each value has."""
+    parts = [_numbers(v).reshape(columns, -1) for v in values]
+    whole = [np.concatenate([np.cumsum(p[0]) if c == 0 else p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(columns)]
+    return whole, np.array([p.shape[1] for p in parts], np.int64)
 
 
 def blocks(texts: Iterator[tuple[str, str]], number: int, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
@@ -149,8 +173,8 @@ def adjacent(starts: np.ndarray, words: np.ndarray, shift: int) -> tuple[np.ndar
 class Sent:
     """What a block is told: the numbers of the frequent ones among phrases (a, b) of a prefix and a word."""
 
-    def __init__(self, rows: pa.Table):
-        a, b, self.ids = (rows[c].to_numpy() for c in ("a", "b", "id"))
+    def __init__(self, values: list[bytes]):
+        (a, b, self.ids), _ = unpacked_rows(values, 3)
         self.firsts, self.seconds = np.unique(a), np.unique(b)
         keys = self._key(a, b)
         order = np.argsort(keys)
@@ -169,41 +193,73 @@ class Sent:
         return np.where(self.keys[at] == wanted, self.ids[at], -1)
 
 
-def extend(table: pa.Table, size: int) -> pa.Table:
-    """Frequencies in a block of what extends its frequent phrases of ``size`` words: rows (block, a phrase's number, a word's, n).
+def extend(table: pa.Table, size: int, parts: int) -> pa.Table:
+    """Frequencies in a block of what extends its frequent phrases of ``size`` words, dealt to parts by their hash.
 
-    ``table`` has the block's lists, and by ``size`` k what it is told of phrases of k words; single words are
-    told as (local number, 0).
+    ``table`` has the block's lists (size 0), the numbers of its frequent words (size 1: local numbers and theirs in
+    rows, or for all lists packed), and by size k what it is told of phrases of k words. Single words lead to
+    their packed numbers being said as well.
     """
-    block = table["block"][0].as_py()
-    positions, sizes = unpacked(table.filter(pa.compute.equal(table["size"], 0))["lists"][0].as_py())
-    sent = [Sent(table.filter(pa.compute.equal(table["size"], k))) for k in range(1, size + 1)]
-    local = np.arange(len(sizes))
-    frequent = np.repeat(sent[0].numbers(local, np.zeros_like(local)), sizes)
+    block, of = table["block"][0].as_py(), table["size"].to_numpy()
+    values = {k: [v for v in table["data"].filter(pa.array(of == k)).to_pylist() if v is not None] for k in range(size + 1)}
+    positions, sizes = unpacked(values[0][0])
+    if values[1]:
+        ids = _numbers(values[1][0])
+    else:
+        ids = np.full(len(sizes), -1, np.int64)
+        ids[table["a"].to_numpy()[of == 1]] = table["id"].to_numpy()[of == 1]
+    frequent = np.repeat(ids, sizes)
     order = np.argsort(np.where(frequent >= 0, positions, 2 * END))[: int((frequent >= 0).sum())]
     words, word_ids = positions[order], frequent[order]
-    starts, ids = words, word_ids
+    starts, phrases_ = words, word_ids
     for k in range(2, size + 1):
         left, right = adjacent(starts, words, k - 1)
-        found = sent[k - 1].numbers(ids[left], word_ids[right])
-        starts, ids = starts[left][found >= 0], found[found >= 0]
+        found = Sent(values[k]).numbers(phrases_[left], word_ids[right])
+        starts, phrases_ = starts[left][found >= 0], found[found >= 0]
     # the phrase one word on must be frequent as well, and its last word stands where the extension does
     on, _ = adjacent(starts, starts, 1)
     left, right = adjacent(starts[on], words, size)
-    uses, number = np.unique(np.r_[ids[on][left], word_ids[right]], return_inverse=True)
+    uses, number = np.unique(np.r_[phrases_[on][left], word_ids[right]], return_inverse=True)
     pairs, n, _, _ = _by(number[: len(left)] * len(uses) + number[len(left) :], starts[on][left])
     pairs, n = pairs[n > 0], n[n > 0]
-    return pa.table([pa.array(c, pa.int64()) for c in (np.full(len(pairs), block), uses[pairs // max(len(uses), 1)], uses[pairs % max(len(uses), 1)], n)], schema=_PHRASES_ARROW)
-
-
-def _extending(size: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda table: extend(table, size)
-
-
-def _frequent(counted: DataFrame, by: list[str], least: int) -> DataFrame:
-    """(by, f, id) of what occurs ``least`` times or more in all blocks."""
-    sums = counted.groupBy(*by).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return written(sums.withColumn("id", F.monotonically_increasing_id()))
+    a, b = uses[pairs // max(len(uses), 1)], uses[pairs % max(len(uses), 1)]
+    part = ((a * 1_000_003 + b) * 0x9E3779B97F4A7C1 >> 20) % parts
+    said = [(-1, _squeezed(ids))] if size == 1 else []
+    for p in np.unique(part):
+        mine = part == p
+        said.append((int(p), packed_rows(a[mine], b[mine], n[mine])))
+    none = np.full(len(said), -1)
+    return pa.table([pa.array(c, f.type) for c, f in zip((np.full(len(said), block), [p for p, _ in said], none, none, none, none, [d for _, d in said]), _SAID_ARROW, strict=True)], schema=_SAID_ARROW)
+
+
+def count(table: pa.Table, least: int) -> pa.Table:
+    """The frequent phrases (a, b) of a part with their frequencies and numbers, and what to tell each block of its own."""
+    part, block_of = table["part"][0].as_py(), table["block"].to_numpy()
+    (a, b, n), rows = unpacked_rows(table["data"].to_pylist(), 3)
+    order = np.lexsort((b, a))
+    first = np.flatnonzero(np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
+    f = np.add.reduceat(n[order], first)
+    number = np.empty(len(a), np.int64)
+    number[order] = np.repeat(np.where(f >= least, np.cumsum(f >= least) - 1, -1), np.diff(np.r_[first, len(a)]))
+    found = order[first[f >= least]]
+    out = [pa.table([pa.array(c, k.type) for c, k in zip((np.full(len(found), -1), np.full(len(found), part), a[found], b[found], f[f >= least], (part << 32) + np.arange(len(found)), [None] * len(found)), _SAID_ARROW, strict=True)], schema=_SAID_ARROW)]
+    ends = np.cumsum(rows)
+    told: list[tuple[int, bytes]] = []
+    for block, low, high in zip(block_of, ends - rows, ends, strict=True):
+        mine = low + np.flatnonzero(number[low:high] >= 0)
+        if len(mine):
+            told.append((int(block), packed_rows(a[mine], b[mine], (part << 32) + number[mine])))
+    none = np.full(len(told), -1)
+    out.append(pa.table([pa.array(c, k.type) for c, k in zip(([x for x, _ in told], none, none, none, none, none, [x for _, x in told]), _SAID_ARROW, strict=True)], schema=_SAID_ARROW))
+    return pa.concat_tables(out)
+
+
+def _extending(size: int, parts: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: extend(table, size, parts)
+
+
+def _counting(least: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: count(table, least)
 
 
 def _bytes(*columns: str) -> Column:
@@ -224,23 +280,32 @@ def phrases(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str =
 
     kept = written(rows.mapInArrow(inverted, _WORDS))
     postings = kept.filter(F.col("w") >= 0)
-    words = _frequent(postings, ["lang", "word"], least)
-    told = postings.select("block", F.col("w").alias("a"), F.lit(0).cast("long").alias("b"), "lang", "word")
-    messages = [written(told.join(within(words.select("lang", "word", "id"), _bytes("lang", "word")), ["lang", "word"]).select("block", "a", "b", "id"))]
+    totals = written(postings.groupBy("lang").agg(F.sum("n").alias("n")))
+    parts = max(1, -(-(totals.agg(F.sum("n").alias("n")).first().n or 0) // TOGETHER))
+    sums = postings.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    words = written(sums.withColumn("id", F.monotonically_increasing_id()))
     levels = [words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f", "id")]
     of_word = within(words.select(F.col("id").alias("b"), F.col("word").alias("last")), _bytes("last"))
-    lists = kept.filter(F.col("w") < 0).select("block", F.lit(0).alias("size"), *(F.lit(0).cast("long").alias(c) for c in ("a", "b", "id")), "lists")
+
+    def to_block(frame: DataFrame, size: int, a: str = "a", id: str = "id", data: str = "data") -> DataFrame:
+        return frame.select("block", F.lit(size).alias("size"), F.col(a).alias("a"), F.col(id).alias("id"), F.col(data).alias("data"))
+
+    nothing = F.lit(None).cast("binary")
+    lists = to_block(kept.filter(F.col("w") < 0), 0, "w", "w", "lists")
+    told = postings.select("block", "w", "lang", "word").join(within(words.select("lang", "word", "id"), _bytes("lang", "word")), ["lang", "word"])
+    messages = [to_block(told.withColumn("data", nothing), 1, "w")]
     for size in range(2, LONGEST + 1):
-        sent = [m.select("block", F.lit(k).alias("size"), "a", "b", "id", F.lit(None).cast("binary").alias("lists")) for k, m in enumerate(messages, 1)]
         # blocks of which no word is frequent are told nothing and have nothing
-        grouped = reduce(DataFrame.unionByName, sent, lists).groupBy("block")
-        grown = written(grouped.applyInArrow(_extending(size - 1), _PHRASES))
-        found = _frequent(grown, ["a", "b"], least)
+        grown = written(reduce(DataFrame.unionByName, messages, lists).groupBy("block").applyInArrow(_extending(size - 1, parts), _SAID))
+        counted = written(grown.filter(F.col("part") >= 0).groupBy("part").applyInArrow(_counting(least), _SAID))
+        if size == 2:
+            messages = [to_block(grown.filter(F.col("part") < 0), 1)]
+        messages.append(to_block(counted.filter(F.col("block") >= 0), size))
+        found = counted.filter(F.col("block") < 0).select("a", "b", "f", "id")
         of_prefix = within(levels[-1].select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head")), _bytes("lang", "head"))
         named = found.join(of_prefix, "a").join(of_word, "b")
         levels.append(written(named.select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), F.lit(size).alias("k"), "f", "id")))
-        messages.append(grown.join(within(found.select("a", "b", "id"), F.lit(32)), ["a", "b"]).select("block", "a", "b", "id"))
-    return reduce(DataFrame.unionByName, levels).drop("id"), postings.groupBy("lang").agg(F.sum("n").alias("n"))
+    return reduce(DataFrame.unionByName, levels).drop("id"), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, lang: str = "lang", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -273,7 +338,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, lang: str
 
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = left.select("lang", "phrase", "a", "of.l", "of.r", "of.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    out = ranked.join(within(written(totals), _bytes("lang")), "lang")
+    out = ranked.join(within(totals, _bytes("lang")), "lang")
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
