@@ -31,11 +31,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SLICE_CHARS, ship
+from lodestone.llm.common import SLICE_CHARS, ship, unused
 from lodestone.llm.token_counts import byte_symbols
 
 #: Words and transitions that a worker remembers; beyond that it starts anew.
 REMEMBERED = 150_000
+#: Code points that the split's classes of letters and of numbers do not have, though later
+#: versions of Unicode do, and letters that have a lower case there, with the distance to it.
+LATER_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 "
+    "191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
+    "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+LATER_LOWER = {"1C89": 1, "A7CB": -42343, "A7CC": 1, "A7CE": 1, "A7D2": 1, "A7D4": 1, "A7DA": 1, "A7DC": -42561, "10D50-10D65": 32, "16EA0-16EB8": 27}
 _LATEST = 1 << 60
 _SHORT = (3, 2, 1)
 
@@ -137,6 +147,17 @@ class MergeAutomaton:
                 pos, left, here = ends.pop(), untried.pop(), path[-1] if path else None
 
 
+def _points(ranges: str) -> Iterator[range]:
+    for part in ranges.split():
+        low, _, high = part.partition("-")
+        yield range(int(low, 16), int(high or low, 16) + 1)
+
+
+def _class(ranges: str) -> str:
+    """Ranges of code points as the inside of a character class."""
+    return "".join(f"\\U{x[0]:08X}-\\U{x[-1]:08X}" for x in _points(ranges))
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file: its normalisation, splitting, automaton and labels."""
 
@@ -155,6 +176,12 @@ class Codec:
         self.words = regex.compile(split["pattern"]["Regex"])
         if self.steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"] or spec.get("decoder"):
             raise ValueError(f"{path} has other steps than this codec")
+        # texts with code points that versions of Unicode tell apart are split by the classes of the file's own library
+        letters, numbers = _class(LATER_LETTERS), _class(LATER_NUMBERS)
+        self.lower = {c: c + step for ranges, step in LATER_LOWER.items() for part in _points(ranges) for c in part}
+        self.later = regex.compile(f"[{letters}{numbers}{''.join(map(chr, self.lower))}]")
+        other = split["pattern"]["Regex"].replace(r"[\p{L}]+", rf"[\p{{L}}--[{letters}]]+").replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{letters}{numbers}])+")
+        self.later_words = regex.compile(other.replace(r"|[\p{N}]|", rf"|[\p{{N}}--[{numbers}]]|"), regex.V1)
         self.space = regex.compile(r"\s+")
         self.symbol = dict(enumerate(byte_symbols()))
         self.known: dict[str, tuple] = {}
@@ -162,6 +189,8 @@ class Codec:
     def normal(self, text: str) -> str:
         """NFC, runs of white space as one space, lower case letter by letter."""
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
+        if not text.isascii() and self.later.search(text):
+            text = text.translate(self.lower)
         return text.replace("Σ", "σ").lower()  # no final sigma: letters are lowered one at a time
 
     def _entries(self, words: list[str]) -> list[tuple]:
@@ -188,10 +217,11 @@ class Codec:
                 yield [self._entry([self.special[part]])]
                 continue
             normal = self.normal(part)
+            split = self.later_words if not normal.isascii() and self.later.search(normal) else self.words
             if len(normal) <= SLICE_CHARS:
-                yield self._entries(self.words.findall(normal))
+                yield self._entries(split.findall(normal))
                 continue
-            words = self.words.finditer(normal)
+            words = split.finditer(normal)
             while some := [found.group() for found in itertools.islice(words, 20_000)]:
                 yield self._entries(some)
 
@@ -255,5 +285,6 @@ def digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         c = codec(path)
         return pd.DataFrame([c.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    coded = df.withColumn("_bpe", digested(F.coalesce(F.col(text), F.lit(""))))
-    return coded.withColumns({c: F.col(f"_bpe.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_bpe")
+    at = unused("bpe", df)
+    coded = df.withColumn(at, digested(F.coalesce(F.col(text), F.lit(""))))
+    return coded.withColumns({c: F.col(at)[c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop(at)

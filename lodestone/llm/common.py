@@ -91,6 +91,12 @@ def slices(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, i
         yield start, len(lengths)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"_{name}{'_' * i}").lower() not in taken)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the decimal form of a column, modulo ``modulus``; null for null."""
     return F.crc32(F.col(column).cast("string")) % modulus

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_sample, durable, ship, slices, within
+from lodestone.llm.common import bounded_sample, durable, ship, slices, unused, within
 
 #: Labelled documents that train a language, at most (about), and n-grams that it keeps.
 SAMPLE = 640
@@ -340,5 +340,6 @@ def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = P
     empty table stays empty; very long texts are labelled whole; existing columns of these names are replaced."""
     ship(df.sparkSession)
     names = ["lang_pred", "score"] + ["spans"] * with_spans
-    out = df.withColumn("_found", predict(F.col(text), model, df.sparkSession, penalty, with_spans))
-    return out.withColumns({n: F.col(f"_found.{n}") for n in names}).drop("_found")
+    at = unused("found", df)
+    out = df.withColumn(at, predict(F.col(text), model, df.sparkSession, penalty, with_spans))
+    return out.withColumns({n: F.col(at)[n] for n in names}).drop(at)

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SLICE_CHARS, ship, slices
+from lodestone.llm.common import SLICE_CHARS, ship, slices, unused
 
 #: The pre-token pattern of byte-level BPE files.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -187,9 +187,10 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 1024
     """
     ship(df.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
+    at = unused("n_tokens", df)
     return (
-        df.withColumn("_n_tokens", token_count(F.col(text), path))
-        .withColumns({f"{prefix}n_bytes": F.octet_length(whole).cast("long"), f"{prefix}n_tokens": F.col("_n_tokens")})
-        .withColumn(f"{prefix}over_limit", F.col("_n_tokens") > limit)
-        .drop("_n_tokens")
+        df.withColumn(at, token_count(F.col(text), path))
+        .withColumns({f"{prefix}n_bytes": F.octet_length(whole).cast("long"), f"{prefix}n_tokens": F.col(at)})
+        .withColumn(f"{prefix}over_limit", F.col(at) > limit)
+        .drop(at)
     )
