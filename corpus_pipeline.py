@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_codec, decontamination, ngram_join, quality_rules, queries, toxicity
-from lodestone.llm.common import durable, shared_folder, tokenizer_path, within
+from lodestone.llm.common import durable, shared_folder, tokenizer_path, unused, within
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +43,14 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     only partial aggregates bring together, one stays; rows without words are no near-duplicates.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
-    keyed = docs.withColumn("_key", key)
-    classes = durable(ngram_join.similar(keyed.select("_key", "text"), "_key"))
-    gone = classes.filter(F.col("class_id") != F.col("_key")).select("_key").distinct()
-    stays = classes.filter((F.col("class_id") == F.col("_key")) & (F.col("n_links") > 0))
-    repeated = within(durable(stays.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")), F.lit(48))
-    once = keyed.join(gone.unionByName(repeated), "_key", "left_anti").select(*docs.columns)
-    one = keyed.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    at = unused("key", docs)
+    keyed = docs.withColumn(at, key)
+    classes = durable(ngram_join.similar(keyed.select(at, "text"), at))
+    gone = classes.filter(F.col("class_id") != F.col(at)).select(at).distinct()
+    stays = classes.filter((F.col("class_id") == F.col(at)) & (F.col("n_links") > 0))
+    repeated = within(durable(stays.groupBy(at).agg(F.count("*").alias("n")).filter("n > 1").select(at)), F.lit(48))
+    once = keyed.join(gone.unionByName(repeated), at, "left_anti").select(*docs.columns)
+    one = keyed.join(repeated, at, "left_semi").groupBy(at).agg(F.min(F.struct(*docs.columns)).alias("row"))
     return once.unionByName(one.select("row.*"))
 
 
