@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +22,34 @@ def ship(spark: SparkSession | None = None) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir and read from there."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of its own for a session on one machine that names none."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             import tempfile
 
-            folder = tempfile.mkdtemp(prefix="lodestone-state-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+            named = tempfile.mkdtemp(prefix="lodestone-state-")
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the folder of spark.checkpoint.dir, made once and read from there.
+
+    Shuffle files that only its making needs go when it is made.
+    """
+    spark, unneeded = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{folder(spark)}/state-{uuid.uuid4().hex}", spark.conf.get(unneeded)
+    spark.conf.set(unneeded, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(unneeded, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, row_bytes: int, most: int = 64_000_000) -> tuple[DataFrame, bool]:

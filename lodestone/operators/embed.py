@@ -288,11 +288,12 @@ def ivf_search(queries: DataFrame, vectors: DataFrame, centers: np.ndarray, prob
     return top(scored, n).select("qid", "chunk_id", "score", "rank")
 
 
-def knn_graph(vectors: DataFrame, centers: np.ndarray, m: int = 16, long_links: int = 4, probes: int = PROBES) -> DataFrame:
-    """(node, nb): for each vector its ``m`` nearest ones among those of the cells that inverted lists would look into,
-    and a few far ones drawn by hashes, by which a walk gets from one region to another."""
-    own = vectors.select(F.col("chunk_id").alias("qid"), "vector")
-    near = ivf_search(own, vectors, centers, probes, m + 1).filter(F.col("qid") != F.col("chunk_id")).select(F.col("qid").alias("node"), F.col("chunk_id").alias("nb"))
+def knn_graph(vectors: DataFrame, m: int = 16, long_links: int = 4) -> DataFrame:
+    """(node, nb): for each vector its ``m`` nearest ones as neighbours of neighbours find them, and a few far ones
+    drawn by hashes, by which a walk gets from one region to another."""
+    from lodestone.operators.ann import nn_descent
+
+    near = nn_descent(vectors, m).select("node", "nb")
     n = max(1, vectors.count() // 4)
     stands = vectors.groupBy(F.pmod(F.xxhash64("chunk_id", F.lit(17)), F.lit(n)).alias("b")).agg(F.min("chunk_id").alias("nb"))
     drawn = vectors.select(F.col("chunk_id").alias("node"), F.explode(F.sequence(F.lit(1), F.lit(long_links))).alias("i"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import context, judge, pack, retrieve
-from lodestone.plans.base import BASE, GOLD, TERMS, any_gold, bm, chunks, gold_of, query, questions, sents, tok
+from lodestone.operators import context, judge, pack
+from lodestone.plans.base import BASE, GOLD, TERMS, any_gold, bm, chunks, gold_of, lexical, query, questions, sents, tok
 
 TOKENS = "CAST(greatest(1, ceil(length({x}) / 4.0)) AS INTEGER)"
 
@@ -16,7 +16,7 @@ def hits_with(spark: SparkSession, sf: str, n: int) -> DataFrame:
     """BM25 hits with what a prompt shows of them."""
     c = chunks(spark, sf)
     shown = c.select("chunk_id", "doc_id", "text", "title", "source", "published", F.lit(0).alias("ordinal"), F.lit(1).alias("n_chunks"))
-    return retrieve.bm25(questions(spark, sf), c, n).join(shown, "chunk_id")
+    return lexical(spark, sf, n).join(shown, "chunk_id")
 
 
 def prompts(spark: SparkSession, sf: str, **parameters) -> DataFrame:
@@ -64,7 +64,7 @@ PLACED = "CASE WHEN gg THEN {late} + 0.5 ELSE nth END"
 )
 def gold_positions(spark, sf):
     """Where the gold stands in a context when it is moved to its beginning, middle or end."""
-    hits, gold = retrieve.bm25(questions(spark, sf), chunks(spark, sf), 8), any_gold(gold_of(spark, sf))
+    hits, gold = lexical(spark, sf, 8), any_gold(gold_of(spark, sf))
     parts = [context.place_gold(hits, gold, w).select(F.lit(w).alias("position"), "*") for w in ("first", "middle", "last")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -97,7 +97,7 @@ BLOCKS = f"{BASE}, {TERMS}, {bm('la', 4)}, bl AS (SELECT qid, rank, text FROM la
 
 def blocks_of(spark, sf, n: int = 4) -> DataFrame:
     c = chunks(spark, sf)
-    return retrieve.bm25(questions(spark, sf), c, n).join(c.select("chunk_id", "text"), "chunk_id")
+    return lexical(spark, sf, n).join(c.select("chunk_id", "text"), "chunk_id")
 
 
 @query(f"{BLOCKS}, {extract_sql('bl')} SELECT * FROM ex")
@@ -171,11 +171,11 @@ ENT = f"en AS (SELECT DISTINCT qid, entity FROM (SELECT qid, {LONGEST.format(x=t
 @query()
 def quota_pack(spark, sf):
     c = chunks(spark, sf)
-    hits = retrieve.bm25(questions(spark, sf), c, 20).join(c.select("chunk_id", "text", T.approx_tokens(F.col("text")).alias("n_tokens")), "chunk_id")
+    hits = lexical(spark, sf, 20).join(c.select("chunk_id", "text", T.approx_tokens(F.col("text")).alias("n_tokens")), "chunk_id")
     return pack.quota(hits, entities(spark, sf), 8, 4000)
 
 
 @query(f"{BASE}, {TERMS}, {bm('la', 8)}, {ENT}, ov AS (SELECT entity, count(*) AS m FROM (SELECT DISTINCT entity FROM en) JOIN c ON contains(lower(text), lower(entity)) GROUP BY entity), me AS (SELECT en.qid, en.entity, count(*) AS n FROM en JOIN la USING (qid) JOIN c USING (chunk_id) WHERE contains(lower(text), lower(entity)) GROUP BY ALL), pv AS (SELECT en.qid, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM en LEFT JOIN me USING (qid, entity) LEFT JOIN ov USING (entity)) SELECT qid, round(CASE WHEN sum(n) > 0 THEN min(n) / sum(n) END, 6) AS weakest, round(max(m) / greatest(1, min(m)), 6) AS prevalence FROM pv GROUP BY qid")
 def comparison_starvation(spark, sf):
     c = chunks(spark, sf)
-    return pack.entity_shares(retrieve.bm25(questions(spark, sf), c, 8), c, entities(spark, sf))
+    return pack.entity_shares(lexical(spark, sf, 8), c, entities(spark, sf))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import STOP_WORDS, tokens
-from lodestone.operators import embed, retrieve
+from lodestone.operators import embed, lexical_index, retrieve
+from lodestone.operators._state import folder, kept
 from lodestone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +54,50 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).select("qid", F.explode(texts).alias("x")).select("qid", F.col("x.i").alias("anchor_idx"), F.col("x.a").alias("anchor"))
 
 
+_made: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, make: Callable[[], object]):
+    """What ``make`` returns for the documents and benchmark that are at ``sf`` now, made once in a session.
+
+    What is made (an index, tables of vectors or gold) lies in the checkpoint folder and is read by every query
+    over the same files; a file that changes makes it anew.
+    """
+    seen = []
+    for part in ("documents", "benchmark"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{part}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        seen += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files]
+    key = (spark.sparkContext.applicationId, name, tuple(seen))
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def index_of(spark: SparkSession, sf: str) -> lexical_index.Index:
+    """The kept lexical index of all chunks."""
+    new = lambda: lexical_index.add(lexical_index.Index(f"{folder(spark)}/index-{uuid.uuid4().hex}"), "v1", chunks(spark, sf))
+    return once(spark, sf, "lexical", new)
+
+
+def with_heading(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks with the beginning of their second line as heading."""
+    return chunks(spark, sf).withColumn("heading", F.coalesce(F.substring(F.get(F.split("text", "\n"), 1), 1, 40), F.lit("")))
+
+
+def lexical(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """BM25 hits of the questions over all chunks, from postings that are kept for every scoring of them."""
+    return retrieve.score(once(spark, sf, "postings", lambda: retrieve.postings(questions(spark, sf), chunks(spark, sf))), n)
+
+
+def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashed trigram vectors of all chunks, kept."""
+    return once(spark, sf, "vectors", lambda: kept(embed.hashed_vectors(chunks(spark, sf), "chunk_id", "text")))
+
+
 def gold_of(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, anchor_idx, chunk_id) of the chunks that hold an anchor."""
-    return retrieve.resolve_gold(anchors(spark, sf), chunks(spark, sf))
+    """(qid, anchor_idx, chunk_id) of the chunks that hold an anchor, kept."""
+    return once(spark, sf, "gold", lambda: kept(retrieve.resolve_gold(anchors(spark, sf), chunks(spark, sf))))
 
 
 def any_gold(gold: DataFrame) -> DataFrame:
@@ -70,7 +113,7 @@ def dense(q: DataFrame, c: DataFrame, n: int) -> DataFrame:
 def legs(spark: SparkSession, sf: str, n: int = 50):
     """Chunks, questions, and the lexical and the dense leg over them."""
     c, q = chunks(spark, sf), questions(spark, sf)
-    return c, q, retrieve.bm25(q, c, n), dense(q, c, n)
+    return c, q, lexical(spark, sf, n), retrieve.knn(embed.hashed_vectors(q, "qid", "query"), chunk_vectors(spark, sf), n)
 
 
 def tok(x: str) -> str:

@@ -11,7 +11,7 @@ from lodestone.functions import text as T
 from lodestone.operators import economy, evalset, judge, metrics, pack, retrieve
 from lodestone.operators._state import kept
 from lodestone.plans.assembly import STABLE, extract_sql, faith_sql
-from lodestone.plans.base import BASE, GOLD, LEGS, RRF, TERMS, anchors, any_gold, bm, chunks, gold_of, interval, legs, per_question, query, questions, resampled, tok, weighted_sql
+from lodestone.plans.base import BASE, GOLD, LEGS, RRF, TERMS, anchors, any_gold, bm, chunks, gold_of, interval, legs, lexical, per_question, query, questions, resampled, tok, weighted_sql
 from lodestone.sources import table
 
 N, K, CAP = 50, 8, 3000
@@ -43,7 +43,7 @@ def rows_of(spark, sf, k: int = K) -> DataFrame:
     """The evaluation rows of the lexical arm, kept."""
     c, q = chunks(spark, sf), questions(spark, sf)
     sized = c.select("chunk_id", "text", T.approx_tokens(F.col("text")).alias("n_tokens"))
-    candidates = kept(retrieve.bm25(q, c, N))
+    candidates = kept(lexical(spark, sf, N))
     packed = kept(pack.pack(candidates.join(sized.select("chunk_id", "n_tokens"), "chunk_id"), k, CAP).join(sized, "chunk_id"))
     answers = kept(judge.extractive(q, packed))
     return kept(metrics.evaluate(q.select("qid", "query", F.col("anchor").alias("answer")), anchors(spark, sf), kept(gold_of(spark, sf)), candidates, packed, answers, k, STABLE))
@@ -78,7 +78,7 @@ def fault_distribution(spark, sf):
     rows = rows_of(spark, sf)
     c, q = chunks(spark, sf), questions(spark, sf)
     sized = c.select("chunk_id", "text", T.approx_tokens(F.col("text")).alias("n_tokens"))
-    blocks = pack.pack(retrieve.bm25(q, c, N).join(sized.select("chunk_id", "n_tokens"), "chunk_id"), K, CAP).join(sized, "chunk_id")
+    blocks = pack.pack(lexical(spark, sf, N).join(sized.select("chunk_id", "n_tokens"), "chunk_id"), K, CAP).join(sized, "chunk_id")
     judged = judge.faithfulness(rows.select("qid", "answer"), blocks).select("qid", "label")
     wrong = rows.filter(~F.col("is_null") & (F.col("answer_correct") < 1)).join(judged, "qid").withColumn("entailed", (F.col("label") == "pass") & ~F.col("abstained"))
     return economy.fault_shares(wrong, [(F.expr(test), owner, terminal) for owner, test, terminal in FAULTS], "Label / question / rubric")
@@ -89,7 +89,7 @@ def recall_funnel(spark, sf):
     """Evidence among the first n candidates, and of it in the packed context: where to look for more."""
     c, q = chunks(spark, sf), questions(spark, sf)
     sized = c.select("chunk_id", T.approx_tokens(F.col("text")).alias("n_tokens"))
-    hits = kept(retrieve.bm25(q, c, N))
+    hits = kept(lexical(spark, sf, N))
     packed = pack.pack(hits.join(sized, "chunk_id"), K, CAP).select("qid", "chunk_id", F.lit(True).alias("packed"))
     grid = F.broadcast(spark.sql("SELECT * FROM VALUES (5), (10), (25), (50) AS t(depth)"))
     at = gold_of(spark, sf).join(hits.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left").join(packed, ["qid", "chunk_id"], "left").crossJoin(grid)
@@ -142,7 +142,7 @@ def slice_regressions(spark, sf):
 @query(f"{BASE}, {TERMS}, {bm('la', K)}, {GOLD}, {per_question('la', K)}, rr AS (SELECT qid, full_chain AS d FROM pm WHERE full_chain IS NOT NULL), {resampled('rr', 'ms', 400, 3)}, l AS (SELECT list_sort(list(m)) AS ms FROM ms) SELECT round(ms[11], 6) AS lo, round(ms[len(ms) - 9], 6) AS hi, round((ms[len(ms) - 9] - ms[11]) / 2, 4) AS band FROM l")
 def noise_band(spark, sf):
     q = questions(spark, sf)
-    rows = metrics.retrieval_metrics(q, gold_of(spark, sf), retrieve.bm25(q, chunks(spark, sf), K), K)
+    rows = metrics.retrieval_metrics(q, gold_of(spark, sf), lexical(spark, sf, K), K)
     return metrics.noise_band(rows.select("qid", F.col("full_chain").alias("d")))
 
 
@@ -188,7 +188,7 @@ def agreement_report(spark, sf):
 
 @query(f"{BASE}, {TERMS}, {bm('la', 10)}, {GOLD}, pq AS (SELECT g.qid, avg(CASE WHEN la.qid IS NULL THEN 0.0 ELSE 1.0 END) AS r, min(CASE WHEN la.qid IS NULL THEN 0 ELSE 1 END) AS c, coalesce(1.0 / min(rank), 0.0) AS m FROM g LEFT JOIN la USING (qid, chunk_id) GROUP BY g.qid) SELECT round(coalesce(avg(r), 0.0), 6) AS recall, round(coalesce(avg(c), 0.0), 6) AS full_chain, round(coalesce(avg(m), 0.0), 6) AS mrr, count(*) AS n FROM pq")
 def document_evaluation(spark, sf):
-    hits = retrieve.bm25(questions(spark, sf), chunks(spark, sf), 10).withColumnRenamed("chunk_id", "doc_id")
+    hits = lexical(spark, sf, 10).withColumnRenamed("chunk_id", "doc_id")
     return metrics.document_metrics(hits, any_gold(gold_of(spark, sf)).withColumnRenamed("chunk_id", "doc_id"), 10)
 
 

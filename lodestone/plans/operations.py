@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import chunk, economy, embed, events, index, metrics, retrieve
 from lodestone.operators._state import kept
-from lodestone.plans.base import BASE, GOLD, LEGS, TERMS, C, anchors, bm, chunks, gold_of, per_question, query, questions, tok
+from lodestone.plans.base import BASE, C, GOLD, LEGS, TERMS, anchors, bm, chunks, gold_of, lexical, per_question, query, questions, tok
 from lodestone.plans.queries import EV, FIXED, IDX, LINES, _docs, _events, _index
 from lodestone.sources import corpora, table
 
@@ -65,7 +65,7 @@ m AS (SELECT 'coverage' AS check_name, 0.0 AS m, true AS good, 'FAIL' AS bad UNI
 def index_validation(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
     rows = c.withColumns({"index_version": F.lit("v1"), "tombstoned": F.lit(False), "embedder_tag": embed.tag("hash", "1", 192)})
-    recall = metrics.recall_of(gold_of(spark, sf), retrieve.bm25(q, c, 50), "r").agg(F.avg("r").alias("recall"))
+    recall = metrics.recall_of(gold_of(spark, sf), lexical(spark, sf, 50), "r").agg(F.avg("r").alias("recall"))
     return index.validation(table(spark, sf, "documents"), rows, "v1", T.tokens(F.col("text")), ["title", "published"], recall)
 
 

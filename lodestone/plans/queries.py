@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import agent, chunk, economy, embed, evalset, events, index, judge, metrics, pack, rerank, retrieve
+from lodestone.operators import ann, agent, chunk, economy, embed, evalset, events, index, judge, metrics, pack, rerank, retrieve
 from lodestone.operators._state import kept
-from lodestone.plans.base import BASE, GOLD, LEGS, RRF, TERMS, C, any_gold, bm, chunks, gold_of, interval, legs, norm, per_question, query, questions, resampled, sents, tok, weighted_sql
+from lodestone.plans.base import BASE, C, GOLD, LEGS, RRF, TERMS, any_gold, bm, chunks, gold_of, interval, legs, lexical, norm, per_question, query, questions, resampled, sents, tok, weighted_sql
 from lodestone.plans.retrieval import late_sql
 from lodestone.sources import table
 
@@ -33,13 +33,13 @@ def _fused(spark, sf):
 @query(f"{BASE}, {TERMS}, {bm('la', 8)}, {GOLD}, {per_question('la', 8)} SELECT * FROM pm")
 def bm25_evaluation(spark, sf):
     """The flagship: BM25 for all questions, gold by containment, metrics of each question."""
-    c, q = chunks(spark, sf), questions(spark, sf)
-    return metrics.retrieval_metrics(q, gold_of(spark, sf), retrieve.bm25(q, c, 8), 8)
+    q = questions(spark, sf)
+    return metrics.retrieval_metrics(q, gold_of(spark, sf), lexical(spark, sf, 8), 8)
 
 
 @query(f"{BASE}, {TERMS}, {bm('la', 10)} SELECT * FROM la")
 def bm25_topk(spark, sf):
-    return retrieve.bm25(questions(spark, sf), chunks(spark, sf), 10)
+    return lexical(spark, sf, 10)
 
 
 @query(f"{BASE}, {TERMS}, {bm('x1', 3, 0.9, 0.4)}, {bm('x2', 3, 1.2, 0.75)}, {bm('x3', 3, 2.0, 0.9)} SELECT 0.9 AS k1, 0.4 AS b, * FROM x1 UNION ALL SELECT 1.2, 0.75, * FROM x2 UNION ALL SELECT 2.0, 0.9, * FROM x3")
@@ -84,12 +84,46 @@ def ann_ivf_recall(spark, sf):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _cells(v: DataFrame) -> tuple[DataFrame, ann.Codebook, int]:
+    book = ann.fit(v)
+    return kept(ann.index(v, book)), book, ann.tune(v, book)
+
+
+@query()
+def ann_coded_topk(spark, sf):
+    """Nearest vectors by coded cells, as many of them as neighbours of a few stored vectors call for."""
+    q, v = _vectors(spark, sf)
+    coded, book, probes = _cells(v)
+    return ann.search(q, v, coded, book, probes)[0]
+
+
+@query()
+def ann_coded_recall(spark, sf):
+    """Recall of coded cells, and the shares of vectors read as codes and scored exactly, by cells probed and codes kept."""
+    q, v = _vectors(spark, sf)
+    exact = kept(retrieve.knn(q, v, 10).select("qid", "chunk_id"))
+    coded, book, tuned = _cells(v)
+    n, parts = v.count(), []
+    for probes, rescored in ((max(1, tuned // 2), 10), (tuned, 5), (tuned, 10)):
+        found, looked = ann.search(q, v, coded, book, probes, rescored=rescored)
+        shares = looked.agg(*(F.round(F.avg(c) / n, 6).alias(c) for c in ("coded", "scored")))
+        size = [F.lit(x).alias(c) for c, x in (("n_vectors", n), ("cells", len(book.centers)), ("probes", probes), ("rescored", rescored))]
+        parts.append(metrics.ann_recall(found, exact).crossJoin(shares).select(*size, "recall", "coded", "scored"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def neighbour_graph(spark, sf):
+    """The ten nearest vectors of every vector, by neighbours of neighbours."""
+    return ann.nn_descent(_vectors(spark, sf)[1], 10)
+
+
 @query()
 def ann_graph_recall(spark, sf):
     """Recall of a walk over a graph of neighbours, and the share of vectors it visits, over all vectors and over those
     that a filter allows."""
     q, v = _vectors(spark, sf)
-    edges = kept(embed.knn_graph(v, embed.ivf_build(v, 16)))
+    edges = kept(embed.knn_graph(v))
     n = v.count()
     parts = []
     for name, allowed in (("all", None), ("allowed", v.filter("label % 3 = 0"))):
@@ -177,7 +211,7 @@ def acl_prefilter(spark, sf):
 def acl_postfilter_kcollapse(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
     groups = q.select("qid", F.array(*(F.lit(f"src{i}") for i in range(5))).alias("groups"))
-    return pack.k_collapse(retrieve.bm25(q, c, 8), c, groups, 8)
+    return pack.k_collapse(lexical(spark, sf, 8), c, groups, 8)
 
 
 # --- metrics ------------------------------------------------------------------------------------------
@@ -421,7 +455,7 @@ def logistic_rerank(spark, sf):
 
 @query(f"{BASE}, {TERMS}, {bm('la', 8)} SELECT qid, chunk_id, CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS place FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM la)")
 def edges_order(spark, sf):
-    return pack.edges_order(retrieve.bm25(questions(spark, sf), chunks(spark, sf), 8))
+    return pack.edges_order(lexical(spark, sf, 8))
 
 
 @query(f"""{BASE}, {TERMS}, {bm('la', 20)}, h AS (SELECT la.qid, la.rank, la.chunk_id, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS n FROM la JOIN c USING (chunk_id)),
@@ -429,7 +463,7 @@ r AS (WITH RECURSIVE z AS (SELECT qid, 0 AS pos, CAST(0 AS BIGINT) AS used, 0 AS
 l AS (SELECT r.* FROM r JOIN (SELECT qid, max(pos) AS pos FROM r GROUP BY qid) USING (qid, pos)) SELECT qid, unnest(ids) AS chunk_id, CAST(generate_subscripts(ids, 1) AS INTEGER) AS rank, used FROM l""")
 def pack_budget(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
-    hits = retrieve.bm25(q, c, 20).join(c.select("chunk_id", T.approx_tokens(F.col("text")).alias("n_tokens")), "chunk_id")
+    hits = lexical(spark, sf, 20).join(c.select("chunk_id", T.approx_tokens(F.col("text")).alias("n_tokens")), "chunk_id")
     return pack.pack(hits, 8, 3000)
 
 
@@ -439,7 +473,7 @@ z AS (WITH RECURSIVE y AS (SELECT qid, 0 AS pos, CAST([] AS BIGINT[]) AS kept FR
 l AS (SELECT z.* FROM z JOIN (SELECT qid, max(pos) AS pos FROM z GROUP BY qid) USING (qid, pos)), o AS (SELECT qid, unnest(kept) AS r, generate_subscripts(kept, 1) AS rank FROM l) SELECT o.qid, h.chunk_id, CAST(o.rank AS INTEGER) AS rank FROM o JOIN h ON h.qid = o.qid AND h.rank = o.r""")
 def dedup_greedy(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
-    hits = retrieve.bm25(q, c, 10).join(c.select("chunk_id", T.tokens(F.col("text")).alias("tokens")), "chunk_id")
+    hits = lexical(spark, sf, 10).join(c.select("chunk_id", T.tokens(F.col("text")).alias("tokens")), "chunk_id")
     return pack.dedup(hits.withColumn("tokens", F.array_distinct("tokens")), 0.82)
 
 
@@ -449,7 +483,7 @@ JB = f"{BASE}, {TERMS}, {bm('la', 4)}, bl AS (SELECT qid, {tok('text')} AS bt FR
 @query(f"{JB} SELECT q.qid, coalesce(n_claims, 0) AS n_claims, coalesce(n_bad, 0) AS n_bad, CASE WHEN coalesce(n_claims, 0) = 0 THEN 1.0 ELSE round(1 - n_bad / n_claims, 6) END AS score, CASE WHEN coalesce(n_bad, 0) = 0 THEN 'pass' ELSE 'fail' END AS label FROM q LEFT JOIN pr USING (qid)")
 def judge_faithfulness(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
-    blocks = retrieve.bm25(q, c, 4).join(c.select("chunk_id", "text"), "chunk_id")
+    blocks = lexical(spark, sf, 4).join(c.select("chunk_id", "text"), "chunk_id")
     return judge.faithfulness(q.select("qid", F.col("anchor").alias("answer")), blocks)
 
 
@@ -553,7 +587,7 @@ def choose_tool(spark, sf):
 @query(f"{BASE}, {TERMS}, {bm('la', 4)}, e AS (SELECT qid, {tok('text')} AS e FROM la JOIN c USING (chunk_id)), s AS (SELECT q.qid, CASE WHEN len(list_distinct({tok('anchor')})) = 0 THEN 1.0 ELSE coalesce(max(len(list_intersect(list_distinct({tok('anchor')}), e)) / len(list_distinct({tok('anchor')}))), 0.0) END AS b FROM q LEFT JOIN e USING (qid) GROUP BY q.qid, anchor) SELECT qid, b >= 0.34 AS sufficient, CASE WHEN b >= 0.34 THEN 1 ELSE 0 END AS covered, 1 AS total FROM s")
 def sufficiency_check(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
-    found = retrieve.bm25(q, c, 4).join(c.select("chunk_id", "text"), "chunk_id").select("qid", "text")
+    found = lexical(spark, sf, 4).join(c.select("chunk_id", "text"), "chunk_id").select("qid", "text")
     return agent.sufficiency(q.select("qid", F.col("anchor").alias("sub")), found)
 
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import agent, embed, pack, rerank, retrieve
+from lodestone.operators import agent, embed, lexical_index, pack, rerank, retrieve
 from lodestone.operators._state import kept
 from lodestone.plans.assembly import ENT, entities
-from lodestone.plans.base import BASE, LEGS, Q, RRF, TERMS, C, bm, chunks, dense, gold_of, legs, query, questions, tok, vec, weighted_sql
+from lodestone.plans.base import BASE, C, LEGS, Q, RRF, TERMS, bm, chunks, dense, gold_of, index_of, legs, lexical, query, questions, tok, vec, weighted_sql, with_heading
 from lodestone.sources import table
 
 
@@ -20,11 +21,6 @@ def an(x: str) -> str:
     return f"list_filter(regexp_extract_all(translate(lower({x}), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}'), '[\\p{{L}}\\p{{N}}_-]+'), lambda t: length(t) > 1)"
 
 
-def with_heading(spark, sf) -> DataFrame:
-    """Chunks with the beginning of their second line as heading."""
-    return chunks(spark, sf).withColumn("heading", F.coalesce(F.substring(F.get(F.split("text", "\n"), 1), 1, 40), F.lit("")))
-
-
 FIELDS = f"cf AS (SELECT *, coalesce(substr(string_split(text, chr(10))[2], 1, 40), '') AS heading FROM c), fx AS (SELECT chunk_id, {an('text')} AS a, {an('title')} AS b, {an('heading')} AS d FROM cf)"
 FTERMS = f"""{FIELDS}, dl AS (SELECT chunk_id, 4.0 * len(a) + 2.0 * len(b) + 1.0 * len(d) AS dl FROM fx), st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
 p AS (SELECT chunk_id, term, sum(w) AS tf FROM (SELECT chunk_id, unnest(a) AS term, 4.0 AS w FROM fx UNION ALL SELECT chunk_id, unnest(b), 2.0 FROM fx UNION ALL SELECT chunk_id, unnest(d), 1.0 FROM fx) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({an('query')}) AS term FROM q) GROUP BY ALL)"""
@@ -134,7 +130,7 @@ def persona_isolation(spark, sf):
 def score_leak_probe(spark, sf):
     """What filtering by groups before the search finds that filtering after it loses, and the other way round."""
     c = chunks(spark, sf)
-    after = retrieve.bm25(questions(spark, sf), c, 8).join(retrieve.visible_to(c, personas(spark)), "chunk_id").select("persona", "qid", "chunk_id", F.lit(1).alias("b"))
+    after = lexical(spark, sf, 8).join(retrieve.visible_to(c, personas(spark)), "chunk_id").select("persona", "qid", "chunk_id", F.lit(1).alias("b"))
     both = seen_by(spark, sf).select("persona", "qid", "chunk_id", F.lit(1).alias("a")).join(after, ["persona", "qid", "chunk_id"], "full")
     return both.groupBy("persona").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("same"), F.count_if(F.col("b").isNull()).alias("only_before"), F.count_if(F.col("a").isNull()).alias("only_after"))
 
@@ -191,14 +187,14 @@ def late_sql(name: str, size: int, hits: str) -> str:
 @query(f"{BASE}, {TERMS}, {bm('la', 12)}, tp AS (SELECT * FROM la WHERE rank <= 8), {late_sql('ms', 48, 'tp')}, sc AS (SELECT la.*, CASE WHEN la.rank <= 8 THEN round(coalesce(m, 0.0), 6) END AS late FROM la LEFT JOIN ms USING (qid, chunk_id)) SELECT qid, chunk_id, coalesce(late, score) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank <= 8 DESC, -late, rank) AS rank FROM sc")
 def maxsim_rerank(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
-    return rerank.late_interaction(kept(retrieve.bm25(q, c, 12)), q, c, depth=8)
+    return rerank.late_interaction(kept(lexical(spark, sf, 12)), q, c, depth=8)
 
 
 @query()
 def reranker_weights(spark, sf):
     """Weights that a logistic model learns from pairs of questions and hits, gold or not."""
     c, q = chunks(spark, sf), questions(spark, sf)
-    features = rerank.pair_features(retrieve.bm25(q, c, 20), q, c)
+    features = rerank.pair_features(lexical(spark, sf, 20), q, c)
     marked = features.join(gold_of(spark, sf).select("qid", "chunk_id").distinct().withColumn("label", F.lit(1)), ["qid", "chunk_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
     weights = rerank.fit_logistic(kept(marked), [n for n in rerank.WEIGHTS if n != "bias"])
     return spark.createDataFrame(sorted(weights.items()), "feature string, weight double")
@@ -246,3 +242,49 @@ def trace_scores(spark, sf):
 def loop_statistics(spark, sf):
     _, turns, evidence = looped(spark, sf)
     return agent.loop_stats(turns, evidence, kept(_packed(evidence)), questions(spark, sf).select("qid", F.col("anchor").alias("query")))
+
+
+# --- kept index ---------------------------------------------------------------------------------------
+
+
+@query(f"{BASE}, {TERMS}, {bm('la', 10)} SELECT * FROM la")
+def index_topk(spark, sf):
+    """The best chunks of each question from the kept index, by reading the blocks that can matter."""
+    return lexical_index.search(index_of(spark, sf), questions(spark, sf), 10)[0]
+
+
+@query()
+def postings_read(spark, sf):
+    """How many postings the ten best chunks of each question take, and how many its terms have."""
+    return lexical_index.search(index_of(spark, sf), questions(spark, sf), 10)[1]
+
+
+CHANGED = C.replace("text, source", "CASE WHEN doc_id % 7 = 0 THEN text || ' licence amended' ELSE text END AS text, source", 1).replace("FROM documents", "FROM documents WHERE doc_id % 11 <> 3", 1)
+
+
+def _changed(spark, sf) -> tuple[DataFrame, lexical_index.Index]:
+    """Chunks of which some are rewritten and some taken away, and the index that two more segments bring up to date."""
+    c = chunks(spark, sf)
+    new = c.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" licence amended"))).otherwise(F.col("text"))).filter("doc_id % 11 <> 3")
+    name = uuid.uuid4().hex
+    updated = lexical_index.add(index_of(spark, sf), f"{name}-rewritten", new.filter("doc_id % 7 = 0"))
+    return new, lexical_index.add(updated, f"{name}-gone", new.limit(0), c.filter("doc_id % 11 = 3"))
+
+
+@query(f"WITH {CHANGED}, {Q}, {TERMS}, {bm('la', 10)} SELECT * FROM la")
+def index_after_changes(spark, sf):
+    """The best chunks from an index of three segments: all chunks, those rewritten, and those taken away."""
+    return lexical_index.search(_changed(spark, sf)[1], questions(spark, sf), 10)[0]
+
+
+@query(f"WITH {CHANGED}, {Q}, {TERMS}, {bm('la', 10)} SELECT * FROM la")
+def index_after_compaction(spark, sf):
+    """The same after the segments are compacted to one."""
+    new, changed = _changed(spark, sf)
+    return lexical_index.search(lexical_index.compact(changed, spark, uuid.uuid4().hex, new), questions(spark, sf), 10)[0]
+
+
+@query("WITH s AS (SELECT 0 AS seg, count(*) AS chunks, count(*) FILTER (doc_id % 7 = 0 AND doc_id % 11 <> 3) + count(*) FILTER (doc_id % 11 = 3) AS dead FROM documents UNION ALL SELECT 1, count(*) FILTER (doc_id % 7 = 0 AND doc_id % 11 <> 3), 0 FROM documents) SELECT * FROM s")
+def index_segments(spark, sf):
+    """What the segments of the changed index hold, and what of it is dead."""
+    return lexical_index.stored(_changed(spark, sf)[1], spark).select("seg", "chunks", "dead")

@@ -294,3 +294,60 @@ def test_metrics_of_documents(spark):
 def test_latent_queries_have_rows(spark):
     assert QUERIES["lsa_dense"](spark, SF).filter("rank = 1").count() == 40
     assert QUERIES["synthetic_corpus"](spark, SF).count() == 200
+
+
+def test_approximate_search_against_exact(spark):
+    """Recall at two sizes, and a share of vectors scored that falls as they grow."""
+    from lodestone.plans.registry import QUERIES
+
+    shares = []
+    for sf in ("sf0.01", "sf0.1"):
+        best = QUERIES["ann_coded_recall"](spark, f"/root/testdata/{sf}").orderBy("probes", "rescored").collect()[-1]
+        assert best.recall >= 0.9 and best.coded < 1
+        shares.append(best.scored)
+    assert shares[1] < shares[0] / 2
+
+
+def test_neighbours_of_neighbours_against_exact(spark):
+    import numpy as np
+    from lodestone.operators import ann
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    got = {}
+    for r in ann.nn_descent(vectors, 8, 20).collect():
+        got.setdefault(r.node, []).append(r.nb)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -2)
+    want = np.argsort(-scores, axis=1)[:, :8]
+    assert all(len(got[i]) == 8 and i not in got[i] for i in range(400))
+    assert np.mean([len(set(got[i]) & set(want[i])) / 8 for i in range(400)]) >= 0.9
+    assert ann.nn_descent(vectors.limit(1), 8).count() == 0
+
+
+def test_blocks_of_an_index_need_not_all_be_read(spark, monkeypatch, tmp_path):
+    """Texts of one common and a few rare words: what is found equals a full search, and less is read."""
+    import random
+
+    from lodestone.operators import lexical_index, retrieve
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(["common"] * rng.randint(1, 30) + [f"rare{rng.randrange(60)}" for _ in range(3)])) for i in range(900)] + [(900, None), (901, "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    asked = spark.createDataFrame([(0, "common rare3 rare7"), (1, "rare5 rare5 common"), (2, "nothing known"), (3, "common")], "qid long, query string")
+    monkeypatch.setattr(lexical_index, "BLOCK", 16)
+    monkeypatch.setattr(lexical_index, "PART", 200)
+    index = lexical_index.add(lexical_index.Index(str(tmp_path / "index")), "v1", chunks)
+    hits, cost = lexical_index.search(index, asked, 5)
+    full = lambda c: sorted(map(tuple, retrieve.bm25(asked, c, 5).collect()))
+    assert sorted(map(tuple, hits.collect())) == full(chunks)
+    read = {r.qid: (r.read, r.held) for r in cost.collect()}
+    assert all(r < h / 2 for q, (r, h) in read.items() if q < 2)
+    fresh = spark.createDataFrame([(5, "rare3 rare3 common"), (2000, "rare7")], "chunk_id long, text string")
+    later = lexical_index.add(index, "v2", fresh, chunks.filter("chunk_id % 3 = 1").select("chunk_id"))
+    live = chunks.filter("chunk_id % 3 <> 1 AND chunk_id <> 5").unionByName(fresh)
+    assert sorted(map(tuple, lexical_index.search(later, asked, 5)[0].collect())) == full(live)
+    assert sorted(map(tuple, lexical_index.search(lexical_index.compact(later, spark, "v3", live), asked, 5)[0].collect())) == full(live)
+    assert [(r.seg, r.chunks, r.dead) for r in lexical_index.stored(later, spark).orderBy("seg").collect()] == [(0, 902, 302), (1, 2, 0)]

@@ -20,7 +20,7 @@ def test_against_sql(spark, connection, name):
 
 def test_queries_without_sql_have_a_plain_version():
     """Those are tested in test_brute.py and test_operators.py."""
-    assert QUERIES.keys() - ORACLE_SQL.keys() == {"ann_graph_recall", "ann_ivf_recall", "chunk_recursive", "chunk_semantic", "quota_pack", "agent_loop", "trace_scores", "loop_statistics", "lsa_dense", "reranker_weights", "trace_ids", "synthetic_corpus"}
+    assert QUERIES.keys() - ORACLE_SQL.keys() == {"ann_graph_recall", "ann_ivf_recall", "chunk_recursive", "chunk_semantic", "quota_pack", "agent_loop", "trace_scores", "loop_statistics", "lsa_dense", "reranker_weights", "ann_coded_topk", "ann_coded_recall", "neighbour_graph", "postings_read", "trace_ids", "synthetic_corpus"}
 
 
 def test_entry(spark):
