@@ -186,10 +186,20 @@ class Codec:
         self.symbol = dict(enumerate(byte_symbols()))
         self.known: dict[str, tuple] = {}
 
-    def normal(self, text: str) -> str:
+    def is_later(self, text: str) -> bool:
+        """Whether a text has code points that versions of Unicode tell apart; most texts can't, by their encoding."""
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.later.search(text) is not None
+        return False
+
+    def normal(self, text: str, later: bool = False) -> str:
         """NFC, runs of white space as one space, lower case letter by letter."""
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        if not text.isascii() and self.later.search(text):
+        if later:
             text = text.translate(self.lower)
         return text.replace("Σ", "σ").lower()  # no final sigma: letters are lowered one at a time
 
@@ -216,8 +226,8 @@ class Codec:
             if i % 2:
                 yield [self._entry([self.special[part]])]
                 continue
-            normal = self.normal(part)
-            split = self.later_words if not normal.isascii() and self.later.search(normal) else self.words
+            later = self.is_later(part)
+            normal, split = self.normal(part, later), self.later_words if later else self.words
             if len(normal) <= SLICE_CHARS:
                 yield self._entries(split.findall(normal))
                 continue
