@@ -77,14 +77,65 @@ def unlocked(units: DataFrame, requires: DataFrame, done: DataFrame) -> DataFram
     return units.select("unit").join(done.select("unit"), "unit", "left_anti").join(waiting, "unit", "left_anti")
 
 
-def waves(units: DataFrame, requires: DataFrame, most: int = 50) -> DataFrame:
-    """(unit, wave): how many prerequisites (unit, needs) deep a unit is; 0 without any. A cycle is an error."""
-    requires = kept(requires)
-    level = kept(units.select("unit", F.lit(0).alias("wave")))
-    for _ in range(most):
-        deeper = requires.join(level.select(F.col("unit").alias("needs"), (F.col("wave") + 1).alias("w")), "needs").groupBy("unit").agg(F.max("w").alias("w"))
-        following = kept(level.join(deeper, "unit", "left").select("unit", F.greatest("wave", F.coalesce("w", F.lit(0))).alias("wave")))
-        if following.exceptAll(level).isEmpty():
-            return following
-        level = following
-    raise ValueError("the prerequisites have a cycle")
+def waves(units: DataFrame, requires: DataFrame) -> DataFrame:
+    """(unit, wave): units whose prerequisites (unit, needs) all are in earlier waves, from 0.
+
+    What is left when no unit is ready (cycles, what depends on them or on units that don't exist) forms the last
+    wave. A round a wave; each keeps what remains only.
+    """
+    rest = kept(units.select("unit").distinct())
+    edges = kept(requires.select("unit", "needs").distinct().join(rest, "unit", "left_semi"))
+    done, wave = None, 0
+    while True:
+        ready = kept(rest.join(edges.select("unit").distinct(), "unit", "left_anti").withColumn("wave", F.lit(wave)))
+        last = ready.isEmpty()
+        ready = rest.withColumn("wave", F.lit(wave)) if last else ready
+        done = ready if done is None else done.unionByName(ready)
+        if last:
+            return done
+        # plans grow with each wave unless what is done is written now and then
+        done = kept(done) if wave % 20 == 19 else done
+        rest = kept(rest.join(ready, "unit", "left_anti"))
+        edges = kept(edges.join(ready.select(F.col("unit").alias("needs")), "needs", "left_anti"))
+        wave += 1
+
+
+def cycles(requires: DataFrame) -> DataFrame:
+    """(cycle, unit): the units that are their own prerequisites over some steps, by the least unit of those that are
+    each other's.
+
+    Units without prerequisites or dependants are trimmed until none is left; then the least unit is sent along
+    the edges until nothing changes, and what leads back to it among those it reached is one component.
+    """
+    edges = kept(requires.select(F.col("unit").alias("a"), F.col("needs").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    found = edges.filter("a = b").select(F.col("a").alias("cycle"), F.col("a").alias("unit"))
+    edges = kept(edges.filter("a <> b"))
+    while True:
+        n = edges.count()
+        while n:  # trimmed on both sides
+            edges = kept(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            left = edges.count()
+            if left == n:
+                break
+            n = left
+        if not n:
+            return found.groupBy("unit").agg(F.min("cycle").alias("cycle")).select("cycle", "unit")
+        color = kept(edges.select(F.col("a").alias("unit")).distinct().withColumn("c", F.col("unit")))
+        changed = True
+        while changed:
+            sent = edges.join(color, edges["a"] == color["unit"]).groupBy("b").agg(F.min("c").alias("s"))
+            moved = kept(color.join(sent, color["unit"] == sent["b"], "left").select("unit", F.least("c", F.coalesce("s", "c")).alias("c"), (F.col("s") < F.col("c")).alias("moved")))
+            changed = not moved.filter("moved").isEmpty()
+            color = moved.select("unit", "c")
+        inside = edges.join(color.select(F.col("unit").alias("a"), F.col("c").alias("ca")), "a").join(color.select(F.col("unit").alias("b"), F.col("c").alias("cb")), "b")
+        inside = kept(inside.filter("ca = cb").select("a", "b", F.col("ca").alias("c")))
+        back = kept(color.filter("unit = c").select("unit", "c"))
+        while True:
+            more = inside.join(back.select(F.col("unit").alias("b"), "c"), ["b", "c"]).select(F.col("a").alias("unit"), "c").distinct()
+            more = kept(more.join(back, ["unit", "c"], "left_anti"))
+            if more.isEmpty():
+                break
+            back = kept(back.unionByName(more))
+        sizes = back.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1")
+        found = kept(found.unionByName(back.join(sizes, "c").select(F.col("c").alias("cycle"), "unit")))
+        edges = kept(edges.join(back.select(F.col("unit").alias("a")), "a", "left_anti").join(back.select(F.col("unit").alias("b")), "b", "left_anti").select("a", "b"))

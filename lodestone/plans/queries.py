@@ -576,6 +576,28 @@ def prereq_waves(spark, sf):
     return events.waves(n, n.filter("unit > 0").select("unit", F.floor(F.col("unit") / 3).cast("int").alias("needs")))
 
 
+NEEDS = "e AS (SELECT s_suppkey AS unit, (s_suppkey * 3 + s_nationkey) % (SELECT count(*) FROM supplier) AS needs FROM supplier WHERE s_suppkey % 5 <> 0 UNION SELECT s_suppkey, s_suppkey - 1 FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey > 0), r AS (SELECT unit AS a, needs AS b FROM e UNION SELECT r.a, e.needs FROM r JOIN e ON e.unit = r.b), own AS (SELECT a AS unit FROM r WHERE a = b)"
+
+
+def _needs(spark, sf):
+    s = kept(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit"), "s_nationkey"))
+    n = s.count()
+    one = s.filter("unit % 5 <> 0").select("unit", ((F.col("unit") * 3 + F.col("s_nationkey")) % n).alias("needs"))
+    return s.select("unit"), one.unionByName(s.filter("unit % 4 = 0 AND unit > 0").select("unit", (F.col("unit") - 1).alias("needs")))
+
+
+@query(f"WITH RECURSIVE {NEEDS} SELECT (SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = own.unit) AS cycle, unit FROM own")
+def prerequisite_cycles(spark, sf):
+    """Suppliers as units with prerequisites drawn from their keys: those that wait for each other."""
+    return events.cycles(_needs(spark, sf)[1])
+
+
+@query(f"WITH RECURSIVE {NEEDS}, stuck AS (SELECT unit FROM own UNION SELECT a FROM r WHERE b IN (SELECT unit FROM own)), w AS (SELECT s_suppkey AS unit, 0 AS wave FROM supplier WHERE s_suppkey NOT IN (SELECT unit FROM stuck) UNION ALL SELECT e.unit, w.wave + 1 FROM w JOIN e ON e.needs = w.unit WHERE e.unit NOT IN (SELECT unit FROM stuck)), z AS (SELECT unit, max(wave) AS wave FROM w GROUP BY unit) SELECT * FROM z UNION ALL SELECT unit, coalesce((SELECT max(wave) + 1 FROM z), 0) FROM stuck")
+def prereq_waves_with_cycles(spark, sf):
+    """The same units in waves; those on a cycle and what depends on them form the last one."""
+    return events.waves(*_needs(spark, sf))
+
+
 # --- agent, embedding, sampling -----------------------------------------------------------------------
 
 

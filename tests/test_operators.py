@@ -131,11 +131,11 @@ def test_progress_counts_a_retry(spark):
     assert (got.attempts, got.cleared, got.retries) == (2, 1, 1)
 
 
-def test_waves_find_cycles(spark):
-    units = spark.createDataFrame([(1,), (2,)], "unit int")
-    loop = spark.createDataFrame([(1, 2), (2, 1)], "unit int, needs int")
-    with pytest.raises(ValueError, match="cycle"):
-        events.waves(units, loop, 4)
+def test_waves_put_a_cycle_last(spark):
+    units = spark.createDataFrame([(1,), (2,), (3,)], "unit long")
+    requires = spark.createDataFrame([(1, 2), (2, 1)], "unit long, needs long")
+    assert {r.unit: r.wave for r in events.waves(units, requires).collect()} == {3: 0, 1: 1, 2: 1}
+    assert sorted(map(tuple, events.cycles(requires).collect())) == [(1, 1), (1, 2)]
 
 
 def test_cache_and_prefix(spark):
@@ -167,3 +167,16 @@ def test_hashed_vectors_are_units(spark):
     df = spark.createDataFrame([(1, "some words"), (2, "other ones")], "chunk_id long, text string")
     got = embed.hashed(df).groupBy("chunk_id").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
     assert all(abs(r.n - 1) < 1e-4 for r in got)
+
+
+def test_waves_are_as_many_as_a_chain_is_long(spark):
+    from lodestone.operators import events
+
+    units = spark.createDataFrame([(i,) for i in range(60)], "unit long")
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 55)] + [(56, 57), (57, 58), (58, 56), (59, 58), (55, 99)], "unit long, needs long")
+    got = {r.unit: r.wave for r in events.waves(units, chain).collect()}
+    assert got == {i: i for i in range(55)} | {i: 55 for i in range(55, 60)}
+    assert sorted(map(tuple, events.cycles(chain).collect())) == [(56, 56), (56, 57), (56, 58)]
+    twice = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 5), (6, 1)], "unit long, needs long")
+    assert sorted(map(tuple, events.cycles(twice).collect())) == [(1, 1), (1, 2), (3, 3), (3, 4), (5, 5)]
+    assert events.cycles(twice.limit(0)).count() == 0
