@@ -194,6 +194,55 @@ def search(queries: DataFrame, vectors: DataFrame, coded: DataFrame, book: Codeb
     return hits.select("qid", "chunk_id", "score", "rank"), looked
 
 
+def nested(queries: DataFrame, vectors: DataFrame, dims: list[int], n: int = 10) -> DataFrame:
+    """(dim, qid, chunk_id, score, rank): the best ``n`` by cosine of the first ``dim`` numbers, for each of ``dims``.
+
+    One pass: products and norms of a prefix are those of the shorter one plus what it adds. A prefix of norm 0
+    scores 0. Queries are the stated side, sent in blocks; batches pass on their own best of each query and prefix.
+    """
+    spark, dims = queries.sparkSession, sorted(dims)
+    ship(spark)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    numbered = kept(queries.select("qid", "vector").withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))))
+    kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    found = queries.select(F.lit(0).alias("dim"), "qid", F.lit(None).cast(kinds[1]).alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
+    for block in range(blocks):
+        rows = numbered.filter(F.col("_b") == block).collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vector for r in rows], np.float64)))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qids, q = shared.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x, ids = _matrix(batch["vector"]), batch["chunk_id"].to_numpy()
+                products, of_q, of_x, low = np.zeros((len(q), len(x))), np.zeros(len(q)), np.zeros(len(x)), 0
+                for dim in dims:
+                    products += q[:, low:dim] @ x[:, low:dim].T
+                    of_q += (q[:, low:dim] ** 2).sum(1)
+                    of_x += (x[:, low:dim] ** 2).sum(1)
+                    norms, low = np.sqrt(of_q)[:, None] * np.sqrt(of_x)[None, :], dim
+                    scores = np.round(np.divide(products, norms, out=np.zeros_like(products), where=norms > 0), 6)
+                    for i, qid in enumerate(qids):
+                        at = np.lexsort((ids, -scores[i]))[:n]
+                        yield pd.DataFrame({"dim": dim, "qid": qid, "chunk_id": ids[at], "score": scores[i, at]})
+
+        found = found.unionByName(vectors.select("chunk_id", "vector").mapInPandas(best, f"dim int, qid {kinds[0]}, chunk_id {kinds[1]}, score double"))
+    order = Window.partitionBy("dim", "qid").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
+def ablation(ranked: DataFrame, whole: int) -> DataFrame:
+    """(dim, overlap, top1): of ``nested``'s hits the share that the ``whole`` vectors find too, and of first ones."""
+    full = ranked.filter(F.col("dim") == whole).select("qid", "chunk_id", F.col("rank").alias("r"))
+    both = ranked.join(full, ["qid", "chunk_id"], "left")
+    share = F.avg(F.col("r").isNotNull().cast("double"))
+    first = F.avg(F.when(F.col("rank") == 1, F.coalesce(F.col("r") == 1, F.lit(False)).cast("double")))
+    return both.groupBy("dim").agg(F.round(share, 6).alias("overlap"), F.round(first, 6).alias("top1"))
+
+
 # --- graph --------------------------------------------------------------------------------------------
 
 

@@ -112,6 +112,23 @@ def ann_coded_recall(spark, sf):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+DIMS = [4, 8, 16, 32, 64]
+NESTED = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d(dim) AS (VALUES {', '.join(f'({d})' for d in DIMS)}), p AS (SELECT dim, vec_id, e[1:dim] AS e, sqrt(list_dot_product(e[1:dim], e[1:dim])) AS m FROM v, d),
+n AS MATERIALIZED (SELECT * FROM (SELECT dim, qid, chunk_id, score, row_number() OVER (PARTITION BY dim, qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.dim, a.vec_id AS qid, b.vec_id AS chunk_id, round(CASE WHEN a.m * b.m > 0 THEN list_dot_product(a.e, b.e) / (a.m * b.m) ELSE 0.0 END, 6) AS score FROM p a JOIN p b ON a.dim = b.dim WHERE a.vec_id % 50 = 0)) WHERE rank <= 10)"""
+
+
+@query(f"WITH {NESTED} SELECT * FROM n")
+def nested_prefixes(spark, sf):
+    """Nearest vectors by five prefixes of the vectors, from one pass."""
+    return ann.nested(*_vectors(spark, sf), DIMS)
+
+
+@query(f"WITH {NESTED} SELECT x.dim, round(avg(CASE WHEN f.qid IS NULL THEN 0.0 ELSE 1.0 END), 6) AS overlap, round(avg(CASE WHEN x.rank = 1 THEN CASE WHEN f.rank = 1 THEN 1.0 ELSE 0.0 END END), 6) AS top1 FROM n x LEFT JOIN n f ON f.dim = 64 AND f.qid = x.qid AND f.chunk_id = x.chunk_id GROUP BY x.dim")
+def dimension_ablation(spark, sf):
+    """How much of what whole vectors find their prefixes find."""
+    return ann.ablation(kept(ann.nested(*_vectors(spark, sf), DIMS)), DIMS[-1])
+
+
 @query()
 def neighbour_graph(spark, sf):
     """The ten nearest vectors of every vector, by neighbours of neighbours."""
