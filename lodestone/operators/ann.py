@@ -305,7 +305,8 @@ def nn_descent(vectors: DataFrame, m: int = 16, pool: int = 32, rounds: int = 12
     for step in range(rounds):
         ahead = _bounded(state.select("node", "nb", "fresh"), pool, 10 + step)
         back = _bounded(state.select(F.col("nb").alias("node"), F.col("node").alias("nb"), "fresh"), pool, 40 + step)
-        members = ahead.unionByName(back).groupBy("node", "nb").agg(F.max("fresh").alias("fresh"))
+        # kept, as Spark takes a union of two windows over node for partitioned by it even where it has dealt them differently
+        members = kept(ahead.unionByName(back)).groupBy("node", "nb").agg(F.max("fresh").alias("fresh"))
         full = state.groupBy(F.col("node").alias("nb")).agg(F.when(F.count("*") >= pool, F.min("score")).alias("floor"))
         grown = told(members.join(of.join(full, "nb", "left").fillna(-math.inf, ["floor"]), "nb")).withColumn("fresh", F.lit(True))
         # what is in a pool already comes back as seen; entries that took part are no longer new

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import ann, agent, chunk, economy, embed, evalset, events, index, judge, metrics, pack, rerank, retrieve
+from lodestone.operators import ann, agent, chunk, economy, embed, evalset, events, index, judge, metrics, pack, pattern_index, rerank, retrieve
 from lodestone.operators._state import kept
-from lodestone.plans.base import BASE, C, GOLD, LEGS, RRF, TERMS, any_gold, bm, chunks, gold_of, interval, legs, lexical, norm, per_question, query, questions, resampled, sents, tok, weighted_sql
+from lodestone.plans.base import BASE, C, GOLD, LEGS, RRF, TERMS, any_gold, bm, chunks, gold_of, interval, legs, lexical, norm, once, per_question, query, questions, resampled, sents, tok, weighted_sql
 from lodestone.plans.retrieval import late_sql
 from lodestone.sources import table
 
@@ -157,6 +157,18 @@ def grep_topk(spark, sf):
     return retrieve.grep(patterns, chunks(spark, sf), 20)
 
 
+PATTERNS = {0: "licen[cs]e", 1: "[0-9]{3}-[0-9]{4}", 2: "of the", 3: "(apache|gnu general) licen", 4: "^[A-Z]{2,}", 5: "(creative )?commons", 6: "copyright.*reserved|warranty of any kind", 7: "e(re|n)+d", 8: "all rights"}
+_VALUES = ", ".join(f"({qid}, '{pattern}')" for qid, pattern in PATTERNS.items())
+
+
+@query(f"WITH {C}, pats(qid, pattern) AS (VALUES {_VALUES}), m AS (SELECT qid, chunk_id, CAST(len(regexp_extract_all(text, '(?i)' || pattern)) AS DOUBLE) AS score FROM pats, c) SELECT * FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM m WHERE score > 0) WHERE rank <= 20")
+def grep_indexed(spark, sf):
+    """Patterns with literals, choices of some, optional ones and none, over a trigram index."""
+    patterns = spark.createDataFrame(list(PATTERNS.items()), "qid int, pattern string")
+    index_ = once(spark, sf, "trigrams", lambda: pattern_index.trigram_index(chunks(spark, sf)))
+    return pattern_index.search(patterns, chunks(spark, sf), index_)
+
+
 @query(f"{LEGS}, {RRF} SELECT * FROM fused")
 def rrf_fusion(spark, sf):
     return _fused(spark, sf)[2]

@@ -180,3 +180,16 @@ def test_waves_are_as_many_as_a_chain_is_long(spark):
     twice = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 5), (6, 1)], "unit long, needs long")
     assert sorted(map(tuple, events.cycles(twice).collect())) == [(1, 1), (1, 2), (3, 3), (3, 4), (5, 5)]
     assert events.cycles(twice.limit(0)).count() == 0
+
+
+def test_what_patterns_require():
+    from lodestone.operators.pattern_index import required
+
+    grams = lambda *words: frozenset(w[i : i + 3] for w in words for i in range(len(w) - 2))
+    assert required("licen[cs]e") == [[grams("licen")]]
+    assert required("Of The") == [[grams("of the")]]
+    assert required("(apache|gnu general) licen") == [[grams("apache"), grams("gnu general")], [grams(" licen")]]
+    assert required("abc?def") == [[grams("def")]]
+    assert required("(abc)*x") == required(r"\d{3}-\d{4}") == required("ab|cdef") == required("a(") == required("étés") == []
+    assert required("(?:abcd){2}") == [[grams("abcd")]]
+    assert required("x(?=abc)y(?!def)") == []
