@@ -193,3 +193,34 @@ def test_what_patterns_require():
     assert required("(abc)*x") == required(r"\d{3}-\d{4}") == required("ab|cdef") == required("a(") == required("étés") == []
     assert required("(?:abcd){2}") == [[grams("abcd")]]
     assert required("x(?=abc)y(?!def)") == []
+
+
+def test_best_of_slices_are_the_best_of_all():
+    """Ties go to the smaller id, -inf and nan are no scores, and slices of any width give the same."""
+    import numpy as np
+
+    from lodestone.operators import retrieve
+
+    rng = np.random.default_rng(1)
+    scores, ids = rng.integers(0, 5, (7, 90)).astype(float), rng.permutation(90)
+    scores[0], scores[1, ::2], scores[2, 3:] = -np.inf, np.nan, -np.inf
+    want = [(r, i, s) for r in range(7) for s, i in sorted((-scores[r, c], ids[c]) for c in range(90) if scores[r, c] > -np.inf)[:10]]
+    for step in (4, 33, 90):
+        got = None
+        for low in range(0, 90, step):
+            part = retrieve.best_of(scores[:, low : low + step], ids[low : low + step], 10)
+            got = part if got is None else retrieve.merged(got, part, 10)
+        assert [(r, i, -s) for r, i, s in zip(*got, strict=True)] == want
+    assert retrieve.width(2_000) * 2_000 <= retrieve.PRODUCTS and retrieve.width(10**9) == 1
+
+
+def test_inverted_lists_make_no_rows_of_pairs(spark):
+    """A pair that a query looks at is never a row of a join, and all cells give the exact result."""
+    from lodestone.operators import retrieve
+
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS chunk_id", "embedding AS vector")
+    q = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "qid")
+    centers = embed.ivf_build(v, 16)
+    found = embed.ivf_search(q, v, centers, 16)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieve.knn(q, v, 10).collect()))
