@@ -351,3 +351,24 @@ def test_blocks_of_an_index_need_not_all_be_read(spark, monkeypatch, tmp_path):
     assert sorted(map(tuple, lexical_index.search(later, asked, 5)[0].collect())) == full(live)
     assert sorted(map(tuple, lexical_index.search(lexical_index.compact(later, spark, "v3", live), asked, 5)[0].collect())) == full(live)
     assert [(r.seg, r.chunks, r.dead) for r in lexical_index.stored(later, spark).orderBy("seg").collect()] == [(0, 902, 302), (1, 2, 0)]
+
+
+def test_latent_space_by_blocks_of_texts(spark, docs, monkeypatch):
+    """Many blocks of texts and slices of their terms give what one gives, and no term's vector is moved once a text."""
+    frame = spark.createDataFrame([*docs.items(), (-1, None), (-2, "")], "chunk_id long, text string")
+    one = {r.chunk_id: np.array(r.vector) for r in embed.lsa_encode(frame, embed.lsa_fit(frame, 32), 32).collect()}
+    monkeypatch.setattr(embed, "ENTRIES", 700)
+    monkeypatch.setattr(embed, "SLICE", 50)
+    rows, blocks = embed._rows(frame)
+    assert blocks > 3 and rows.count() == len(docs) + 2
+    moved = []
+    added = embed._added
+    monkeypatch.setattr(embed, "_added", lambda parts: added(moved.append(parts.filter("part = 0").count()) or parts))
+    model = embed.lsa_fit(frame, 32)
+    pairs = {(r.block, h) for r in rows.collect() for h in r.h}
+    assert moved == [len(pairs)] * 2 and len(pairs) < sum(len(r.h) for r in rows.collect())
+    many = {r.chunk_id: np.array(r.vector) for r in embed.lsa_encode(frame, model, 32).collect()}
+    assert not many[-1].any() and not many[-2].any() and many.keys() == one.keys()
+    # directions may turn round, their products may not
+    a, b = (np.array([x[i] for i in docs]) for x in (one, many))
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-3)
