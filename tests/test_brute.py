@@ -393,3 +393,18 @@ def test_a_folder_of_blocks_is_written_by_many_tasks(spark, tmp_path, monkeypatc
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert all(len(glob.glob(f"{tmp_path}/index/v1/blocks/folder={i}/*.parquet")) > 1 for i in range(2))
     assert sorted(map(tuple, lexical_index.search(index, asked, 5)[0].collect())) == sorted(map(tuple, retrieve.bm25(asked, chunks, 5).collect()))
+
+
+def test_the_loop_cuts_texts_and_makes_vectors_once(spark, monkeypatch):
+    """However many turns there are, terms and vectors of the chunks are made once for the files."""
+    from lodestone.operators import retrieve
+    from lodestone.plans import base, retrieval
+
+    monkeypatch.setattr(base, "_made", {})
+    cut, made = [], []
+    cut_terms, hashed_vectors = retrieve.cut_terms, embed.hashed_vectors
+    monkeypatch.setattr(retrieve, "cut_terms", lambda *a, **b: cut.append(1) or cut_terms(*a, **b))
+    monkeypatch.setattr(embed, "hashed_vectors", lambda texts, key="chunk_id", *a, **b: made.append(key) or hashed_vectors(texts, key, *a, **b))
+    results, _, _ = retrieval.looped(spark, SF, 2, 2.0)
+    assert results.filter("turns = 2").count() > 0
+    assert len(cut) == 1 and made.count("chunk_id") == 1 and made.count("qid") == 2
