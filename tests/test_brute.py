@@ -327,6 +327,26 @@ def test_neighbours_of_neighbours_against_exact(spark):
     assert ann.nn_descent(vectors.limit(1), 8).count() == 0
 
 
+def test_a_graph_by_blocks_is_exact_and_moves_no_neighbourhoods(spark, monkeypatch):
+    """Over tiles and blocks that vectors don't fill, with ties, a vector of nan and more neighbours asked for than there are."""
+    import numpy as np
+    from lodestone.operators import ann
+
+    monkeypatch.setattr(ann, "TILE", 16)
+    monkeypatch.setattr(ann, "nn_descent", None)
+    x = np.random.default_rng(5).integers(-2, 3, (130, 4)).astype(float)
+    x[7] = np.nan
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    scores = x @ x.T
+    for m, block, nodes in ((5, 30, 130), (5, 1000, 130), (9, 3, 6)):
+        known = [i for i in range(nodes) if i != 7]
+        want = {(i, j, scores[i, j], r + 1) for i in known for r, (_, j) in enumerate(sorted((-scores[i, j], j) for j in known if j != i)[:m])}
+        some = vectors.filter(f"chunk_id < {nodes}")
+        assert set(map(tuple, ann.graph_by_blocks(some, m, block).collect())) == want
+    assert ann.neighbours(vectors.limit(1), 8).count() == 0
+    assert ann.neighbours(vectors.limit(0), 8).count() == 0
+
+
 def test_blocks_of_an_index_need_not_all_be_read(spark, monkeypatch, tmp_path):
     """Texts of one common and a few rare words: what is found equals a full search, and less is read."""
     import random
