@@ -347,6 +347,27 @@ def test_a_graph_by_blocks_is_exact_and_moves_no_neighbourhoods(spark, monkeypat
     assert ann.neighbours(vectors.limit(0), 8).count() == 0
 
 
+def test_scores_of_postings_are_no_rows_of_a_shuffle(spark, monkeypatch):
+    """Rows a chunk give what exploded terms do: slices of a few chunks, blocks of a few queries, empty and null texts,
+    letters whose lower case is ASCII or longer, terms that no chunk has."""
+    from lodestone.operators import retrieve
+
+    texts = ["Alpha beta ALPHA 3.14 x", "", None, "\u212aelvin kelvin \u0130stanbul beta", "the and of", "beta_1 3.14 3.1.4 gamma", "gamma " * 40 + "beta", "alpha, beta; gamma"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha beta beta"), (2, "elvin kelvin gamma"), (3, "nowhere"), (4, "3.14 beta"), (5, "istanbul stanbul"), (6, "the")], "qid long, query string")
+    old = retrieve.postings(queries, chunks, cut=retrieve.cut_terms(chunks))
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieve, "PRODUCTS", 9)
+    new = retrieve.postings(queries, chunks)
+    for n, k1, b in ((2, 1.5, 0.75), (9, 0.9, 0.4)):
+        found = retrieve.score(new, n, k1, b)
+        assert old.packed is None and "Join" not in found._jdf.queryExecution().toString()
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieve.score(old, n, k1, b).collect()))
+    rows = lambda p: sorted(map(tuple, p.hit.select("chunk_id", "term", "dl", "tf").collect()))
+    assert rows(new) == rows(old)
+    assert retrieve.bm25(queries.limit(0), chunks).count() == 0 == retrieve.bm25(queries, chunks.limit(0)).count()
+
+
 def test_blocks_of_an_index_need_not_all_be_read(spark, monkeypatch, tmp_path):
     """Texts of one common and a few rare words: what is found equals a full search, and less is read."""
     import random
