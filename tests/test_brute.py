@@ -361,13 +361,44 @@ def test_scores_of_postings_are_no_rows_of_a_shuffle(spark, monkeypatch):
     new = retrieve.postings(queries, chunks)
     for n, k1, b in ((2, 1.5, 0.75), (9, 0.9, 0.4)):
         found = retrieve.score(new, n, k1, b)
-        assert old.packed is None and "Join" not in found._jdf.queryExecution().toString()
+        assert old.packed is None and not any(x in found._jdf.queryExecution().toString() for x in ("Join", "Window"))
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieve.score(old, n, k1, b).collect()))
     rows = lambda p: sorted(map(tuple, p.hit.select("chunk_id", "term", "dl", "tf").collect()))
     assert rows(new) == rows(old)
     assert retrieve.bm25(queries.limit(0), chunks).count() == 0 == retrieve.bm25(queries, chunks.limit(0)).count()
 
 
+def test_trigrams_by_table_are_those_by_hash(spark, monkeypatch):
+    """Letters that the table has no place for, white space alone, empty and null texts; and trigrams are hashed once."""
+    import numpy as np
+    from lodestone.operators import embed
+
+    texts = ["Some  words, some\tWORDS", "", " ", None, "a", "\u00e4\u00f6\u00fc \U0001f600 \u4e2d\u6587", "abc" * 50]
+    table = embed._Trigrams(192)
+    monkeypatch.setattr(embed, "LETTERS", 12)
+    small = embed._Trigrams(192)
+    want = []
+    for text in texts:
+        padded = " " + embed._WHITE.sub(" ", (text or "").lower()) + " "
+        total = np.zeros(192)
+        for i in range(len(padded) - 2):
+            h = embed._cell(padded[i : i + 3])
+            total[h % 192] += 1 if h >> 8 & 1 else -1
+        want.append(total if text is not None else np.zeros(192))
+        assert (small.of(padded) == total).all()
+    monkeypatch.undo()
+    for text, total in zip(texts, want, strict=True):
+        if text is not None:
+            padded = " " + embed._WHITE.sub(" ", text.lower()) + " "
+            assert (table.of(padded) == total).all()
+            with monkeypatch.context() as m:
+                m.setattr(embed, "_cell", None)
+                assert (table.of(padded) == total).all()
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    for r in embed.hashed_vectors(df).collect():
+        assert r.vector == list(np.round(want[r.chunk_id] / (np.sqrt((want[r.chunk_id] ** 2).sum()) or 1), 6))
+
+
 def test_blocks_of_an_index_need_not_all_be_read(spark, monkeypatch, tmp_path):
     """Texts of one common and a few rare words: what is found equals a full search, and less is read."""
     import random
