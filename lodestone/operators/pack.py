@@ -68,8 +68,9 @@ def entity_shares(packed: DataFrame, chunks: DataFrame, entities: DataFrame) ->
     """(qid, weakest, prevalence): the least share of packed chunks that any entity of a question has among those
     that any has, and how many times more chunks of the corpus hold its most common entity than its rarest."""
     has = F.contains(F.lower("text"), F.lower("entity"))
-    named = F.broadcast(entities.select("entity").distinct())
-    overall = chunks.join(named, has).groupBy("entity").agg(F.count("*").alias("in_corpus"))
+    # a text is lowered once, not once for each entity that it is searched for
+    named = F.broadcast(entities.select("entity", F.lower("entity").alias("_e")).distinct())
+    overall = chunks.select(F.lower("text").alias("_t")).join(named, F.contains("_t", "_e")).groupBy("entity").agg(F.count("*").alias("in_corpus"))
     mine = packed.select("qid", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(entities, "qid").filter(has).groupBy("qid", "entity").agg(F.count("*").alias("n"))
     per = entities.join(mine, ["qid", "entity"], "left").join(overall, "entity", "left").na.fill(0, ["n", "in_corpus"])
     out = per.groupBy("qid").agg(F.min("n").alias("low"), F.sum("n").alias("all"), F.max("in_corpus").alias("most"), F.min("in_corpus").alias("least"))

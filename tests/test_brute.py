@@ -399,6 +399,17 @@ def test_trigrams_by_table_are_those_by_hash(spark, monkeypatch):
         assert r.vector == list(np.round(want[r.chunk_id] / (np.sqrt((want[r.chunk_id] ** 2).sum()) or 1), 6))
 
 
+def test_an_entity_does_not_lower_the_texts_again(spark):
+    from lodestone.operators import pack
+
+    chunks = spark.createDataFrame([(1, "Alpha beta"), (2, "ALPHA"), (3, None)], "chunk_id long, text string")
+    entities = spark.createDataFrame([(7, "alpha"), (7, "Beta"), (8, "beta")], "qid long, entity string")
+    got = pack.entity_shares(spark.createDataFrame([(7, 1), (7, 2)], "qid long, chunk_id long"), chunks, entities)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert not any("lower(text" in x and "qid" not in x and "Inner, Contains(lower" in x for x in joins) and any("Contains(_t" in x for x in joins)
+    assert sorted(map(tuple, got.collect())) == [(7, 0.333333, 2.0), (8, None, 1.0)]
+
+
 def test_blocks_of_an_index_need_not_all_be_read(spark, monkeypatch, tmp_path):
     """Texts of one common and a few rare words: what is found equals a full search, and less is read."""
     import random
