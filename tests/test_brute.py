@@ -399,6 +399,18 @@ def test_trigrams_by_table_are_those_by_hash(spark, monkeypatch):
         assert r.vector == list(np.round(want[r.chunk_id] / (np.sqrt((want[r.chunk_id] ** 2).sum()) or 1), 6))
 
 
+def test_features_cut_only_the_texts_of_hits(spark):
+    """A text that no hit names is neither cut nor dealt; a hit named twice keeps both of its rows."""
+    from lodestone.operators import rerank
+
+    fails = F.when(F.col("chunk_id") == 3, F.raise_error(F.lit("cut"))).otherwise(F.col("body"))
+    chunks = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "x")], "chunk_id long, body string").select("chunk_id", fails.alias("text"), F.lit("alpha").alias("title"))
+    hits = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (8, 1, 1)], "qid long, chunk_id long, rank int")
+    queries = spark.createDataFrame([(7, "alpha beta"), (8, "gamma")], "qid long, query string")
+    got = {(r.qid, r.chunk_id): r for r in rerank.pair_features(hits, queries, chunks).collect()}
+    assert got.keys() == {(7, 1), (7, 2), (8, 1)} and got[7, 1].title == 0.5 and got[8, 1].title == 0
+
+
 def test_an_entity_does_not_lower_the_texts_again(spark):
     from lodestone.operators import pack
 
