@@ -411,6 +411,14 @@ def test_features_cut_only_the_texts_of_hits(spark):
     assert got.keys() == {(7, 1), (7, 2), (8, 1)} and got[7, 1].title == 0.5 and got[8, 1].title == 0
 
 
+def test_questions_of_one_leg_make_no_vectors(spark, monkeypatch):
+    from lodestone.operators import embed
+
+    monkeypatch.setattr(embed, "_trigrams", None)
+    monkeypatch.setattr(embed, "hashed_vectors", None)
+    assert QUERIES["fault_isolation"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_an_entity_does_not_lower_the_texts_again(spark):
     from lodestone.operators import pack
 
