@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import approx_tokens, sentences, tokens
+from lodestone.functions.text import approx_tokens, sentences, sentences_of, tokens
+from lodestone.operators._state import ship
 
 
 def _words(text: Column) -> Column:
@@ -31,9 +33,19 @@ def windows(words: Column, per: int, overlap: float) -> Column:
 
 def finalized(pieces: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, ordinal, n_chunks, text, chunk_id) from (doc, ordinal, text); the id addresses the text."""
+    return _identified(pieces.withColumn("n_chunks", F.count("*").over(Window.partitionBy(doc))), doc)
+
+
+def _identified(pieces: DataFrame, doc: str) -> DataFrame:
     text = F.trim("text")
-    identity = F.concat_ws(":", F.col(doc).cast("string"), F.col("ordinal").cast("string"), F.substring(F.sha1(F.encode(text, "UTF-8")), 1, 10))
-    return pieces.select(doc, "ordinal", F.count("*").over(Window.partitionBy(doc)).alias("n_chunks"), text.alias("text"), identity.alias("chunk_id"))
+    identity = F.concat_ws(":", F.col(doc).cast("string"), F.col("ordinal").cast("string"), F.substring(F.sha1(text.cast("binary")), 1, 10))
+    return pieces.select(doc, "ordinal", "n_chunks", text.alias("text"), identity.alias("chunk_id"))
+
+
+def numbered(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``finalized`` from (doc, pieces), arrays of texts: pieces are counted while a document is one row."""
+    counted = docs.select(doc, "pieces", F.sum(F.size("pieces")).over(Window.partitionBy(doc)).alias("n_chunks"))
+    return _identified(counted.select(doc, "n_chunks", F.posexplode("pieces").alias("ordinal", "text")), doc)
 
 
 def fixed(docs: DataFrame, size_tokens: int = 512, overlap: float = 0.15) -> DataFrame:
@@ -109,18 +121,36 @@ def recursive(docs: DataFrame, size_tokens: int = 256, overlap: float = 0.1) ->
     return finalized(flat.select("doc_id", "ordinal", text.alias("text")))
 
 
+def _joined(text: str, per: int, threshold: float) -> list[str]:
+    """``semantic`` of one text inside a task. A sentence is compared with the one before it only, once."""
+    pieces, own, last, n = [], [], set(), 0
+    for sentence, terms in sentences_of(text):
+        # parts between white space, as split() would leave out an empty one at either end
+        size = len(sentence.split()) + sentence[:1].isspace() + sentence[-1:].isspace()
+        if own:
+            stay = n + size <= per
+            if stay:
+                both = len(last & terms)
+                either = len(last) + len(terms) - both
+                stay = either > 0 and both / either >= threshold
+            if not stay:
+                pieces.append(b" ".join(own).decode("utf-8", "surrogatepass"))
+                own, n = [], 0
+        own.append(sentence)
+        last, n = terms, n + size
+    return [*pieces, b" ".join(own).decode("utf-8", "surrogatepass")] if own else pieces
+
+
 def semantic(docs: DataFrame, size_tokens: int = 256, threshold: float = 0.22) -> DataFrame:
     """Sentences joined until the next one shares too few tokens with the last, or the size is reached."""
+    ship(docs.sparkSession)
     per = window_size(size_tokens)
-    parts = docs.select("doc_id", F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("s"), F.array_distinct(tokens(s)).alias("t"), F.size(F.split(s, r"\s+")).alias("n"))).alias("parts"))
-    close = f"(size(array_union(s.t, x.t)) > 0 AND size(array_intersect(s.t, x.t)) / size(array_union(s.t, x.t)) >= {threshold})"
-    stay = f"(s.n = 0 OR ({close} AND s.n + x.n <= {per}))"
-    fold = F.expr(
-        "aggregate(parts, named_struct('done', cast(array() AS array<string>), 'cur', '', 't', cast(array() AS array<string>), 'n', 0), "
-        f"(s, x) -> named_struct('done', if({stay}, s.done, concat(s.done, array(s.cur))), 'cur', if(s.n > 0 AND {stay}, concat(s.cur, ' ', x.s), x.s), 't', x.t, 'n', if({stay}, s.n + x.n, x.n)), "
-        "s -> if(s.n > 0, concat(s.done, array(s.cur)), s.done))"
-    )
-    return finalized(parts.select("doc_id", F.posexplode(fold).alias("ordinal", "text")))
+
+    @F.pandas_udf("array<string>")
+    def joined(texts: pd.Series) -> pd.Series:
+        return pd.Series([_joined(text, per, threshold) for text in texts], dtype=object)
+
+    return numbered(docs.select("doc_id", joined(F.coalesce("text", F.lit(""))).alias("pieces")))
 
 
 def parent_chunks(docs: DataFrame, size_tokens: int = 180, parent_tokens: int = 900) -> DataFrame:

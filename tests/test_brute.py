@@ -80,6 +80,35 @@ def test_semantic_chunks(spark, docs):
         assert got.get(i, []) == [w.strip(" ") for w in want]
 
 
+def test_semantic_chunks_of_odd_texts(spark):
+    """White space, marks, single digits, copies of an id and nulls; pieces are counted before a document becomes rows."""
+    odd = ["", "   ", "\n", "One two. One two!\tOne\x0btwo?\x0cZwei.", "A 1 b. 1 2 3. 1.5 x_y 1.5. 1.5!", "\x01alpha beta\x01alpha beta. \n\nalpha  beta.", "Ünïcode Straße. straße ünïcode!  \u00a0İstanbul K. ſ K. No end ", "the of. the of. cats and 7 dogs. CATS AND DOGS", " ".join(["same words again."] * 80), "\r\nends\r\n"]
+    rows = [*enumerate(odd), (3, "A copy of an id. A copy of an id."), (77, None), (None, "No id here. None there.")]
+    got = chunk.semantic(spark.createDataFrame(rows, "doc_id long, text string"), 40, 0.22)
+    want, total = [], collections.Counter()
+    for i, text in rows:
+        pieces, current, last, n = [], "", set(), 0
+        for s in sentences(text or ""):
+            t, size = set(tokens(s)), len(re.split(r"[ \t\n\x0b\f\r]+", s))
+            close = bool(last | t) and len(last & t) / len(last | t) >= 0.22
+            if n and not (close and n + size <= 30):
+                pieces.append(current)
+                current, n = s, size
+            else:
+                current, n = (f"{current} {s}" if n else s), n + size
+            last = t
+        pieces += [current] if n else []
+        total[i] += len(pieces)
+        want += [(str(i), k, p.strip(" ")) for k, p in enumerate(pieces)]
+    found = got.collect()
+    assert sorted((str(r.doc_id), r.ordinal, r.text) for r in found) == sorted(want)
+    assert all(r.n_chunks == total[r.doc_id] for r in found)
+    assert next(r.chunk_id for r in found if r.doc_id == 6 and r.ordinal == 0).startswith("6:0:")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window") and "aggregate(" not in plan
+    assert chunk.semantic(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 0
+
+
 def test_quota(spark):
     rng = np.random.default_rng(3)
     names = ["alpha", "beta", "gamma"]
