@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,7 +14,16 @@ from lodestone.operators._state import ship
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+
+def _each(rows: DataFrame, array: Column | str, place: str, item: str, *own: str | Column) -> DataFrame:
+    """``own`` columns beside place and item of every entry of an array.
+
+    From a plain posexplode Spark infers a filter for arrays that aren't empty, which makes them anew, and what they
+    are made of once for each place that names it.
+    """
+    return rows.select(*own, F.posexplode_outer(array).alias(place, item)).filter(F.col(place).isNotNull())
 
 
 def window_size(size_tokens: int) -> int:
@@ -45,27 +55,28 @@ def _identified(pieces: DataFrame, doc: str) -> DataFrame:
 def numbered(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``finalized`` from (doc, pieces), arrays of texts: pieces are counted while a document is one row."""
     counted = docs.select(doc, "pieces", F.sum(F.size("pieces")).over(Window.partitionBy(doc)).alias("n_chunks"))
-    return _identified(counted.select(doc, "n_chunks", F.posexplode("pieces").alias("ordinal", "text")), doc)
+    return _identified(_each(counted, "pieces", "ordinal", "text", doc, "n_chunks"), doc)
 
 
 def fixed(docs: DataFrame, size_tokens: int = 512, overlap: float = 0.15) -> DataFrame:
     """Windows of words with an overlap; heading lines are left out."""
     body = docs.select("doc_id", _words(F.regexp_replace("text", r"(?m)^## .*$", "")).alias("w"))
-    return finalized(body.select("doc_id", F.posexplode(windows(F.col("w"), window_size(size_tokens), overlap)).alias("ordinal", "text")))
+    return numbered(body.select("doc_id", windows(F.col("w"), window_size(size_tokens), overlap).alias("pieces")))
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, title, passage, text): the non-blank lines of a document."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    return docs.select("doc_id", "title", F.posexplode(lines).alias("passage", "text"))
+    return _each(docs, lines, "passage", "text", "doc_id", "title")
 
 
 def structural(docs: DataFrame, size_tokens: int = 256) -> DataFrame:
     """A chunk for each passage under its title; longer passages in windows with a tenth of overlap."""
     per = window_size(size_tokens)
-    parts = passages(docs).withColumn("w", _words(F.col("text")))
-    split = parts.withColumn("piece", F.when(F.size("w") > per, windows(F.col("w"), per, 0.1)).otherwise(F.array(F.trim("text"))))
-    flat = split.select("doc_id", "passage", "title", F.posexplode("piece").alias("n", "t"))
+    # only longer passages are cut into words
+    parts = passages(docs).withColumn("w", F.when(F.regexp_count("text", F.lit(r"\S+")) > per, _words(F.col("text"))))
+    split = parts.withColumn("piece", F.when(F.col("w").isNotNull(), windows(F.col("w"), per, 0.1)).otherwise(F.array(F.trim("text"))))
+    flat = _each(split, "piece", "n", "t", "doc_id", "passage", "title")
     ordinal = (F.row_number().over(Window.partitionBy("doc_id").orderBy("passage", "n")) - 1).alias("ordinal")
     return finalized(flat.select("doc_id", ordinal, F.concat("title", F.lit("\n"), "t").alias("text")))
 
@@ -91,8 +102,8 @@ def late(docs: DataFrame, size_tokens: int = 256, context_tokens: int = 90) -> D
 
 def parent(docs: DataFrame, child_tokens: int = 180, parent_tokens: int = 900) -> DataFrame:
     """(doc_id, parent, child, heading, text): child windows that carry their parent window's text."""
-    outer = docs.select("doc_id", F.posexplode(windows(_words(F.col("text")), window_size(parent_tokens), 0.0)).alias("parent", "text"))
-    inner = outer.select("doc_id", "parent", "text", F.posexplode(windows(_words(F.col("text")), window_size(child_tokens), 0.0)).alias("child", "c"))
+    outer = _each(docs.select("doc_id", _words(F.col("text")).alias("w")), windows(F.col("w"), window_size(parent_tokens), 0.0), "parent", "text", "doc_id")
+    inner = _each(outer.withColumn("w", _words(F.col("text"))), windows(F.col("w"), window_size(child_tokens), 0.0), "child", "c", "doc_id", "parent", "text")
     return inner.select("doc_id", "parent", "child", F.concat(F.lit("child::"), F.substring("c", 1, 80)).alias("heading"), "text")
 
 
@@ -114,7 +125,7 @@ def recursive(docs: DataFrame, size_tokens: int = 256, overlap: float = 0.1) ->
     paragraphs = F.filter(F.transform(F.split("text", "\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
     fine = F.flatten(F.transform(paragraphs, lambda p: F.when(F.size(F.split(p, " ")) > per, sentences(p)).otherwise(F.array(p))))
     packed = docs.select("doc_id", fine.alias("parts")).select("doc_id", _packed("parts", per, " ").alias("pieces"))
-    flat = packed.select("doc_id", F.posexplode("pieces").alias("ordinal", "piece"))
+    flat = _each(packed, "pieces", "ordinal", "piece", "doc_id")
     before = F.split(F.lag("piece").over(Window.partitionBy("doc_id").orderBy("ordinal")), " ")
     tail = F.greatest(F.lit(1), F.floor(F.size(before) * overlap)).cast("int")
     text = F.when(before.isNull(), F.col("piece")).otherwise(F.concat_ws(" ", F.array_join(F.slice(before, -tail, tail), " "), "piece"))
@@ -182,13 +193,23 @@ def chunk_stats(chunks: DataFrame, baseline: DataFrame | None = None) -> DataFra
     return out.crossJoin(ranked_value(sizes, "n", 0.9, from_zero=True).select(F.col("value").alias("p90"))).crossJoin(base).select("chunks", "median", "p90", "largest", "total", F.round(F.col("total") / F.col("base"), 6).alias("storage_x"))
 
 
-def boundary_damage(anchors: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row (in_documents, in_chunks, damage): anchors (anchor) that some document holds, those that some chunk still
-    holds, and the share that the boundaries of chunks cut."""
-    from lodestone.operators.retrieve import resolve_gold
+def boundary_damages(anchors: DataFrame, docs: DataFrame, strategies: dict[str, DataFrame]) -> DataFrame:
+    """A row (strategy, in_documents, in_chunks, damage) for the chunks of each strategy: anchors (anchor) that some
+    document holds, those that some chunk still holds, and the share that the boundaries of chunks cut."""
+    from lodestone.operators._state import kept
+    from lodestone.operators.retrieve import holders
 
     ids = anchors.select("anchor").distinct().withColumn("qid", F.xxhash64("anchor"))
-    whole = resolve_gold(ids, docs.select(F.col("doc_id").alias("chunk_id"), "text")).select("qid").distinct()
-    kept_ = resolve_gold(ids, chunks.select("chunk_id", "text")).select("qid").distinct()
-    both = whole.join(kept_.withColumn("k", F.lit(1)), "qid", "left").agg(F.count("*").alias("in_documents"), F.count("k").alias("in_chunks"))
-    return both.withColumn("damage", F.round(F.when(F.col("in_documents") > 0, 1 - F.col("in_chunks") / F.col("in_documents")).otherwise(0.0), 6))
+    whole = kept(holders(ids, docs.select("text")).distinct())
+    parts = []
+    for name, chunks in strategies.items():
+        cut = holders(ids, chunks.select("text")).distinct().withColumn("k", F.lit(1))
+        both = whole.join(cut, "qid", "left").agg(F.count("*").alias("in_documents"), F.count("k").alias("in_chunks"))
+        parts.append(both.select(F.lit(name).alias("strategy"), "*"))
+    share = F.when(F.col("in_documents") > 0, 1 - F.col("in_chunks") / F.col("in_documents")).otherwise(0.0)
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("damage", F.round(share, 6))
+
+
+def boundary_damage(anchors: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``boundary_damages`` of one strategy: one row (in_documents, in_chunks, damage)."""
+    return boundary_damages(anchors, docs, {"": chunks}).drop("strategy")

@@ -305,7 +305,7 @@ def synthetic_corpus(spark, sf):
 
 def _strategies(spark, sf) -> dict[str, DataFrame]:
     d = _docs(spark, sf)
-    return {"fixed": kept(chunk.chunk(d, "fixed", size_tokens=64)), "structural": kept(chunk.chunk(d, "structural", size_tokens=64))}
+    return {name: chunk.chunk(d, name, size_tokens=64) for name in ("fixed", "structural")}
 
 
 CUT = f"{BASE}, {FIXED}, {LINES}, sz AS (SELECT 'fixed' AS strategy, text FROM f UNION ALL SELECT 'structural', text FROM s), nm AS (SELECT strategy, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM sz), an AS (SELECT DISTINCT lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))) AS a, a AS raw FROM (SELECT unnest([anchor, also]) AS a FROM q) WHERE a IS NOT NULL), wh AS (SELECT raw FROM an WHERE EXISTS (SELECT 1 FROM c WHERE contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), a))), ke AS (SELECT DISTINCT strategy, raw FROM an JOIN nm ON contains(t, a))"
@@ -315,14 +315,13 @@ CUT = f"{BASE}, {FIXED}, {LINES}, sz AS (SELECT 'fixed' AS strategy, text FROM f
 def boundary_damage(spark, sf):
     """How much evidence the boundaries of chunks cut, by strategy."""
     d = chunks(spark, sf).select("doc_id", "text")
-    parts = [chunk.boundary_damage(anchors(spark, sf), d, c).select(F.lit(name).alias("strategy"), "*") for name, c in _strategies(spark, sf).items()]
-    return functools.reduce(DataFrame.unionByName, parts)
+    return chunk.boundary_damages(anchors(spark, sf), d, _strategies(spark, sf))
 
 
 @query(f"{CUT}, z AS (SELECT strategy, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS n FROM sz), t AS (SELECT strategy, count(*) AS chunks, CAST(floor(median(n)) AS BIGINT) AS median, list_sort(list(n))[CAST(floor(count(*) * 0.9) AS INTEGER) + 1] AS p90, max(n) AS largest, CAST(sum(n) AS BIGINT) AS total FROM z GROUP BY strategy) SELECT *, round(total / (SELECT total FROM t WHERE strategy = 'fixed'), 6) AS storage_x, (SELECT count(*) FROM an) - (SELECT count(*) FROM ke WHERE ke.strategy = t.strategy) AS unresolved FROM t")
 def chunking_bakeoff(spark, sf):
     """Strategies side by side: sizes, storage against the first, and evidence that no chunk holds."""
-    found = _strategies(spark, sf)
+    found = {name: kept(c) for name, c in _strategies(spark, sf).items()}
     asked = anchors(spark, sf).select("anchor").distinct().withColumn("qid", F.xxhash64("anchor"))
     n = kept(asked).count()
     parts = []

@@ -109,6 +109,34 @@ def test_semantic_chunks_of_odd_texts(spark):
     assert chunk.semantic(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 0
 
 
+def test_anchors_are_searched_where_texts_are_read(spark, monkeypatch):
+    """Anchors of any length, copies of them and nulls, in one block and in many; no text is joined."""
+    norm = lambda x: re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" ").lower()
+    anchors = [(1, 0, "alpha beta gamma"), (1, 1, " Alpha\n BETA\tgamma "), (2, 0, "tea"), (3, 0, "a b"), (4, 0, ""), (5, 0, None), (6, 0, "  "), (7, 0, "pha beta gam"), (8, 0, "É x y Ü"), (9, 0, "one one one one"), (10, 0, "gone for good"), (11, 0, "a\u00a0b c d")]
+    texts = [(1, "ALPHA beta\r\ngamma tea"), (2, None), (3, ""), (4, "xa bx é X y\x0bü"), (5, "one one one"), (6, "so one one one one, steak"), (7, "a\u00a0b C  d"), (7, "tea"), (None, "tea leaves")]
+    a, t = spark.createDataFrame(anchors, "qid long, anchor_idx int, anchor string"), spark.createDataFrame(texts, "chunk_id long, text string")
+    want = {(q, i, c) for q, i, x in anchors for c, y in texts if x and norm(x) and y is not None and norm(x) in norm(y)}
+    for block in (20_000, 2):
+        monkeypatch.setattr(retrieve, "ANCHOR_BLOCK", block)
+        got = retrieve.resolve_gold(a, t)
+        found = [tuple(r) for r in got.select("qid", "anchor_idx", "chunk_id").collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert "Contains(" not in got._jdf.queryExecution().toString() and "SortMergeJoin" not in got._jdf.queryExecution().toString()
+    none = chunk.boundary_damage(a.filter("qid = 10").select("anchor"), t.select(F.col("chunk_id").alias("doc_id"), "text"), t).first()
+    assert (none.in_documents, none.in_chunks, none.damage) == (0, 0, 0.0)
+    cut = chunk.boundary_damage(a.select("anchor"), t, t.filter("chunk_id <> 1")).first()
+    assert (cut.in_documents, cut.in_chunks, cut.damage) == (8, 5, 0.375)
+
+
+def test_arrays_of_chunks_are_made_once(spark):
+    """Spark infers no filter that would make them anew."""
+    docs = spark.createDataFrame([(1, "t", "some words here\n\n" + "more " * 99), (2, "t", None), (3, "t", " "), (3, "t", "again\n")], "doc_id long, title string, text string")
+    for strategy, n in (("fixed", 4), ("structural", 5), ("recursive", 3), ("parent", 4)):
+        got = chunk.chunk(docs, strategy, size_tokens=64)
+        assert not re.search(r"Filter .*size\(", got._jdf.queryExecution().optimizedPlan().toString())
+        assert (strategy, got.count()) == (strategy, n)
+
+
 def test_quota(spark):
     rng = np.random.default_rng(3)
     names = ["alpha", "beta", "gamma"]
