@@ -404,6 +404,22 @@ def test_a_graph_by_blocks_is_exact_and_moves_no_neighbourhoods(spark, monkeypat
     assert ann.neighbours(vectors.limit(0), 8).count() == 0
 
 
+def test_neighbours_are_exact_at_any_size(spark, monkeypatch):
+    """No number of vectors turns to a guess, and pairs of blocks beyond the partitions they are dealt to all meet."""
+    import numpy as np
+    from lodestone.operators import ann
+
+    monkeypatch.setattr(ann, "WHOLE", 50, raising=False)
+    monkeypatch.setattr(ann, "nn_descent", None)
+    monkeypatch.setattr(ann, "DEALT", 2, raising=False)
+    x = np.random.default_rng(8).integers(-3, 4, (120, 6)).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    scores = x @ x.T
+    want = {(i, j, scores[i, j], r + 1) for i in range(120) for r, (_, j) in enumerate(sorted((-scores[i, j], j) for j in range(120) if j != i)[:7])}
+    assert set(map(tuple, ann.neighbours(vectors, 7).collect())) == want
+    assert set(map(tuple, ann.graph_by_blocks(vectors, 7, 20).collect())) == want
+
+
 def test_scores_of_postings_are_no_rows_of_a_shuffle(spark, monkeypatch):
     """Rows a chunk give what exploded terms do: slices of a few chunks, blocks of a few queries, empty and null texts,
     letters whose lower case is ASCII or longer, terms that no chunk has."""
