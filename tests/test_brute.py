@@ -550,6 +550,17 @@ def test_latent_space_by_blocks_of_texts(spark, docs, monkeypatch):
     assert np.allclose(a @ a.T, b @ b.T, atol=1e-3)
 
 
+def test_a_latent_space_moves_what_was_asked_for_and_cuts_its_texts_once(spark, docs, monkeypatch):
+    frame = spark.createDataFrame([*docs.items(), (-1, None)], "chunk_id long, text string")
+    cut, rows = [], embed._rows
+    monkeypatch.setattr(embed, "_rows", lambda texts: cut.append(1) or rows(texts))
+    model = embed.lsa_fit(frame, 16)
+    assert model.terms.agg(F.max(F.size("v"))).first()[0] == 16
+    again = {r.chunk_id: r.vector for r in embed.lsa_encode(frame, model, 16, rows=model.rows).collect()}
+    assert len(cut) == 1 and again.keys() == docs.keys() | {-1}
+    assert all(np.allclose(r.vector, again[r.chunk_id], atol=1e-9) for r in embed.lsa_encode(frame, model, 16).collect()) and len(cut) == 2
+
+
 def test_a_folder_of_blocks_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     """Terms that aren't hot are dealt by more than their folder, each term to one task, and found as before."""
     import glob
